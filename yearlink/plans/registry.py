@@ -41,3 +41,4 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # import the query modules so that they register themselves
 from yearlink.plans import queries_match  # noqa: E402,F401
+from yearlink.plans import queries_chain  # noqa: E402,F401
