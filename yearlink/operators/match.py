@@ -19,14 +19,13 @@ does it with Catalyst expressions (clear, fully planned, slower per pair).
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yearlink.functions.indel import indel
 from yearlink.functions.text import indel_upper_bound, jaccard, norm_desc, tokens, uniq_key
-from yearlink.functions.vectors import SCORE_DIGITS, cosine, l2_norm, quantise
+from yearlink.functions.vectors import l2_norm
+from yearlink.operators.similarity import cosine_topk
 
 DIRECTIONS = ("n1_to_n", "n_to_n1")
 
@@ -61,106 +60,6 @@ def prepare_items(items: DataFrame, key: str = "code") -> DataFrame:
     )
 
 
-def _block_plan(prepared: DataFrame, pairs: DataFrame, direction: str, query_block: int, cand_block: int) -> DataFrame:
-    """One row per year pair: query year, candidate year, block counts.
-
-    Block counts grow with the size of each year (skew-proportional), so every
-    tile holds at most ``query_block x cand_block`` pairs.  The table has one
-    row per edition: its size is bounded by the calendar, so it is broadcast.
-    """
-    if direction not in DIRECTIONS:
-        raise ValueError(f"direction must be one of {DIRECTIONS}")
-    qy, cy = ("year_n1", "year_n") if direction == "n1_to_n" else ("year_n", "year_n1")
-    sizes = prepared.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
-    plan = (
-        pairs.select(F.col(qy).alias("qy"), F.col(cy).alias("cy"))
-        .join(sizes.select(F.col("year").alias("qy"), F.col("n").alias("nq")), "qy")
-        .join(sizes.select(F.col("year").alias("cy"), F.col("n").alias("nc")), "cy")
-        .select(
-            "qy",
-            "cy",
-            F.greatest(F.lit(1), F.ceil(F.col("nq") / query_block)).cast("int").alias("bq"),
-            F.greatest(F.lit(1), F.ceil(F.col("nc") / cand_block)).cast("int").alias("bc"),
-        )
-    )
-    return F.broadcast(plan)
-
-
-def _tiles(prepared: DataFrame, plan: DataFrame):
-    """Query side and candidate side keyed by tile ``(qy, qb, cb)``."""
-    pq, pc = plan.alias("pq"), plan.alias("pc")
-    q = prepared.join(pq, F.col("year") == F.col("pq.qy")).select(
-        F.col("pq.qy").alias("qy"),
-        F.pmod(F.xxhash64("item_id"), F.col("pq.bq")).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.col("pq.bc") - 1)).alias("cb"),
-        F.col("item_id").alias("q_id"),
-        F.col("embedding").alias("q_vec"),
-        F.col("norm").alias("q_norm"),
-    )
-    c = prepared.join(pc, F.col("year") == F.col("pc.cy")).select(
-        F.col("pc.qy").alias("qy"),
-        F.explode(F.sequence(F.lit(0), F.col("pc.bq") - 1)).alias("qb"),
-        F.pmod(F.xxhash64("item_id"), F.col("pc.bc")).cast("int").alias("cb"),
-        F.col("item_id").alias("c_id"),
-        F.col("embedding").alias("c_vec"),
-        F.col("norm").alias("c_norm"),
-    )
-    return q, c
-
-
-def _dense(col: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
-    """list<float> Arrow column -> dense float64 [n, d]; NULL -> zero row."""
-    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    if n == 0:
-        return np.zeros((0, 0))
-    lengths = arr.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    d = int(lengths.max()) if len(lengths) else 0
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if arr.null_count == 0 and (lengths == d).all():
-        return flat.reshape(n, d)
-    out = np.zeros((n, d))
-    pos = 0
-    for i, ln in enumerate(lengths):
-        out[i, :ln] = flat[pos : pos + ln]
-        pos += ln
-    return out
-
-
-def _tile_topk_fn(top_k: int):
-    margin = 10.0 ** (-SCORE_DIGITS + 1)
-
-    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table(
-            {"q_id": pa.array([], pa.int64()), "c_id": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())}
-        )
-        nq, nc = left.num_rows, right.num_rows
-        if nq == 0 or nc == 0:
-            return empty
-        qv = _dense(left.column("q_vec"), nq)
-        cv = _dense(right.column("c_vec"), nc)
-        if qv.shape[1] != cv.shape[1]:
-            d = max(qv.shape[1], cv.shape[1])
-            qv = np.pad(qv, ((0, 0), (0, d - qv.shape[1])))
-            cv = np.pad(cv, ((0, 0), (0, d - cv.shape[1])))
-        qn = left.column("q_norm").to_numpy(zero_copy_only=False).astype(np.float64)
-        cn = right.column("c_norm").to_numpy(zero_copy_only=False).astype(np.float64)
-        den = np.outer(np.nan_to_num(qn), np.nan_to_num(cn))
-        dots = qv @ cv.T
-        cos = np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
-        if nc > top_k:
-            # k-th best per query, with a margin so that values which tie
-            # after quantisation are all kept; the exact cut is made in Spark.
-            kth = np.partition(cos, nc - top_k, axis=1)[:, nc - top_k]
-            qi, ci = np.nonzero(cos >= (kth - margin)[:, None])
-        else:
-            qi, ci = np.indices(cos.shape).reshape(2, -1)
-        q_ids = left.column("q_id").to_numpy(zero_copy_only=False)
-        c_ids = right.column("c_id").to_numpy(zero_copy_only=False)
-        return pa.table({"q_id": q_ids[qi], "c_id": c_ids[ci], "cos": cos[qi, ci]})
-
-    return fn
-
-
 def candidate_cosines(
     prepared: DataFrame,
     pairs: DataFrame,
@@ -171,23 +70,22 @@ def candidate_cosines(
     cand_block: int = 8192,
 ) -> DataFrame:
     """J2 + T2: ``(q_id, c_id, cos)`` for the top-k candidates of each query
-    by cosine (ties -> lower candidate id).  Cosines are quantised."""
-    plan = _block_plan(prepared, pairs, direction, query_block, cand_block)
-    q, c = _tiles(prepared, plan)
-    keys = ["qy", "qb", "cb"]
-    if method == "block":
-        scored = (
-            q.groupBy(*keys)
-            .cogroup(c.groupBy(*keys))
-            .applyInArrow(_tile_topk_fn(top_k), "q_id long, c_id long, cos double")
-            .withColumn("cos", quantise("cos"))
-        )
-    elif method == "expr":
-        scored = q.join(c, keys).select("q_id", "c_id", cosine("q_vec", "c_vec", "q_norm", "c_norm").alias("cos"))
-    else:
-        raise ValueError("method must be 'block' or 'expr'")
-    w = Window.partitionBy("q_id").orderBy(F.desc("cos"), F.asc("c_id"))
-    return scored.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= top_k).drop("_rk")
+    by cosine (ties -> lower candidate id).  Cosines are quantised.
+
+    Queries and candidates are keyed by the query year; the pair list has
+    one row per edition (bounded by the calendar) and is broadcast.
+    """
+    if direction not in DIRECTIONS:
+        raise ValueError(f"direction must be one of {DIRECTIONS}")
+    qy, cy = ("year_n1", "year_n") if direction == "n1_to_n" else ("year_n", "year_n1")
+    pq = F.broadcast(pairs.select(F.col(qy).alias("year"), F.col(qy).alias("qy")))
+    pc = F.broadcast(pairs.select(F.col(cy).alias("year"), F.col(qy).alias("qy")))
+    q = prepared.join(pq, "year")
+    c = prepared.join(pc, "year")
+    out = cosine_topk(
+        q, c, ["qy"], top_k, "item_id", "item_id", method=method, left_block=query_block, right_block=cand_block
+    )
+    return out.select(F.col("l_id").alias("q_id"), F.col("r_id").alias("c_id"), "cos")
 
 
 def match_year_pair(

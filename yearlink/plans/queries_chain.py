@@ -28,7 +28,8 @@ C2_CTE = f""",
     UNION ALL
     SELECT w.row_id, o.year_n1, o.dn1, o.code_n1, o.description_n1, o.year_n1 = 2023, w.hops + 1
     FROM walk w JOIN outx o ON o.year_n = w.y AND o.dn = w.d WHERE NOT w.done),
-  chained AS (SELECT e.row_id, e.year_n, e.year_n1, e.code_n, e.code_n1,
+  chained AS (SELECT e.row_id, e.year_n, e.year_n1, e.code_n, e.code_n1, e.combined,
+                     e.description_n, e.description_n1,
                      w.ac AS mapped_2023_code, w.ad AS mapped_2023_description, w.hops
               FROM e LEFT JOIN (SELECT * FROM walk WHERE done) w USING (row_id))"""
 
@@ -53,7 +54,11 @@ def _c2(spark, sf):
     return chain_by_description(fx.synthetic_edges(spark, sf))
 
 
-@register("chain_by_description", C2_SQL + "\nSELECT * FROM chained")
+@register(
+    "chain_by_description",
+    C2_SQL
+    + "\nSELECT row_id, year_n, year_n1, code_n, code_n1, mapped_2023_code, mapped_2023_description, hops FROM chained",
+)
 def q_chain_by_description(spark, sf):
     """C2 (+ C4 hop count): description chain to 2023 by pointer doubling."""
     return _c2(spark, sf).select(*C_OUT, "hops")
