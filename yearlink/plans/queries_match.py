@@ -155,7 +155,7 @@ def q_candidates(spark, sf):
     + ","
     + _cand_sql("year_n1", "year_n")
     + """
-SELECT q_id, c_id, cos, rk FROM
+SELECT q_id, c_id, cos, CAST(rk AS INTEGER) AS rk FROM
   (SELECT q_id, c_id, cos, row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, c_id) AS rk FROM cand)
 WHERE rk <= 5""",
 )
@@ -174,7 +174,7 @@ def q_topk_cosine(spark, sf):
     + ","
     + _cand_sql("year_n1", "year_n")
     + """
-SELECT q_id, c_id, cos, rk FROM
+SELECT q_id, c_id, cos, CAST(rk AS INTEGER) AS rk FROM
   (SELECT q_id, c_id, cos, row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, c_id) AS rk FROM cand)
 WHERE rk <= 5""",
 )

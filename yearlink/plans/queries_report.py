@@ -199,7 +199,7 @@ def q_clean_code(spark, sf):
 
 @register(
     "code_length_counts",
-    CLEAN_SQL + "SELECT length(code) AS code_length, count(*) AS n FROM cleaned WHERE year >= 1989 GROUP BY code_length",
+    CLEAN_SQL + "SELECT CAST(length(code) AS INTEGER) AS code_length, count(*) AS n FROM cleaned WHERE year >= 1989 GROUP BY code_length",
 )
 def q_code_length_counts(spark, sf):
     """A5 + F14: code-length histogram after cleaning, years >= 1989."""
@@ -213,7 +213,7 @@ def q_code_length_counts(spark, sf):
     + """SELECT row_id, CASE WHEN length(code) >= 2 THEN substr(code, 1, 2) END AS prefix2,
        CASE WHEN length(CAST(row_id % 100 AS VARCHAR)) = 1 THEN '0' || CAST(row_id % 100 AS VARCHAR)
             ELSE CAST(row_id % 100 AS VARCHAR) END AS pad2,
-       length(code) AS code_length
+       CAST(length(code) AS INTEGER) AS code_length
 FROM cleaned""",
 )
 def q_code_functions(spark, sf):

@@ -44,3 +44,4 @@ from yearlink.plans import queries_match  # noqa: E402,F401
 from yearlink.plans import queries_chain  # noqa: E402,F401
 from yearlink.plans import queries_fallback  # noqa: E402,F401
 from yearlink.plans import queries_report  # noqa: E402,F401
+from yearlink.plans import queries_search  # noqa: E402,F401

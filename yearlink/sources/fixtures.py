@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _with_count(df: DataFrame, other: DataFrame, name: str = "_n") -> DataFrame:
+    """Attach ``count(*)`` of ``other`` as a column: an equi-join on a constant
+    key with the one-row aggregate (broadcast; its size is exactly one row)."""
+    cnt = other.agg(F.count(F.lit(1)).alias(name)).withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(cnt), "_one").drop("_one")
+
+
 def _year_case(col: str) -> str:
     whens = " ".join(f"WHEN {i} THEN {y}" for i, y in enumerate(FIXTURE_YEARS))
     return f"CAST(CASE {col} % 16 {whens} END AS INTEGER)"
@@ -30,7 +37,6 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: ``items(item_id, year, code, description, embedding)``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n = emb.select(F.count(F.lit(1))).scalar()
     desc = F.substring("text", 1, 80)
     # first doc_id per description: an aggregate joined back (a shuffle on the
     # description), not a window that would sort all rows of a text together
@@ -43,7 +49,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("code"),
         desc.alias("description"),
     ).join(first, "description")
-    out = base.join(emb, F.col("first_id") % n == F.col("vec_id")).select(
+    base = _with_count(base, emb)
+    out = base.join(emb, F.col("first_id") % F.col("_n") == F.col("vec_id")).select(
         "item_id", "year", "code", "description", "embedding"
     )
     return out
@@ -159,8 +166,8 @@ def queries_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector ``item_id % n`` of embeddings."""
     b = table(spark, sf_dir, "benchmark")
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n = emb.select(F.count(F.lit(1))).scalar()
-    return b.join(emb, F.col("item_id") % n == F.col("vec_id")).select(
+    b = _with_count(b, emb)
+    return b.join(emb, F.col("item_id") % F.col("_n") == F.col("vec_id")).select(
         F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("text"), "embedding"
     )
 
