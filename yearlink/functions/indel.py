@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,32 +61,118 @@ def indel_ratio(a, b, strip: bool = True, guard: bool = True) -> float | None:
     return 2.0 * lcs_length(a, b) / total
 
 
+# Pairs whose DP grid (len a x len b) is at most this many cells go through
+# the vectorised path; longer ones use the Python-integer recurrence.
+_VEC_CELLS = 1 << 16
+# Cells of the match tensor built per vectorised chunk (bounds memory).
+_CHUNK_CELLS = 1 << 25
+
+
+def _codes(strings: list[str], width: int, pad: int) -> np.ndarray:
+    """Code points of each string, right-padded with ``pad`` to ``width``."""
+    n = len(strings)
+    out = np.full((n, width), pad, dtype=np.uint32)
+    lens = np.fromiter((len(s) for s in strings), dtype=np.int64, count=n)
+    flat = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)
+    rows = np.repeat(np.arange(n), lens)
+    starts = np.repeat(np.cumsum(lens) - lens, lens)
+    out[rows, np.arange(len(flat)) - starts] = flat
+    return out
+
+
+def lcs_lengths_vec(xs: list[str], ys: list[str]) -> np.ndarray:
+    """LCS lengths of many pairs at once: the same bit-parallel recurrence
+    as :func:`lcs_length`, on multi-word uint64 bit vectors (one row per
+    pair) with explicit carry propagation between words."""
+    n = len(xs)
+    if n == 0:
+        return np.zeros(0, dtype=np.int64)
+    la = np.fromiter((len(s) for s in xs), dtype=np.int64, count=n)
+    lb = np.fromiter((len(s) for s in ys), dtype=np.int64, count=n)
+    wa, wb = int(la.max()), int(lb.max())
+    words = max(1, (wa + 63) // 64)
+    a = _codes(xs, words * 64, 0xFFFFFFFF)
+    b = _codes(ys, wb, 0xFFFFFFFE)
+    # match bitmasks m[j, w, p]: bits i of word w where a[p, i] == b[p, j]
+    eq = b[:, :, None] == a[:, None, :]  # [n, Lb, 64*W]
+    packed = np.packbits(eq, axis=2, bitorder="little").view(np.uint64)  # [n, Lb, W]
+    m = np.ascontiguousarray(packed.transpose(1, 2, 0))  # [Lb, W, n]
+    # full mask of the first la bits, word-major [W, n]
+    bitpos = np.arange(words * 64, dtype=np.int64)[None, :] < la[:, None]
+    full = np.ascontiguousarray(np.packbits(bitpos, axis=1, bitorder="little").view(np.uint64).T)
+    v = full.copy()
+    if words == 1:
+        v0, f0 = v[0], full[0]
+        for j in range(wb):
+            u = v0 & m[j, 0]
+            v0 = ((v0 + u) | (v0 ^ u)) & f0
+        v[0] = v0
+    else:
+        for j in range(wb):
+            u = v & m[j]
+            # u is a subset of v's bits, so v - u == v ^ u (no borrow)
+            t = v + u
+            c = (t < v).astype(np.uint64)
+            for w in range(1, words):
+                t2 = t[w] + c[w - 1]
+                c[w] |= (t2 < t[w]).astype(np.uint64)
+                t[w] = t2
+            v = (t | (v ^ u)) & full
+    ones = np.bitwise_count(v).sum(axis=0).astype(np.int64)
+    return la - ones
+
+
 def _ratio_series(a: pd.Series, b: pd.Series, strip: bool, guard: bool) -> pd.Series:
-    out = [0.0] * len(a)
-    cache: dict[str, tuple] = {}
+    n = len(a)
+    out = np.zeros(n, dtype=np.float64)
+    isnull = np.zeros(n, dtype=bool)
+    vec_idx: list[int] = []
+    vec_x: list[str] = []
+    vec_y: list[str] = []
     for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
         if guard and (not x or not y):
-            out[i] = 0.0
             continue
         if x is None or y is None:
-            out[i] = None
+            isnull[i] = True
             continue
         x = x.strip().lower() if strip else x.lower()
         y = y.strip().lower() if strip else y.lower()
         total = len(x) + len(y)
         if total == 0:
             out[i] = 1.0
-            continue
-        if not x or not y:
+        elif not x or not y:
             out[i] = 0.0
-            continue
-        m = cache.get(x)
-        if m is None:
-            if len(cache) > 4096:
-                cache.clear()
-            m = cache[x] = _masks(x)
-        out[i] = 2.0 * lcs_length(x, y, m) / total
-    return pd.Series(out, dtype="float64")
+        elif len(x) * len(y) <= _VEC_CELLS:
+            vec_idx.append(i)
+            vec_x.append(x)
+            vec_y.append(y)
+        else:
+            out[i] = 2.0 * lcs_length(x, y) / total
+    if vec_idx:
+        # chunks of similar size keep the padded match tensor small
+        order = sorted(range(len(vec_idx)), key=lambda k: (len(vec_x[k]), len(vec_y[k])))
+        start = 0
+        while start < len(order):
+            end = start
+            bits = lens = 0
+            while end < len(order):
+                k = order[end]
+                nb = max(bits, (len(vec_x[k]) + 63) // 64 * 64)
+                nl = max(lens, len(vec_y[k]))
+                if end > start and nb * nl * (end - start + 1) > _CHUNK_CELLS:
+                    break
+                bits, lens = nb, nl
+                end += 1
+            ks = order[start:end]
+            lcs = lcs_lengths_vec([vec_x[k] for k in ks], [vec_y[k] for k in ks])
+            for k, l in zip(ks, lcs.tolist()):
+                i = vec_idx[k]
+                out[i] = 2.0 * l / (len(vec_x[k]) + len(vec_y[k]))
+            start = end
+    res = pd.Series(out, dtype="float64")
+    if isnull.any():
+        res[isnull] = np.nan
+    return res
 
 
 @lru_cache(maxsize=None)

@@ -26,6 +26,7 @@ from yearlink.functions.indel import indel
 from yearlink.functions.text import indel_upper_bound, jaccard, norm_desc, tokens, uniq_key
 from yearlink.functions.vectors import l2_norm
 from yearlink.operators.similarity import cosine_topk
+from yearlink.session import checkpoint_table
 
 DIRECTIONS = ("n1_to_n", "n_to_n1")
 
@@ -104,6 +105,7 @@ def match_year_pair(
     query_block: int = 1024,
     cand_block: int = 8192,
     pairs: DataFrame | None = None,
+    materialize: bool = True,
 ) -> DataFrame:
     """Best counterpart of every query item in the adjacent year.
 
@@ -120,32 +122,52 @@ def match_year_pair(
     ``with_indel=False`` sets the Indel column to NULL (used with gamma=0).
     """
     prepared = prepare_items(items, key)
+    if materialize:
+        # read 4+ times below (sizes, both tile sides, attribute joins):
+        # write it once to the shared checkpoint folder, cut the lineage
+        prepared = checkpoint_table(prepared)
     if pairs is None:
         pairs = adjacent_pairs(prepared)
     cand = candidate_cosines(prepared, pairs, direction, top_k, method, query_block, cand_block)
 
-    attrs = ["item_id", "year", "code", "description", "tokens", "nlen"]
-    qa = prepared.select(*[F.col(a).alias(f"q_{a}") for a in attrs])
-    ca = prepared.select(*[F.col(a).alias(f"c_{a}") for a in attrs])
+    # 1) light attributes for every top-k pair: tokens and text length.
+    #    Candidate side first, query side last, so the windows below (by
+    #    q_id) reuse the query-side join's partitioning.
+    light_c = prepared.select(F.col("item_id").alias("c_id"), F.col("tokens").alias("c_tokens"), F.col("nlen").alias("c_nlen"))
+    light_q = prepared.select(F.col("item_id").alias("q_id"), F.col("tokens").alias("q_tokens"), F.col("nlen").alias("q_nlen"))
     scored = (
-        cand.join(qa, cand["q_id"] == qa["q_item_id"])
-        .join(ca, cand["c_id"] == ca["c_item_id"])
+        cand.join(light_c, "c_id")
+        .join(light_q, "q_id")
         .withColumn("jac", jaccard("q_tokens", "c_tokens"))
         .withColumn("base", F.lit(float(alpha)) * F.col("cos") + F.lit(float(beta)) * F.col("jac"))
     )
     byq = Window.partitionBy("q_id")
     if with_indel and gamma > 0 and prune:
+        # 2) exact prune: keep pairs whose best possible score reaches the
+        #    query's best alpha*cos + beta*jac
         ub = F.col("base") + F.lit(float(gamma)) * indel_upper_bound("q_nlen", "c_nlen")
         scored = scored.withColumn("_best_base", F.max("base").over(byq)).filter(ub >= F.col("_best_base") - 1e-12)
+    scored = scored.select("q_id", "c_id", "cos", "jac", "base")
     if with_indel:
-        lev = indel("q_description", "c_description", strip=strip, guard=guard)
+        # 3) texts only for the survivors, then the Indel ratio
+        text_c = prepared.select(F.col("item_id").alias("c_id"), F.col("description").alias("c_text"))
+        text_q = prepared.select(F.col("item_id").alias("q_id"), F.col("description").alias("q_text"))
+        scored = scored.join(text_c, "c_id").join(text_q, "q_id")
+        lev = indel("q_text", "c_text", strip=strip, guard=guard)
     else:
         lev = F.lit(None).cast("double")
     scored = scored.withColumn("lev", lev).withColumn(
         "comb", F.col("base") + F.lit(float(gamma)) * F.coalesce(F.col("lev"), F.lit(0.0))
     )
     w = Window.partitionBy("q_id").orderBy(F.desc("comb"), F.desc("cos"), F.asc("c_id"))
-    best = scored.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
+    best = scored.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).select(
+        "q_id", "c_id", "cos", "jac", "lev", "comb"
+    )
+    # 4) full attributes for the winners only (one row per query item)
+    attrs = ["item_id", "year", "code", "description"]
+    qa = prepared.select(F.col("item_id").alias("q_id"), *[F.col(a).alias(f"q_{a}") for a in attrs])
+    ca = prepared.select(F.col("item_id").alias("c_id"), *[F.col(a).alias(f"c_{a}") for a in attrs])
+    best = best.join(qa, "q_id").join(ca, "c_id")
 
     side_n, side_n1 = ("c", "q") if direction == "n1_to_n" else ("q", "c")
     return best.select(

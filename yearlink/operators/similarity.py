@@ -125,6 +125,13 @@ def cosine_topk(
         "_rid", "_vec", "_norm",
     )
     tile = [*key, "_tl", "_tr"]
+    # Tiles are CPU-heavy but small in bytes: AQE would coalesce their
+    # shuffle into a few tasks.  An explicit partition count (the cluster's
+    # shuffle parallelism) keeps one tile per task slot; the cogroup below
+    # reuses this hash partitioning, so no extra exchange is planned.
+    n_parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lt = lt.repartition(n_parts, *tile)
+    rt = rt.repartition(n_parts, *tile)
     if method == "block":
         fields = {f.name: f.dataType for f in lt.schema.fields}
         key_ddl = ", ".join(f"{c} {fields[c].simpleString()}" for c in key)
