@@ -372,3 +372,102 @@ FROM tj WHERE y_true IS NOT NULL AND y_pred IS NOT NULL""",
 def q_truth_accuracy(spark, sf):
     """A16 on the J7 join (2-digit agreement of predicted and true codes)."""
     return round_doubles(rp.accuracy(_truth_join(spark, sf)))
+
+
+@register(
+    "sort_year",
+    M + "SELECT year_n, count(*) AS n, round(avg(best_match_similarity), 6) AS mean_similarity FROM mapping "
+    "GROUP BY year_n ORDER BY year_n",
+)
+def q_sort_year(spark, sf):
+    """Per-year rows in ascending year order (a range-partitioned sort)."""
+    m = _m(spark, sf).groupBy("year_n").agg(F.count(F.lit(1)).alias("n"), F.avg("best_match_similarity").alias("mean_similarity"))
+    return round_doubles(m.orderBy("year_n"))
+
+
+@register(
+    "concat_periods",
+    M
+    + """SELECT period, count(*) AS n, count(hs2_sim) AS n_hs2, count(hs4_sim) AS n_hs4, count(hs6_sim) AS n_hs6 FROM (
+  SELECT 'early' AS period, best_match_similarity AS hs2_sim, combined AS hs4_sim, embedding_similarity AS hs6_sim
+  FROM mapping WHERE year_n < 1930
+  UNION ALL BY NAME
+  SELECT 'middle' AS period, combined AS hs4_sim, embedding_similarity AS hs6_sim FROM mapping WHERE year_n BETWEEN 1930 AND 1962
+  UNION ALL BY NAME
+  SELECT 'late' AS period, embedding_similarity AS hs6_sim FROM mapping WHERE year_n BETWEEN 1963 AND 1988)
+GROUP BY period""",
+)
+def q_concat_periods(spark, sf):
+    """Stack per-period results whose columns differ (missing -> NULL)."""
+    m = _m(spark, sf)
+    early = m.filter(F.col("year_n") < 1930).select(
+        F.lit("early").alias("period"), F.col("best_match_similarity").alias("hs2_sim"),
+        F.col("combined").alias("hs4_sim"), F.col("embedding_similarity").alias("hs6_sim"),
+    )
+    middle = m.filter(F.col("year_n").between(1930, 1962)).select(
+        F.lit("middle").alias("period"), F.col("combined").alias("hs4_sim"), F.col("embedding_similarity").alias("hs6_sim")
+    )
+    late = m.filter(F.col("year_n").between(1963, 1988)).select(
+        F.lit("late").alias("period"), F.col("embedding_similarity").alias("hs6_sim")
+    )
+    u = early.unionByName(middle, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
+    return u.groupBy("period").agg(
+        F.count(F.lit(1)).alias("n"), F.count("hs2_sim").alias("n_hs2"), F.count("hs4_sim").alias("n_hs4"),
+        F.count("hs6_sim").alias("n_hs6"),
+    )
+
+
+_WSQ = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@register(
+    "norm_desc",
+    with_views("items")
+    + f"SELECT year, count(DISTINCT description) AS n_raw, count(DISTINCT lower(trim(description, {_WSQ}))) AS n_norm "
+    "FROM items GROUP BY year",
+)
+def q_norm_desc(spark, sf):
+    """distinct descriptions per year before and after strip().lower()."""
+    it = fx.items(spark, sf)
+    return it.groupBy("year").agg(
+        F.count_distinct("description").alias("n_raw"), F.count_distinct(tx.norm_desc("description")).alias("n_norm")
+    )
+
+
+@register(
+    "l2_normalize",
+    """SELECT vec_id AS id,
+       round(list_sum(list_transform(
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS FLOAT)),
+         lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))), 4) AS sq_norm
+FROM embeddings""",
+)
+def q_l2_normalize(spark, sf):
+    """unit-normalised vectors (squared norm of the float result)."""
+    from yearlink.functions.vectors import l2_normalize
+
+    v = fx.vec(spark, sf).select("id", l2_normalize("embedding").alias("u"))
+    return v.select("id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("sq_norm"))
+
+
+@register(
+    "masked_mean_pool",
+    """WITH t AS (SELECT label, vec_id, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS m,
+                  unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+     p AS (SELECT label, pos, sum(x * m) / greatest(sum(m), 1e-9) AS v FROM t GROUP BY label, pos)
+SELECT label, count(*) AS dim, round(sum(v), 6) AS sum_v, round(max(v), 6) AS max_v FROM p GROUP BY label""",
+)
+def q_masked_mean_pool(spark, sf):
+    """masked mean pooling of token vectors (vectors of one label = the
+    tokens of one item; mask = vec_id % 3 != 0), without normalisation."""
+    from yearlink.functions.vectors import masked_mean_pool
+
+    tok = fx.table(spark, sf, "embeddings").select(
+        "label", "embedding", F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(1.0).alias("mask")
+    )
+    pooled = masked_mean_pool(tok, "label", "embedding", "mask", normalize=False)
+    e = pooled.select("label", F.explode("embedding").alias("v"))
+    return round_doubles(
+        e.groupBy("label").agg(F.count(F.lit(1)).alias("dim"), F.sum(F.col("v").cast("double")).alias("sum_v"),
+                               F.max(F.col("v").cast("double")).alias("max_v"))
+    )

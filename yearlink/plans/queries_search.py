@@ -212,3 +212,103 @@ def q_check_alignment(spark, sf):
         F.col("vec_id").alias("item_id"), F.lit(None).cast("int").alias("year")
     )
     return io.check_alignment(fx.items(spark, sf), vecs)
+
+
+@register(
+    "scan_pair_files",
+    with_views("synthetic_edges")
+    + """SELECT year_n1 AS from_year, year_n AS to_year, count(*) AS n_rows,
+       count(code_n) AS n_codes FROM synthetic_edges GROUP BY year_n1, year_n""",
+)
+def q_scan_pair_files(spark, sf):
+    """Reverse-style pair files ``mapped_{N1}_{N}`` written as CSV, then
+    read back in one scan with the years parsed from the file paths."""
+    e = fx.synthetic_edges(spark, sf).select(
+        F.concat(F.lit("mapped_"), F.col("year_n1").cast("string"), F.lit("_"), F.col("year_n").cast("string")).alias("pair"),
+        F.col("code_n").alias("HS_N"), F.col("description_n").alias("Description_N"),
+    )
+    path = io.scratch_path(spark, "pair_files")
+    e.write.mode("overwrite").partitionBy("pair").option("header", True).option("escape", '"').csv(path)
+    back = io.scan_pair_files(spark, path, pattern="pair=mapped_*/*.csv")
+    return back.groupBy("from_year", "to_year").agg(F.count(F.lit(1)).alias("n_rows"), F.count("HS_N").alias("n_codes"))
+
+
+@register(
+    "scan_hierarchy",
+    with_views("hierarchy") + "SELECT level, count(*) AS n, count(DISTINCT hscode) AS n_codes FROM hierarchy WHERE level IN (4, 6) GROUP BY level",
+)
+def q_scan_hierarchy(spark, sf):
+    """S3: hierarchy CSV read as strings and split by level."""
+    h = fx.hierarchy(spark, sf).select(F.col("level").cast("string").alias("level"), "hscode", "description")
+    path = io.scratch_path(spark, "hierarchy")
+    io.sink_snapshot(h, path, "csv")
+    parts = [io.scan_hierarchy(spark, path, lv) for lv in (4, 6)]
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hscode").alias("n_codes"))
+
+
+@register(
+    "scan_year_vectors",
+    with_views("items")
+    + "SELECT year, count(*) AS n_vectors, CAST(max(len(embedding)) AS INTEGER) AS dim FROM items "
+    "WHERE year IN (1789, 1963, 2023) GROUP BY year",
+)
+def q_scan_year_vectors(spark, sf):
+    """Vectors stored partitioned by year, read back for three years only
+    (partition pruning), keyed by item id."""
+    v = fx.items(spark, sf).select("item_id", "year", "embedding")
+    path = io.scratch_path(spark, "vectors")
+    v.write.mode("overwrite").partitionBy("year").parquet(path)
+    back = io.scan_year_vectors(spark, path, [1789, 1963, 2023])
+    return back.groupBy("year").agg(F.count(F.lit(1)).alias("n_vectors"), F.max(F.size("embedding")).alias("dim"))
+
+
+@register(
+    "scan_ground_truth",
+    with_views("items")
+    + """SELECT CASE WHEN length(code) >= 2 THEN substr(code, 1, 2) END AS hs, count(*) AS n
+FROM items WHERE year = 1789 GROUP BY hs""",
+)
+def q_scan_ground_truth(spark, sf):
+    """A labelled schedule exported as CSV (brief_description, hs) read
+    back with a declared all-string schema."""
+    from yearlink.functions.text import prefix2
+
+    t = fx.items(spark, sf).filter(F.col("year") == 1789).select(
+        F.col("description").alias("brief_description"), prefix2("code").alias("hs")
+    )
+    path = io.scratch_path(spark, "truth")
+    io.sink_snapshot(t, path, "csv")
+    back = io.scan_items_str(spark, path, ["brief_description", "hs"])
+    return back.groupBy("hs").agg(F.count(F.lit(1)).alias("n"))
+
+
+_EMPTY_CORPUS_SQL = "CASE WHEN item_id % 7 = 0 THEN '' ELSE description END"
+
+
+def _corpus_with_empty(spark, sf):
+    it = fx.items(spark, sf)
+    return it.withColumn("description", F.when(F.col("item_id") % 7 == 0, F.lit("")).otherwise(F.col("description")))
+
+
+@register(
+    "search_empty_cosine",
+    _search_sql(5, True).replace(
+        "c AS (SELECT item_id, year, code, description,", f"c AS (SELECT item_id, year, code, {_EMPTY_CORPUS_SQL} AS description,"
+    ),
+)
+def q_search_empty_cosine(spark, sf):
+    """Q1: candidates with an empty description keep their raw cosine."""
+    return search(fx.queries_v(spark, sf), _corpus_with_empty(spark, sf), top_k=5)
+
+
+@register(
+    "search_skip_empty",
+    _search_sql(5, True).replace(
+        "c AS (SELECT item_id, year, code, description,",
+        f"c AS (SELECT * FROM (SELECT item_id, year, code, {_EMPTY_CORPUS_SQL} AS description,",
+    ).replace(" AS norm FROM items),", " AS norm FROM items) WHERE description <> ''),", 1),
+)
+def q_search_skip_empty(spark, sf):
+    """Empty descriptions skipped (notebook variant)."""
+    return search(fx.queries_v(spark, sf), _corpus_with_empty(spark, sf), top_k=5, empty="skip")

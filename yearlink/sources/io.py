@@ -93,14 +93,18 @@ def check_alignment(items: DataFrame, vectors: DataFrame) -> DataFrame:
     ).withColumn("aligned", (F.col("items_without_vector") == 0) & (F.col("vectors_without_item") == 0))
 
 
-def scan_pair_files(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """S6 + U0: read every ``mapped_{a}_{b}.csv`` in a folder at once and tag
-    it with the two years taken from the file name; missing pairs simply do
-    not appear.  Output: ``from_year, to_year`` + the file's columns."""
+def scan_pair_files(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, pattern: str = "mapped_*_*.csv"
+) -> DataFrame:
+    """S6 + U0: read every ``mapped_{a}_{b}.csv`` under a folder at once and
+    tag each row with the two years taken from its file path (file name or a
+    ``pair=mapped_{a}_{b}`` folder); missing pairs simply do not appear.
+    Output: ``from_year, to_year`` + the file's columns (all strings unless a
+    schema is given: no inference)."""
     r = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
-    df = r.csv(path.rstrip("/") + "/mapped_*_*.csv")
-    name = F.col("_metadata.file_name")
+    df = r.csv(path.rstrip("/") + "/" + pattern)
+    name = F.col("_metadata.file_path")
     return df.select(
         F.regexp_extract(name, r"mapped_(\d+)_(\d+)", 1).cast("int").alias("from_year"),
         F.regexp_extract(name, r"mapped_(\d+)_(\d+)", 2).cast("int").alias("to_year"),
@@ -128,7 +132,7 @@ def sink_pairs(edges: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def sink_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Save a result table."""
-    df.write.mode("overwrite").format(fmt).option("header", True).save(path)
+    df.write.mode("overwrite").format(fmt).option("header", True).option("escape", '"').save(path)
 
 
 def done_pairs(spark: SparkSession, path: str) -> DataFrame:
