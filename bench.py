@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from yearlink.functions.indel import indel  # noqa: E402
-from yearlink.plans.registry import QUERIES  # noqa: E402
+from yearlink.plans.catalog import QUERIES  # noqa: E402
 from yearlink.session import get_spark  # noqa: E402
 
 HEADLINE = [

@@ -278,13 +278,25 @@ def _strip_lower(x: str) -> str:
     return f"lower(trim({x}, {_WS_CHARS}))"
 
 
-def _match_full_sql(direction: str, top_k: int = 500) -> str:
+UNIQ_KEY_SQL = (
+    "CASE WHEN code IS NOT NULL AND trim(code, {ws}) <> '' THEN trim(code, {ws}) "
+    "ELSE CAST(year AS VARCHAR) || '_' || CAST(item_id AS VARCHAR) || '_' || "
+    "replace(trim(substr(regexp_replace(lower(description), '[^\\p{{L}}\\p{{N}} ]', '', 'g'), 1, 40), {ws}), ' ', '_') END"
+)
+
+
+def _match_full_sql(direction: str, top_k: int = 500, key: str = "code") -> str:
     qy, cy = ("year_n1", "year_n") if direction == "n1_to_n" else ("year_n", "year_n1")
     n, n1 = ("c", "q") if direction == "n1_to_n" else ("q", "c")
+    prep = PREP_SQL
+    if key == "uniq_key":
+        prep = prep.replace(
+            "p AS (SELECT item_id, year, code,", "p AS (SELECT item_id, year, " + UNIQ_KEY_SQL.format(ws=_WS_CHARS) + " AS code,"
+        )
     return (
         with_views("items", recursive=True)
         + ","
-        + PREP_SQL
+        + prep
         + ","
         + _cand_sql(qy, cy)
         + f""",
@@ -326,3 +338,5 @@ from yearlink.plans.registry import ORACLE as _ORACLE  # noqa: E402
 
 _ORACLE["match_year_pair"] = _match_full_sql("n1_to_n")
 _ORACLE["match_forward"] = _match_full_sql("n_to_n1")
+# guard=False only differs from the guarded form on empty descriptions (none here)
+_ORACLE["match_uniq_key"] = _match_full_sql("n_to_n1", key="uniq_key")

@@ -37,11 +37,3 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
-
-
-# import the query modules so that they register themselves
-from yearlink.plans import queries_match  # noqa: E402,F401
-from yearlink.plans import queries_chain  # noqa: E402,F401
-from yearlink.plans import queries_fallback  # noqa: E402,F401
-from yearlink.plans import queries_report  # noqa: E402,F401
-from yearlink.plans import queries_search  # noqa: E402,F401

@@ -40,6 +40,8 @@ def _csv(spark: SparkSession, schema: T.StructType):
         .option("emptyValue", None)
         .option("escape", '"')
         .option("multiLine", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
     )
 
 
@@ -132,7 +134,11 @@ def sink_pairs(edges: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def sink_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Save a result table."""
-    df.write.mode("overwrite").format(fmt).option("header", True).option("escape", '"').save(path)
+    w = df.write.mode("overwrite").format(fmt).option("header", True)
+    if fmt == "csv":
+        # keep outer blanks of descriptions: the Indel score strips them itself
+        w = w.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    w.save(path)
 
 
 def done_pairs(spark: SparkSession, path: str) -> DataFrame:
