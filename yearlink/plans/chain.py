@@ -139,7 +139,8 @@ def chain_by_code(edges: DataFrame, anchor_year: int = 2023) -> DataFrame:
         new = _cut(reach.join(jump, reach["r"] == jump["src"]).select("seed", F.col("dst").alias("r")))
         if new.isEmpty():
             break
-        reach = _cut(reach.unionByName(new))
+        # both parts are already materialised: the union's lineage is shallow
+        reach = reach.unionByName(new)
         jump = _cut(
             jump.alias("a")
             .join(jump.alias("b"), F.col("a.dst") == F.col("b.src"))

@@ -138,8 +138,10 @@ def q_candidates(spark, sf):
     """Candidate pairs per year pair.  Counted from per-year sizes (no
     pair is materialised to count them)."""
     p = prepare_items(fx.items(spark, sf))
+    # one aggregate feeds both the pair list and the sizes (one scan, the
+    # identical exchanges below are reused)
     sizes = p.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
-    pairs = adjacent_pairs(p)
+    pairs = adjacent_pairs(sizes)
     return (
         pairs.join(sizes.select(F.col("year").alias("year_n"), F.col("n").alias("a")), "year_n")
         .join(sizes.select(F.col("year").alias("year_n1"), F.col("n").alias("b")), "year_n1")
