@@ -82,3 +82,12 @@ def test_tiling_is_exact_with_many_blocks(spark):
     one = _rows(match_year_pair(it, top_k=3))
     many = _rows(match_year_pair(it, top_k=3, query_block=2, cand_block=3))
     assert one == many
+
+
+def test_in_tile_prune_exact_with_small_top_k(spark):
+    it = fx.items(spark, SF0001).cache()
+    for k in (1, 3, 7):
+        pruned = _rows(match_year_pair(it, top_k=k))
+        plain = _rows(match_year_pair(it, top_k=k, prune=False))
+        expr = _rows(match_year_pair(it, top_k=k, method="expr"))
+        assert pruned == plain == expr

@@ -58,7 +58,7 @@ def prepare_items(items: DataFrame, key: str = "code") -> DataFrame:
         tokens("description").alias("tokens"),
         l2_norm("embedding").alias("norm"),
         F.length(norm_desc("description")).alias("nlen"),
-    )
+    ).withColumn("ntok", F.size("tokens"))
 
 
 def candidate_cosines(
@@ -69,9 +69,12 @@ def candidate_cosines(
     method: str = "block",
     query_block: int = 1024,
     cand_block: int = 8192,
+    prune: dict | None = None,
 ) -> DataFrame:
     """J2 + T2: ``(q_id, c_id, cos)`` for the top-k candidates of each query
-    by cosine (ties -> lower candidate id).  Cosines are quantised.
+    by cosine (ties -> lower candidate id).  Cosines are quantised.  With a
+    ``prune`` spec, top-k rows that cannot win the blended score are dropped
+    early (exactly; see :func:`cosine_topk`).
 
     Queries and candidates are keyed by the query year; the pair list has
     one row per edition (bounded by the calendar) and is broadcast.
@@ -84,7 +87,8 @@ def candidate_cosines(
     q = prepared.join(pq, "year")
     c = prepared.join(pc, "year")
     out = cosine_topk(
-        q, c, ["qy"], top_k, "item_id", "item_id", method=method, left_block=query_block, right_block=cand_block
+        q, c, ["qy"], top_k, "item_id", "item_id", method=method, left_block=query_block, right_block=cand_block,
+        prune=prune,
     )
     return out.select(F.col("l_id").alias("q_id"), F.col("r_id").alias("c_id"), "cos")
 
@@ -128,7 +132,13 @@ def match_year_pair(
         prepared = checkpoint_table(prepared)
     if pairs is None:
         pairs = adjacent_pairs(prepared)
-    cand = candidate_cosines(prepared, pairs, direction, top_k, method, query_block, cand_block)
+    spec = None
+    if prune:
+        spec = {
+            "alpha": float(alpha), "beta": float(beta), "gamma": float(gamma) if with_indel else 0.0,
+            "tokens": "tokens", "ntok": "ntok", "nlen": "nlen",
+        }
+    cand = candidate_cosines(prepared, pairs, direction, top_k, method, query_block, cand_block, spec)
 
     # 1) light attributes for every top-k pair: tokens and text length.
     #    Candidate side first, query side last, so the windows below (by

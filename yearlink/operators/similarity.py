@@ -19,6 +19,7 @@ plans as a partial ``WindowGroupLimit`` before the shuffle.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,14 +45,90 @@ def _dense(col, n: int) -> np.ndarray:
     return out
 
 
-def _tile_fn(k: int, key_names: list[str], key_types: list):
+def _token_sets(col) -> list[frozenset]:
+    return [frozenset(t) if t else frozenset() for t in col.to_pylist()]
+
+
+# Budget for the dense token-incidence product of one tile (multiply-adds);
+# above it the prune falls back to token-count bounds.
+_JACCARD_BUDGET = 4e9
+
+
+def _jaccard_matrix(qtok, ctok, tq, tc):
+    """Exact Jaccard of every (query, candidate) pair of a tile, or None when
+    the tile's vocabulary makes the dense product too large.  Intersections
+    are integer counts from a float32 incidence product (exact below 2^24)."""
+    qa = qtok.combine_chunks() if isinstance(qtok, pa.ChunkedArray) else qtok
+    ca = ctok.combine_chunks() if isinstance(ctok, pa.ChunkedArray) else ctok
+    qflat = qa.flatten().to_numpy(zero_copy_only=False)
+    cflat = ca.flatten().to_numpy(zero_copy_only=False)
+    codes, uniq = pd.factorize(np.concatenate([qflat, cflat]))
+    v = len(uniq)
+    nq, nc = len(qa), len(ca)
+    if v == 0 or nq * nc * v > _JACCARD_BUDGET or (nq + nc) * v * 4 > (1 << 29):
+        return None
+    qlen = qa.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    clen = ca.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    qm = np.zeros((nq, v), dtype=np.float32)
+    cm = np.zeros((nc, v), dtype=np.float32)
+    qm[np.repeat(np.arange(nq), qlen), codes[: len(qflat)]] = 1.0
+    cm[np.repeat(np.arange(nc), clen), codes[len(qflat):]] = 1.0
+    inter = (qm @ cm.T).astype(np.float64)
+    union = np.add.outer(tq, tc) - inter
+    ok = (np.outer(tq, tc) > 0) & (union > 0)
+    return np.divide(inter, union, out=np.zeros_like(inter), where=ok)
+
+
+def _prune_mask(cos, core, left, right, spec, n_exact: int = 8):
+    """Exact prune inside a tile that holds a group's whole candidate set.
+
+    Lower bound per query: the best ``alpha*cos + beta*jac`` over its few
+    best core candidates (exact Jaccard on Python sets).  Upper bound per
+    pair: ``alpha*cos + beta*min(tq,tc)/max(tq,tc) + gamma*2*min(lq,lc)/(lq+lc)``.
+    A core pair whose upper bound is below its query's lower bound cannot be
+    the final winner.  Returns the boolean mask of pruned core pairs."""
+    a, b, g = spec["alpha"], spec["beta"], spec["gamma"]
+    tq = np.asarray(left.column("_ntok").to_numpy(zero_copy_only=False), dtype=np.float64)
+    tc = np.asarray(right.column("_ntok").to_numpy(zero_copy_only=False), dtype=np.float64)
+    lq = np.asarray(left.column("_nlen").to_numpy(zero_copy_only=False), dtype=np.float64)
+    lc = np.asarray(right.column("_nlen").to_numpy(zero_copy_only=False), dtype=np.float64)
+    tmin, tmax = np.minimum.outer(tq, tc), np.maximum.outer(tq, tc)
+    j_ub = np.divide(tmin, tmax, out=np.zeros_like(tmin), where=tmax > 0)
+    lsum = np.add.outer(lq, lc)
+    l_ub = np.divide(2.0 * np.minimum.outer(lq, lc), lsum, out=np.ones_like(lsum), where=lsum > 0)
+    jac = _jaccard_matrix(left.column("_tok"), right.column("_tok"), tq, tc)
+    if jac is not None:
+        # exact Jaccard for every pair: as strong as the final prune
+        ub = a * cos + b * jac + g * l_ub + 1e-8
+        lb = np.where(core, a * cos + b * jac, -np.inf).max(axis=1) - 1e-8
+        return core & (ub < lb[:, None])
+    ub = a * cos + b * j_ub + g * l_ub + 1e-8
+    qs, cs = _token_sets(left.column("_tok")), _token_sets(right.column("_tok"))
+    masked = np.where(core, cos, -np.inf)
+    m = min(n_exact, cos.shape[1])
+    top = np.argpartition(-masked, m - 1, axis=1)[:, :m]
+    lb = np.full(cos.shape[0], np.inf)
+    for i in range(cos.shape[0]):
+        best = -np.inf
+        for j in top[i]:
+            if not core[i, j]:
+                continue
+            x, y = qs[i], cs[j]
+            jac = len(x & y) / len(x | y) if x and y else 0.0
+            best = max(best, a * cos[i, j] + b * jac)
+        lb[i] = best - 1e-8
+    return core & (ub < lb[:, None])
+
+
+def _tile_fn(k: int, key_names: list[str], key_types: list, prune: dict | None = None):
     margin = 10.0 ** (-SCORE_DIGITS + 1)
 
     def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
         nq, nc = left.num_rows, right.num_rows
         if nq == 0 or nc == 0:
             cols = {n: pa.array([], t) for n, t in zip(key_names, key_types)}
-            cols.update(l_id=pa.array([], pa.int64()), r_id=pa.array([], pa.int64()), cos=pa.array([], pa.float64()))
+            cols.update(l_id=pa.array([], pa.int64()), r_id=pa.array([], pa.int64()), cos=pa.array([], pa.float64()),
+                        n_pruned=pa.array([], pa.int32()))
             return pa.table(cols)
         qv = _dense(left.column("_vec"), nq)
         cv = _dense(right.column("_vec"), nc)
@@ -67,16 +144,27 @@ def _tile_fn(k: int, key_names: list[str], key_types: list):
         if nc > k:
             # k-th best per row, minus a margin: values that tie after
             # quantisation are all kept; the exact cut is made in Spark.
-            kth = np.partition(cos, nc - k, axis=1)[:, nc - k]
-            qi, ci = np.nonzero(cos >= (kth - margin)[:, None])
+            kth = np.partition(cos, nc - k, axis=1)[:, nc - k][:, None]
+            keep = cos >= kth - margin
+            core = cos > kth + margin  # surely inside the top k
         else:
-            qi, ci = np.indices(cos.shape).reshape(2, -1)
+            keep = np.ones(cos.shape, dtype=bool)
+            core = keep
+        n_pruned = np.zeros(nq, dtype=np.int32)
+        whole_group = int(left.column("_br")[0].as_py()) == 1
+        if prune is not None and whole_group:
+            # this tile holds every candidate of the group: prune exactly and
+            # report how many top-k rows were dropped per query
+            pruned = _prune_mask(cos, core, left, right, prune)
+            keep &= ~pruned
+            n_pruned = pruned.sum(axis=1).astype(np.int32)
+        qi, ci = np.nonzero(keep)
         l_ids = left.column("_lid").to_numpy(zero_copy_only=False)
         r_ids = right.column("_rid").to_numpy(zero_copy_only=False)
         cols = {n: pa.array([v.as_py() if hasattr(v, "as_py") else v] * len(qi), t)
                 for n, v, t in zip(key_names, key, key_types)}
         cols.update(l_id=pa.array(l_ids[qi], pa.int64()), r_id=pa.array(r_ids[ci], pa.int64()),
-                    cos=pa.array(cos[qi, ci], pa.float64()))
+                    cos=pa.array(cos[qi, ci], pa.float64()), n_pruned=pa.array(n_pruned[qi], pa.int32()))
         return pa.table(cols)
 
     return fn
@@ -94,14 +182,26 @@ def cosine_topk(
     method: str = "block",
     left_block: int = 1024,
     right_block: int = 8192,
+    prune: dict | None = None,
 ) -> DataFrame:
     """Top-k right rows per (key, left row) by cosine; ties -> lower right id.
 
     Returns ``key..., l_id, r_id, cos`` (cos quantised).  ``norm`` columns
     must hold the vectors' L2 norms (precomputed once per row).
+
+    ``prune`` (block path; ``{alpha, beta, gamma, tokens, ntok, nlen}``
+    column names for both sides) drops, inside tiles that hold a group's
+    whole candidate set, top-k rows that provably cannot win the matcher's
+    blended score; the rows a query lost are counted so that the global
+    top-k cut below stays exact.
     """
-    l = left.select(*key, F.col(left_id).cast("long").alias("_lid"), F.col(vec).alias("_vec"), F.col(norm).alias("_norm"))
-    r = right.select(*key, F.col(right_id).cast("long").alias("_rid"), F.col(vec).alias("_vec"), F.col(norm).alias("_norm"))
+    extra = []
+    if prune is not None and method == "block":
+        extra = [F.col(prune["tokens"]).alias("_tok"), F.col(prune["ntok"]).alias("_ntok"), F.col(prune["nlen"]).alias("_nlen")]
+    else:
+        prune = None
+    l = left.select(*key, F.col(left_id).cast("long").alias("_lid"), F.col(vec).alias("_vec"), F.col(norm).alias("_norm"), *extra)
+    r = right.select(*key, F.col(right_id).cast("long").alias("_rid"), F.col(vec).alias("_vec"), F.col(norm).alias("_norm"), *extra)
     nl = l.groupBy(*key).agg(F.count(F.lit(1)).alias("_nl"))
     nr = r.groupBy(*key).agg(F.count(F.lit(1)).alias("_nr"))
     # one row per key value (editions / levels / one constant): broadcast
@@ -112,17 +212,18 @@ def cosine_topk(
             F.greatest(F.lit(1), F.ceil(F.col("_nr") / right_block)).cast("int").alias("_br"),
         )
     )
+    xc = [c for c in ("_tok", "_ntok", "_nlen") if extra]
     lt = l.join(plan, key).select(
         *key,
         F.pmod(F.xxhash64("_lid"), F.col("_bl")).cast("int").alias("_tl"),
         F.explode(F.sequence(F.lit(0), F.col("_br") - 1)).alias("_tr"),
-        "_lid", "_vec", "_norm",
+        "_lid", "_vec", "_norm", "_br", *xc,
     )
     rt = r.join(plan, key).select(
         *key,
         F.explode(F.sequence(F.lit(0), F.col("_bl") - 1)).alias("_tl"),
         F.pmod(F.xxhash64("_rid"), F.col("_br")).cast("int").alias("_tr"),
-        "_rid", "_vec", "_norm",
+        "_rid", "_vec", "_norm", *xc,
     )
     tile = [*key, "_tl", "_tr"]
     # Tiles are CPU-heavy but small in bytes: AQE would coalesce their
@@ -138,18 +239,27 @@ def cosine_topk(
         from pyspark.sql.pandas.types import to_arrow_type
 
         key_types = [to_arrow_type(fields[c]) for c in key]
-        schema = (key_ddl + ", " if key_ddl else "") + "l_id long, r_id long, cos double"
+        schema = (key_ddl + ", " if key_ddl else "") + "l_id long, r_id long, cos double, n_pruned int"
         scored = (
             lt.groupBy(*tile)
             .cogroup(rt.groupBy(*tile))
-            .applyInArrow(_tile_fn(k, list(key), key_types), schema)
+            .applyInArrow(_tile_fn(k, list(key), key_types, prune), schema)
             .withColumn("cos", quantise("cos"))
         )
     elif method == "expr":
         a = lt.select(*tile, F.col("_lid").alias("l_id"), F.col("_vec").alias("lv"), F.col("_norm").alias("ln"))
         b = rt.select(*tile, F.col("_rid").alias("r_id"), F.col("_vec").alias("rv"), F.col("_norm").alias("rn"))
-        scored = a.join(b, tile).select(*key, "l_id", "r_id", cosine("lv", "rv", "ln", "rn").alias("cos"))
+        scored = a.join(b, tile).select(
+            *key, "l_id", "r_id", cosine("lv", "rv", "ln", "rn").alias("cos"), F.lit(0).alias("n_pruned")
+        )
     else:
         raise ValueError("method must be 'block' or 'expr'")
     w = Window.partitionBy(*key, "l_id").orderBy(F.desc("cos"), F.asc("r_id"))
-    return scored.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
+    # the literal bound plans a partial WindowGroupLimit before the shuffle;
+    # the second filter accounts for top-k rows pruned inside the tiles
+    return (
+        scored.withColumn("_rk", F.row_number().over(w))
+        .filter(F.col("_rk") <= k)
+        .filter(F.col("_rk") <= F.lit(k) - F.col("n_pruned"))
+        .drop("_rk", "n_pruned")
+    )
