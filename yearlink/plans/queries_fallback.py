@@ -17,6 +17,7 @@ from yearlink.operators.report import era_label
 from yearlink.plans.chain import chain_by_description
 from yearlink.plans.queries_chain import C2_SQL
 from yearlink.plans.registry import register, round_doubles
+from yearlink.session import checkpoint_table
 from yearlink.sources import fixtures as fx
 
 COS = (
@@ -90,13 +91,13 @@ FB_SQL = (
 
 def _stage(spark, sf):
     """Spark side of the fixture pipeline; returns the intermediate frames."""
-    it = fx.items(spark, sf)
-    chained = chain_by_description(fx.synthetic_edges(spark, sf))
+    it = checkpoint_table(fx.items(spark, sf))  # read six times below
+    chained = chain_by_description(fx.synthetic_edges(spark, sf, it))
     m = fb.vector_lookup(chained, it, F.col("year_n"), F.col("code_n"), "v_n")
     m = fb.vector_lookup(m, it, F.lit(2023), F.col("mapped_2023_code"), "v_a")
     m2 = m.withColumn("embedding_similarity", fb.pairwise_cosine("v_n", "v_a"))
     low = m2.filter(fb.low_similarity())
-    h = fx.hierarchy(spark, sf).withColumnRenamed("item_id", "h_id")
+    h = fx.hierarchy(spark, sf, it).withColumnRenamed("item_id", "h_id")
     hm = fb.hierarchy_match(low, h, "row_id", "v_n", "year_n")
     best = fb.best_of_levels(low.drop("v_n", "v_a"), hm)
     final = fb.merge_back(m2.drop("v_n", "v_a"), best)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from yearlink.session import checkpoint_table
+
 # Fixed values of the B1 view: the 16 editions, both edges of every era plus
 # calendar gaps, indexed by doc_id % 16.
 FIXTURE_YEARS = [1789, 1792, 1846, 1861, 1929, 1930, 1932, 1962, 1963, 1975, 1988, 1989, 1990, 2010, 2022, 2023]
@@ -61,10 +63,10 @@ def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hierarchy(spark: SparkSession, sf_dir: str, it: DataFrame | None = None) -> DataFrame:
     """``hierarchy(level, hscode, description, embedding)``: items with id < 120;
     level 2 below 20, 4 below 60, 6 otherwise; hscode = lpad(id, level)."""
-    it = items(spark, sf_dir).filter(F.col("item_id") < 120)
+    it = (it if it is not None else items(spark, sf_dir)).filter(F.col("item_id") < 120)
     level = F.when(F.col("item_id") < 20, 2).when(F.col("item_id") < 60, 4).otherwise(6).cast("int")
     return it.select(
         level.alias("level"),
@@ -75,11 +77,12 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def synthetic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def synthetic_edges(spark: SparkSession, sf_dir: str, it: DataFrame | None = None) -> DataFrame:
     """``edges`` independent of J3: node (year, r), r = rank of the item in its
     year; target r1 = (r*7+3) % size of the next year.  Codes and texts are the
-    items' own, so repeated texts make the description graph non-functional."""
-    it = items(spark, sf_dir)
+    items' own, so repeated texts make the description graph non-functional.
+    The item table is read four times below: it is materialised once."""
+    it = it if it is not None else checkpoint_table(items(spark, sf_dir))
     w = Window.partitionBy("year").orderBy("item_id")
     ranked = it.withColumn("r", F.row_number().over(w) - 1)
     years = it.select("year").distinct()
