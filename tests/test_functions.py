@@ -124,3 +124,14 @@ def test_prefix_pad_round(spark):
     assert [r.x for r in rows] == [None, "84", "84", None]
     r = spark.createDataFrame([(2.5,), (0.125,)], "v double").select(tx.round_report("v", 0).alias("a"), tx.round_report("v", 2).alias("b")).collect()
     assert r[0].a == 2.0 and r[1].b == 0.12
+
+
+def test_blocked_row_number(spark):
+    from pyspark.sql import Window
+
+    from yearlink.operators.ranking import blocked_row_number
+
+    df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 100003).alias("k"))
+    got = {(r.g, r.k): r.rn for r in blocked_row_number(df, "g", "k", block=64).collect()}
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
+    assert got == {(r.g, r.k): r.rn for r in ref.collect()}

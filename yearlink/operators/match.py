@@ -68,7 +68,7 @@ def candidate_cosines(
     top_k: int = 500,
     method: str = "block",
     query_block: int = 1024,
-    cand_block: int = 8192,
+    cand_block: int = 4096,
     prune: dict | None = None,
 ) -> DataFrame:
     """J2 + T2: ``(q_id, c_id, cos)`` for the top-k candidates of each query
@@ -107,7 +107,7 @@ def match_year_pair(
     strip: bool = True,
     guard: bool = True,
     query_block: int = 1024,
-    cand_block: int = 8192,
+    cand_block: int = 4096,
     pairs: DataFrame | None = None,
     materialize: bool = True,
 ) -> DataFrame:

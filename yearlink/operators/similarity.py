@@ -181,7 +181,7 @@ def cosine_topk(
     norm: str = "norm",
     method: str = "block",
     left_block: int = 1024,
-    right_block: int = 8192,
+    right_block: int = 4096,
     prune: dict | None = None,
 ) -> DataFrame:
     """Top-k right rows per (key, left row) by cosine; ties -> lower right id.

@@ -10,7 +10,7 @@ checkpoint folder, so a lost executor recomputes one round, not the chain.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yearlink.functions.text import norm_desc
@@ -37,12 +37,17 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023) -> DataFrame
     Adds ``mapped_2023_code, mapped_2023_description, hops``.
     """
     e = edges.withColumn("_dn", norm_desc("description_n")).withColumn("_dn1", norm_desc("description_n1"))
-    # one out-edge per node
-    w = Window.partitionBy("year_n", "_dn").orderBy(F.desc_nulls_last("combined"), F.desc("row_id"))
-    out = (
+    # one out-edge per node: highest combined (NULL lowest), then highest
+    # row_id.  An aggregate (map-side partial max_by), not a window, so a
+    # description repeated by a third of all rows never lands in one sort.
+    ordering = F.struct(F.coalesce(F.col("combined").isNotNull(), F.lit(False)), F.col("combined"), F.col("row_id"))
+    chosen = (
         e.filter(F.col("_dn").isNotNull())
-        .withColumn("_r", F.row_number().over(w))
-        .filter(F.col("_r") == 1)
+        .groupBy("year_n", "_dn")
+        .agg(F.max_by(F.struct("year_n1", "_dn1", "code_n1", "description_n1"), ordering).alias("_e"))
+    )
+    out = (
+        chosen.select("year_n", "_dn", "_e.*")
         .select(
             F.col("year_n").alias("ny"),
             F.col("_dn").alias("nd"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from yearlink.operators.ranking import blocked_row_number
 from yearlink.session import checkpoint_table
 
 # Fixed values of the B1 view: the 16 editions, both edges of every era plus
@@ -83,8 +84,7 @@ def synthetic_edges(spark: SparkSession, sf_dir: str, it: DataFrame | None = Non
     items' own, so repeated texts make the description graph non-functional.
     The item table is read four times below: it is materialised once."""
     it = it if it is not None else checkpoint_table(items(spark, sf_dir))
-    w = Window.partitionBy("year").orderBy("item_id")
-    ranked = it.withColumn("r", F.row_number().over(w) - 1)
+    ranked = blocked_row_number(it, "year", "item_id", "r")
     years = it.select("year").distinct()
     nxt = years.withColumn("year_n1", F.lead("year").over(Window.orderBy("year"))).filter(F.col("year_n1").isNotNull())
     sizes = it.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
