@@ -103,3 +103,17 @@ def test_search_empty_description_and_large_k(spark):
     assert res[1].combined_similarity == pytest.approx(1.0)
     skip = search(q, corpus, top_k=10, empty="skip").collect()
     assert sorted(r.item_id for r in skip) == [1, 3]
+
+
+def test_exact_median_matches_spark_median(spark):
+    from yearlink.operators.quantile import exact_median
+
+    df = spark.range(0, 20001).select(
+        (F.col("id") % 3).alias("g"),
+        F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.sin(F.col("id")) * 100).alias("v"),
+    ).union(spark.createDataFrame([(7, 1.5), (7, 1.5), (7, 1.5), (8, None)], "g long, v double"))
+    got = {r.g: r.median for r in exact_median(df, ["g"], "v", bins=8, gather_limit=50).collect()}
+    ref = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert set(got) == set(ref)
+    for k in ref:
+        assert (got[k] is None and ref[k] is None) or got[k] == pytest.approx(ref[k], abs=1e-12)
