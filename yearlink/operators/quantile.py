@@ -67,7 +67,7 @@ def exact_median(df: DataFrame, group_cols: list[str], col: str, out_col: str =
     # gather the few values of each final bracket, sorted, and interpolate
     narrow = st.filter(F.col("_lo") < F.col("_hi")).select(*g, "_lo", "_hi")  # lo == hi: the median is lo
     vals = x.join(narrow, g).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-    gathered = vals.groupBy(*g).agg(F.array_sort(F.collect_list("_x")).alias("_v"))
+    gathered = vals.groupBy(*g).agg(F.sort_array(F.collect_list("_x")).alias("_v"))
     out = st.join(gathered, g, "left")
     v1 = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
         F.element_at("_v", (F.col("_r1") - F.col("_below") + 1).cast("int")))

@@ -104,11 +104,19 @@ def era_summary(df: DataFrame) -> DataFrame:
         F.bround(F.avg(_lt(c, 0.5)) * 100, 1).alias("% with Combined < 0.5"),
         F.bround(F.avg(m), 3).alias("Mean embedding"),
     )
-    # exact medians without gathering an era (a third of the table) in one task
-    for col, name in (("best_match_similarity", "Median best_match"), ("combined", "Median Combined"),
-                      ("embedding_similarity", "Median embedding")):
-        med = exact_median(e, ["Era"], col, "_med")
-        base = base.join(med.select("Era", F.bround("_med", 3).alias(name)), "Era", "left")
+    # exact medians without gathering an era (a third of the table) in one
+    # task; the three columns are stacked so that one pass serves all three
+    meds = [("best_match_similarity", "Median best_match"), ("combined", "Median Combined"),
+            ("embedding_similarity", "Median embedding")]
+    stacked = e.select(
+        "Era",
+        F.explode(F.array(*[F.struct(F.lit(n).alias("_m"), F.col(c).cast("double").alias("_v")) for c, n in meds])).alias("_s"),
+    ).select("Era", "_s._m", "_s._v")
+    med = exact_median(stacked, ["Era", "_m"], "_v", "_med")
+    wide = med.groupBy("Era").agg(
+        *[F.max(F.when(F.col("_m") == n, F.bround("_med", 3))).alias(n) for _, n in meds]
+    )
+    base = base.join(wide, "Era", "left")
     order = ["Era", "N items", "Mean best_match", "Median best_match", "% with best_match < 0.5", "Mean Combined",
              "Median Combined", "% with Combined < 0.5", "Mean embedding", "Median embedding"]
     return base.select(*[F.col(f"`{c}`") for c in order])

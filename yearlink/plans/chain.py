@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yearlink.functions.text import norm_desc
-from yearlink.session import ensure_checkpoint_dir
+from yearlink.session import checkpoint_table
 
 MAX_ROUNDS = 40  # 2**40 hops: far beyond any calendar
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpoint_table(df)
 
 
 # --------------------------------------------------------------------- C2

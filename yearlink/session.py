@@ -73,6 +73,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def checkpoint_table(df):
     """Materialise a DataFrame that later stages read several times, into the
-    reliable checkpoint folder (survives executor loss; never local)."""
+    reliable checkpoint folder (survives executor loss; never local).
+
+    The data is persisted first: an eager reliable checkpoint otherwise
+    computes its plan twice (once to count, once to write the files)."""
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist(blocking=False)
+    return out

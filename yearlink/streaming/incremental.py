@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from yearlink import schemas
 from yearlink.operators.match import adjacent_pairs, match_year_pair
+from yearlink.session import checkpoint_table
 from yearlink.sources import io
 
 ITEM_VECTOR_SCHEMA = "item_id long, year int, code string, description string, embedding array<float>"
@@ -39,7 +40,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, items_dir: str, edges_d
     """Match the pairs a batch of new items touches; returns pairs written."""
     all_items = spark.read.schema(ITEM_VECTOR_SCHEMA).parquet(items_dir)
     todo = io.resume_pairs(spark, affected_pairs(all_items, batch.select("year")), edges_dir)
-    todo = todo.checkpoint(eager=True)  # tiny; read by the count and the matcher
+    todo = checkpoint_table(todo)  # tiny; read by the count and the matcher
     n = todo.count()
     if n == 0:
         return 0
