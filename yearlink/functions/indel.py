@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from yearlink.session import ship_package
+
 
 def _masks(s: str) -> tuple[dict[str, int], int]:
     table: dict[str, int] = {}
@@ -192,4 +194,5 @@ def indel(a, b, strip: bool = True, guard: bool = True) -> Column:
     """
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
+    ship_package()
     return _udf(bool(strip), bool(guard))(a, b)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from yearlink.session import ship_package
+
 SCORE_DIGITS = 9
 
 
@@ -143,6 +145,7 @@ def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding", encode
     Null text is encoded as '' (P12).  The distinct is a shuffle on the text;
     the encoder runs in Arrow batches of ``arrow.maxRecordsPerBatch`` rows.
     """
+    ship_package(df.sparkSession)
     key = F.coalesce(F.col(text_col), F.lit(""))
     distinct = df.select(key.alias("_text")).distinct()
     vecs = distinct.select("_text", _encoder_udf(encoder)(F.col("_text")).alias(out_col))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yearlink.functions.vectors import SCORE_DIGITS, cosine, quantise
+from yearlink.session import ship_package
 
 
 def _dense(col, n: int) -> np.ndarray:
@@ -225,6 +226,7 @@ def cosine_topk(
         F.pmod(F.xxhash64("_rid"), F.col("_br")).cast("int").alias("_tr"),
         "_rid", "_vec", "_norm", *xc,
     )
+    ship_package(left.sparkSession)
     tile = [*key, "_tl", "_tr"]
     # Tiles are CPU-heavy but small in bytes: AQE would coalesce their
     # shuffle into a few tasks.  An explicit partition count (the cluster's

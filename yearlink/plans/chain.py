@@ -137,14 +137,16 @@ def chain_by_code(edges: DataFrame, anchor_year: int = 2023) -> DataFrame:
     reach = _cut(
         rows.filter(F.col("year_n1") == anchor_year).select(F.col("row_id").alias("seed"), F.col("row_id").alias("r"))
     )
+    n_parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # reach holds positions [0, 2^k) of every seed's path; the pointer jumps
     # 2^k rows, so one join adds positions [2^k, 2^(k+1)).
     for _ in range(MAX_ROUNDS):
         new = _cut(reach.join(jump, reach["r"] == jump["src"]).select("seed", F.col("dst").alias("r")))
         if new.isEmpty():
             break
-        # both parts are already materialised: the union's lineage is shallow
-        reach = reach.unionByName(new)
+        # both parts are materialised (shallow lineage); coalesce without a
+        # shuffle so that the partition count does not grow with every round
+        reach = reach.unionByName(new).coalesce(n_parts)
         jump = _cut(
             jump.alias("a")
             .join(jump.alias("b"), F.col("a.dst") == F.col("b.src"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +47,7 @@ def get_spark(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -84,3 +86,34 @@ def checkpoint_table(df):
     out = held.checkpoint(eager=True)
     held.unpersist(blocking=False)
     return out
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make ``yearlink`` importable in the Python workers.
+
+    UDFs and Arrow functions are pickled by reference to this package's
+    modules, so executors need the package.  It is zipped once and added with
+    ``addPyFile`` (Spark serves it to every executor), once per application.
+    Harmless when the package is already installed on the workers.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="yearlink-", suffix=".zip")
+    with zipfile.ZipFile(os.fdopen(fd, "wb"), "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
