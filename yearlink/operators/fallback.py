@@ -72,7 +72,7 @@ def hierarchy_match(rows: DataFrame, hierarchy: DataFrame, id_col: str, vec_col:
     )
     right = hierarchy.select("h_id", F.col("level").cast("int").alias("level"), "embedding",
                              l2_norm("embedding").alias("norm"))
-    best = cosine_topk(left, right, ["level"], 1, "_id", "h_id", method=method, right_block=16384)
+    best = cosine_topk(left, right, ["level"], 1, "_id", "h_id", method=method)
     h = hierarchy.select(F.col("h_id").alias("r_id"), "hscode", "description")
     return best.join(h, "r_id").select(
         F.col("l_id").alias(id_col), "level", "hscode", "description", F.col("cos").alias("similarity")
