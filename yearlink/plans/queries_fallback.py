@@ -279,3 +279,20 @@ def q_code_description(spark, sf):
     st = _stage(spark, sf)
     f = st["final"].select("row_id", prefix2("best_match_code").alias("chapter"))
     return fb.code_description(f, st["hierarchy"], "chapter", 2).select("row_id", "chapter", "hs2_description")
+
+
+@register(
+    "unmatched_updates",
+    FB_SQL
+    + """SELECT u.year_n, count(*) AS n_keys FROM
+  (SELECT DISTINCT year_n, code_n FROM best WHERE best_match_source <> '2023_mapping') u
+WHERE NOT EXISTS (SELECT 1 FROM m2 WHERE m2.year_n >= 1930 AND m2.year_n = u.year_n AND m2.code_n = u.code_n)
+GROUP BY u.year_n""",
+)
+def q_unmatched_updates(spark, sf):
+    """J9 warnings: improved keys with no row in a main table that only
+    covers the periods from 1930 on (left anti join), per year."""
+    st = _stage(spark, sf)
+    improved = st["best"].filter(F.col("best_match_source") != fb.KEEP_SOURCE)
+    main = st["m2"].filter(F.col("year_n") >= 1930)
+    return fb.unmatched_updates(main, improved).groupBy("year_n").agg(F.count(F.lit(1)).alias("n_keys"))
