@@ -152,6 +152,8 @@ def chain_by_code(edges: DataFrame, anchor_year: int = 2023) -> DataFrame:
             .join(jump.alias("b"), F.col("a.dst") == F.col("b.src"))
             .select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
         )
+        if jump.isEmpty():  # no path is longer: the next round adds nothing
+            break
     anchors = rows.filter(F.col("year_n1") == anchor_year).select(
         F.col("row_id").alias("seed"), F.struct(F.col("code_n1").alias("c"), F.col("description_n1").alias("d")).alias("a")
     )
