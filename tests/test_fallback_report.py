@@ -117,3 +117,26 @@ def test_exact_median_matches_spark_median(spark):
     assert set(got) == set(ref)
     for k in ref:
         assert (got[k] is None and ref[k] is None) or got[k] == pytest.approx(ref[k], abs=1e-12)
+
+
+def test_corpus_checks_and_formats(spark):
+    import json
+
+    from yearlink.plans.search import assert_corpus, corpus_info, format_results, verify_corpus
+
+    good = spark.createDataFrame([(1, "a b", [1.0, 0.0]), (2, "c", [0.0, 1.0])],
+                                 "item_id long, description string, embedding array<float>")
+    bad = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [1.0]), (3, "c", None)],
+                                "item_id long, description string, embedding array<float>")
+    assert corpus_info(good).first()["embedding_dim"] == 2
+    r = verify_corpus(bad).first()
+    assert (r.n_items, r.n_bad_dim, r.n_missing) == (3, 1, 1)
+    assert_corpus(good)
+    with pytest.raises(ValueError):
+        assert_corpus(bad)
+    q = spark.createDataFrame([(7, "a b", [1.0, 0.0])], "query_id long, text string, embedding array<float>")
+    res = search(q, good, top_k=2)
+    lines = {fmt: [r.line for r in format_results(res, fmt).orderBy("rank").collect()] for fmt in ("json", "csv", "text")}
+    assert json.loads(lines["json"][0])["item_id"] == 1
+    assert lines["csv"][0].split(",")[0] == "7"
+    assert lines["text"][0].startswith("1. [")
