@@ -144,11 +144,17 @@ def tokenize(texts, lower: bool = False) -> Words:
     counts = np.diff(w.first)
     w.doc = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), counts)
     w.pos = np.arange(len(w.start), dtype=np.int64) - np.repeat(w.first[:-1], counts)
-    w.hash = np.empty(len(w.start), U64)
+    w.hash = span_hashes(data, w.start, w.end, lower)
+    return w
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of ascending byte spans that do not overlap."""
+    out = np.empty(len(start), U64)
     i = 0
-    while i < len(w.start):
-        j = max(i + 1, int(np.searchsorted(w.end, w.start[i] + _PIECE, "right")))
-        lo, hi = int(w.start[i]), int(w.end[j - 1])
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + _PIECE, "right")))
+        lo, hi = int(start[i]), int(end[j - 1])
         up, down = _powers(hi - lo + 1)
         part = data[lo:hi]
         if lower:
@@ -156,15 +162,10 @@ def tokenize(texts, lower: bool = False) -> Words:
         total = np.empty(hi - lo + 1, U64)
         total[0] = 0
         np.cumsum(_BYTE[part] * up[: hi - lo], out=total[1:])
-        s, e = w.start[i:j] - lo, w.end[i:j] - lo
-        w.hash[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U64))
+        s, e = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U64))
         i = j
-    return w
-
-
-def word_list(texts: list[bytes]) -> list[list[bytes]]:
-    """The same words as Python bytes, one list for each text."""
-    return [t.split() for t in texts]
+    return out
 
 
 _zc, _zd = None, None

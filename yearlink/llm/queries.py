@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from yearlink.llm.common import read
 from yearlink.llm.minhash_dedup import near_duplicates
+from yearlink.llm import rule_cascade
+from yearlink.llm.quality_classifier import quality_scores
 from yearlink.llm.substring_dedup import repeat_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +22,19 @@ def query(fn):
     return fn
 
 
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_cascade.judged(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_quality_rules"] = rule_cascade.SQL
+
+
 @query
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
