@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from yearlink.llm.common import read
 from yearlink.llm.minhash_dedup import near_duplicates
-from yearlink.llm import rule_cascade
+from yearlink.llm import rule_cascade, warc
+from yearlink.llm.html_extract import main_texts
 from yearlink.llm.quality_classifier import quality_scores
 from yearlink.llm.substring_dedup import repeat_digest
 
@@ -22,6 +23,14 @@ def query(fn):
     return fn
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+ORACLE["op1_warc"] = warc.SQL
+
+
 @query
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -35,6 +44,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op3_quality_rules"] = rule_cascade.SQL
 
 
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(read(spark, sf_dir, "pages"))
+
+
 @query
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
