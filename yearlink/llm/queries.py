@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from yearlink.llm.common import read
+from yearlink.llm.language_id import languages
 from yearlink.llm.minhash_dedup import near_duplicates
 from yearlink.llm import rule_cascade, warc
 from yearlink.llm.html_extract import main_texts
@@ -57,3 +58,8 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read(spark, sf_dir, "documents"))
