@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from yearlink.llm.common import read
 from yearlink.llm.language_id import languages
 from yearlink.llm.minhash_dedup import near_duplicates
-from yearlink.llm import rule_cascade, warc
+from yearlink.llm import mixing, rule_cascade, warc
+from yearlink.llm.decontaminate import leaks
 from yearlink.llm.html_extract import main_texts
 from yearlink.llm.quality_classifier import quality_scores
 from yearlink.llm.substring_dedup import repeat_digest
@@ -50,6 +51,14 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(read(spark, sf_dir, "pages"))
 
 
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_mixing"] = mixing.SQL
+
+
 @query
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
@@ -63,3 +72,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
