@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from yearlink.llm.common import read
-from yearlink.llm.language_id import languages
-from yearlink.llm.minhash_dedup import near_duplicates
 from yearlink.llm import mixing, rule_cascade, warc
+from yearlink.llm.common import read
 from yearlink.llm.decontaminate import leaks
 from yearlink.llm.html_extract import main_texts
+from yearlink.llm.language_id import languages
+from yearlink.llm.lm_scoring import scored
+from yearlink.llm.minhash_dedup import near_duplicates
 from yearlink.llm.quality_classifier import quality_scores
 from yearlink.llm.substring_dedup import repeat_digest
 
@@ -69,6 +70,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(read(spark, sf_dir, "documents"))
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read(spark, sf_dir, "documents"))
