@@ -15,9 +15,10 @@
 4. *Verification* on the full sets of shingle hashes (64 bit), linked if
    100 * intersection >= threshold * union.
 5. *Union-find grouping* of the links (``components``).
-6. Buckets that still hold several components are compared in tiles of
-   two blocks of members, only across components, so that no link between
-   different texts of a bucket is lost; a tile gives a spanning forest.
+6. A bucket may still hold several components.  All members outside its
+   largest one are then compared with all members, in tiles of two blocks and
+   only across components, so that no link between different texts of a
+   bucket is lost; a tile gives a spanning forest.
 
 At the production setting (32 bands of 5) a pair at the threshold 0.85 is
 missed with probability 7e-9, at 0.8 with 3e-6.
@@ -46,7 +47,8 @@ from yearlink.llm.common import U64
 from yearlink.llm.components import UnionFind, components
 
 GROUP = 256  # members compared with one copy of a head
-BLOCK = 96  # members on one side of a tile
+BLOCK = 256  # members on one side of a tile
+ELEMENTS = 200_000  # shingles on one side of a tile, on average
 _FRACTION = 44  # bits of the random fraction below the whole part
 
 
@@ -118,7 +120,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 def _describe(shingle: int, bands: int, rows: int):
     def run(batches):
-        for b in C.slices(batches, "text", rows=2048):
+        for b in C.slices(batches, "text", rows=1024, size=1 << 20):
             sets = shingle_sets(b.column(1), shingle)
             keys = _signed(band_keys(super_minhash(sets, bands * rows), rows))
             ids = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
@@ -173,12 +175,11 @@ def _check_heads(shingle: int, threshold: int):
 def _check_tile(shingle: int, threshold: int):
     def run(table: pa.Table) -> pa.Table:
         ids, comp = table.column("doc_id").to_pylist(), table.column("comp").to_pylist()
-        block = table.column("block").to_numpy()
+        odd = table.column("odd").to_pylist()
         sets = shingle_sets(table.column("text"), shingle)
         uf, out = UnionFind(), []
         some = [i for i in range(len(ids)) if len(sets[i])]
-        left = [i for i in some if block[i] == block.min()]
-        right = [i for i in some if block[i] == block.max()]
+        left, right = [i for i in some if odd[i]], [i for i in some if not odd[i]]
         if left and right and len(set(comp)) > 1:
             laid = _Compared([sets[i] for i in left + right])
             others = slice(len(left), None)
@@ -211,8 +212,8 @@ def near_duplicates(
     described = C.shared_table(plain.mapInArrow(_describe(shingle, bands, rows), schema), "minhash-sets")
     linkable = described.where("n > 0 and doc_id is not null")
 
-    classes = linkable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-    banded = classes.select(F.col("r.doc_id").alias("doc_id"), F.explode("r.bands").alias("band"))
+    classes = linkable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
+    banded = classes.select("r.doc_id", "r.n", F.explode("r.bands").alias("band"))
     heads = banded.groupBy("band").agg(
         F.min_by("doc_id", F.xxhash64("band", "doc_id")).alias("head"), F.count("*").alias("size")
     )
@@ -232,22 +233,37 @@ def near_duplicates(
     first = components(links)
 
     open_rows = members.where("size > 2").join(first, F.col("doc_id") == F.col("node"), "left").select(
-        "band", "doc_id", "size", F.coalesce("component", "doc_id").alias("comp")
+        "band", "doc_id", "n", "size", F.coalesce("component", "doc_id").alias("comp")
+    )
+    parts = open_rows.groupBy("band", "size", "comp").agg(
+        F.count("*").alias("c"), F.sum("n").alias("n"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("who")
     )
     mixed = (
-        open_rows.groupBy("band", "size")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("who"))
-        .where("lo < hi")
-        .groupBy("size", "who")
-        .agg(F.min("band").alias("band"))
-        .select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        parts.groupBy("band", "size")
+        .agg(
+            F.count("*").alias("comps"),
+            F.max_by("comp", "c").alias("main"),
+            F.max("c").alias("c"),
+            F.sum("n").alias("n"),
+            F.sum("who").alias("who"),
+        )
+        .where("comps > 1")
+        .groupBy("size", "who", "main")
+        .agg(F.min("band").alias("band"), F.max("c").alias("c"), F.max("n").alias("n"))
+        .withColumn("each", F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(ELEMENTS) * F.col("size") / F.col("n")))))
+        .select("band", "main", F.ceil(F.col("size") / F.col("each")).cast("int").alias("all_blocks"),
+                F.ceil((F.col("size") - F.col("c")) / F.col("each")).cast("int").alias("odd_blocks"))
     )
-    block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int").alias("block")
-    tiles = (
-        open_rows.join(mixed, "band")
-        .select("band", "doc_id", "comp", "blocks", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", "doc_id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    placed = open_rows.join(mixed, "band")
+
+    def dealt(rows: DataFrame, own: str, other: str, left: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        i, j = (mine.alias("i"), every.alias("j")) if left else (every.alias("i"), mine.alias("j"))
+        return rows.select("band", "doc_id", "comp", F.lit(left).alias("odd"), i, j)
+
+    tiles = dealt(placed.where("comp <> main"), "odd_blocks", "all_blocks", True).union(
+        dealt(placed, "all_blocks", "odd_blocks", False).select("band", "doc_id", "comp", "odd", "i", "j")
     )
     more = tiles.join(texts, "doc_id").groupBy("band", "i", "j").applyInArrow(_check_tile(shingle, threshold), "a long, b long")
     labels = components(links.union(more))
