@@ -60,7 +60,10 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023) -> DataFrame
     )
     state = _cut(out)
     for _ in range(MAX_ROUNDS):
-        pending = state.filter(~F.col("done") & F.col("py").isNotNull() & F.col("pd").isNotNull())
+        # only rows with a pointer are joined: finished ones would all meet on
+        # the NULL key
+        live = ~F.col("done") & F.col("py").isNotNull() & F.col("pd").isNotNull()
+        pending = state.filter(live)
         if pending.isEmpty():
             break
         t = state.select(
@@ -69,22 +72,19 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023) -> DataFrame
             F.col("ac").alias("tac"), F.col("ad").alias("tad"),
             F.col("done").alias("tdone"), F.col("hops").alias("thops"),
         )
-        j = state.join(
-            t, (~state["done"]) & (state["py"] == t["ty"]) & (state["pd"] == t["td"]), "left"
-        )
+        j = pending.join(t, (pending["py"] == t["ty"]) & (pending["pd"] == t["td"]), "left")
         found = F.col("ty").isNotNull()
-        state = _cut(
-            j.select(
-                "ny",
-                "nd",
-                F.when(F.col("done"), None).when(found & ~F.col("tdone"), F.col("tpy")).alias("py"),
-                F.when(F.col("done"), None).when(found & ~F.col("tdone"), F.col("tpd")).alias("pd"),
-                F.when(F.col("done"), F.col("ac")).when(found & F.col("tdone"), F.col("tac")).alias("ac"),
-                F.when(F.col("done"), F.col("ad")).when(found & F.col("tdone"), F.col("tad")).alias("ad"),
-                (F.col("done") | (found & F.col("tdone"))).alias("done"),
-                F.when(F.col("done"), F.col("hops")).when(found, F.col("hops") + F.col("thops")).otherwise(F.col("hops")).alias("hops"),
-            )
+        moved = j.select(
+            "ny",
+            "nd",
+            F.when(found & ~F.col("tdone"), F.col("tpy")).alias("py"),
+            F.when(found & ~F.col("tdone"), F.col("tpd")).alias("pd"),
+            F.when(found & F.col("tdone"), F.col("tac")).alias("ac"),
+            F.when(found & F.col("tdone"), F.col("tad")).alias("ad"),
+            (found & F.col("tdone")).alias("done"),
+            F.when(found, F.col("hops") + F.col("thops")).otherwise(F.col("hops")).alias("hops"),
         )
+        state = _cut(state.filter(~live).unionByName(moved))
     resolved = state.filter("done").select(
         F.col("ny").alias("_ty"), F.col("nd").alias("_td"), F.col("ac").alias("_ac"), F.col("ad").alias("_ad"),
         F.col("hops").alias("_hops"),
@@ -120,7 +120,7 @@ def chain_by_code(edges: DataFrame, anchor_year: int = 2023) -> DataFrame:
     anchor``) or the retained row of a node that is the source ``(year_n,
     code_n)`` of a reached row; it takes the anchor of the latest seed (max
     ``row_id``) that reaches it.  NULL codes never link.
-    Reach pairs (seed, row) are closed by doubling the jump pointer.
+    The latest seed of every row is closed by doubling the jump pointer.
     """
     rows = edges.select("row_id", "year_n", "code_n", "year_n1", "code_n1", "description_n1")
     retained = (
@@ -134,34 +134,27 @@ def chain_by_code(edges: DataFrame, anchor_year: int = 2023) -> DataFrame:
         .select(F.col("row_id").alias("src"), "dst")
     )
     jump = _cut(jump)
+    # The jump is single-valued, so seeds that meet on a row stay together and
+    # only the latest of them matters: one (row, seed) pair for each row.
     reach = _cut(
         rows.filter(F.col("year_n1") == anchor_year).select(F.col("row_id").alias("seed"), F.col("row_id").alias("r"))
     )
-    n_parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # reach holds positions [0, 2^k) of every seed's path; the pointer jumps
-    # 2^k rows, so one join adds positions [2^k, 2^(k+1)).
+    # reach holds the latest seed within 2^k jumps of every row; the pointer
+    # jumps 2^k rows, so one join reaches twice as far.
     for _ in range(MAX_ROUNDS):
-        new = _cut(reach.join(jump, reach["r"] == jump["src"]).select("seed", F.col("dst").alias("r")))
-        if new.isEmpty():
+        if jump.isEmpty():
             break
-        # both parts are materialised (shallow lineage); coalesce without a
-        # shuffle so that the partition count does not grow with every round
-        reach = reach.unionByName(new).coalesce(n_parts)
+        new = reach.join(jump, reach["r"] == jump["src"]).select("seed", F.col("dst").alias("r"))
+        reach = _cut(reach.unionByName(new).groupBy("r").agg(F.max("seed").alias("seed")).select("seed", "r"))
         jump = _cut(
             jump.alias("a")
             .join(jump.alias("b"), F.col("a.dst") == F.col("b.src"))
             .select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
         )
-        if jump.isEmpty():  # no path is longer: the next round adds nothing
-            break
     anchors = rows.filter(F.col("year_n1") == anchor_year).select(
         F.col("row_id").alias("seed"), F.struct(F.col("code_n1").alias("c"), F.col("description_n1").alias("d")).alias("a")
     )
-    best = (
-        reach.join(anchors, "seed")
-        .groupBy("r")
-        .agg(F.max_by("a", "seed").alias("a"))
-    )
+    best = reach.join(anchors, "seed").select("r", "a")
     out = edges.join(best, edges["row_id"] == best["r"], "left")
     return out.select(
         *edges.columns,

@@ -7,7 +7,7 @@ higher score and flag the conflict.  One row per older-year item.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,14 +28,19 @@ def reconcile(forward: DataFrame, reverse: DataFrame) -> DataFrame:
         F.max("f").alias("f"), F.max("r").alias("r"), F.max("combined").alias("score")
     )
     per_link = per_link.withColumn("mutual", (F.col("f") == 1) & (F.col("r") == 1))
-    item = Window.partitionBy("year_n", "item_id_n")
-    ranked = per_link.withColumn("n_targets", F.count(F.lit(1)).over(item)).withColumn(
-        "_rk",
-        F.row_number().over(
-            item.orderBy(F.desc("mutual"), F.desc("score"), F.desc("f"), F.asc("item_id_n1"))
-        ),
+    # an aggregate with map-side partial max_by, not a window: an item that is
+    # the best counterpart of a third of a year never lands in one sort
+    order = F.struct(
+        "mutual", F.col("score").isNotNull().alias("scored"), "score", "f", (-F.col("item_id_n1")).alias("lower_id")
+    )
+    best = (
+        per_link.groupBy("year_n", "item_id_n")
+        .agg(
+            F.count(F.lit(1)).alias("n_targets"),
+            F.max_by(F.struct("year_n1", "item_id_n1", "mutual", "score", "f"), order).alias("best"),
+        )
+        .select("year_n", "item_id_n", "n_targets", "best.*")
     )
-    best = ranked.filter(F.col("_rk") == 1)
     return best.select(
         "year_n",
         "item_id_n",
