@@ -140,3 +140,14 @@ def test_corpus_checks_and_formats(spark):
     assert json.loads(lines["json"][0])["item_id"] == 1
     assert lines["csv"][0].split(",")[0] == "7"
     assert lines["text"][0].startswith("1. [")
+
+
+def test_exact_median_between_two_clusters(spark):
+    """The middle ranks lie in different tight clusters, or are ties."""
+    from yearlink.operators.quantile import exact_median
+
+    low, high = [0.1 + i * 1e-6 for i in range(500)], [0.9 + i * 1e-6 for i in range(500)]
+    rows = [("two", v) for v in low + high] + [("ties", v) for v in [1.0] * 400 + [2.0] * 400] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.median for r in exact_median(df, ["g"], "v", bins=8, gather_limit=20).collect()}
+    assert got == {"two": (low[-1] + high[0]) / 2, "ties": 1.5, "none": None}

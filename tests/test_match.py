@@ -91,3 +91,11 @@ def test_in_tile_prune_exact_with_small_top_k(spark):
         plain = _rows(match_year_pair(it, top_k=k, prune=False))
         expr = _rows(match_year_pair(it, top_k=k, method="expr"))
         assert pruned == plain == expr
+
+
+def test_negative_weights_are_not_pruned(spark):
+    rows = [(y * 100 + i, y, f"c{i}", f"word{i} thing {'x' * (i * 3)}", [float(i + 1), 1.0, float(y % 5)]) for y in (1, 2) for i in range(6)]
+    it = spark.createDataFrame(rows, "item_id long, year int, code string, description string, embedding array<float>")
+    for weights in ({"gamma": -0.9}, {"beta": -0.5}):
+        a, b = (sorted(map(tuple, match_year_pair(it, prune=p, **weights).collect())) for p in (True, False))
+        assert a == b and len(a) == 6

@@ -120,8 +120,8 @@ def match_year_pair(
     ties -> higher cosine -> lower candidate id.  One row per query item that
     has any candidate; no threshold.
 
-    ``prune`` (exact for gamma >= 0) drops candidates whose score cannot
-    reach the best ``alpha*cos + beta*jac`` of their query even with a
+    ``prune`` (exact; not applied if beta or gamma is negative) drops
+    candidates whose score cannot reach the best ``alpha*cos + beta*jac`` of their query even with a
     perfect Indel ratio, so the Python Indel runs on few pairs.
     ``with_indel=False`` sets the Indel column to NULL (used with gamma=0).
     """
@@ -133,7 +133,7 @@ def match_year_pair(
     if pairs is None:
         pairs = adjacent_pairs(prepared)
     spec = None
-    if prune:
+    if prune and beta >= 0 and gamma >= 0:  # the bounds only hold for weights that are not negative
         spec = {
             "alpha": float(alpha), "beta": float(beta), "gamma": float(gamma) if with_indel else 0.0,
             "tokens": "tokens", "ntok": "ntok", "nlen": "nlen",

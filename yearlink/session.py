@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -21,6 +23,7 @@ _DEFAULT_CONF = {
     # Keep Arrow batches small: rows carry 64..768-float vectors.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -51,12 +54,18 @@ def get_spark(
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether all tasks run in the driver's process (local, local[n])."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, creating one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (tests, local runs) do we make a
-    fresh scratch folder of our own.
+    as is; without that setting this fails, as files in a folder of one
+    machine cannot be read from the others.  Only in local mode (tests, local
+    runs) do we make a scratch folder of our own, removed at the end.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -68,7 +77,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not is_local(sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     scratch = tempfile.mkdtemp(prefix="yearlink-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
 

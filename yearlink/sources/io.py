@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,22 +33,28 @@ ITEM_CSV_COLUMNS = [
 ITEM_CSV_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in ITEM_CSV_COLUMNS])
 
 
-def _csv(spark: SparkSession, schema: T.StructType):
+def _csv(spark: SparkSession, schema: T.StructType, multi_line: bool = True):
+    """Reader of the CSV dialect.  With ``multi_line`` a quoted text may hold
+    line breaks, but one task reads a whole file; without it a large file is
+    split over many tasks."""
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("nullValue", "NA")
         .option("emptyValue", None)
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
     )
 
 
-def scan_items(spark: SparkSession, path: str, schema: T.StructType = ITEM_CSV_SCHEMA) -> DataFrame:
-    """The all-years item CSV with a declared schema."""
-    return _csv(spark, schema).csv(path)
+def scan_items(
+    spark: SparkSession, path: str, schema: T.StructType = ITEM_CSV_SCHEMA, multi_line: bool = True
+) -> DataFrame:
+    """The all-years item CSV with a declared schema.  For one large file
+    whose texts hold no line breaks pass ``multi_line=False``."""
+    return _csv(spark, schema, multi_line).csv(path)
 
 
 def scan_items_str(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -142,13 +149,23 @@ def sink_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def done_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Year pairs already present in a pair sink (empty if none)."""
+    """Year pairs already present in a pair sink.  Only a sink that is not
+    there yet (or has no file) counts as empty; other errors are errors."""
     try:
         return spark.read.parquet(path).select("year_n", "year_n1").distinct()
-    except Exception:  # noqa: BLE001 -- no sink yet
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], "year_n int, year_n1 int")
 
 
+def drop_pair(spark: SparkSession, path: str, year_n: int, year_n1: int) -> None:
+    """Delete the folder of one year pair from a pair sink."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/year_n={year_n}/year_n1={year_n1}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def resume_pairs(spark: SparkSession, pairs: DataFrame, path: str) -> DataFrame:
     """The pairs still to do = ``pairs`` left-anti the finished ones."""
     return pairs.join(done_pairs(spark, path), ["year_n", "year_n1"], "left_anti")

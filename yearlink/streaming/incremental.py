@@ -7,11 +7,13 @@ checkpoint records them, so a restart neither loses nor repeats a file).
 Each micro-batch:
 
 1. the years present in the batch,
-2. the adjacent pairs of the full item table that touch those years,
-3. minus the pairs already written (``left_anti`` on the sink's partitions),
-4. matched against the full item table and written with dynamic partition
+2. the adjacent pairs of the full item table that touch those years: all of
+   them are matched, also those written before, as either edition has grown,
+3. matched against the full item table and written with dynamic partition
    overwrite -- one folder per year pair, so a re-run replaces, never
-   duplicates.
+   duplicates,
+4. pairs in the sink that are no longer adjacent (an edition has come in
+   between) are deleted.
 """
 
 from __future__ import annotations
@@ -39,13 +41,14 @@ def affected_pairs(all_items: DataFrame, new_years: DataFrame) -> DataFrame:
 def process_batch(spark: SparkSession, batch: DataFrame, items_dir: str, edges_dir: str, **match_kw) -> int:
     """Match the pairs a batch of new items touches; returns pairs written."""
     all_items = spark.read.schema(ITEM_VECTOR_SCHEMA).parquet(items_dir)
-    todo = io.resume_pairs(spark, affected_pairs(all_items, batch.select("year")), edges_dir)
-    todo = checkpoint_table(todo)  # tiny; read by the count and the matcher
+    todo = checkpoint_table(affected_pairs(all_items, batch.select("year")))  # tiny; read by the count and the matcher
     n = todo.count()
-    if n == 0:
-        return 0
-    edges = match_year_pair(all_items, pairs=todo, **match_kw)
-    io.sink_pairs(edges.select(*schemas.EDGE_COLUMNS), edges_dir)
+    if n:
+        edges = match_year_pair(all_items, pairs=todo, **match_kw)
+        io.sink_pairs(edges.select(*schemas.EDGE_COLUMNS), edges_dir)
+    stale = io.done_pairs(spark, edges_dir).join(adjacent_pairs(all_items), ["year_n", "year_n1"], "left_anti")
+    for r in stale.collect():  # a handful of editions
+        io.drop_pair(spark, edges_dir, r["year_n"], r["year_n1"])
     return n
 
 
