@@ -394,7 +394,9 @@ def q_sort_year(spark, sf):
   UNION ALL BY NAME
   SELECT 'middle' AS period, combined AS hs4_sim, embedding_similarity AS hs6_sim FROM mapping WHERE year_n BETWEEN 1930 AND 1962
   UNION ALL BY NAME
-  SELECT 'late' AS period, embedding_similarity AS hs6_sim FROM mapping WHERE year_n BETWEEN 1963 AND 1988)
+  SELECT 'late' AS period, embedding_similarity AS hs6_sim FROM mapping WHERE year_n BETWEEN 1963 AND 1988
+  UNION ALL BY NAME
+  SELECT 'current' AS period FROM mapping WHERE year_n >= 1989)
 GROUP BY period""",
 )
 def q_concat_periods(spark, sf):
@@ -410,7 +412,10 @@ def q_concat_periods(spark, sf):
     late = m.filter(F.col("year_n").between(1963, 1988)).select(
         F.lit("late").alias("period"), F.col("embedding_similarity").alias("hs6_sim")
     )
-    u = early.unionByName(middle, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
+    current = m.filter(F.col("year_n") >= 1989).select(F.lit("current").alias("period"))
+    u = early
+    for more in (middle, late, current):
+        u = u.unionByName(more, allowMissingColumns=True)
     return u.groupBy("period").agg(
         F.count(F.lit(1)).alias("n"), F.count("hs2_sim").alias("n_hs2"), F.count("hs4_sim").alias("n_hs4"),
         F.count("hs6_sim").alias("n_hs6"),

@@ -235,15 +235,15 @@ def q_scan_pair_files(spark, sf):
 
 @register(
     "scan_hierarchy",
-    with_views("hierarchy") + "SELECT level, count(*) AS n, count(DISTINCT hscode) AS n_codes FROM hierarchy WHERE level IN (4, 6) GROUP BY level",
+    with_views("hierarchy") + "SELECT level, count(*) AS n, count(DISTINCT hscode) AS n_codes FROM hierarchy GROUP BY level",
 )
 def q_scan_hierarchy(spark, sf):
     """S3: hierarchy CSV read as strings and split by level."""
     h = fx.hierarchy(spark, sf).select(F.col("level").cast("string").alias("level"), "hscode", "description")
     path = io.scratch_path(spark, "hierarchy")
     io.sink_snapshot(h, path, "csv")
-    parts = [io.scan_hierarchy(spark, path, lv) for lv in (4, 6)]
-    both = parts[0].unionByName(parts[1])
+    parts = [io.scan_hierarchy(spark, path, lv) for lv in (2, 4, 6)]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return both.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hscode").alias("n_codes"))
 
 
@@ -266,21 +266,21 @@ def q_scan_year_vectors(spark, sf):
 @register(
     "scan_ground_truth",
     with_views("items")
-    + """SELECT CASE WHEN length(code) >= 2 THEN substr(code, 1, 2) END AS hs, count(*) AS n
-FROM items WHERE year = 1789 GROUP BY hs""",
+    + """SELECT CASE WHEN length(code) >= 2 THEN substr(code, 1, 2) END AS hs, count(*) AS n,
+       count(DISTINCT description) AS n_texts FROM items GROUP BY hs""",
 )
 def q_scan_ground_truth(spark, sf):
     """A labelled schedule exported as CSV (brief_description, hs) read
     back with a declared all-string schema."""
     from yearlink.functions.text import prefix2
 
-    t = fx.items(spark, sf).filter(F.col("year") == 1789).select(
+    t = fx.items(spark, sf).select(
         F.col("description").alias("brief_description"), prefix2("code").alias("hs")
     )
     path = io.scratch_path(spark, "truth")
     io.sink_snapshot(t, path, "csv")
     back = io.scan_items_str(spark, path, ["brief_description", "hs"])
-    return back.groupBy("hs").agg(F.count(F.lit(1)).alias("n"))
+    return back.groupBy("hs").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("brief_description").alias("n_texts"))
 
 
 _EMPTY_CORPUS_SQL = "CASE WHEN item_id % 7 = 0 THEN '' ELSE description END"

@@ -14,7 +14,7 @@ from yearlink.operators.ranking import blocked_row_number
 from yearlink.session import checkpoint_table
 
 # Fixed values of the B1 view: the 16 editions, both edges of every era plus
-# calendar gaps, indexed by doc_id % 16.
+# calendar gaps, indexed by p_partkey % 16.
 FIXTURE_YEARS = [1789, 1792, 1846, 1861, 1929, 1930, 1932, 1962, 1963, 1975, 1988, 1989, 1990, 2010, 2022, 2023]
 # Source labels of the `mapping` view, indexed by l_linenumber % 4.
 FIXTURE_SOURCES = ["2023_mapping", "HS6", "HS4", "HS2"]
@@ -37,18 +37,20 @@ def _year_case(col: str) -> str:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: ``items(item_id, year, code, description, embedding)``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """B1: ``items(item_id, year, code, description, embedding)`` over all
+    parts.  The description is the whole brand, type and name of the part;
+    equal descriptions share a vector."""
+    part = table(spark, sf_dir, "part")
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    desc = F.substring("text", 1, 80)
-    # first doc_id per description: an aggregate joined back (a shuffle on the
+    desc = F.concat_ws(" ", "p_brand", "p_type", "p_name")
+    # first key per description: an aggregate joined back (a shuffle on the
     # description), not a window that would sort all rows of a text together
-    first = docs.groupBy(desc.alias("description")).agg(F.min("doc_id").alias("first_id"))
-    base = docs.select(
-        F.col("doc_id").alias("item_id"),
-        F.expr(_year_case("doc_id")).alias("year"),
-        F.when(F.col("doc_id") % 5 == 0, F.lit(None).cast("string"))
-        .otherwise(F.lpad((F.col("doc_id") % 900).cast("string"), 8, "0"))
+    first = part.groupBy(desc.alias("description")).agg(F.min("p_partkey").alias("first_id"))
+    base = part.select(
+        F.col("p_partkey").alias("item_id"),
+        F.expr(_year_case("p_partkey")).alias("year"),
+        F.when(F.col("p_partkey") % 5 == 0, F.lit(None).cast("string"))
+        .otherwise(F.lpad((F.col("p_partkey") % 900).cast("string"), 8, "0"))
         .alias("code"),
         desc.alias("description"),
     ).join(first, "description")
@@ -64,17 +66,29 @@ def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def hierarchy(spark: SparkSession, sf_dir: str, it: DataFrame | None = None) -> DataFrame:
-    """``hierarchy(level, hscode, description, embedding)``: items with id < 120;
-    level 2 below 20, 4 below 60, 6 otherwise; hscode = lpad(id, level)."""
-    it = (it if it is not None else items(spark, sf_dir)).filter(F.col("item_id") < 120)
-    level = F.when(F.col("item_id") < 20, 2).when(F.col("item_id") < 60, 4).otherwise(6).cast("int")
-    return it.select(
-        level.alias("level"),
-        F.lpad(F.col("item_id").cast("string"), level, "0").alias("hscode"),
-        "description",
-        "embedding",
-        "item_id",
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hierarchy(level, hscode, description, embedding, item_id)``: level 2
+    from nation, 4 from supplier, 6 from customer, all rows of each, so the
+    levels grow with their tables.  hscode = the key padded to the level."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    levels = [
+        (2, "nation", "n_nationkey", F.col("n_name")),
+        (4, "supplier", "s_suppkey", F.col("s_name")),
+        (6, "customer", "c_custkey", F.concat_ws(" ", "c_mktsegment", "c_name")),
+    ]
+    rows = None
+    for level, name, key, text in levels:
+        k = F.col(key).cast("long")
+        part = table(spark, sf_dir, name).select(
+            F.lit(level).cast("int").alias("level"),
+            F.lpad(k.cast("string"), F.greatest(F.lit(level), F.length(k.cast("string"))), "0").alias("hscode"),
+            text.alias("description"),
+            (k * 10 + level).alias("item_id"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    rows = _with_count(rows, emb)
+    return rows.join(emb, (F.col("item_id") * 7) % F.col("_n") == F.col("vec_id")).select(
+        "level", "hscode", "description", "embedding", "item_id"
     )
 
 
@@ -165,44 +179,53 @@ def pred_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``queries_v(query_id, text, embedding)`` over benchmark: first 80 chars,
+    """``queries_v(query_id, text, embedding)`` over benchmark: the whole text,
     vector ``item_id % n`` of embeddings."""
     b = table(spark, sf_dir, "benchmark")
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     b = _with_count(b, emb)
     return b.join(emb, F.col("item_id") % F.col("_n") == F.col("vec_id")).select(
-        F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("text"), "embedding"
+        F.col("item_id").alias("query_id"), "text", "embedding"
     )
 
 
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``word_pairs(pair_id, a, b)``: each part name with the next part's name
-    (an equi-join on ``p_partkey + 1``: linear in the table, no pair blow-up)."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b"))
-    return p.join(nxt, "p_partkey").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("a"), "b")
+    """``word_pairs(pair_id, a, b)``: each part name with the next part's name,
+    and each benchmark text with the next one (pair_id -1 - item_id).  An
+    equi-join on ``key + 1``: linear in the tables, no pair blow-up."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("t"))
+
+    def pairs(t: DataFrame, pair_id) -> DataFrame:
+        nxt = t.select((F.col("k") - 1).alias("k"), F.col("t").alias("b"))
+        return t.join(nxt, "k").select(pair_id.alias("pair_id"), F.col("t").alias("a"), "b")
+
+    return pairs(p, F.col("k")).unionByName(pairs(q, -1 - F.col("k")))
 
 
 # ------------------------------------------------------------------ DuckDB
-_YEAR_SQL = _year_case("doc_id")
+_YEAR_SQL = _year_case("p_partkey")
+_DESC_SQL = "p_brand || ' ' || p_type || ' ' || p_name"
 
 SQL = {
     "items": f"""
-      SELECT d.doc_id AS item_id,
+      SELECT d.p_partkey AS item_id,
              {_YEAR_SQL} AS year,
-             CASE WHEN d.doc_id % 5 = 0 THEN NULL
-                  ELSE lpad(CAST(d.doc_id % 900 AS VARCHAR), 8, '0') END AS code,
-             substr(d.text, 1, 80) AS description,
+             CASE WHEN d.p_partkey % 5 = 0 THEN NULL
+                  ELSE lpad(CAST(d.p_partkey % 900 AS VARCHAR), 8, '0') END AS code,
+             d.description,
              e.embedding AS embedding
-      FROM (SELECT doc_id, text,
-                   min(doc_id) OVER (PARTITION BY substr(text, 1, 80)) AS first_id
-            FROM documents) d
+      FROM (SELECT p_partkey, {_DESC_SQL} AS description,
+                   min(p_partkey) OVER (PARTITION BY {_DESC_SQL}) AS first_id
+            FROM part) d
       JOIN embeddings e ON e.vec_id = d.first_id % (SELECT count(*) FROM embeddings)""",
     "hierarchy": """
-      SELECT CAST(CASE WHEN item_id < 20 THEN 2 WHEN item_id < 60 THEN 4 ELSE 6 END AS INTEGER) AS level,
-             lpad(CAST(item_id AS VARCHAR), CASE WHEN item_id < 20 THEN 2 WHEN item_id < 60 THEN 4 ELSE 6 END, '0') AS hscode,
-             description, embedding, item_id
-      FROM items WHERE item_id < 120""",
+      SELECT h.level, lpad(CAST(h.k AS VARCHAR), CAST(greatest(h.level, length(CAST(h.k AS VARCHAR))) AS INTEGER), '0') AS hscode,
+             h.description, e.embedding, h.k * 10 + h.level AS item_id
+      FROM (SELECT CAST(2 AS INTEGER) AS level, CAST(n_nationkey AS BIGINT) AS k, n_name AS description FROM nation
+            UNION ALL SELECT 4, s_suppkey, s_name FROM supplier
+            UNION ALL SELECT 6, c_custkey, c_mktsegment || ' ' || c_name FROM customer) h
+      JOIN embeddings e ON e.vec_id = ((h.k * 10 + h.level) * 7) % (SELECT count(*) FROM embeddings)""",
     "mapping": f"""
       SELECT l_orderkey AS row_id, l_linenumber AS line,
              CAST(1789 + l_orderkey % 235 AS INTEGER) AS year_n,
@@ -229,11 +252,13 @@ SQL = {
       UNION ALL
       SELECT 't' || CAST(toxic AS VARCHAR), 't' || CAST(quality AS VARCHAR) FROM labels""",
     "queries_v": """
-      SELECT b.item_id AS query_id, substr(b.text, 1, 80) AS text, e.embedding
+      SELECT b.item_id AS query_id, b.text, e.embedding
       FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id % (SELECT count(*) FROM embeddings)""",
     "word_pairs": """
       SELECT l.p_partkey AS pair_id, l.p_name AS a, r.p_name AS b
-      FROM part l JOIN part r ON r.p_partkey = l.p_partkey + 1""",
+      FROM part l JOIN part r ON r.p_partkey = l.p_partkey + 1
+      UNION ALL
+      SELECT -1 - l.item_id, l.text, r.text FROM benchmark l JOIN benchmark r ON r.item_id = l.item_id + 1""",
     "synthetic_edges": """
       SELECT s.item_id AS row_id, s.year AS year_n, s.year_n1, s.item_id AS item_id_n, t.item_id AS item_id_n1,
              s.code AS code_n, t.code AS code_n1, s.description AS description_n, t.description AS description_n1,
@@ -249,7 +274,6 @@ SQL = {
 
 # Dependencies between the CTEs above (each needs these defined first).
 _DEPS = {
-    "hierarchy": ["items"],
     "synthetic_edges": ["items"],
 }
 
