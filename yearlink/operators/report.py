@@ -88,6 +88,11 @@ def low_similarity_share(df: DataFrame, col: str, t: float = 0.5) -> DataFrame:
     )
 
 
+def low_similarity_rows(df: DataFrame, col: str, t: float = 0.5) -> DataFrame:
+    """The rows below ``t``, highest first (NULL is not low)."""
+    return df.filter(F.col(col) < t).orderBy(F.desc(col))
+
+
 def era_summary(df: DataFrame) -> DataFrame:
     """Per era: N, mean/median best match, % best < .5, mean/median
     combined, % combined < .5, mean/median embedding (non-NULL only).  The %
@@ -184,11 +189,15 @@ def truth_join(pred: DataFrame, truth: DataFrame, on: str = "description") -> Da
 
 
 def confusion_matrix(pt: DataFrame) -> DataFrame:
-    """(y_true, y_pred, n) for every non-zero cell; zero cells of the
-    dense matrix over the union of labels are implied."""
-    return pt.filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull()).groupBy("y_true", "y_pred").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """(y_true, y_pred, n) for every cell over the union of the labels,
+    zero cells too.  The grid has one row for each pair of *labels*: the list
+    of labels (one array, at most ``classes`` long) is exploded beside each."""
+    seen = pt.filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+    cells = seen.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    labels = cells.select(F.explode(F.array("y_true", "y_pred")).alias("y_true")).distinct()
+    every = labels.agg(F.collect_set("y_true").alias("_all")).withColumn("_one", F.lit(1))
+    grid = labels.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one").select("y_true", F.explode("_all").alias("y_pred"))
+    return grid.join(cells, ["y_true", "y_pred"], "left").select("y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _per_class(pt: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from yearlink.plans import (  # noqa: F401
     queries_chain,
     queries_fallback,
+    queries_final,
     queries_match,
     queries_report,
     queries_search,

@@ -49,11 +49,11 @@ def q_yoy_drop(spark, sf):
     + """SELECT year_n, round(mean, 6) AS mean, round(prev, 6) AS prev, round(prev - mean, 6) AS drop FROM
   (SELECT year_n, mean, lag(mean) OVER (ORDER BY year_n) AS prev FROM
      (SELECT year_n, avg(best_match_similarity) AS mean FROM mapping GROUP BY year_n))
-WHERE prev - mean > 0.1""",
+WHERE prev - mean > 0.02""",
 )
 def q_major_dips(spark, sf):
-    """Years whose mean dropped by more than 0.1."""
-    return round_doubles(rp.major_dips(_m(spark, sf), t=0.1))
+    """Years whose mean dropped by more than 0.02 (0.1 gives no row here)."""
+    return round_doubles(rp.major_dips(_m(spark, sf), t=0.02))
 
 
 @register(
@@ -76,6 +76,15 @@ def q_low_similarity_share(spark, sf):
     return round_doubles(rp.low_similarity_share(_m(spark, sf), "combined"))
 
 
+@register(
+    "low_similarity_rows",
+    M + "SELECT row_id, line, combined FROM mapping WHERE combined < 0.5",
+)
+def q_low_similarity_rows(spark, sf):
+    """The rows with combined < 0.5, highest first."""
+    return rp.low_similarity_rows(_m(spark, sf), "combined").select("row_id", "line", "combined")
+
+
 @register(
     "source_category",
     M + f"SELECT {CAT_SQL.format(s='best_match_similarity', src='best_match_source')} AS category, count(*) AS n "
@@ -279,11 +288,14 @@ PC_SQL = (
 
 @register(
     "confusion_matrix",
-    PT + "SELECT y_true, y_pred, count(*) AS n FROM pred_truth WHERE y_true IS NOT NULL AND y_pred IS NOT NULL "
-    "GROUP BY y_true, y_pred",
+    PT
+    + """, v AS (SELECT * FROM pred_truth WHERE y_true IS NOT NULL AND y_pred IS NOT NULL),
+  l AS (SELECT y_true AS label FROM v UNION SELECT y_pred FROM v)
+SELECT a.label AS y_true, b.label AS y_pred, count(v.y_true) AS n
+FROM l a CROSS JOIN l b LEFT JOIN v ON v.y_true = a.label AND v.y_pred = b.label GROUP BY a.label, b.label""",
 )
 def q_confusion_matrix(spark, sf):
-    """Non-zero cells of the confusion matrix."""
+    """The confusion matrix over the union of labels, zero cells too."""
     return rp.confusion_matrix(fx.pred_truth(spark, sf))
 
 
