@@ -129,13 +129,14 @@ def q_low_similarity(spark, sf):
 @register(
     "level_routing",
     fx.with_views("items")
-    + """SELECT year, CAST(len(CASE WHEN year BETWEEN 1963 AND 1988 THEN [6]
-                              WHEN year BETWEEN 1930 AND 1962 THEN [4, 6] ELSE [2, 4, 6] END) AS INTEGER) AS n_levels
+    + """SELECT year, CASE WHEN year BETWEEN 1963 AND 1988 THEN '6'
+                   WHEN year BETWEEN 1930 AND 1962 THEN '4,6' ELSE '2,4,6' END AS levels
 FROM (SELECT DISTINCT year FROM items)""",
 )
 def q_level_routing(spark, sf):
-    """Number of hierarchy levels searched per year."""
-    return fx.items(spark, sf).select("year").distinct().select("year", F.size(fb.routed_levels("year")).alias("n_levels"))
+    """Hierarchy levels searched per year."""
+    levels = F.array_join(F.transform(fb.routed_levels("year"), lambda x: x.cast("string")), ",")
+    return fx.items(spark, sf).select("year").distinct().select("year", levels.alias("levels"))
 
 
 @register("hierarchy_match", FB_SQL + "SELECT row_id, level, hscode, similarity FROM hm")
@@ -180,12 +181,16 @@ def q_update_by_key(spark, sf):
 
 @register(
     "default_fill",
-    FB_SQL + "SELECT count(*) FILTER (WHERE NOT updated) AS n_default, count(*) AS n_rows FROM final",
+    FB_SQL
+    + """SELECT row_id, best_match_code, best_match_similarity, best_match_description, best_match_source
+FROM final WHERE NOT updated""",
 )
 def q_default_fill(spark, sf):
-    """B2: rows that keep the existing mapping."""
+    """B2: rows that keep the existing mapping, with what they keep."""
     f = _stage(spark, sf)["final"]
-    return f.agg(F.count_if(~F.col("_updated")).alias("n_default"), F.count(F.lit(1)).alias("n_rows"))
+    return f.filter(~F.col("_updated")).select(
+        "row_id", "best_match_code", "best_match_similarity", "best_match_description", "best_match_source"
+    )
 
 
 @register(

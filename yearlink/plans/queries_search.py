@@ -123,10 +123,15 @@ def q_verify_corpus(spark, sf):
     return verify_corpus(prepare_corpus(_corpus(spark, sf), "embedding"))
 
 
-@register("format_results")
+@register(
+    "format_results",
+    "SELECT query_id, rank, printf('%d. [%.4f] %s', rank, round(combined_similarity, 4), description) AS line FROM ("
+    + _search_sql(5, True)
+    + ")",
+)
 def q_format_results(spark, sf):
-    """Search results as JSON records (rows-only check)."""
-    return format_results(search(fx.queries_v(spark, sf), _corpus(spark, sf), top_k=5), "json")
+    """Search results as text lines."""
+    return format_results(search(fx.queries_v(spark, sf), _corpus(spark, sf), top_k=5), "text")
 
 
 @register("embed_items")
@@ -233,6 +238,45 @@ def q_scan_pair_files(spark, sf):
     return back.groupBy("from_year", "to_year").agg(F.count(F.lit(1)).alias("n_rows"), F.count("HS_N").alias("n_codes"))
 
 
+def _pair_files(spark, edges, path, names):
+    """Write edges as published pair files, one folder for each pair."""
+    a, b = names
+    edges.select(
+        F.concat(F.lit("mapped_"), F.col(a).cast("string"), F.lit("_"), F.col(b).cast("string")).alias("pair"),
+        *[F.col(src).alias(dst) for src, dst in io.PUBLISHED[(a, b)]],
+        *[F.col("combined").alias(c) for c in io.PUBLISHED_SCORES],
+    ).write.partitionBy("pair").option("header", True).option("escape", '"').csv(path)
+
+
+def _load_pairs_sql(frm: str, to: str) -> str:
+    nf = lambda c: f"CASE WHEN length({c}) > 8 AND {c} LIKE '%.0' THEN substr({c}, 1, length({c}) - 2) ELSE {c} END"
+    code = lambda c, y: f"CASE WHEN {y} >= 1989 AND length({nf(c)}) = 7 THEN '0' || {nf(c)} WHEN {y} >= 1989 THEN {nf(c)} ELSE {c} END"
+    keep = lambda c, y: f"NOT ({y} >= 1989 AND coalesce(length({nf(c)}), 0) >= 10)"
+    return with_views("synthetic_edges") + f"""SELECT {frm} AS from_year, {to} AS to_year, year_n AS "year_N", year_n1 AS "year_N1",
+  {code('code_n', 'year_n')} AS "HS_N", {code('code_n1', 'year_n1')} AS "HS_N1",
+  combined AS "Cosine_Similarity", combined AS "Jaccard_Similarity", combined AS "Levenshtein_Similarity",
+  combined AS "Combined_Similarity", description_n AS "Description_N", description_n1 AS "Description_N1"
+FROM synthetic_edges WHERE {keep('code_n', 'year_n')} AND {keep('code_n1', 'year_n1')}"""
+
+
+def _load_pairs(spark, sf, frm, to):
+    path = io.scratch_path(spark, "pairs")
+    _pair_files(spark, fx.synthetic_edges(spark, sf), path, (frm, to))
+    return io.load_pairs(spark, path, "forward" if frm == "year_n" else "reverse", pattern="pair=mapped_*/*.csv")
+
+
+@register("load_forward_pairs", _load_pairs_sql("year_n", "year_n1"))
+def q_load_forward_pairs(spark, sf):
+    """S6 -> P5 -> F11 on both codes -> P6: published forward pair files."""
+    return _load_pairs(spark, sf, "year_n", "year_n1")
+
+
+@register("load_reverse_pairs", _load_pairs_sql("year_n1", "year_n"))
+def q_load_reverse_pairs(spark, sf):
+    """S6 -> P5 -> F11 on both codes -> P6: published reverse pair files."""
+    return _load_pairs(spark, sf, "year_n1", "year_n")
+
+
 @register(
     "scan_hierarchy",
     with_views("hierarchy") + "SELECT level, count(*) AS n, count(DISTINCT hscode) AS n_codes FROM hierarchy GROUP BY level",
@@ -306,9 +350,9 @@ def q_search_empty_cosine(spark, sf):
     "search_skip_empty",
     _search_sql(5, True).replace(
         "c AS (SELECT item_id, year, code, description,",
-        f"c AS (SELECT * FROM (SELECT item_id, year, code, {_EMPTY_CORPUS_SQL} AS description,",
-    ).replace(" AS norm FROM items),", " AS norm FROM items) WHERE description <> ''),", 1),
+        f"c AS (SELECT item_id, year, code, {_EMPTY_CORPUS_SQL} AS description,",
+    ).replace("AS lb FROM top)", "AS lb FROM top WHERE description IS NOT NULL AND description <> '')"),
 )
 def q_search_skip_empty(spark, sf):
-    """Empty descriptions skipped (notebook variant)."""
+    """Empty descriptions skipped among the candidates."""
     return search(fx.queries_v(spark, sf), _corpus_with_empty(spark, sf), top_k=5, empty="skip")

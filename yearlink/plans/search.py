@@ -34,15 +34,13 @@ def search(
     ``top_k``), scored and cut to ``top_k`` per query.
 
     A candidate with an empty description is not reranked: its combined score
-    is its raw cosine (``empty='cosine'``, as read) or it is dropped
-    (``empty='skip'``).  Ties: combined desc, cosine desc, item id asc.
+    is its raw cosine (``empty='cosine'``, as read) or it is dropped from the
+    candidates (``empty='skip'``).  Ties: combined desc, cosine desc, item id asc.
     Output: ``query_id, rank, combined_similarity, cosine_similarity,
     jaccard_similarity, levenshtein_similarity`` then the corpus columns.
     """
     n_cand = 10 * top_k if rerank else top_k
     c = corpus
-    if empty == "skip":
-        c = c.filter(F.col(desc_col).isNotNull() & (F.col(desc_col) != ""))
     q = queries.select(
         F.lit(0).alias("_k"), "query_id", "embedding", l2_norm("embedding").alias("norm")
     )
@@ -54,6 +52,8 @@ def search(
     meta = c.select(F.col(id_col).alias("_cid"), *[F.col(x) for x in c.columns if x != "embedding"])
     j = cand.join(qt, cand["query_id"] == qt["_qid"]).join(meta, "_cid")
     has_desc = F.col(desc_col).isNotNull() & (F.col(desc_col) != "")
+    if empty == "skip":  # after the retrieval: an empty one has taken its place among the candidates
+        j = j.filter(has_desc)
     if rerank:
         jac = F.when(has_desc, jaccard(tokens("_qtext"), tokens(desc_col))).otherwise(F.lit(0.0))
         lev = F.when(has_desc, indel("_qtext", desc_col, strip=False, guard=False)).otherwise(F.lit(0.0))
@@ -143,6 +143,6 @@ def format_results(results: DataFrame, fmt: str = "json") -> DataFrame:
     if fmt == "text":
         return results.select(
             "query_id", "rank",
-            F.format_string("%d. [%.4f] %s", F.col("rank"), F.col("combined_similarity"), F.col("description")).alias("line"),
+            F.format_string("%d. [%.4f] %s", F.col("rank"), F.round("combined_similarity", 4), F.col("description")).alias("line"),
         )
     raise ValueError("fmt must be json, csv or text")

@@ -121,6 +121,49 @@ def scan_pair_files(
     )
 
 
+# Published pair files (fixed: names and order of their columns).  Forward files
+# label the older item HS_N1, reverse files the newer one.
+PUBLISHED_SCORES = ["Cosine_Similarity", "Jaccard_Similarity", "Levenshtein_Similarity", "Combined_Similarity"]
+_PUBLISHED_NAMES = ["HS_N1", "Description_N1", "Mapped_HS", "Mapped_Description"]
+PUBLISHED = {
+    ("year_n", "year_n1"): list(zip(["code_n", "description_n", "code_n1", "description_n1"], _PUBLISHED_NAMES, strict=True)),
+    ("year_n1", "year_n"): list(zip(["code_n1", "description_n1", "code_n", "description_n"], _PUBLISHED_NAMES, strict=True)),
+}
+CANONICAL = [
+    "from_year", "to_year", "year_N", "year_N1", "HS_N", "HS_N1", *PUBLISHED_SCORES, "Description_N", "Description_N1",
+]
+
+
+def rename_direction(pairs: DataFrame, direction: str) -> DataFrame:
+    """P5: name both items of a published pair by their age (N older, N1
+    newer) and give each its year."""
+    older = "HS_N1", "Description_N1", "from_year"
+    newer = "Mapped_HS", "Mapped_Description", "to_year"
+    if direction == "reverse":
+        older, newer = newer, older
+    elif direction != "forward":
+        raise ValueError("direction must be forward or reverse")
+    rest = [c for c in pairs.columns if c not in _PUBLISHED_NAMES]
+    return pairs.select(
+        *rest,
+        *[F.col(c).alias(n) for c, n in zip(older, ("HS_N", "Description_N", "year_N"), strict=True)],
+        *[F.col(c).alias(n) for c, n in zip(newer, ("HS_N1", "Description_N1", "year_N1"), strict=True)],
+    )
+
+
+def load_pairs(spark: SparkSession, path: str, direction: str, pattern: str = "mapped_*_*.csv") -> DataFrame:
+    """S6 + U0 -> P5 -> F11 on both codes, each with its own year -> P6: the
+    12 canonical columns of a folder of published pair files."""
+    from yearlink.operators.report import clean_codes
+
+    schema = T.StructType(
+        [T.StructField(c, T.StringType()) for c in _PUBLISHED_NAMES] + [T.StructField(c, T.DoubleType()) for c in PUBLISHED_SCORES]
+    )
+    edges = rename_direction(scan_pair_files(spark, path, schema, pattern), direction)
+    edges = clean_codes(clean_codes(edges, "HS_N", "year_N"), "HS_N1", "year_N1")
+    return edges.select(*CANONICAL)
+
+
 def scan_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """A saved intermediate (parquet)."""
     return spark.read.parquet(path)
