@@ -152,6 +152,32 @@ def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding", encode
     return df.withColumn("_text", key).join(vecs, "_text", "left").drop("_text")
 
 
+def token_vectors(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 64) -> DataFrame:
+    """U1 without Python: signed feature hashing (md5) of the lower-cased
+    tokens of each *distinct* text, unit-normalised, joined back.  Text and
+    NULL without a token give a zero vector."""
+    key = F.coalesce(F.col(text_col), F.lit(""))
+    texts = df.select(key.alias("_text")).distinct()
+    h = F.conv(F.substring(F.md5("_tok"), 1, 8), 16, 10).cast("long")
+    slots = (
+        texts.select("_text", F.explode(F.split(F.lower("_text"), r"\s+")).alias("_tok"))
+        .filter("_tok <> ''")
+        .select("_text", (h % dim).cast("int").alias("_s"), F.when(h % (2 * dim) >= dim, 1.0).otherwise(-1.0).alias("_v"))
+        .groupBy("_text", "_s")
+        .agg(F.sum("_v").alias("_v"))
+    )
+    packed = slots.groupBy("_text").agg(
+        F.map_from_entries(F.collect_list(F.struct("_s", "_v"))).alias("_m"),  # at most ``dim`` entries
+        F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n"),
+    )
+    value = lambda s: F.coalesce(F.when(F.col("_n") > 0, F.element_at("_m", s) / F.col("_n")), F.lit(0.0)).cast("float")
+    vecs = texts.join(packed, "_text", "left").select(
+        "_text", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value).alias(out_col)
+    )
+    kept = [c for c in df.columns if c != out_col]
+    return df.select(*kept, key.alias("_text")).join(vecs, "_text").select(*kept, out_col)
+
+
 def top_k_by(df: DataFrame, partition_cols, order_cols, k: int, rank_col: str = "rk") -> DataFrame:
     """Keep the first ``k`` rows per group (plans as WindowGroupLimit)."""
     w = Window.partitionBy(*partition_cols).orderBy(*order_cols)

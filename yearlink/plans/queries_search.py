@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from yearlink.functions.vectors import embed_texts
+from yearlink.functions.vectors import embed_texts, token_vectors
 from yearlink.operators.match import adjacent_pairs
 from yearlink.plans.queries_match import JAC_SQL, NORM_SQL, TOKENS_SQL
 from yearlink.plans.registry import register, round_doubles
-from yearlink.plans.search import corpus_info, flat_index_search, format_results, prepare_corpus, search, verify_corpus
+from yearlink.plans.search import corpus_info, flat_index_search, format_results, prepare_corpus, search, search_text, verify_corpus
 from yearlink.sources import fixtures as fx
 from yearlink.sources import io
 from yearlink.sources.fixtures import with_views
@@ -125,7 +125,7 @@ def q_verify_corpus(spark, sf):
 
 @register(
     "format_results",
-    "SELECT query_id, rank, printf('%d. [%.4f] %s', rank, round(combined_similarity, 4), description) AS line FROM ("
+    "SELECT query_id, rank, printf('%d. [%.4f] %s', rank, floor(round(combined_similarity, 9) * 10000 + 0.5) / 10000.0::DOUBLE, description) AS line FROM ("
     + _search_sql(5, True)
     + ")",
 )
@@ -148,6 +148,49 @@ def q_embed_items(spark, sf):
     )
 
 
+def _token_vectors_sql(name: str, source: str, text: str) -> str:
+    """CTEs for ``name(txt, embedding)``: the token vectors of a text column."""
+    h = "('0x' || substr(md5(tok), 1, 8))::BIGINT"
+    return f"""
+  {name}_t AS (SELECT DISTINCT coalesce({text}, '') AS txt FROM {source}),
+  {name}_s AS (SELECT txt, {h} % 64 AS s, sum(CASE WHEN {h} % 128 >= 64 THEN 1.0::DOUBLE ELSE -1.0 END) AS v
+               FROM (SELECT txt, unnest(string_split_regex(lower(txt), '\\s+')) AS tok FROM {name}_t) WHERE tok <> '' GROUP BY ALL),
+  {name}_n AS (SELECT txt, sqrt(sum(v * v)) AS n FROM {name}_s GROUP BY txt),
+  {name} AS (SELECT t.txt, list(CAST(coalesce(CASE WHEN n.n > 0 THEN s.v / n.n END, 0.0) AS FLOAT) ORDER BY r.s) AS embedding
+             FROM {name}_t t CROSS JOIN (SELECT unnest(range(0, 64)) AS s) r
+             LEFT JOIN {name}_s s ON s.txt = t.txt AND s.s = r.s LEFT JOIN {name}_n n ON n.txt = t.txt GROUP BY t.txt)"""
+
+
+@register(
+    "embed_token_vectors",
+    with_views("items") + "," + _token_vectors_sql("tv", "items", "description") + """
+SELECT item_id, CAST(i - 1 AS INTEGER) AS slot, round(CAST(x AS DOUBLE), 6) AS value FROM (
+  SELECT item_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM items_d JOIN tv ON txt = description)
+WHERE x <> 0""".replace("items_d", "(SELECT item_id, description FROM items)"),
+)
+def q_embed_token_vectors(spark, sf):
+    """U1 in the JVM: non-zero slots of each item's token vector."""
+    e = token_vectors(fx.items(spark, sf).select("item_id", "description"), "description", "vec")
+    return round_doubles(
+        e.select("item_id", F.posexplode("vec").alias("slot", "value")).filter("value <> 0"), 6
+    )
+
+
+@register(
+    "search_text",
+    _search_sql(5, True).replace(
+        "  c AS (SELECT item_id, year, code, description, embedding,",
+        _token_vectors_sql("tvi", "items", "description").lstrip("\n") + "," + _token_vectors_sql("tvq", "queries_v", "text")
+        + ",\n  ie AS (SELECT i.* REPLACE (t.embedding AS embedding) FROM items i JOIN tvi t ON t.txt = i.description),"
+        + "\n  qe AS (SELECT q.* REPLACE (t.embedding AS embedding) FROM queries_v q JOIN tvq t ON t.txt = q.text),"
+        + "\n  c AS (SELECT item_id, year, code, description, embedding,",
+    ).replace("AS norm FROM items),", "AS norm FROM ie),").replace("AS norm FROM queries_v),", "AS norm FROM qe),"),
+)
+def q_search_text(spark, sf):
+    """Q1 from text: query strings and corpus encoded alike, then searched."""
+    return search_text(fx.queries_v(spark, sf).select("query_id", "text"), _corpus(spark, sf), top_k=5)
+
+
 # ------------------------------------------------------------------ I/O
 @register(
     "sink_scan_pairs",

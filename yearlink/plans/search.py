@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from yearlink.functions.indel import indel
 from yearlink.functions.text import jaccard, tokens
-from yearlink.functions.vectors import l2_norm
+from yearlink.functions.vectors import l2_norm, token_vectors
 from yearlink.operators.similarity import cosine_topk
 
 
@@ -94,6 +94,14 @@ def flat_index_search(queries: DataFrame, vectors: DataFrame, k: int, id_col: st
     )
 
 
+def search_text(queries: DataFrame, corpus: DataFrame, dim: int = 64, desc_col: str = "description", **how) -> DataFrame:
+    """Q1 from text: queries ``(query_id, text)`` and corpus texts are encoded
+    alike (hashed tokens), then searched."""
+    return search(
+        token_vectors(queries, "text", "embedding", dim), token_vectors(corpus, desc_col, "embedding", dim), desc_col=desc_col, **how
+    )
+
+
 # ------------------------------------------------------------------ corpus
 def prepare_corpus(df: DataFrame, embedding_column: str = "description_embedding", columns_to_keep=None) -> DataFrame:
     """Metadata columns (default: all but the vector) + float vector.
@@ -143,6 +151,6 @@ def format_results(results: DataFrame, fmt: str = "json") -> DataFrame:
     if fmt == "text":
         return results.select(
             "query_id", "rank",
-            F.format_string("%d. [%.4f] %s", F.col("rank"), F.round("combined_similarity", 4), F.col("description")).alias("line"),
+            F.format_string("%d. [%.4f] %s", F.col("rank"), F.floor(F.round("combined_similarity", 9) * 10000 + 0.5) / 10000.0, F.col("description")).alias("line"),
         )
     raise ValueError("fmt must be json, csv or text")
