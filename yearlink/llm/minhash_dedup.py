@@ -290,3 +290,22 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = near_duplicates(docs, id_col, text_col, **how).where("not kept").select("doc_id").distinct()
     gone = gone.withColumnRenamed("doc_id", "_llm_gone")
     return docs.join(gone, F.col(id_col).cast("long") == F.col("_llm_gone"), "left_anti")
+
+
+SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda j: list_slice(w, j, j + 2))
+                                        WHEN len(w) > 0 THEN [w] ELSE [] END) AS e FROM d),
+x AS (SELECT doc_id, unnest(e) AS e FROM s WHERE doc_id IS NOT NULL),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b
+         WHERE 100 * n >= 85 * (len(p.e) + len(q.e) - n)),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM way UNION SELECT r.a, w.b FROM reach r JOIN way w ON w.a = r.b),
+label AS (SELECT a AS doc_id, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, len(e)::BIGINT AS n_shingles, least(doc_id, component) AS component_id,
+       coalesce(doc_id = least(doc_id, component), true) AS kept
+FROM s LEFT JOIN label USING (doc_id)
+"""  # for tables whose rows differ in doc_id

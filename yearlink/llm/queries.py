@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from yearlink.llm import mixing, rule_cascade, warc
+from yearlink.llm import minhash_dedup, mixing, rule_cascade, substring_dedup, warc
 from yearlink.llm.common import read
 from yearlink.llm.decontaminate import leaks
 from yearlink.llm.html_extract import main_texts
@@ -65,11 +65,17 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+ORACLE["op6_minhash_dedup"] = minhash_dedup.SQL
+
+
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(read(spark, sf_dir, "documents"))
 
 
+ORACLE["op7_substring_dedup"] = substring_dedup.SQL
+
+
 @query
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(read(spark, sf_dir, "documents"))

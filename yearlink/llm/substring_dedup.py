@@ -290,3 +290,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = f"row {dealt.schema['row'].dataType.simpleString()}, text string"
     out = dealt.groupBy(CHUNK).cogroup(owners.groupBy(CHUNK)).applyInArrow(rewrite, schema)
     return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+                  list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT k, doc_id, unnest(range(1, len(w) - 11)) AS i,
+               unnest(list_transform(range(1, len(w) - 11), lambda j: list_slice(w, j, j + 12))) AS g FROM d WHERE len(w) >= 13),
+owner AS (SELECT g, min(doc_id) AS least FROM win GROUP BY g),
+gone AS (SELECT DISTINCT k, i + o AS i FROM win JOIN owner USING (g), range(0, 13) AS r(o)
+         WHERE least < doc_id OR (doc_id IS NULL AND least IS NOT NULL)),
+word AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT k, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
