@@ -99,3 +99,20 @@ def test_negative_weights_are_not_pruned(spark):
     for weights in ({"gamma": -0.9}, {"beta": -0.5}):
         a, b = (sorted(map(tuple, match_year_pair(it, prune=p, **weights).collect())) for p in (True, False))
         assert a == b and len(a) == 6
+
+
+def test_search_by_scan_is_search_by_tiles(spark):
+    from yearlink.operators import similarity as sim
+    from yearlink.plans.search import search
+
+    rows = [(i, i % 3, f"c{i}", f"word{i % 11} thing{i % 4}", None if i % 17 == 0 else [float(i % 5), float(i % 7), 1.0 if i % 13 else 0.0])
+            for i in range(300)]
+    corpus = spark.createDataFrame(rows, "item_id long, year int, code string, description string, embedding array<float>").repartition(4)
+    queries = spark.createDataFrame(
+        [(j, f"thing{j % 4} word{j}", [float(j % 3), float(j), 2.0] if j else [0.0, 0.0, 0.0]) for j in range(9)],
+        "query_id long, text string, embedding array<float>",
+    )
+    a, b = (sorted(map(tuple, search(queries, corpus, top_k=4, method=m).collect())) for m in ("scan", "block"))
+    assert a == b and len(a) == 36
+    side = queries.selectExpr("query_id", "embedding", "1.0D as norm")
+    assert sim.cosine_topk_scan(side, side, 1, "query_id", "query_id", most=3) is None

@@ -265,3 +265,46 @@ def cosine_topk(
         .filter(F.col("_rk") <= F.lit(k) - F.col("n_pruned"))
         .drop("_rk", "n_pruned")
     )
+
+
+def _scan_fn(ids: np.ndarray, vecs: np.ndarray, norms: np.ndarray, k: int, rows: int = 4096):
+    margin = 10.0 ** (-SCORE_DIGITS + 1)
+
+    def fn(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                cv = _dense(pa.chunked_array([b.column(1)]), b.num_rows)
+                d = max(cv.shape[1], vecs.shape[1])
+                qv = np.pad(vecs, ((0, 0), (0, d - vecs.shape[1])))
+                cv = np.pad(cv, ((0, 0), (0, d - cv.shape[1])))
+                den = np.outer(norms, np.nan_to_num(b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)))
+                dots = qv @ cv.T
+                cos = np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
+                n = b.num_rows
+                # ties after quantisation stay; the exact cut is made in Spark
+                keep = cos >= np.partition(cos, n - k, axis=1)[:, n - k][:, None] - margin if n > k else np.ones(cos.shape, bool)
+                qi, ci = np.nonzero(keep)
+                r_ids = b.column(0).to_numpy(zero_copy_only=False)
+                yield pa.record_batch([pa.array(ids[qi]), pa.array(r_ids[ci]), pa.array(cos[qi, ci])], names=["l_id", "r_id", "cos"])
+
+    return fn
+
+
+def cosine_topk_scan(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, most: int = 2048) -> DataFrame | None:
+    """:func:`cosine_topk` of one group for at most ``most`` left rows, which
+    travel with the tasks: the right side is scored where it lies and only its
+    top rows are shuffled.  None if there are more left rows than that."""
+    few = left.select(F.col(left_id).cast("long"), "embedding", "norm").limit(most + 1).collect()
+    if len(few) > most or not few:
+        return None
+    width = max(len(r[1] or ()) for r in few)
+    vecs = np.zeros((len(few), width))
+    for i, r in enumerate(few):
+        vecs[i, : len(r[1] or ())] = r[1] or ()
+    norms = np.nan_to_num(np.array([np.nan if r[2] is None else r[2] for r in few], np.float64))
+    ship_package(left.sparkSession)
+    side = right.select(F.col(right_id).cast("long").alias("_rid"), "embedding", "norm")
+    scored = side.mapInArrow(_scan_fn(np.array([r[0] for r in few], np.int64), vecs, norms, k), "l_id long, r_id long, cos double")
+    w = Window.partitionBy("l_id").orderBy(F.desc("cos"), F.asc("r_id"))
+    return scored.withColumn("cos", quantise("cos")).withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")

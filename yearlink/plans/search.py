@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from yearlink.functions.indel import indel
 from yearlink.functions.text import jaccard, tokens
 from yearlink.functions.vectors import l2_norm, token_vectors
-from yearlink.operators.similarity import cosine_topk
+from yearlink.operators.similarity import cosine_topk, cosine_topk_scan
 
 
 def search(
@@ -28,7 +28,7 @@ def search(
     empty: str = "cosine",
     id_col: str = "item_id",
     desc_col: str = "description",
-    method: str = "block",
+    method: str = "scan",
 ) -> DataFrame:
     """Q1/Q2/Q3: ``min(10*top_k, n)`` cosine candidates when reranking (else
     ``top_k``), scored and cut to ``top_k`` per query.
@@ -45,7 +45,10 @@ def search(
         F.lit(0).alias("_k"), "query_id", "embedding", l2_norm("embedding").alias("norm")
     )
     cv = c.select(F.lit(0).alias("_k"), F.col(id_col), "embedding", l2_norm("embedding").alias("norm"))
-    cand = cosine_topk(q, cv, ["_k"], n_cand, "query_id", id_col, method=method).select(
+    cand = cosine_topk_scan(q, cv, n_cand, "query_id", id_col) if method == "scan" else None
+    if cand is None:  # too many queries to send along
+        cand = cosine_topk(q, cv, ["_k"], n_cand, "query_id", id_col, method="block" if method == "scan" else method)
+    cand = cand.select(
         F.col("l_id").alias("query_id"), F.col("r_id").alias("_cid"), F.col("cos")
     )
     qt = queries.select(F.col("query_id").alias("_qid"), F.col("text").alias("_qtext"))
