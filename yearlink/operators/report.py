@@ -247,28 +247,44 @@ def weighted_prf(pt: DataFrame, per_class: DataFrame | None = None) -> DataFrame
     )
 
 
-def accuracy(pt: DataFrame) -> DataFrame:
-    """Share of non-NULL pairs with pred = truth (computed, never fixed)."""
+def truth_join_counts(pred: DataFrame, truth: DataFrame, on: str = "description") -> DataFrame:
+    """J7 for reports: (y_pred, y_true, n) where n is the number of joined
+    rows.  Both sides are counted by text and label first, so a text that is
+    repeated on both sides meets once, not n x m times."""
+    p = pred.filter(F.col(on).isNotNull()).groupBy(on, "y_pred").agg(F.count(F.lit(1)).alias("_np"))
+    t = truth.filter(F.col(on).isNotNull()).groupBy(on, "y_true").agg(F.count(F.lit(1)).alias("_nt"))
+    return p.join(t, on).select("y_pred", "y_true", (F.col("_np") * F.col("_nt")).alias("n"))
+
+
+def accuracy(pt: DataFrame, count: str | None = None) -> DataFrame:
+    """Share of non-NULL pairs with pred = truth (computed, never fixed).
+    ``count`` names a column that says how often a row counts."""
+    n = F.col(count) if count else F.lit(1)
     v = pt.filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+    right = F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(F.lit(0))
     return v.agg(
-        F.count(F.lit(1)).alias("n_valid"),
-        F.count_if(F.col("y_true") == F.col("y_pred")).alias("n_correct"),
-        F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("n_valid"),
+        F.coalesce(F.sum(right), F.lit(0)).alias("n_correct"),
+        (F.sum(right) / F.sum(n)).alias("accuracy"),
     )
 
 
-def missing_report(df: DataFrame, cols: list[str]) -> DataFrame:
-    """NULL count per column and rows valid for comparison."""
+def missing_report(df: DataFrame, cols: list[str], count: str | None = None) -> DataFrame:
+    """NULL count per column and rows valid for comparison.  ``count``
+    names a column that says how often a row counts."""
+    n = F.col(count) if count else F.lit(1)
     valid = F.lit(True)
     for c in cols:
         valid = valid & F.col(c).isNotNull()
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, n).otherwise(F.lit(0))), F.lit(0))
     return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cols],
-        F.count_if(valid).alias("n_valid"),
+        total(F.lit(True)).alias("n_rows"),
+        *[total(F.col(c).isNull()).alias(f"null_{c}") for c in cols],
+        total(valid).alias("n_valid"),
     )
 
 
+
 # --------------------------------------------------------------- cleaning
 def clean_codes(df: DataFrame, code_col: str, year_col: str, min_year: int = 1989) -> DataFrame:
     """from ``min_year`` on, strip a float '.0' from codes longer than 8,

@@ -348,18 +348,18 @@ TJ_SQL = (
 )
 
 
-def _truth_join(spark, sf):
+def _truth_sides(spark, sf):
     e = fx.synthetic_edges(spark, sf).select(
         "row_id", F.col("description_n").alias("description"), tx.prefix2("code_n1").alias("y_pred")
     )
     t = fx.items(spark, sf).select("item_id", "description", tx.prefix2("code").alias("y_true"))
-    return rp.truth_join(e, t, "description")
+    return e, t
 
 
 @register("truth_join", TJ_SQL + "SELECT row_id, item_id, y_pred, y_true FROM tj")
 def q_truth_join(spark, sf):
     """Predictions x truth on exact description (many-to-many)."""
-    return _truth_join(spark, sf).select("row_id", "item_id", "y_pred", "y_true")
+    return rp.truth_join(*_truth_sides(spark, sf), "description").select("row_id", "item_id", "y_pred", "y_true")
 
 
 @register(
@@ -371,7 +371,7 @@ def q_truth_join(spark, sf):
 )
 def q_missing_report(spark, sf):
     """NULL counts and rows valid for comparison on the truth join."""
-    return rp.missing_report(_truth_join(spark, sf), ["y_pred", "y_true"])
+    return rp.missing_report(rp.truth_join_counts(*_truth_sides(spark, sf)), ["y_pred", "y_true"], "n")
 
 
 @register(
@@ -383,7 +383,7 @@ FROM tj WHERE y_true IS NOT NULL AND y_pred IS NOT NULL""",
 )
 def q_truth_accuracy(spark, sf):
     """A16 on the J7 join (2-digit agreement of predicted and true codes)."""
-    return round_doubles(rp.accuracy(_truth_join(spark, sf)))
+    return round_doubles(rp.accuracy(rp.truth_join_counts(*_truth_sides(spark, sf)), "n"))
 
 
 @register(
