@@ -94,6 +94,52 @@ def test_the_parts_of_the_filter_are_those_of_a_whole_one():
     assert (data == whole.data).all()
 
 
+def test_the_filter_grows_with_the_counts_and_keeps_every_level():
+    by_level = {1: np.full(M.LEVELS, 5), 2: np.array([0, 900_000, 80, 9, *([1] * (M.LEVELS - 4))])}
+    entries = sum(int((x * np.arange(M.LEVELS)).sum()) for x in by_level.values())
+    bits = M.filter_bits(by_level, 1 << 18)
+    assert bits >= M.BITS_EACH * entries and bits % (8 * M.SEGMENTS) == 0
+    assert M.filter_bits(by_level, 1 << 27) == 1 << 27
+
+
+@pytest.mark.parametrize("n", [1, 3, 8, 211, 300])
+def test_owners_answer_for_all_n_grams(n):
+    """Also for pairs seen once, and at any number of hash ranges."""
+    rng = np.random.default_rng(2)
+    for kind, width in ((1, 64), (2, M.PAIR_BITS)):
+        keys = np.unique(rng.integers(0, 2**width, 5000, dtype=np.uint64))
+        counts = rng.integers(1, 4, len(keys))
+        absent = np.setdiff1d(rng.integers(0, 2**width, 5000, dtype=np.uint64), keys)
+        cut, other, seen, wrong = C.bounds(keys, n, width), C.bounds(absent, n, width), 0, 0
+        for k in range(n):
+            s, o = slice(cut[k], cut[k + 1]), slice(other[k], other[k + 1])
+            line = lambda chunk, x, counts=None: (chunk, k, *((x, None) if kind == 1 else (None, x)), counts)  # noqa: B023, E731
+            lines = [line(-1, C.pack_sorted(keys[s]), C.pack(counts[s].astype(np.uint64)))] if cut[k] < cut[k + 1] else []
+            lines += [line(9, C.pack_sorted(x)) for x in (keys[s], absent[o]) if len(x)]
+            cols = zip(*(lines or [()] * 5), strict=True)
+            if not lines:
+                continue
+            batch = pa.record_batch([pa.array(c, t) for c, t in zip(cols, M._LINES.values(), strict=True)], names=list(M._LINES))
+            got = [r for b in M._answer(n, 1 << 18)(iter([batch])) for r in b.to_pylist()]
+            levels = [C.unpack(r["words" if kind == 1 else "pairs"]).astype(int) for r in got]
+            if cut[k] < cut[k + 1]:
+                assert (levels[0] >= counts[s]).all()
+                seen += len(levels[0])
+                if kind == 1:
+                    assert (C.unpack(got[0]["counts"]) == counts[s]).all()
+                levels = levels[1:]
+            wrong += sum(int((x > 0).sum()) for x in levels)
+        assert seen == len(keys) and wrong < 0.03 * len(absent)
+
+
+def test_a_small_least_size_changes_no_score(spark):
+    """The filter used to drop n-grams to stay within ``bits``."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
+    wide = {r.doc_id: r.score / r.n_tokens for r in M.scored(docs).collect()}
+    small = {r.doc_id: r.score / r.n_tokens for r in M.scored(docs, bits=1 << 12).collect()}
+    assert max(abs(wide[i] - small[i]) for i in wide) < 0.05
+
+
 # ------------------------------------------------------------ language id
 def test_language_of_the_held_out_fold(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

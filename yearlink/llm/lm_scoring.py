@@ -7,11 +7,16 @@ them up.  All words and pairs of all training documents are counted.
 Filter.  A count becomes a level: 1 to 4 as they are, then steps of a factor
 ``STEP``.  An n-gram of level q is put into one Bloom filter q times, as
 (n-gram, 1) to (n-gram, q); reading it back probes (n-gram, 1), (n-gram, 2),
-... until one is missing.  The filter has ``BITS`` bits (16 MB, a parameter),
-whatever the corpus: that bounds what is broadcast.  If the n-grams would
-need more than that at ``BITS_EACH`` bits an entry, the rarest levels stay
-out, of the order with more entries first; pairs seen once never go in.
-Owners of hash ranges fill their own part of the filter.
+... until one is missing.  The filter grows with the corpus: ``BITS_EACH`` bits
+an entry, ``bits`` at least, and all n-grams go in, those seen once too.  It is
+never in one place: the owner of a hash range fills and probes the segments of
+its range.
+
+Lookup.  Documents are dealt into chunks; every chunk asks the owners for its
+different words and pairs.  The answers (levels, and exact counts of the words)
+meet the chunk again and become the levels of each document's tokens, which
+are stored.  Weights and scores are then computed from the levels alone.
+Nothing of vocabulary size is broadcast or goes through the driver.
 
 Probability.  P(w | v) = (1 - a) P1(w) + a c(vw) / c(v) with
 P1(w) = (c(w) + 1) / (N + V + 1), all counts as probed.  The weight a depends
@@ -20,9 +25,7 @@ maximum-likelihood weight (EM) for all training tokens with their own
 occurrence taken out of the counts; EM sees a histogram of the ratio of the
 two estimates, a few hundred numbers.
 
-Base score.  Exact counts of all words are needed; documents are dealt into
-chunks, every chunk asks the owners for its different words, and the answers
-meet the chunk again.  Nothing of vocabulary size goes through the driver.
+Base score.  From the exact counts of all words.
 
 Defined cases: a null or empty text has one token, its end.  Rows without a
 doc_id never teach; held_out is null for them.  Without training documents N
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from yearlink.llm import common as C
 from yearlink.llm.common import CHUNK, U64
 
-BITS = 1 << 27
+BITS = 1 << 27  # least size of the filter
 BITS_EACH = 11  # bits of the filter for an entry
 PROBES = 6
 STEP = 1.25
@@ -48,6 +51,7 @@ SEGMENTS = 256  # parts of the filter, by the n-gram's hash
 PAIR_BITS = 48  # of a pair's hash
 LEVELS = 128
 END = C.mix(np.array([2], U64))[0]
+PIECE = 1 << 20  # keys probed, or tokens scored, at once
 _COUNTS = "bucket int, kind int, keys binary, counts binary, stats array<long>"
 
 
@@ -115,8 +119,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _add_up(batches):
-    """Owner of a hash range: the sums of its words and pairs; pairs seen once
-    are only counted.  stats: tokens, then the number of n-grams by level."""
+    """Owner of a hash range: the sums of its words and pairs.  stats: tokens,
+    then the number of n-grams by level."""
     parts: dict[int, list] = {1: [], 2: []}
     bucket = None
     for b in batches:
@@ -134,14 +138,13 @@ def _add_up(batches):
         starts = C.group_starts(keys)
         keys, counts = keys[starts], np.add.reduceat(counts, starts)
         stats = [int(counts.sum()), *np.bincount(level(counts), minlength=LEVELS).tolist()]
-        if kind == 2:
-            keys, counts = keys[counts > 1], counts[counts > 1]
         out.append((bucket, kind, C.pack_sorted(keys), C.pack(counts.astype(U64)), stats))
     yield _rows(out)
 
 
 def cutoffs(by_level: dict[int, np.ndarray], capacity: int) -> dict[int, int]:
-    """Lowest level of each order that goes into a filter of that many entries."""
+    """Lowest level of each order that goes into a filter of that many entries.
+    For a filter of a given size only; ``scored`` sizes its filter to hold all."""
     cut = {1: 1, 2: 2}
 
     def entries(k):
@@ -207,7 +210,9 @@ def _fill(cut: dict[int, int], bits: int):
                 for s in np.unique(part):
                     mine = part == s
                     f = BloomFilter(np.zeros(bits // 8 // SEGMENTS, np.uint8), bits)
-                    f.insert(keys[mine] & U64((1 << 56) - 1), q[mine])
+                    inside, mine_q = keys[mine] & U64((1 << 56) - 1), q[mine]
+                    for i in range(0, len(inside), PIECE // 8):
+                        f.insert(inside[i : i + PIECE // 8], mine_q[i : i + PIECE // 8])
                     yield pa.record_batch(
                         [pa.array([int(s)], pa.int32()), pa.array([f.data.tobytes()])], names=["part", "data"]
                     )
@@ -215,40 +220,55 @@ def _fill(cut: dict[int, int], bits: int):
     return run
 
 
+class Owned:
+    """The segments of the filter for one hash range, out of ``buckets``."""
+
+    def __init__(self, bucket: int, buckets: int, bits: int):
+        self.low = (bucket << 64) // buckets >> 56
+        high = min(((bucket + 1) << 64) // buckets >> 56, SEGMENTS - 1)
+        self.size = bits // 8 // SEGMENTS
+        self.filter = BloomFilter(np.zeros((high - self.low + 1) * self.size, np.uint8), bits)
+        self._put = _fill({1: 1, 2: 1}, bits)
+
+    def insert(self, known: pa.RecordBatch) -> None:
+        for b in self._put(iter([known])):
+            at = (b.column(0)[0].as_py() - self.low) * self.size
+            self.filter.data[at : at + self.size] |= np.frombuffer(b.column(1)[0].as_py(), np.uint8)
+
+    def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        return self.filter.levels(filter_key(kind, keys) - U64(self.low << 56))
+
+
 class Model:
-    """Filter, N, V and the weights of the pair estimate."""
+    """N, V and the weights of the pair estimate."""
 
     CLASSES = 16
     BINS = 160
 
-    def __init__(self, data: np.ndarray, bits: int, n: int, v: int):
-        self.bits, self.n, self.v = bits, n, v
-        self.data = data
+    def __init__(self, n: int, v: int):
+        self.n, self.v = n, v
         self.weights = np.full(2 * self.CLASSES, 0.1)
 
-    def estimates(self, token: np.ndarray, doc: np.ndarray, pair: np.ndarray, own: int):
-        """P1, pair estimate and weight class of each token; ``own`` is 1 to
+    def estimates(self, q1: np.ndarray, q2: np.ndarray, sizes: np.ndarray, own: int):
+        """P1, pair estimate and weight class of each token, from the levels of
+        the words and pairs of documents with so many tokens; ``own`` is 1 to
         take the token's own occurrence out of the counts."""
-        f = BloomFilter(self.data, self.bits)
         worth = decoded()
-        keys, _, place = _uniques(token)
-        q1 = f.levels(filter_key(1, keys))[place]
-        keys, _, place = _uniques(pair)
-        c2 = worth[f.levels(filter_key(2, keys))][place]
-        first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
-        end = f.levels(filter_key(1, np.array([END], U64)))[0]
-        qv = np.where(first, end, np.concatenate(([0], q1[:-1])))
-        cv = worth[qv]
-        c1, c2, cv = np.maximum(worth[q1] - own, 0), np.maximum(c2 - own, 0), np.maximum(cv - own, 1)
+        last = np.cumsum(sizes) - 1
+        start = last + 1 - sizes
+        qv = np.concatenate(([0], q1[:-1]))
+        qv[start] = q1[last]  # the end stands before the first token
+        c1, c2, cv = np.maximum(worth[q1] - own, 0), np.maximum(worth[q2] - own, 0), np.maximum(worth[qv] - own, 1)
         found = c2 > 0
-        found_before = np.where(first, False, np.concatenate(([False], found[:-1])))
+        found_before = np.concatenate(([False], found[:-1]))
+        found_before[start] = False
         p1 = (c1 + 1) / (self.n + self.v + 1)
         p2 = np.minimum(c2 / cv, 1.0)
         return p1, p2, found_before * self.CLASSES + np.minimum(qv // 3, self.CLASSES - 1)
 
-    def histogram(self, token, doc, pair) -> np.ndarray:
+    def histogram(self, q1, q2, sizes) -> np.ndarray:
         """Number of tokens by weight class and by the ratio of the estimates."""
-        p1, p2, k = self.estimates(token, doc, pair, own=1)
+        p1, p2, k = self.estimates(q1, q2, sizes, own=1)
         ratio = np.where(p2 > 0, np.clip(4 * np.log2(np.maximum(p2, 1e-300) / p1) + 40, 1, self.BINS - 1), 0)
         return np.bincount(k * self.BINS + ratio.astype(np.int64), minlength=2 * self.CLASSES * self.BINS)
 
@@ -263,19 +283,18 @@ class Model:
             a = (counts * share).sum(axis=1) / counts.sum(axis=1)
         self.weights = np.clip(a, 1e-4, 0.95)
 
-    def scores(self, token, doc, pair, n_docs: int) -> np.ndarray:
-        p1, p2, k = self.estimates(token, doc, pair, own=0)
+    def scores(self, q1, q2, sizes) -> np.ndarray:
+        p1, p2, k = self.estimates(q1, q2, sizes, own=0)
         a = self.weights[k]
-        return np.bincount(doc, np.log10((1 - a) * p1 + a * p2), minlength=n_docs)
+        return np.bincount(np.repeat(np.arange(len(sizes)), sizes), np.log10((1 - a) * p1 + a * p2), minlength=len(sizes))
 
 
-def train(docs: DataFrame, bits: int = BITS) -> tuple[Model, DataFrame]:
-    """Model of the texts in ``docs`` (column text) and the table of counts."""
-    spark = docs.sparkSession
-    n = C.partitions(spark)
-    texts = docs.select("text")
-    counted = texts.mapInArrow(_count(n), _COUNTS).repartitionById(n, F.col("bucket")).mapInArrow(_add_up, _COUNTS)
-    counts = C.shared_table(counted, "lm-counts")
+def counted(texts: DataFrame, bits: int = BITS) -> tuple[DataFrame, int, int, int]:
+    """Table of the counts of ``texts`` (column text), N, V and the bits of a
+    filter with room for all n-grams."""
+    n = C.partitions(texts.sparkSession)
+    sums = texts.mapInArrow(_count(n), _COUNTS).repartitionById(n, F.col("bucket")).mapInArrow(_add_up, _COUNTS)
+    counts = C.shared_table(sums, "lm-counts")
     by_level, total = {1: np.zeros(LEVELS, np.int64), 2: np.zeros(LEVELS, np.int64)}, 0
     sums = counts.select("kind", F.posexplode("stats").alias("at", "x")).groupBy("kind", "at").agg(F.sum("x").alias("x"))
     for r in sums.collect():  # two rows of LEVELS numbers
@@ -283,67 +302,103 @@ def train(docs: DataFrame, bits: int = BITS) -> tuple[Model, DataFrame]:
             by_level[r["kind"]][r["at"] - 1] = r["x"]
         elif r["kind"] == 1:
             total = r["x"]
-    cut = cutoffs(by_level, bits // BITS_EACH)
-    data = np.zeros(bits // 8, np.uint8)
-    size = len(data) // SEGMENTS
-    filled = counts.select("kind", "keys", "counts").mapInArrow(_fill(cut, bits), "part int, data binary")
-    for r in filled.toLocalIterator():  # the filter, a part at a time
-        data[r["part"] * size : (r["part"] + 1) * size] |= np.frombuffer(r["data"], np.uint8)
-    model = Model(data, bits, total, int(by_level[1].sum()))
-    shared = spark.sparkContext.broadcast(model)
+    return counts, total, int(by_level[1].sum()), filter_bits(by_level, bits)
 
-    def histogram(batches):
-        seen = np.zeros(2 * Model.CLASSES * Model.BINS, np.int64)
-        for b in C.slices(batches, "text"):
-            seen += shared.value.histogram(*tokens(C.tokenize(b.column(0), lower=True)))
-        at = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(at), pa.array(seen[at])], names=["at", "x"])
 
-    histogram_rows = texts.mapInArrow(histogram, "at long, x long").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    seen = np.zeros(2 * Model.CLASSES * Model.BINS)
-    for r in histogram_rows:
-        seen[r["at"]] = r["x"]
-    model.fit_weights(seen)
-    return model, counts
+def filter_bits(by_level: dict[int, np.ndarray], least: int) -> int:
+    """Bits of a filter that holds every level of every n-gram, in whole bytes
+    for each segment."""
+    entries = sum(int((x * np.arange(LEVELS)).sum()) for x in by_level.values())
+    return -(-max(least, BITS_EACH * entries) // (8 * SEGMENTS)) * 8 * SEGMENTS
 
 
 def _ask(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        token, _, _ = tokens(C.tokenize(table.column("text"), lower=True))
-        keys, _, _ = _uniques(token)
-        cut = C.bounds(keys, buckets, 64)
-        some = np.flatnonzero(np.diff(cut))
+        token, _, pair = tokens(C.tokenize(table.column("text"), lower=True))
         chunk = table.column(CHUNK)[0].as_py()
-        return pa.table(
-            {
-                CHUNK: pa.array([chunk] * len(some), pa.int32()),
-                "bucket": pa.array(some, pa.int32()),
-                "keys": pa.array([C.pack_sorted(keys[cut[k] : cut[k + 1]]) for k in some], pa.binary()),
-                "counts": pa.array([None] * len(some), pa.binary()),
-            }
-        )
+        lines = [[chunk, k, None, None, None] for k in range(buckets)]
+        for kind, values, bits in ((1, token, 64), (2, pair, PAIR_BITS)):
+            keys = np.unique(values)
+            cut = C.bounds(keys, buckets, bits)
+            for k in np.flatnonzero(np.diff(cut)):
+                lines[k][1 + kind] = C.pack_sorted(keys[cut[k] : cut[k + 1]])
+        cols = zip(*(x for x in lines if x[2] or x[3]), strict=True)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, _LINES.values(), strict=True)], names=list(_LINES))
 
     return run
 
 
-def _answer(batches):
-    """Owner of a hash range: for every asking chunk the counts of its words."""
-    vocabulary, asked = [], []
+# a chunk's words and pairs of a hash range, or (with counts) one of the two as known
+_LINES = {CHUNK: pa.int32(), "bucket": pa.int32(), "words": pa.binary(), "pairs": pa.binary(), "counts": pa.binary()}
+
+
+def _answer(buckets: int, bits: int):
+    """Owner of a hash range: for every asking chunk the levels of its words
+    and pairs, and the counts of its words."""
+
+    def run(batches):
+        vocabulary, known, asked, bucket = (np.empty(0, U64), np.empty(0, np.int64)), [], [], None
+        for b in batches:
+            for chunk, bucket, words, pairs, counts in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if chunk >= 0:
+                    asked.append((chunk, words, pairs))
+                    continue
+                known.append((2 if words is None else 1, pairs if words is None else words, counts))
+                if words is not None:
+                    vocabulary = C.unpack_sorted(words), C.unpack(counts).astype(np.int64)
+        if bucket is None:
+            return
+        mine = Owned(bucket, buckets, bits)
+        while known:
+            kind, keys, counts = known.pop()
+            mine.insert(
+                pa.record_batch([pa.array([kind], pa.int32()), pa.array([keys]), pa.array([counts])], names=["kind", "keys", "counts"])
+            )
+        some, size = [], 0
+        for i, (chunk, *both) in enumerate(asked):
+            some.append((chunk, *(np.empty(0, U64) if x is None else C.unpack_sorted(x) for x in both)))
+            size += len(some[-1][1]) + len(some[-1][2])
+            if size < PIECE and i + 1 < len(asked):
+                continue
+            out = [pa.array([x[0] for x in some], pa.int32()), pa.array([bucket] * len(some), pa.int32())]
+            for kind in (1, 2):  # what several chunks ask for is probed once
+                keys, _, place = _uniques(np.concatenate([x[kind] for x in some]))
+                end = np.cumsum([len(x[kind]) for x in some])[:-1]
+                out.append(pa.array([C.pack(x) for x in np.split(mine.levels(kind, keys)[place], end)], pa.binary()))
+                if kind == 1:
+                    counts = np.zeros(len(keys), np.int64)
+                    if len(vocabulary[0]):
+                        at = np.minimum(np.searchsorted(vocabulary[0], keys), len(vocabulary[0]) - 1)
+                        counts = np.where(vocabulary[0][at] == keys, vocabulary[1][at], 0)
+                    exact = pa.array([C.pack(x) for x in np.split(counts[place], end)], pa.binary())
+            yield pa.record_batch([*out, exact], names=[CHUNK, "bucket", "words", "pairs", "counts"])
+            some, size = [], 0
+
+    return run
+
+
+def _pack_levels(q1: np.ndarray, q2: np.ndarray) -> bytes:
+    return C._codec()[0].compress(np.concatenate((q1, q2)).astype(np.uint8).tobytes())
+
+
+def _unpack_levels(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of words and of pairs, and the number of tokens of each document."""
+    parts = [np.frombuffer(C._codec()[1].decompress(x), np.uint8) for x in data]
+    q1 = np.concatenate([p[: len(p) // 2] for p in parts]).astype(np.int64)
+    q2 = np.concatenate([p[len(p) // 2 :] for p in parts]).astype(np.int64)
+    return q1, q2, np.array([len(p) // 2 for p in parts], np.int64)
+
+
+def _pieces(batches):
+    """Batches cut so that each holds at most ``PIECE`` tokens, or one row."""
     for b in batches:
-        for chunk, bucket, keys, counts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if chunk < 0:
-                vocabulary.append((C.unpack_sorted(keys), C.unpack(counts).astype(np.int64)))
-            else:
-                asked.append((chunk, bucket, keys))
-    keys, counts = vocabulary[0] if vocabulary else (np.empty(0, U64), np.empty(0, np.int64))
-    for chunk, bucket, mine in asked:
-        mine = C.unpack_sorted(mine)
-        at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
-        found = np.where(keys[at] == mine, counts[at], 0) if len(keys) else np.zeros(len(mine), np.int64)
-        yield pa.record_batch(
-            [pa.array([chunk], pa.int32()), pa.array([bucket], pa.int32()), pa.array([C.pack(found.astype(U64))])],
-            names=[CHUNK, "bucket", "counts"],
-        )
+        ends = np.cumsum(b.column(b.schema.get_field_index("n_tokens")).to_numpy())
+        i = 0
+        while i < b.num_rows:
+            before = ends[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + PIECE, "right")))
+            yield b.slice(i, j - i)
+            i = j
 
 
 def scored(
@@ -359,42 +414,83 @@ def scored(
         F.col(text_col).alias("text"),
         (C.crc_mod(id_col, folds) == held).alias("held_out"),
     )
-    model, counts = train(plain.where("not held_out"), bits)
-    shared = spark.sparkContext.broadcast(model)
-    total, distinct = model.n, model.v
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    counts, total, distinct, bits = counted(plain.where("not held_out").select("text"), bits)
 
-    def score(key, d: pa.Table, a: pa.Table) -> pa.Table:
+    def levels(key, d: pa.Table, a: pa.Table) -> pa.Table:
         if not d.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in _SCORED.items()})
+            return pa.table({k: pa.array([], t) for k, t in _LOOKED_UP.items()})
         token, doc, pair = tokens(C.tokenize(d.column("text"), lower=True))
-        keys, _, place = _uniques(token)
-        found = np.zeros(len(keys))
-        cut = C.bounds(keys, n, 64)
-        for bucket, packed in zip(a.column("bucket").to_pylist(), a.column("counts").to_pylist(), strict=True):
-            found[cut[bucket] : cut[bucket + 1]] = C.unpack(packed).astype(np.int64)
-        c = found[place]
-        base = np.bincount(doc, np.log10((c + 1) / (total + distinct + 1)), minlength=d.num_rows)
+        answers = list(zip(*(a.column(k).to_pylist() for k in ("bucket", "words", "pairs", "counts")), strict=True))
+        q = {}
+        for kind, values, width in ((1, token, 64), (2, pair, PAIR_BITS)):
+            keys, _, place = _uniques(values)
+            cut = C.bounds(keys, n, width)
+            found, c = np.zeros(len(keys), np.int64), np.zeros(len(keys))
+            for bucket, *packed, exact in answers:
+                found[cut[bucket] : cut[bucket + 1]] = C.unpack(packed[kind - 1]).astype(np.int64)
+                if kind == 1:
+                    c[cut[bucket] : cut[bucket + 1]] = C.unpack(exact).astype(np.int64)
+            q[kind] = found[place]
+            if kind == 1:
+                c1 = c[place]
+        sizes = np.bincount(doc, minlength=d.num_rows)
+        ends = np.cumsum(sizes)
         return pa.table(
             {
                 "doc_id": d.column("doc_id"),
                 "held_out": d.column("held_out"),
-                "n_tokens": pa.array(np.bincount(doc, minlength=d.num_rows)),
-                "n_known": pa.array(np.bincount(doc[c > 0], minlength=d.num_rows)),
-                "train_tokens": pa.array(np.full(d.num_rows, total, np.int64)),
-                "base_score": pa.array(base),
-                "score": pa.array(shared.value.scores(token, doc, pair, d.num_rows)),
+                "n_tokens": pa.array(sizes),
+                "n_known": pa.array(np.bincount(doc[c1 > 0], minlength=d.num_rows)),
+                "base_score": pa.array(np.bincount(doc, np.log10((c1 + 1) / (total + distinct + 1)), minlength=d.num_rows)),
+                "levels": pa.array(
+                    [_pack_levels(q[1][e - s : e], q[2][e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary()
+                ),
             }
         )
 
+    # both uses of ``dealt`` read all its columns, so that it is dealt out once
     dealt = C.chunked(plain, "doc_id", "text")
-    lines = f"{CHUNK} int, bucket int, keys binary, counts binary"
-    asked = dealt.select("text", CHUNK).groupBy(CHUNK).applyInArrow(_ask(n), lines)
-    known = counts.where("kind = 1").select(F.lit(-1).alias(CHUNK), "bucket", "keys", "counts")
-    answers = asked.union(known).repartitionById(n, F.col("bucket")).mapInArrow(_answer, f"{CHUNK} int, bucket int, counts binary")
-    return dealt.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(score, schema)
+    lines = f"{CHUNK} int, bucket int, words binary, pairs binary, counts binary"
+    asked = dealt.groupBy(CHUNK).applyInArrow(_ask(n), lines)
+    words, pairs = (F.when(F.col("kind") == k, F.col("keys")).alias(name) for k, name in ((1, "words"), (2, "pairs")))
+    known = counts.select(F.lit(-1).alias(CHUNK), "bucket", words, pairs, "counts")
+    answers = asked.union(known).repartitionById(n, F.col("bucket"))
+    answers = answers.mapInArrow(_answer(n, bits), lines)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, levels binary"
+    looked_up = C.shared_table(dealt.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(levels, schema), "lm-levels")
+    model = Model(total, distinct)
+
+    def histogram(batches):
+        seen = np.zeros(2 * Model.CLASSES * Model.BINS, np.int64)
+        for b in _pieces(batches):
+            seen += model.histogram(*_unpack_levels(b.column(1).to_pylist()))
+        at = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(at), pa.array(seen[at])], names=["at", "x"])
+
+    taught = looked_up.where("not held_out").select("n_tokens", "levels")
+    seen = np.zeros(2 * Model.CLASSES * Model.BINS)
+    for r in taught.mapInArrow(histogram, "at long, x long").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        seen[r["at"]] = r["x"]
+    model.fit_weights(seen)
+
+    def score(batches):
+        for b in _pieces(batches):
+            scores = model.scores(*_unpack_levels(b.column(5).to_pylist()))
+            made = [*b.columns[:4], pa.array(np.full(b.num_rows, total, np.int64)), b.column(4), pa.array(scores)]
+            yield pa.record_batch(made, names=list(_SCORED))
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return looked_up.mapInArrow(score, schema)
 
 
+_LOOKED_UP = {
+    "doc_id": pa.int64(),
+    "held_out": pa.bool_(),
+    "n_tokens": pa.int64(),
+    "n_known": pa.int64(),
+    "base_score": pa.float64(),
+    "levels": pa.binary(),
+}
 _SCORED = {
     "doc_id": pa.int64(),
     "held_out": pa.bool_(),
