@@ -114,6 +114,50 @@ def test_copies_and_changed_parameters_are_caught(spark):
     assert all(k[1] == 0 for k in got) and got[0, 0] >= 18
 
 
+DENSE = "A train travels 60 km in 2 h and 90 km in 3 h."
+
+
+def test_items_dense_in_numbers_and_names_are_found(spark):
+    changed = DENSE.replace("60", "75").replace("2 h", "4 h").replace("90", "85").replace("3 h", "5 h")
+    table = "3 4 5 6 7 8 9 10 11 12"  # no real word at all
+    texts = [f"Some words before. {DENSE} Some more after.", f"Here:\n{changed}", f"see {table} there", "12 11 10 9 8 7 6 5 4 3"]
+    n = len(D.template(DENSE)[0])
+    assert found(spark, texts, [DENSE, table]) == {(0, 0): n, (1, 0): n, (2, 1): 10}
+
+
+def test_one_window_with_enough_words_finds_the_whole_copy(spark):
+    """A hit used to count for the window's 8 tokens only, too few."""
+    item = "12 km 5 kg two words stand here now 7 km 8 kg"
+    n = len(D.template(item)[0])
+    assert found(spark, [f"x y {item} z", item.replace("12", "14")], [item]) == {(0, 0): n, (1, 0): n}
+
+
+def test_passages_are_the_longest_equal_templates():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(60):
+        words = ["5", "7", "km", "a", "b", "c", "d"]
+        item = [rng.choice(words) for _ in range(rng.randint(8, 40))]
+        a, b = sorted((rng.randint(0, len(item)), rng.randint(0, len(item))))
+        doc = [rng.choice(words) for _ in range(9)] + item[a:b] + [rng.choice(words) for _ in range(9)]
+        docs, bench = D.Templates([" ".join(doc)]), D.Benchmark([(1, " ".join(item))], D.WINDOW, D.LITERALS)
+        x, y = docs.tokens[0], bench.text.tokens[0]
+        got = {(p, q, n) for _, _, p, q, n in D._passages(docs, bench, D.WINDOW, D.LITERALS)}
+        for p in range(len(x)):
+            for q in range(len(y)):
+                if p and q and x[p - 1] == y[q - 1]:
+                    continue
+                n = 0
+                while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                    n += 1
+                real = sum(t not in D._SLOTS for t in x[p : p + n])
+                if n >= D.WINDOW and real >= D.LITERALS:
+                    assert (p, q, n) in got
+        for p, q, n in got:
+            assert x[p : p + n] == y[q : q + n]
+
+
 def test_slots_have_to_be_consistent():
     item = D.template("on day 3 the team of 5 met 3 others and 5 left")
     good = D.template("on day 8 the team of 2 met 8 others and 2 left")

@@ -5,24 +5,27 @@ case, where numbers, units and names give way to typed placeholders (<num>,
 <unit>, <name>).  "It takes 12 km" and "It takes 7.5 miles" are then the same
 template.  A name is a capitalised word inside a sentence.
 
-1. *Template windows.*  Every ``window`` tokens in a row, hashed, of all items
-   and of every whole document.  An item with fewer tokens is one window.
-   Windows with fewer than ``literals`` real words say too little and are
-   left out.
+1. *Template windows.*  From every token of all items and of every whole
+   document the shortest window of at least ``window`` tokens and ``literals``
+   real words, hashed: where numbers, units and names are dense, the window is
+   longer.  An item with fewer than ``window`` tokens is one window if it has
+   ``literals`` real words.  Every ``window`` tokens in a row with fewer real
+   words are also hashed with what their slots stand for, so that text with
+   hardly a word in it is found as it stands.
 2. *Hash join.*  The items' windows are hashed once and sent to the tasks,
    which probe them with the windows of each batch of documents.  Only
    ``BLOCK`` windows (a few MB) are sent at a time; a larger benchmark is
    joined block by block (blocks of whole items), so the broadcast is
    bounded whatever its size.
-3. *Slot consistency.*  The hits of a document with an item on one diagonal
-   form passages; along a passage the slot values have to map one to one
+3. *Slot consistency.*  A hit of a document with an item is extended to both
+   sides as long as the templates are equal: that is a passage.  Along a passage the slot values have to map one to one
    (the same number always to the same number, and so on), or the passage is
    cut there and only its consistent parts count.
    A document is contaminated by an item if a consistent passage has at least
    ``least`` tokens, or the whole item.
 
 Defined cases: null and empty texts, of either side, match nothing; so does
-an item with fewer than ``literals`` real words.  Repeated rows give repeated
+an item with fewer than ``literals`` real words and ``window`` tokens.  Repeated rows give repeated
 results (documents) or the same result (items).  Null ids: such a document is
 reported with a null id and stays in ``clean``; an item without an id is not
 used.  An empty benchmark or table finds nothing.
@@ -108,23 +111,80 @@ class Templates:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.lengths)))
         flat = [t for p in self.tokens for t in p]
-        words = C.tokenize(pa.array([" ".join(flat)], pa.large_string()))
-        self.hash = words.hash
+        self.hash = _hashes(flat)
         slots = {C.tokenize(pa.array([s])).hash[0] for s in _SLOTS}
         self.literal = ~np.isin(self.hash, np.array(sorted(slots), U64))
+        self.words = np.concatenate(([0], np.cumsum(self.literal)))
         self.doc = np.repeat(np.arange(len(texts)), self.lengths)
 
     def windows(self, k: int, literals: int):
-        """Start and hash of the windows of ``k`` tokens with enough words."""
+        """Start, length and hash of the windows of ``k`` tokens with enough words."""
+        at = self._starts(k, literals, True)
+        return at, np.full(len(at), k), self._sums(k)[at] if len(at) else np.empty(0, U64)
+
+    def _starts(self, k: int, literals: int, rich: bool) -> np.ndarray:
         n = len(self.hash) - k + 1
         if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, U64)
+            return np.empty(0, np.int64)
+        enough = self.words[k:] - self.words[:-k] >= min(literals, k)
+        return np.flatnonzero((self.doc[:n] == self.doc[k - 1 :]) & (enough if rich else ~enough))
+
+    def _sums(self, k: int) -> np.ndarray:
+        n = len(self.hash) - k + 1
         h = np.zeros(n, U64)
         for j in range(k):
             h = h * C._STEP + self.hash[j : j + n]
-        words = np.concatenate(([0], np.cumsum(self.literal)))
-        at = np.flatnonzero((self.doc[:n] == self.doc[k - 1 :]) & (words[k:] - words[:-k] >= min(literals, k)))
-        return at, C.mix(h[at] + U64(k))
+        return C.mix(h + U64(k))
+
+    def poor_windows(self, k: int, literals: int):
+        """The windows of ``k`` tokens with fewer words, hashed as they stand."""
+        at = self._starts(k, literals, False)
+        if not len(at):
+            return at, at, np.empty(0, U64)
+        covered = np.zeros(len(self.hash) + 1, np.int64)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + k, -1)
+        slot = np.flatnonzero((np.cumsum(covered[:-1]) > 0) & ~self.literal)
+        of, place = self.doc[slot].tolist(), (slot - self.first[self.doc[slot]]).tolist()
+        exact = self.hash.copy()  # where a slot is, with what stands there
+        exact[slot] = C.mix(exact[slot] * C._STEP + _hashes([self.values[d][i] for d, i in zip(of, place, strict=True)]))
+        h = np.zeros(len(at), U64)
+        for j in range(k):
+            h = h * C._STEP + exact[at + j]
+        return at, np.full(len(at), k), C.mix(C.mix(h) + U64(k))
+
+    def long_windows(self, k: int, literals: int):
+        """Windows longer than ``k``, from each token to the ``literals``-th
+        word after it in its text."""
+        at = self._starts(k, literals, False)
+        words = np.flatnonzero(self.literal)
+        last = np.searchsorted(words, at) + literals - 1  # of the words
+        at, last = at[last < len(words)], last[last < len(words)]
+        end = words[last] + 1
+        inside = end <= self.first[self.doc[at] + 1]
+        at, end = at[inside], end[inside]
+        if not len(at):
+            return at, at, np.empty(0, U64)
+        # sums of hash * STEP^place, moved back to the window's start
+        up, down = _step_powers(len(self.hash))
+        total = np.concatenate((np.zeros(1, U64), np.cumsum(self.hash * up, dtype=U64)))
+        return at, end - at, C.mix((total[end] - total[at]) * down[at] + (end - at).astype(U64))
+
+
+def _hashes(tokens: list[str]) -> np.ndarray:
+    return C.tokenize(pa.array([" ".join(tokens)], pa.large_string())).hash
+
+
+_pow = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def _step_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_pow[0]) < n:
+        for i, base in enumerate((int(C._STEP), pow(int(C._STEP), -1, 1 << 64))):
+            p = np.full(1 << (n - 1).bit_length(), U64(base))
+            p[0] = 1
+            _pow[i] = np.cumprod(p, dtype=U64)
+    return _pow[0][:n], _pow[1][:n]
 
 
 class Benchmark:
@@ -133,43 +193,59 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str | None]], window: int, literals: int):
         self.ids = [i for i, _ in items]
         self.text = Templates([t for _, t in items])
-        found = []
-        for k in sorted({window, *(int(n) for n in self.text.lengths if literals <= n < window)}):
-            at, h = self.text.windows(k, literals)
-            if k < window:  # the whole of a short item
-                whole = self.text.lengths[self.text.doc[at]] == k
-                at, h = at[whole], h[whole]
-            found.append((k, at, h))
-        self.sizes = sorted({k for k, at, _ in found if len(at)})
-        self.at = np.concatenate([f[1] for f in found])
+        self.short = sorted({int(n) for n in self.text.lengths if literals <= n < window})
+        found = list(_probes(self.text, window, literals))
+        for k in self.short:  # the whole of a short item
+            at, _, h = self.text.windows(k, literals)
+            whole = self.text.lengths[self.text.doc[at]] == k
+            found.append((at[whole], None, h[whole]))
+        self.at = np.concatenate([f[0] for f in found])
         self.hash = np.concatenate([f[2] for f in found])
         order = np.argsort(self.hash, kind="stable")
         self.at, self.hash = self.at[order], self.hash[order]
 
 
+def _probes(text: Templates, window: int, literals: int, short: list[int] | tuple = ()):
+    """All windows of some texts, a kind at a time."""
+    yield text.windows(window, literals)
+    yield text.long_windows(window, literals)
+    yield text.poor_windows(window, literals)
+    for k in short:
+        yield text.windows(k, literals)
+
+
 def _passages(docs: Templates, bench: Benchmark, window: int, literals: int):
-    """(document, item, first token in each, length) of the runs of hits on
-    one diagonal."""
-    runs: dict[tuple[int, int, int], list[list[int]]] = {}
-    for k in bench.sizes:
-        at, h = docs.windows(k, literals)
+    """(document, item, first token in each, length) of the longest equal
+    templates around the hits, on one diagonal each."""
+    runs: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+    for at, size, h in _probes(docs, window, literals, bench.short):
         lo = np.searchsorted(bench.hash, h, "left")
         hit = np.flatnonzero((lo < len(bench.hash)) & (bench.hash[np.minimum(lo, len(bench.hash) - 1)] == h))
         hi = np.searchsorted(bench.hash, h[hit], "right")
-        for i, a, b in zip(at[hit].tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
+        # a kind of window gives its hits in ascending places
+        last: dict[tuple[int, int, int], int] = {}
+        for i, k, a, b in zip(at[hit].tolist(), size[hit].tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
             d = int(docs.doc[i])
             p = i - int(docs.first[d])
             for q in bench.at[a:b].tolist():
                 item = int(bench.text.doc[q])
                 q -= int(bench.text.first[item])
-                found = runs.setdefault((d, item, p - q), [])
-                if found and p <= found[-1][0] + found[-1][1]:
-                    found[-1][1] = max(found[-1][1], p + k - found[-1][0])
-                else:
-                    found.append([p, k])
+                key = d, item, p - q
+                if p + k <= last.get(key, 0):
+                    continue  # inside the passage before
+                x, y = docs.tokens[d], bench.text.tokens[item]
+                start, end = p, p + k
+                if end - (p - q) > len(y) or x[p:end] != y[q : q + k]:
+                    continue  # another text with the same hash
+                while start and start > p - q and x[start - 1] == y[start - 1 - (p - q)]:
+                    start -= 1
+                while end < len(x) and end - (p - q) < len(y) and x[end] == y[end - (p - q)]:
+                    end += 1
+                last[key] = end
+                runs.setdefault(key, []).append((start, end))
     for (d, item, shift), found in runs.items():
-        for p, n in found:
-            yield d, item, p, p - shift, n
+        for p, e in dict.fromkeys(found):
+            yield d, item, p, p - shift, e - p
 
 
 def consistent_length(doc_tokens, doc_values, item_tokens, item_values) -> int:
