@@ -149,3 +149,14 @@ def test_surge_and_dive_without_named_regions():
     assert H.main_text(page).split("\n") == TEXT
     assert H.main_text("<p>tiny</p>") == "tiny"
     assert io.StringIO(H.main_text(page)).readline().startswith("First")
+
+
+def test_short_text_beside_excluded_lines_is_kept():
+    """Lines of excluded regions used to end a span with weight 0."""
+    long, three = "A long paragraph of the story. " * 5, "<li>one</li><li>two</li><li>three</li>"
+    want = ["Short title", long.strip(), "The end."]
+    for tag in ("article", "div"):
+        page = f"<{tag}><h1>Short title</h1><ul class='share'>{three}</ul><p>{long}</p><ul class=ad>{three}</ul><p>The end.</p></{tag}>"
+        assert H.main_text(page).split("\n") == want
+    linked = f"<p>{long}</p><p><a href=x>All of this is a link</a></p><p>{long}</p>"
+    assert H.main_text(linked).split("\n") == [long.strip(), "All of this is a link", long.strip()]

@@ -7,18 +7,17 @@
    (navigation, header, footer, sidebar, form, or an element whose class, id
    or role says advert, cookie notice, comments, related links ...), and how
    much of it is link text.
-2. *Distribution.*  Each line's weight is its text length, outside a named
-   article without link text, and 0 in such a region.  Weights are summed over sliding windows of
-   ``WINDOW`` lines.
+2. *Distribution.*  Lines in such a region are left out.  The weight of the
+   others is their text length, outside a named article without link text.
+   Weights are summed over sliding windows of ``WINDOW`` lines.
 3. *Surge and dive.*  A span starts where the sum first rises above ``SURGE``
    characters and ends where the windows dive to 0; short lines right before
    or after that point, such as a heading or a last one-word paragraph, have
-   weight and so keep the sum above 0.  The text of all spans is kept; lines
-   without weight inside a span (a menu or an advert between two paragraphs)
-   are left out.  If no span surges (a very short article), the span with
-   the largest sum is taken.
-   A page that names its article (<article>, <main> or role=main) narrows
-   the lines to those before the distribution is looked at.
+   weight and so keep the sum above 0.  The text of all spans is kept, with
+   the linked lines between their first and last line with weight.  If no
+   span surges (a very short article), the span with the largest sum is taken.
+   A page that names its article (<article>, <main> or role=main) gives all
+   lines of it that are not in such a region, without a distribution.
 
 Defined cases: null and empty pages, and pages without text, give an empty
 string.  Unclosed and stray tags do not matter: an end tag closes the nearest
@@ -86,10 +85,10 @@ def _outside(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 class _Lines:
-    """Text lines of a page: (text, weight, in_article)."""
+    """Text lines of a page: (text, weight, in_article, outside)."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, bool, bool]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.outside = self.in_article = False
@@ -105,12 +104,11 @@ class _Lines:
             s = _SPACES.sub(" ", "".join(self.parts)).strip()
             if s:
                 linked = 0 if self.in_article else self.linked  # a linked paragraph of the article is text
-                weight = 0 if self.outside else max(len(s) - linked, 0)
-                self.lines.append((s, weight, self.in_article))
+                self.lines.append((s, max(len(s) - linked, 0), self.in_article, self.outside))
             self.parts, self.linked = [], 0
 
 
-def text_lines(page: str) -> list[tuple[str, int, bool]]:
+def text_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     out = _Lines()
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside, in the article, in a link
     outside = article = link = False
@@ -157,10 +155,11 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, one a line."""
-    lines = text_lines(page or "")
-    if any(inside and weight for _, weight, inside in lines):
-        lines = [x for x in lines if x[2]]
-    weights = [weight for _, weight, _ in lines]
+    lines = [x for x in text_lines(page or "") if not x[3]]
+    named = [x[0] for x in lines if x[2]]
+    if named:
+        return "\n".join(named)
+    weights = [x[1] for x in lines]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(lines))]
     spans, i = [], 0
     while i < len(sums):
@@ -173,7 +172,10 @@ def main_text(page: str | None) -> str:
         spans.append((i, min(j + WINDOW - 1, len(sums)), max(sums[i:j])))
         i = j
     chosen = [s for s in spans if s[2] > SURGE] or sorted(spans, key=lambda s: -s[2])[:1]
-    kept = dict.fromkeys(k for a, b, _ in sorted(chosen) for k in range(a, b) if weights[k])
+    kept: dict[int, None] = {}
+    for a, b, _ in sorted(chosen):
+        heavy = [k for k in range(a, b) if weights[k]]
+        kept |= dict.fromkeys(range(heavy[0], heavy[-1] + 1))
     return "\n".join(lines[k][0] for k in kept)
 
 
