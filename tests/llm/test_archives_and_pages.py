@@ -160,3 +160,23 @@ def test_short_text_beside_excluded_lines_is_kept():
         assert H.main_text(page).split("\n") == want
     linked = f"<p>{long}</p><p><a href=x>All of this is a link</a></p><p>{long}</p>"
     assert H.main_text(linked).split("\n") == [long.strip(), "All of this is a link", long.strip()]
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ["div class='container has-sidebar'", "div class=no-sidebar", "div class=right-sidebar", "div class=menu-open", "div id=search-page",
+     "form", "div data-hidden", "div class=sidebar"],
+)
+def test_wrappers_of_the_page_are_no_regions(wrapper):
+    tag = wrapper.split()[0]
+    for inner in (f"<article>{ARTICLE}</article>", f"<main>{ARTICLE}</main>", f"<div>{ARTICLE}</div>"):
+        page = f"<body><{wrapper}>{NOISE}{inner}{AFTER if tag != 'form' else ''}</{tag}></body>"
+        assert H.main_text(page).split("\n") == TEXT
+
+
+@pytest.mark.parametrize("name", ["ad", "site-footer", "comment-list", "related-posts", "share-buttons", "main-menu nav", "x sidebar", "cookie_banner"])
+def test_regions_are_known_by_whole_names(name):
+    other = f"<div class='{name}'><article><p>{'Some other text of the page. ' * 3}</p></article></div>"
+    assert H.main_text(f"<div>{ARTICLE}</div>{other}").split("\n") == TEXT
+    assert H.main_text(f"<article>{ARTICLE}</article>{other}").split("\n") == TEXT
+    assert H.main_text(f"<article>{ARTICLE}<div hidden>not shown</div></article>").split("\n") == TEXT

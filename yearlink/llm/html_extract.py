@@ -18,6 +18,11 @@
    span surges (a very short article), the span with the largest sum is taken.
    A page that names its article (<article>, <main> or role=main) gives all
    lines of it that are not in such a region, without a distribution.
+   Names are matched as whole class tokens ("sidebar", "site-footer", but not
+   "has-sidebar" or "search-page").  A form or a layout name ("sidebar") around
+   the article does not count if the article holds more text than the lines
+   outside of such regions; without an article, the one such region with most
+   text is opened if no other line surges.
 
 Defined cases: null and empty pages, and pages without text, give an empty
 string.  Unclosed and stray tags do not matter: an end tag closes the nearest
@@ -52,12 +57,17 @@ _BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe"
-    r"|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|masthead|comments?|disqus|respond|replies|reply|related|recommend\w*|share|sharing|social"
-    r"|toolbar|pagination|pager|widget|search|login|signup)(?:$|[\s_-])",
-    re.I,
+_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])")
+# names of regions that may be a page's layout, and of those that never hold the article
+_LAYOUT = re.compile(r"banner|notice|popup|modal|nav\w*|menu\w*|sidebar|masthead|toolbar|widgets?|search|login|signup|subscribe")
+_NEVER = re.compile(
+    r"ads?|advert\w*|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|breadcrumbs?|footer|comments?|disqus|respond|replies|reply"
+    r"|related|recommend\w*|share|sharing|social|pagination|pager"
+)
+# what else the name of such a region may hold
+_WITH = re.compile(
+    r"\d+(?:x\d+)?|site|main|primary|secondary|global|top|bottom|box|list|section|links?|posts?|articles?|items?|icons?|slot|unit|block|buttons?"
+    r"|bar|text|label|area|inner|content|wrap|wrapper|container|form|stories|thread|title|us|policy|message"
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 _SPACES = re.compile(r"\s+")
@@ -73,25 +83,44 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _outside(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element's content is never article text."""
-    if tag in _ASIDE:
-        return not (tag == "header" and in_article)  # an article's own header holds its heading
+def _named(names: str) -> int:
+    """1 if a class token names a region of the layout, 2 one that never holds the article."""
+    found = 0
+    for name in names.lower().split():
+        parts = [p for p in re.split("[_-]+", name) if p]
+        never = [bool(_NEVER.fullmatch(p)) for p in parts]
+        known = [a or bool(_LAYOUT.fullmatch(p)) for a, p in zip(never, parts, strict=True)]
+        if any(known) and all(k or _WITH.fullmatch(p) for k, p in zip(known, parts, strict=True)):
+            found = max(found, 1 + any(never))
+    return found
+
+
+def _outside(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """Whether an element's content is no article text: 2 if never, 1 if its
+    element may yet be a wrapper of the page, 0 if not."""
+    if tag in _ASIDE and tag != "form":
+        return 0 if tag == "header" and in_article else 2  # an article's own header holds its heading
+    form = int(tag == "form")
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return form
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True
-    return attrs.get("role") in _ROLES or any(_NAMED.search(attrs[k]) for k in ("class", "id") if k in attrs)
+        return 2
+    if attrs.get("role") in _ROLES:
+        return 1 if form else 2
+    return max(form, *(_named(attrs.get(k, "")) for k in ("class", "id")))
 
 
 class _Lines:
-    """Text lines of a page: (text, weight, in_article, outside)."""
+    """Text lines of a page: (text, weight, in_article, level, region).  Level 0
+    is in no excluded region, 1 in one that may be a wrapper (``region`` counts
+    these), more is out."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, int, int]] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.outside = self.in_article = False
+        self.in_article = False
+        self.level = self.region = 0
 
     def text(self, raw: str, link: bool) -> None:
         s = _html.unescape(raw) if "&" in raw else raw
@@ -104,14 +133,17 @@ class _Lines:
             s = _SPACES.sub(" ", "".join(self.parts)).strip()
             if s:
                 linked = 0 if self.in_article else self.linked  # a linked paragraph of the article is text
-                self.lines.append((s, max(len(s) - linked, 0), self.in_article, self.outside))
+                self.lines.append((s, max(len(s) - linked, 0), self.in_article, self.level, self.region))
             self.parts, self.linked = [], 0
 
 
-def text_lines(page: str) -> list[tuple[str, int, bool, bool]]:
+_OUT = 1000  # level of what never is article text
+
+
+def text_lines(page: str) -> list[tuple[str, int, bool, int, int]]:
     out = _Lines()
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside, in the article, in a link
-    outside = article = link = False
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, level, in the article, in a link
+    level, article, link = 0, False, False
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -130,7 +162,7 @@ def text_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    _, outside, article, link = stack[i]
+                    _, level, article, link = stack[i]
                     del stack[i:]
                     break
         elif tag in _DROPPED:
@@ -144,23 +176,42 @@ def text_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
             if len(stack) < 10_000:
-                stack.append((tag, outside, article, link))
-            article = article or tag in ("article", "main") or attrs.get("role") == "main"
-            outside = outside or _outside(tag, attrs, article)
+                stack.append((tag, level, article, link))
+            if tag in ("article", "main") or attrs.get("role") == "main":
+                article, level = True, level if level >= _OUT else min(level, 1)
+            how = _outside(tag, attrs, article)
+            if how:
+                if not level:
+                    out.region += 1
+                level = _OUT if how == 2 or article else min(level + 1, _OUT - 1)
             link = link or tag == "a"
-        out.outside, out.in_article = outside, article
+        out.level, out.in_article = level, article
     out.end()
     return out.lines
 
 
+def _sums(lines: list[tuple]) -> list[int]:
+    return [sum(x[1] for x in lines[i : i + WINDOW]) for i in range(len(lines))]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, one a line."""
-    lines = [x for x in text_lines(page or "") if not x[3]]
-    named = [x[0] for x in lines if x[2]]
+    found = text_lines(page or "")
+    lines = [x for x in found if not x[3]]
+    named, wrapped = [x for x in lines if x[2]], [x for x in found if x[2] and x[3] == 1]
+    if not named and sum(x[1] for x in wrapped) > sum(x[1] for x in lines):
+        named = wrapped
     if named:
-        return "\n".join(named)
-    weights = [x[1] for x in lines]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(lines))]
+        return "\n".join(x[0] for x in named)
+    if max(_sums(lines), default=0) <= SURGE:
+        regions: dict[int, list] = {}
+        for x in found:
+            if x[3] == 1 and not x[2]:
+                regions.setdefault(x[4], []).append(x)
+        most = max(regions.values(), key=lambda r: sum(x[1] for x in r), default=[])
+        if max(_sums(most), default=0) > SURGE:
+            lines = most
+    weights, sums = [x[1] for x in lines], _sums(lines)
     spans, i = [], 0
     while i < len(sums):
         if not sums[i]:
