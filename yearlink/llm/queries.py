@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from yearlink.llm import minhash_dedup, mixing, rule_cascade, substring_dedup, warc
+from yearlink.llm import collocations, license_scan, minhash_dedup, mixing, rule_cascade, spelling, substring_dedup, warc
 from yearlink.llm.common import read
 from yearlink.llm.decontaminate import leaks
 from yearlink.llm.html_extract import main_texts
@@ -89,3 +89,27 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_license_scan"] = license_scan.SQL
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_spelling_variants"] = spelling.SQL
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_collocations"] = collocations.SQL
