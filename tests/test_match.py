@@ -116,3 +116,71 @@ def test_search_by_scan_is_search_by_tiles(spark):
     assert a == b and len(a) == 36
     side = queries.selectExpr("query_id", "embedding", "1.0D as norm")
     assert sim.cosine_topk_scan(side, side, 1, "query_id", "query_id", most=3) is None
+
+
+def _many_texts(rng, n, years=(2000, 2001)):
+    """Items with repeated texts and vectors, near vectors, empty texts, zero
+    vectors."""
+    words = "red blue green apple car iron cloth cotton fresh old new salt".split()
+    rows = []
+    for i in range(n):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+        vec = [rng.choice([0.0, 0.5, 1.0]) for _ in range(3)]
+        if i % 17 == 0:
+            text = rng.choice(["", "  ", text.upper()])
+        if i % 13 == 0:
+            vec = [0.0, 0.0, 0.0]
+        if i % 11 == 0:
+            vec = [x + 1e-6 * rng.random() for x in vec]
+        rows.append((i, years[i % len(years)], f"c{i}", text, vec))
+    return rows
+
+
+def test_shortcut_and_bounds_between_tiles_are_exact(spark, monkeypatch):
+    import random
+
+    from yearlink.operators import similarity
+
+    calls = []
+    real = similarity._bounded_topk
+    monkeypatch.setattr(similarity, "_bounded_topk", lambda *a, **k: calls.append(1) or real(*a, **k))
+    for seed, how in ((1, {"top_k": 7}), (2, {"top_k": 40, "direction": "n_to_n1"}), (3, {"gamma": 0.0, "with_indel": False}),
+                      (4, {"strip": False, "guard": False, "top_k": 20})):
+        df = spark.createDataFrame(_many_texts(random.Random(seed), 260), SCHEMA).repartition(4)
+        plain = _rows(match_year_pair(df, prune=False, shortcut=False, **how))
+        assert len(plain) == 130
+        for tiles in ({}, {"query_block": 32, "cand_block": 16}):
+            assert _rows(match_year_pair(df, **tiles, **how)) == plain, (seed, tiles)
+            if tiles:
+                assert _rows(match_year_pair(df, shortcut=False, **tiles, **how)) == plain, (seed, tiles)
+    assert calls
+
+
+def test_settled_queries_leave_the_quadratic_stage(spark):
+    from yearlink.operators.exact import identical_counterparts
+    from yearlink.operators.match import prepare_items
+
+    rows = [(i, 2000, None, f"text {i % 40}", [float(i % 40 + 1), 1.0, 3.0]) for i in range(200)]
+    rows += [(200 + i, 2001, None, f"Text {i}", [float(i + 1), 1.0, 3.0]) for i in range(60)]
+    p = prepare_items(spark.createDataFrame(rows, SCHEMA)).withColumn("qy", F.lit(2001))
+    got = identical_counterparts(p.where("year = 2001"), p.where("year = 2000"), "qy", F.lower("description"), 100)
+    assert {tuple(r) for r in got.collect()} == {(200 + i, i) for i in range(40)}
+    # not proven to be among the best 3 candidates by cosine: four copies each
+    assert identical_counterparts(p.where("year = 2001"), p.where("year = 2000"), "qy", F.lower("description"), 3).count() == 0
+    plan = match_year_pair(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "ExistingRDD" not in plan
+
+
+def test_intersections_dense_and_sparse(monkeypatch):
+    import numpy as np
+
+    from yearlink.operators import similarity
+
+    rng = np.random.default_rng(3)
+    q = [set(rng.integers(0, 60, rng.integers(0, 9)).tolist()) | ({100} if i % 2 else set()) for i in range(70)]
+    c = [set(rng.integers(20, 80, rng.integers(0, 9)).tolist()) | ({100} if i % 3 else set()) for i in range(50)]
+    flat = lambda sets: (np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([x for s in sets for x in s]))
+    want = np.array([[len(a & b) for b in c] for a in q])
+    for pairs in (1 << 22, 3):
+        monkeypatch.setattr(similarity, "_SPARSE_PAIRS", pairs)
+        assert (similarity._intersections(*flat(q), *flat(c), 70, 50, 101) == want).all()

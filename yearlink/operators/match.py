@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from yearlink.functions.indel import indel
 from yearlink.functions.text import indel_upper_bound, jaccard, norm_desc, tokens, uniq_key
 from yearlink.functions.vectors import l2_norm
+from yearlink.operators.exact import identical_counterparts
 from yearlink.operators.similarity import cosine_topk
-from yearlink.session import checkpoint_table
+from yearlink.session import parquet_table
 
 DIRECTIONS = ("n1_to_n", "n_to_n1")
 
@@ -79,18 +80,26 @@ def candidate_cosines(
     Queries and candidates are keyed by the query year; the pair list has
     one row per edition (bounded by the calendar) and is broadcast.
     """
+    q, c = _sides(prepared, pairs, direction)
+    return _topk(q, c, top_k, method, query_block, cand_block, prune).select("q_id", "c_id", "cos")
+
+
+def _sides(prepared: DataFrame, pairs: DataFrame, direction: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and candidates, both keyed by the query's year ``qy``."""
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}")
     qy, cy = ("year_n1", "year_n") if direction == "n1_to_n" else ("year_n", "year_n1")
     pq = F.broadcast(pairs.select(F.col(qy).alias("year"), F.col(qy).alias("qy")))
     pc = F.broadcast(pairs.select(F.col(cy).alias("year"), F.col(qy).alias("qy")))
-    q = prepared.join(pq, "year")
-    c = prepared.join(pc, "year")
+    return prepared.join(pq, "year"), prepared.join(pc, "year")
+
+
+def _topk(q: DataFrame, c: DataFrame, top_k: int, method: str, query_block: int, cand_block: int, prune: dict | None) -> DataFrame:
     out = cosine_topk(
         q, c, ["qy"], top_k, "item_id", "item_id", method=method, left_block=query_block, right_block=cand_block,
         prune=prune,
     )
-    return out.select(F.col("l_id").alias("q_id"), F.col("r_id").alias("c_id"), "cos")
+    return out.select(F.col("l_id").alias("q_id"), F.col("r_id").alias("c_id"), *[x for x in ("cos", "jac", "most") if x in out.columns])
 
 
 def match_year_pair(
@@ -110,6 +119,7 @@ def match_year_pair(
     cand_block: int = 4096,
     pairs: DataFrame | None = None,
     materialize: bool = True,
+    shortcut: bool = True,
 ) -> DataFrame:
     """Best counterpart of every query item in the adjacent year.
 
@@ -124,12 +134,19 @@ def match_year_pair(
     candidates whose score cannot reach the best ``alpha*cos + beta*jac`` of their query even with a
     perfect Indel ratio, so the Python Indel runs on few pairs.
     ``with_indel=False`` sets the Indel column to NULL (used with gamma=0).
+    ``shortcut`` (exact; see :mod:`yearlink.operators.exact`) settles queries
+    that have a candidate of equal text and vector by a hash join; only the
+    others enter the quadratic stage.
     """
+    if materialize:
+        # tokens and norms are CPU-heavy per byte: spread them over the slots
+        items = items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id")
     prepared = prepare_items(items, key)
     if materialize:
         # read 4+ times below (sizes, both tile sides, attribute joins):
-        # write it once to the shared checkpoint folder, cut the lineage
-        prepared = checkpoint_table(prepared)
+        # write it once to the shared checkpoint folder, cut the lineage;
+        # each reader then scans only its own columns
+        prepared = parquet_table(prepared, "prepared-items")
     if pairs is None:
         pairs = adjacent_pairs(prepared)
     spec = None
@@ -138,25 +155,42 @@ def match_year_pair(
             "alpha": float(alpha), "beta": float(beta), "gamma": float(gamma) if with_indel else 0.0,
             "tokens": "tokens", "ntok": "ntok", "nlen": "nlen",
         }
-    cand = candidate_cosines(prepared, pairs, direction, top_k, method, query_block, cand_block, spec)
-
-    # 1) light attributes for every top-k pair: tokens and text length.
-    #    Candidate side first, query side last, so the windows below (by
-    #    q_id) reuse the query-side join's partitioning.
-    light_c = prepared.select(F.col("item_id").alias("c_id"), F.col("tokens").alias("c_tokens"), F.col("nlen").alias("c_nlen"))
-    light_q = prepared.select(F.col("item_id").alias("q_id"), F.col("tokens").alias("q_tokens"), F.col("nlen").alias("q_nlen"))
-    scored = (
-        cand.join(light_c, "c_id")
-        .join(light_q, "q_id")
-        .withColumn("jac", jaccard("q_tokens", "c_tokens"))
-        .withColumn("base", F.lit(float(alpha)) * F.col("cos") + F.lit(float(beta)) * F.col("jac"))
-    )
+    q, c = _sides(prepared, pairs, direction)
+    settled = None
+    lev_counts = with_indel and gamma > 0
+    if shortcut and alpha > 0 and beta >= 0 and gamma >= 0 and (beta > 0 or lev_counts):
+        # with the Indel term only equal texts reach the full score, without
+        # it equal token sets do
+        text = (norm_desc("description") if strip else F.lower("description")) if lev_counts else F.array_sort("tokens")
+        settled = identical_counterparts(q, c, "qy", text, top_k)
+        if materialize:  # read twice: to leave its queries out, and as their result
+            settled = parquet_table(settled, "settled")
+        q = q.join(settled.select(F.col("q_id").alias("item_id")), "item_id", "left_anti")
+    cand = _topk(q, c, top_k, method, query_block, cand_block, spec)
+
+    # 1) token Jaccard and the most the Indel term can add: known from the
+    #    tiles, or from tokens and lengths joined to every top-k pair.
+    if "jac" not in cand.columns:
+        light_c = prepared.select(F.col("item_id").alias("c_id"), F.col("tokens").alias("c_tokens"), F.col("nlen").alias("c_nlen"))
+        light_q = prepared.select(F.col("item_id").alias("q_id"), F.col("tokens").alias("q_tokens"), F.col("nlen").alias("q_nlen"))
+        cand = (
+            cand.join(light_c, "c_id")
+            .join(light_q, "q_id")
+            .withColumn("jac", jaccard("q_tokens", "c_tokens"))
+            .withColumn("most", F.lit(float(gamma)) * indel_upper_bound("q_nlen", "c_nlen"))
+            .drop("q_tokens", "c_tokens")
+        )
+    scored = cand.withColumn("base", F.lit(float(alpha)) * F.col("cos") + F.lit(float(beta)) * F.col("jac"))
+    if with_indel:
+        # the Indel ratio is CPU-heavy and small in bytes: an explicit count
+        # keeps AQE from packing it into a few tasks; the windows reuse it
+        n_parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        scored = scored.repartition(n_parts, "q_id")
     byq = Window.partitionBy("q_id")
     if with_indel and gamma > 0 and prune:
         # 2) exact prune: keep pairs whose best possible score reaches the
         #    query's best alpha*cos + beta*jac
-        ub = F.col("base") + F.lit(float(gamma)) * indel_upper_bound("q_nlen", "c_nlen")
-        scored = scored.withColumn("_best_base", F.max("base").over(byq)).filter(ub >= F.col("_best_base") - 1e-12)
+        scored = scored.withColumn("_best_base", F.max("base").over(byq)).filter(F.col("base") + F.col("most") >= F.col("_best_base") - 1e-12)
     scored = scored.select("q_id", "c_id", "cos", "jac", "base")
     if with_indel:
         # 3) texts only for the survivors, then the Indel ratio
@@ -173,6 +207,15 @@ def match_year_pair(
     best = scored.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).select(
         "q_id", "c_id", "cos", "jac", "lev", "comb"
     )
+    if settled is not None:
+        one = F.lit(1.0)
+        base = F.lit(float(alpha)) * one + F.lit(float(beta)) * one
+        known = settled.select(
+            "q_id", "c_id", one.alias("cos"), one.alias("jac"),
+            (one if with_indel else F.lit(None).cast("double")).alias("lev"),
+            (base + F.lit(float(gamma)) * (one if with_indel else F.lit(0.0))).alias("comb"),
+        )
+        best = best.unionByName(known)
     # 4) full attributes for the winners only (one row per query item)
     attrs = ["item_id", "year", "code", "description"]
     qa = prepared.select(F.col("item_id").alias("q_id"), *[F.col(a).alias(f"q_{a}") for a in attrs])

@@ -23,9 +23,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from yearlink.functions.vectors import SCORE_DIGITS, cosine, quantise
-from yearlink.session import ship_package
+from yearlink.session import parquet_table, ship_package
 
 
 def _dense(col, n: int) -> np.ndarray:
@@ -50,59 +51,101 @@ def _token_sets(col) -> list[frozenset]:
     return [frozenset(t) if t else frozenset() for t in col.to_pylist()]
 
 
-# Budget for the dense token-incidence product of one tile (multiply-adds);
-# above it the prune falls back to token-count bounds.
-_JACCARD_BUDGET = 4e9
+# Budget of one tile for exact Jaccard (multiply-adds of the dense part plus
+# ten for each pair of the sparse part); above it bounds from token counts are
+# used, which prune less and as exactly.
+_JACCARD_BUDGET = 6e10
+_SPARSE_PAIRS = 1 << 22
+
+
+def _list_codes(col):
+    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return arr.flatten().to_numpy(zero_copy_only=False), arr.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _intersections(qrow, qcode, crow, ccode, nq: int, nc: int, v: int):
+    """Common tokens of every (query, candidate) pair, or None above budget.
+    Tokens of one side only are left out; common ones go through a matrix
+    product, rare ones through their lists of rows."""
+    qn, cn = np.bincount(qcode, minlength=v), np.bincount(ccode, minlength=v)
+    work = qn.astype(np.float64) * cn
+    dense = work * 64 > nq * nc
+    sparse = (work > 0) & ~dense
+    n_dense = int(dense.sum())
+    if n_dense * nq * nc + 10 * work[sparse].sum() > _JACCARD_BUDGET:
+        return None
+    inter = np.zeros((nq, nc), np.float32)
+    place = np.cumsum(dense) - 1
+    step = max(1, (1 << 26) // (nq + nc))
+    for at in range(0, n_dense, step):
+        width = min(step, n_dense - at)
+        sides = []
+        for row, code, n in ((qrow, qcode, nq), (crow, ccode, nc)):
+            mine = dense[code] & (place[code] >= at) & (place[code] < at + width)
+            m = np.zeros((n, width), np.float32)
+            m[row[mine], place[code[mine]] - at] = 1.0
+            sides.append(m)
+        inter += sides[0] @ sides[1].T
+    qs, cs = sparse[qcode], sparse[ccode]
+    qrow, qcode, crow, ccode = qrow[qs], qcode[qs], crow[cs], ccode[cs]
+    by = np.argsort(ccode, kind="stable")
+    crow = crow[by]
+    first = np.cumsum(np.bincount(ccode, minlength=v)) - np.bincount(ccode, minlength=v)
+    times = cn[qcode]
+    ends = np.cumsum(times)
+    at = 0
+    while at < len(qcode):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SPARSE_PAIRS, "right")))
+        t = times[at:to]
+        seq = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
+        cell = np.repeat(qrow[at:to], t) * nc + crow[np.repeat(first[qcode[at:to]], t) + seq]
+        hit, n = np.unique(cell, return_counts=True)
+        inter.reshape(-1)[hit] += n
+        at = to
+    return inter.astype(np.float64)
 
 
 def _jaccard_matrix(qtok, ctok, tq, tc):
     """Exact Jaccard of every (query, candidate) pair of a tile, or None when
-    the tile's vocabulary makes the dense product too large.  Intersections
-    are integer counts from a float32 incidence product (exact below 2^24)."""
-    qa = qtok.combine_chunks() if isinstance(qtok, pa.ChunkedArray) else qtok
-    ca = ctok.combine_chunks() if isinstance(ctok, pa.ChunkedArray) else ctok
-    qflat = qa.flatten().to_numpy(zero_copy_only=False)
-    cflat = ca.flatten().to_numpy(zero_copy_only=False)
+    that is too much work (counts in float32 are exact below 2^24)."""
+    qflat, qlen = _list_codes(qtok)
+    cflat, clen = _list_codes(ctok)
     codes, uniq = pd.factorize(np.concatenate([qflat, cflat]))
-    v = len(uniq)
-    nq, nc = len(qa), len(ca)
-    if v == 0 or nq * nc * v > _JACCARD_BUDGET or (nq + nc) * v * 4 > (1 << 29):
+    nq, nc = len(qlen), len(clen)
+    if not len(uniq):
+        return np.zeros((nq, nc))
+    rows_q, rows_c = np.repeat(np.arange(nq), qlen), np.repeat(np.arange(nc), clen)
+    inter = _intersections(rows_q, codes[: len(qflat)], rows_c, codes[len(qflat) :], nq, nc, len(uniq))
+    if inter is None:
         return None
-    qlen = qa.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    clen = ca.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    qm = np.zeros((nq, v), dtype=np.float32)
-    cm = np.zeros((nc, v), dtype=np.float32)
-    qm[np.repeat(np.arange(nq), qlen), codes[: len(qflat)]] = 1.0
-    cm[np.repeat(np.arange(nc), clen), codes[len(qflat):]] = 1.0
-    inter = (qm @ cm.T).astype(np.float64)
     union = np.add.outer(tq, tc) - inter
     ok = (np.outer(tq, tc) > 0) & (union > 0)
     return np.divide(inter, union, out=np.zeros_like(inter), where=ok)
 
 
-def _prune_mask(cos, core, left, right, spec, n_exact: int = 8):
-    """Exact prune inside a tile that holds a group's whole candidate set.
+def _score_bounds(cos, core, left, right, spec, n_exact: int = 8):
+    """(upper, lower, jac) for the blended score: per pair the score it can
+    reach at most, per query what its best ``core`` pair reaches at least, and
+    the exact Jaccard of all pairs where that is little enough work (or None).
 
-    Lower bound per query: the best ``alpha*cos + beta*jac`` over its few
-    best core candidates (exact Jaccard on Python sets).  Upper bound per
-    pair: ``alpha*cos + beta*min(tq,tc)/max(tq,tc) + gamma*2*min(lq,lc)/(lq+lc)``.
-    A core pair whose upper bound is below its query's lower bound cannot be
-    the final winner.  Returns the boolean mask of pruned core pairs."""
+    Upper: ``alpha*cos + beta*jac + gamma*2*min(lq,lc)/(lq+lc)``, lower: the
+    best ``alpha*cos + beta*jac``.  Where the exact Jaccard of the tile is too
+    much work, ``min(tq,tc)/max(tq,tc)`` stands for it above and a few best
+    pairs by cosine (on Python sets) below."""
     a, b, g = spec["alpha"], spec["beta"], spec["gamma"]
-    tq = np.asarray(left.column("_ntok").to_numpy(zero_copy_only=False), dtype=np.float64)
-    tc = np.asarray(right.column("_ntok").to_numpy(zero_copy_only=False), dtype=np.float64)
-    lq = np.asarray(left.column("_nlen").to_numpy(zero_copy_only=False), dtype=np.float64)
-    lc = np.asarray(right.column("_nlen").to_numpy(zero_copy_only=False), dtype=np.float64)
-    tmin, tmax = np.minimum.outer(tq, tc), np.maximum.outer(tq, tc)
-    j_ub = np.divide(tmin, tmax, out=np.zeros_like(tmin), where=tmax > 0)
+    tq, tc, lq, lc = (
+        side.column(name).to_numpy(zero_copy_only=False).astype(np.float64)
+        for name in ("_ntok", "_nlen")
+        for side in (left, right)
+    )
     lsum = np.add.outer(lq, lc)
     l_ub = np.divide(2.0 * np.minimum.outer(lq, lc), lsum, out=np.ones_like(lsum), where=lsum > 0)
     jac = _jaccard_matrix(left.column("_tok"), right.column("_tok"), tq, tc)
     if jac is not None:
-        # exact Jaccard for every pair: as strong as the final prune
-        ub = a * cos + b * jac + g * l_ub + 1e-8
-        lb = np.where(core, a * cos + b * jac, -np.inf).max(axis=1) - 1e-8
-        return core & (ub < lb[:, None])
+        base = a * cos + b * jac
+        return base + g * l_ub + 1e-8, np.where(core, base, -np.inf).max(axis=1) - 1e-8, jac
+    tmin, tmax = np.minimum.outer(tq, tc), np.maximum.outer(tq, tc)
+    j_ub = np.divide(tmin, tmax, out=np.zeros_like(tmin), where=tmax > 0)
     ub = a * cos + b * j_ub + g * l_ub + 1e-8
     qs, cs = _token_sets(left.column("_tok")), _token_sets(right.column("_tok"))
     masked = np.where(core, cos, -np.inf)
@@ -118,30 +161,106 @@ def _prune_mask(cos, core, left, right, spec, n_exact: int = 8):
             jac = len(x & y) / len(x | y) if x and y else 0.0
             best = max(best, a * cos[i, j] + b * jac)
         lb[i] = best - 1e-8
-    return core & (ub < lb[:, None])
+    return ub, lb, None
+
+
+def _pair_terms(qi, ci, jac, left, right, spec) -> dict:
+    """``jac`` of the emitted pairs and ``most``: what the Indel term can add."""
+    if jac is not None:
+        j = jac[qi, ci]
+    else:
+        qs, cs = _token_sets(left.column("_tok")), _token_sets(right.column("_tok"))
+        j = np.array([len(qs[x] & cs[y]) / len(qs[x] | cs[y]) if qs[x] and cs[y] else 0.0 for x, y in zip(qi, ci)], np.float64)
+    a = left.column("_nlen").to_numpy(zero_copy_only=False).astype(np.float64)[qi]
+    b = right.column("_nlen").to_numpy(zero_copy_only=False).astype(np.float64)[ci]
+    room = np.divide(2.0 * np.minimum(a, b), a + b, out=np.ones_like(a), where=a + b > 0)
+    return {"jac": pa.array(j, pa.float64()), "most": pa.array(spec["gamma"] * room, pa.float64())}
+
+
+def _tile_cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
+    """Cosine of every pair of a tile, 0 for a zero or missing vector."""
+    qv, cv = _dense(left.column("_vec"), left.num_rows), _dense(right.column("_vec"), right.num_rows)
+    if qv.shape[1] != cv.shape[1]:
+        d = max(qv.shape[1], cv.shape[1])
+        qv = np.pad(qv, ((0, 0), (0, d - qv.shape[1])))
+        cv = np.pad(cv, ((0, 0), (0, d - cv.shape[1])))
+    qn = np.nan_to_num(left.column("_norm").to_numpy(zero_copy_only=False).astype(np.float64))
+    cn = np.nan_to_num(right.column("_norm").to_numpy(zero_copy_only=False).astype(np.float64))
+    den = np.outer(qn, cn)
+    dots = qv @ cv.T
+    return np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
+
+
+def _keys_of(key, names: list[str], types: list, n: int) -> dict:
+    """The group key as columns of ``n`` rows."""
+    scalars = (pa.scalar(v.as_py() if hasattr(v, "as_py") else v, t) for v, t in zip(key, types))
+    return {c: pa.repeat(v, n) for c, v in zip(names, scalars)}
+
+
+def _seed_fn(key_names: list[str], key_types: list, spec: dict):
+    """Per query of a tile the best blended score it surely has here."""
+
+    def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        n = left.num_rows if right.num_rows else 0
+        lb = np.empty(0)
+        if n:
+            cos = _tile_cosines(left, right)
+            _, lb, _ = _score_bounds(cos, np.ones(cos.shape, bool), left, right, spec)
+        cols = _keys_of(key, key_names, key_types, n)
+        cols.update(l_id=left.column("_lid").slice(0, n).cast(pa.int64()), lb=pa.array(lb, pa.float64()))
+        return pa.table(cols)
+
+    return fn
+
+
+def _bounded_fn(key_names: list[str], key_types: list, spec: dict):
+    """The pairs of a tile that can still win given the best score of their
+    query in any tile, and per query (r_id null) how many pairs are near enough
+    in cosine to be ranked before a winner."""
+    a, b, g = spec["alpha"], spec["beta"], spec["gamma"]
+
+    def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        n = left.num_rows if right.num_rows else 0
+        qi = ci = near = np.empty(0, np.int64)
+        cos, jac = np.empty((0, 0)), np.empty((0, 0))
+        l_ids = left.column("_lid").to_numpy(zero_copy_only=False)[:n]
+        if n:
+            cos = _tile_cosines(left, right)
+            ub, _, jac = _score_bounds(cos, np.ones(cos.shape, bool), left, right, spec)
+            lb = left.column("_lb").to_numpy(zero_copy_only=False)
+            qi, ci = np.nonzero(ub >= lb[:, None])
+            near = (a * cos + b + g + 1e-8 >= lb[:, None]).sum(axis=1)
+        cols = _keys_of(key, key_names, key_types, len(qi) + n)
+        pairs = {
+            "r_id": pa.array(right.column("_rid").to_numpy(zero_copy_only=False)[ci], pa.int64()),
+            "cos": pa.array(cos[qi, ci], pa.float64()),
+            **_pair_terms(qi, ci, jac, left, right, spec),
+        }
+        cols.update(
+            l_id=pa.array(np.concatenate([l_ids[qi], l_ids]), pa.int64()),
+            **{c: pa.chunked_array([v, pa.nulls(n, v.type)]) for c, v in pairs.items()},
+            near=pa.array(np.concatenate([np.zeros(len(qi), np.int64), near]), pa.int64()),
+        )
+        return pa.table(cols)
+
+    return fn
 
 
-def _tile_fn(k: int, key_names: list[str], key_types: list, prune: dict | None = None):
+def _tile_fn(k: int, key_names: list[str], key_types: list, prune: dict | None = None, cut: bool = True):
+    """The local top-k of a tile (with all that may tie).  With a ``prune``
+    spec the terms of each pair come along and, with ``cut``, rows that cannot
+    win are dropped if the tile holds all candidates of its group."""
     margin = 10.0 ** (-SCORE_DIGITS + 1)
 
     def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
         nq, nc = left.num_rows, right.num_rows
         if nq == 0 or nc == 0:
             cols = {n: pa.array([], t) for n, t in zip(key_names, key_types)}
-            cols.update(l_id=pa.array([], pa.int64()), r_id=pa.array([], pa.int64()), cos=pa.array([], pa.float64()),
-                        n_pruned=pa.array([], pa.int32()))
-            return pa.table(cols)
-        qv = _dense(left.column("_vec"), nq)
-        cv = _dense(right.column("_vec"), nc)
-        if qv.shape[1] != cv.shape[1]:
-            d = max(qv.shape[1], cv.shape[1])
-            qv = np.pad(qv, ((0, 0), (0, d - qv.shape[1])))
-            cv = np.pad(cv, ((0, 0), (0, d - cv.shape[1])))
-        qn = np.nan_to_num(left.column("_norm").to_numpy(zero_copy_only=False).astype(np.float64))
-        cn = np.nan_to_num(right.column("_norm").to_numpy(zero_copy_only=False).astype(np.float64))
-        den = np.outer(qn, cn)
-        dots = qv @ cv.T
-        cos = np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
+            cols.update(l_id=pa.array([], pa.int64()), r_id=pa.array([], pa.int64()), cos=pa.array([], pa.float64()))
+            if prune is not None:
+                cols.update(jac=pa.array([], pa.float64()), most=pa.array([], pa.float64()))
+            return pa.table(cols | {"n_pruned": pa.array([], pa.int32())})
+        cos = _tile_cosines(left, right)
         if nc > k:
             # k-th best per row, minus a margin: values that tie after
             # quantisation are all kept; the exact cut is made in Spark.
@@ -152,21 +271,23 @@ def _tile_fn(k: int, key_names: list[str], key_types: list, prune: dict | None =
             keep = np.ones(cos.shape, dtype=bool)
             core = keep
         n_pruned = np.zeros(nq, dtype=np.int32)
-        whole_group = int(left.column("_br")[0].as_py()) == 1
-        if prune is not None and whole_group:
-            # this tile holds every candidate of the group: prune exactly and
-            # report how many top-k rows were dropped per query
-            pruned = _prune_mask(cos, core, left, right, prune)
-            keep &= ~pruned
-            n_pruned = pruned.sum(axis=1).astype(np.int32)
+        jac = None
+        if prune is not None:
+            ub, lb, jac = _score_bounds(cos, core, left, right, prune)
+            if cut and int(left.column("_br")[0].as_py()) == 1:
+                # every candidate of the group is here: drop core pairs that
+                # cannot reach their query's best and tell how many they were
+                pruned = core & (ub < lb[:, None])
+                keep &= ~pruned
+                n_pruned = pruned.sum(axis=1).astype(np.int32)
         qi, ci = np.nonzero(keep)
         l_ids = left.column("_lid").to_numpy(zero_copy_only=False)
         r_ids = right.column("_rid").to_numpy(zero_copy_only=False)
-        cols = {n: pa.array([v.as_py() if hasattr(v, "as_py") else v] * len(qi), t)
-                for n, v, t in zip(key_names, key, key_types)}
-        cols.update(l_id=pa.array(l_ids[qi], pa.int64()), r_id=pa.array(r_ids[ci], pa.int64()),
-                    cos=pa.array(cos[qi, ci], pa.float64()), n_pruned=pa.array(n_pruned[qi], pa.int32()))
-        return pa.table(cols)
+        cols = _keys_of(key, key_names, key_types, len(qi))
+        cols.update(l_id=pa.array(l_ids[qi], pa.int64()), r_id=pa.array(r_ids[ci], pa.int64()), cos=pa.array(cos[qi, ci], pa.float64()))
+        if prune is not None:
+            cols.update(_pair_terms(qi, ci, jac, left, right, prune))
+        return pa.table(cols | {"n_pruned": pa.array(n_pruned[qi], pa.int32())})
 
     return fn
 
@@ -184,6 +305,7 @@ def cosine_topk(
     left_block: int = 1024,
     right_block: int = 4096,
     prune: dict | None = None,
+    cut: bool = True,
 ) -> DataFrame:
     """Top-k right rows per (key, left row) by cosine; ties -> lower right id.
 
@@ -191,10 +313,12 @@ def cosine_topk(
     must hold the vectors' L2 norms (precomputed once per row).
 
     ``prune`` (block path; ``{alpha, beta, gamma, tokens, ntok, nlen}``
-    column names for both sides) drops, inside tiles that hold a group's
-    whole candidate set, top-k rows that provably cannot win the matcher's
-    blended score; the rows a query lost are counted so that the global
-    top-k cut below stays exact.
+    column names for both sides) adds each pair's ``jac`` and ``most`` (what
+    the Indel term can add) and, unless ``cut`` is off, drops top-k rows that provably cannot win the
+    matcher's blended score.  Where a tile holds a group's whole candidate set
+    this happens in the tile; the rows a query lost are counted so that the
+    global top-k cut below stays exact.  With several candidate tiles a group,
+    see :func:`_bounded_topk`.
     """
     extra = []
     if prune is not None and method == "block":
@@ -213,39 +337,21 @@ def cosine_topk(
             F.greatest(F.lit(1), F.ceil(F.col("_nr") / right_block)).cast("int").alias("_br"),
         )
     )
-    xc = [c for c in ("_tok", "_ntok", "_nlen") if extra]
-    lt = l.join(plan, key).select(
-        *key,
-        F.pmod(F.xxhash64("_lid"), F.col("_bl")).cast("int").alias("_tl"),
-        F.explode(F.sequence(F.lit(0), F.col("_br") - 1)).alias("_tr"),
-        "_lid", "_vec", "_norm", "_br", *xc,
-    )
-    rt = r.join(plan, key).select(
-        *key,
-        F.explode(F.sequence(F.lit(0), F.col("_bl") - 1)).alias("_tl"),
-        F.pmod(F.xxhash64("_rid"), F.col("_br")).cast("int").alias("_tr"),
-        "_rid", "_vec", "_norm", *xc,
-    )
     ship_package(left.sparkSession)
+    fields = {f.name: f.dataType for f in l.schema.fields}
+    types = [to_arrow_type(fields[c]) for c in key]
+    keys_ddl = "".join(f"{c} {fields[c].simpleString()}, " for c in key)
+    if prune is not None and cut and (plan.agg(F.max("_br")).first()[0] or 1) > 1:
+        return _bounded_topk(left, right, l, r, plan, key, types, keys_ddl, k, left_id, right_id, vec, norm, left_block, right_block, prune)
+    lt, rt = _tiles(l, r, plan, key)
     tile = [*key, "_tl", "_tr"]
-    # Tiles are CPU-heavy but small in bytes: AQE would coalesce their
-    # shuffle into a few tasks.  An explicit partition count (the cluster's
-    # shuffle parallelism) keeps one tile per task slot; the cogroup below
-    # reuses this hash partitioning, so no extra exchange is planned.
-    n_parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lt = lt.repartition(n_parts, *tile)
-    rt = rt.repartition(n_parts, *tile)
     if method == "block":
-        fields = {f.name: f.dataType for f in lt.schema.fields}
-        key_ddl = ", ".join(f"{c} {fields[c].simpleString()}" for c in key)
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        key_types = [to_arrow_type(fields[c]) for c in key]
-        schema = (key_ddl + ", " if key_ddl else "") + "l_id long, r_id long, cos double, n_pruned int"
+        terms = "jac double, most double, " if prune is not None else ""
+        schema = f"{keys_ddl}l_id long, r_id long, cos double, {terms}n_pruned int"
         scored = (
             lt.groupBy(*tile)
             .cogroup(rt.groupBy(*tile))
-            .applyInArrow(_tile_fn(k, list(key), key_types, prune), schema)
+            .applyInArrow(_tile_fn(k, list(key), types, prune, cut), schema)
             .withColumn("cos", quantise("cos"))
         )
     elif method == "expr":
@@ -267,6 +373,58 @@ def cosine_topk(
     )
 
 
+def _tiles(l: DataFrame, r: DataFrame, plan: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to their tiles.  Tiles are CPU-heavy but small in
+    bytes: AQE would coalesce their shuffle into a few tasks.  An explicit
+    partition count (the cluster's shuffle parallelism) keeps one tile per task
+    slot; the cogroups reuse this partitioning, so no further exchange comes."""
+    n_parts = int(l.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lt = l.join(plan, key).select(
+        *l.columns,
+        F.pmod(F.xxhash64("_lid"), F.col("_bl")).cast("int").alias("_tl"),
+        F.explode(F.sequence(F.lit(0), F.col("_br") - 1)).alias("_tr"),
+        "_br",
+    )
+    rt = r.join(plan, key).select(
+        *r.columns,
+        F.explode(F.sequence(F.lit(0), F.col("_bl") - 1)).alias("_tl"),
+        F.pmod(F.xxhash64("_rid"), F.col("_br")).cast("int").alias("_tr"),
+    )
+    tile = [*key, "_tl", "_tr"]
+    return lt.repartition(n_parts, *tile), rt.repartition(n_parts, *tile)
+
+
+def _bounded_topk(
+    left, right, l, r, plan, key, types, keys_ddl, k, left_id, right_id, vec, norm, left_block, right_block, prune
+) -> DataFrame:
+    """The top-k for groups cut into several candidate tiles, pruned by a bound
+    that travels between the tiles (threshold algorithm).
+
+    A seed round finds for each query the best blended score it surely has in
+    any tile.  The second round emits only pairs that can reach it, and counts
+    the pairs whose cosine alone would allow it.  With no more than ``k`` of
+    those, every pair that can win is among the top ``k`` whatever the others
+    are, and the query is settled.  The other queries take the plain way: all
+    their top-k rows.  Vectors are shuffled to the tiles, scores are not."""
+    tile = [*key, "_tl", "_tr"]
+    lt, rt = _tiles(l, r, plan, key)
+    seeds = lt.groupBy(*tile).cogroup(rt.groupBy(*tile)).applyInArrow(_seed_fn(list(key), types, prune), keys_ddl + "l_id long, lb double")
+    best = seeds.groupBy(*key, F.col("l_id").alias("_lid")).agg(F.max("lb").alias("_lb"))
+    bounded, _ = _tiles(l.join(best, [*key, "_lid"]), r, plan, key)
+    pairs = bounded.groupBy(*tile).cogroup(rt.groupBy(*tile)).applyInArrow(
+        _bounded_fn(list(key), types, prune), keys_ddl + "l_id long, r_id long, cos double, jac double, most double, near long"
+    )
+    pairs = parquet_table(pairs, "bounded-pairs")
+    near = pairs.where("r_id is null").groupBy(*key, "l_id").agg(F.sum("near").alias("near"))
+    open_ids = near.where(F.col("near") > k).select(*key, "l_id")
+    settled = pairs.where("r_id is not null").join(open_ids, [*key, "l_id"], "left_anti")
+    settled = settled.select(*key, "l_id", "r_id", quantise("cos").alias("cos"), "jac", "most")
+    if not open_ids.limit(1).count():
+        return settled
+    rest = left.join(open_ids.withColumnRenamed("l_id", left_id), [*key, left_id], "left_semi")
+    return settled.unionByName(cosine_topk(rest, right, key, k, left_id, right_id, vec, norm, "block", left_block, right_block, prune, cut=False))
+
+
 def _scan_fn(ids: np.ndarray, vecs: np.ndarray, norms: np.ndarray, k: int, rows: int = 4096):
     margin = 10.0 ** (-SCORE_DIGITS + 1)
 

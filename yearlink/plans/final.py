@@ -15,7 +15,7 @@ from yearlink.operators import fallback as fb
 from yearlink.operators.match import match_year_pair
 from yearlink.operators.report import clean_codes
 from yearlink.plans.chain import chain_by_description
-from yearlink.session import checkpoint_table
+from yearlink.session import parquet_table
 
 EDGE_COLUMNS = [
     "row_id", "year_n", "year_n1", "item_id_n", "item_id_n1", "code_n", "code_n1", "description_n", "description_n1", "combined",
@@ -48,7 +48,7 @@ def repair(chained: DataFrame, vectors: DataFrame, hierarchy: DataFrame, before:
     m = attach_text_vector(chained, vectors, "description_n", "v_n")
     m = attach_text_vector(m, vectors, "mapped_2023_description", "v_a")
     scored = m.withColumn("embedding_similarity", fb.pairwise_cosine("v_n", "v_a")).drop("v_n", "v_a")
-    scored = checkpoint_table(scored)
+    scored = parquet_table(scored, "scored")
     weak = scored.filter(fb.low_similarity() & (F.col("year_n") < before))
     matches = fb.hierarchy_match(attach_text_vector(weak, vectors, "description_n", "v_n"), hierarchy, "row_id", "v_n", "year_n")
     return fb.merge_back(scored, fb.best_of_levels(weak, matches))
@@ -56,6 +56,6 @@ def repair(chained: DataFrame, vectors: DataFrame, hierarchy: DataFrame, before:
 
 def final_mapping(items: DataFrame, hierarchy: DataFrame, before: int = 1989, **match_kw) -> DataFrame:
     """The final mapping of every item to the anchor edition."""
-    items = checkpoint_table(items)
+    items = parquet_table(items, "items")
     edges = match_year_pair(items, direction="n_to_n1", **match_kw).select(*EDGE_COLUMNS)
     return repair(chain_by_description(clean_edges(edges)), text_vectors(items), hierarchy, before)

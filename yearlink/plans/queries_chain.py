@@ -10,7 +10,7 @@ from yearlink.plans.chain import ambiguous_nodes, chain_by_code, chain_by_descri
 from yearlink.plans.queries_match import _match_nolcs_sql
 from yearlink.plans.reconcile import reconcile
 from yearlink.plans.registry import register, round_doubles
-from yearlink.session import checkpoint_table
+from yearlink.session import parquet_table
 from yearlink.sources import fixtures as fx
 from yearlink.sources.fixtures import with_views
 
@@ -160,7 +160,7 @@ FROM rk WHERE k = 1"""
 @register("reconcile", _REC_SQL)
 def q_reconcile(spark, sf):
     """Two-way reconciliation of forward and reverse matches (gamma = 0)."""
-    it = checkpoint_table(fx.items(spark, sf))  # shared by both directions
+    it = parquet_table(fx.items(spark, sf), "items")  # shared by both directions
     fwd = match_year_pair(it, direction="n_to_n1", gamma=0.0, with_indel=False)
     rev = match_year_pair(it, direction="n1_to_n", gamma=0.0, with_indel=False)
     return reconcile(fwd, rev)

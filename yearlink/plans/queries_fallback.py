@@ -17,7 +17,7 @@ from yearlink.operators.report import era_label
 from yearlink.plans.chain import chain_by_description
 from yearlink.plans.queries_chain import C2_SQL
 from yearlink.plans.registry import register, round_doubles
-from yearlink.session import checkpoint_table
+from yearlink.session import parquet_table
 from yearlink.sources import fixtures as fx
 
 COS = (
@@ -91,7 +91,7 @@ FB_SQL = (
 
 def _stage(spark, sf):
     """Spark side of the fixture pipeline; returns the intermediate frames."""
-    it = checkpoint_table(fx.items(spark, sf))  # read six times below
+    it = parquet_table(fx.items(spark, sf), "items")  # read six times below
     chained = chain_by_description(fx.synthetic_edges(spark, sf, it))
     m = fb.vector_lookup(chained, it, F.col("year_n"), F.col("code_n"), "v_n")
     m = fb.vector_lookup(m, it, F.lit(2023), F.col("mapped_2023_code"), "v_a")

@@ -12,7 +12,7 @@ from yearlink.plans.queries_fallback import COS, FB_SQL
 from yearlink.plans.queries_match import _match_nolcs_sql
 from yearlink.plans.queries_report import ERA_SQL, _lt
 from yearlink.plans.registry import register
-from yearlink.session import checkpoint_table
+from yearlink.session import parquet_table
 from yearlink.sources import fixtures as fx
 from yearlink.sources.fixtures import with_views
 
@@ -70,7 +70,7 @@ FINAL_SQL = _swap(
 def q_pairwise_cosine_text(spark, sf):
     """Cosine of the row's own text and its mapped 2023 text, with one
     vector for each different text."""
-    it = checkpoint_table(fx.items(spark, sf))
+    it = parquet_table(fx.items(spark, sf), "items")
     v = text_vectors(it)
     m = attach_text_vector(chain_by_description(fx.synthetic_edges(spark, sf, it)), v, "description_n", "v_n")
     m = attach_text_vector(m, v, "mapped_2023_description", "v_a")

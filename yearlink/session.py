@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -100,6 +101,16 @@ def checkpoint_table(df):
     return out
 
 
+def parquet_table(df, name: str):
+    """Write a DataFrame that later stages read several times as Parquet into
+    the shared checkpoint folder and read it back: cuts the lineage like
+    :func:`checkpoint_table`, and each reader scans only its own columns."""
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

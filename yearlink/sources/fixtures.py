@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yearlink.operators.ranking import blocked_row_number
-from yearlink.session import checkpoint_table
+from yearlink.session import parquet_table
 
 # Fixed values of the B1 view: the 16 editions, both edges of every era plus
 # calendar gaps, indexed by p_partkey % 16.
@@ -38,10 +38,13 @@ def _year_case(col: str) -> str:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: ``items(item_id, year, code, description, embedding)`` over all
-    parts.  The description is the whole brand, type and name of the part;
-    equal descriptions share a vector."""
+    parts.  The description is the whole brand, type and name of the part and
+    the whole first line of a document (a few to thousands of characters);
+    parts of equal brand, type and name share line and vector.  One such group
+    in 97 has an empty text, one in 89 a zero vector."""
     part = table(spark, sf_dir, "part")
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
     desc = F.concat_ws(" ", "p_brand", "p_type", "p_name")
     # first key per description: an aggregate joined back (a shuffle on the
     # description), not a window that would sort all rows of a text together
@@ -54,11 +57,14 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("code"),
         desc.alias("description"),
     ).join(first, "description")
-    base = _with_count(base, emb)
-    out = base.join(emb, F.col("first_id") % F.col("_n") == F.col("vec_id")).select(
-        "item_id", "year", "code", "description", "embedding"
+    base = _with_count(_with_count(base, emb), docs, "_nd")
+    with_line = base.join(docs, F.col("first_id") % F.col("_nd") == F.col("doc_id"), "left")
+    text = F.when(F.col("first_id") % 97 == 5, "").otherwise(F.concat_ws(" ", "description", "line"))
+    zero = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
+    return with_line.join(emb, F.col("first_id") % F.col("_n") == F.col("vec_id")).select(
+        "item_id", "year", "code", text.alias("description"),
+        F.when(F.col("first_id") % 89 == 7, zero).otherwise(F.col("embedding")).alias("embedding"),
     )
-    return out
 
 
 def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +103,7 @@ def synthetic_edges(spark: SparkSession, sf_dir: str, it: DataFrame | None = Non
     year; target r1 = (r*7+3) % size of the next year.  Codes and texts are the
     items' own, so repeated texts make the description graph non-functional.
     The item table is read four times below: it is materialised once."""
-    it = it if it is not None else checkpoint_table(items(spark, sf_dir))
+    it = it if it is not None else parquet_table(items(spark, sf_dir), "items")
     ranked = blocked_row_number(it, "year", "item_id", "r")
     years = it.select("year").distinct()
     nxt = years.withColumn("year_n1", F.lead("year").over(Window.orderBy("year"))).filter(F.col("year_n1").isNotNull())
@@ -213,12 +219,14 @@ SQL = {
              {_YEAR_SQL} AS year,
              CASE WHEN d.p_partkey % 5 = 0 THEN NULL
                   ELSE lpad(CAST(d.p_partkey % 900 AS VARCHAR), 8, '0') END AS code,
-             d.description,
-             e.embedding AS embedding
+             CASE WHEN d.first_id % 97 = 5 THEN '' ELSE concat_ws(' ', d.description, l.line) END AS description,
+             CASE WHEN d.first_id % 89 = 7 THEN list_transform(e.embedding, lambda x: 0::FLOAT) ELSE e.embedding END AS embedding
       FROM (SELECT p_partkey, {_DESC_SQL} AS description,
                    min(p_partkey) OVER (PARTITION BY {_DESC_SQL}) AS first_id
             FROM part) d
-      JOIN embeddings e ON e.vec_id = d.first_id % (SELECT count(*) FROM embeddings)""",
+      JOIN embeddings e ON e.vec_id = d.first_id % (SELECT count(*) FROM embeddings)
+      LEFT JOIN (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) l
+             ON l.doc_id = d.first_id % (SELECT count(*) FROM documents)""",
     "hierarchy": """
       SELECT h.level, lpad(CAST(h.k AS VARCHAR), CAST(greatest(h.level, length(CAST(h.k AS VARCHAR))) AS INTEGER), '0') AS hscode,
              h.description, e.embedding, h.k * 10 + h.level AS item_id
