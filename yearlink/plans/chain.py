@@ -10,7 +10,7 @@ checkpoint folder, so a lost executor recomputes one round, not the chain.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yearlink.functions.text import norm_desc
@@ -24,7 +24,11 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- C2
-def chain_by_description(edges: DataFrame, anchor_year: int = 2023) -> DataFrame:
+def _hop() -> Column:
+    return F.struct(F.col("year_n1").alias("year"), F.col("code_n1").alias("code"), F.col("combined").alias("score"))
+
+
+def chain_by_description(edges: DataFrame, anchor_year: int = 2023, with_path: bool = False) -> DataFrame:
     """Map every forward edge (N -> N1) to its anchor-year item by
     following description nodes ``(year, strip().lower() text)``.
 
@@ -33,7 +37,10 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023) -> DataFrame
     several out-edges (repeated text in a year) uses the one with the highest
     ``combined``, then the highest ``row_id`` (reported by
     :func:`ambiguous_nodes`).  Rows that never reach the anchor stay NULL.
-    Adds ``mapped_2023_code, mapped_2023_description, hops``.
+    Adds ``mapped_2023_code, mapped_2023_description, hops``.  ``with_path``
+    also adds C4's ``path``: the hops in order, each with the year and code it
+    leads to and its score.  Doubling joins the hop lists end to end, so a list
+    is never longer than the number of editions.
     """
     e = edges.withColumn("_dn", norm_desc("description_n")).withColumn("_dn1", norm_desc("description_n1"))
     # one out-edge per node: highest combined (NULL lowest), then highest
@@ -43,7 +50,7 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023) -> DataFrame
     chosen = (
         e.filter(F.col("_dn").isNotNull())
         .groupBy("year_n", "_dn")
-        .agg(F.max_by(F.struct("year_n1", "_dn1", "code_n1", "description_n1"), ordering).alias("_e"))
+        .agg(F.max_by(F.struct("year_n1", "_dn1", "code_n1", "description_n1", "combined"), ordering).alias("_e"))
     )
     out = (
         chosen.select("year_n", "_dn", "_e.*")
@@ -56,6 +63,7 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023) -> DataFrame
             F.when(F.col("year_n1") == anchor_year, F.col("description_n1")).alias("ad"),
             (F.col("year_n1") == anchor_year).alias("done"),
             F.lit(1).alias("hops"),
+            *([F.array(_hop()).alias("path")] if with_path else []),
         )
     )
     state = _cut(out)
@@ -71,6 +79,7 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023) -> DataFrame
             F.col("py").alias("tpy"), F.col("pd").alias("tpd"),
             F.col("ac").alias("tac"), F.col("ad").alias("tad"),
             F.col("done").alias("tdone"), F.col("hops").alias("thops"),
+            *([F.col("path").alias("tpath")] if with_path else []),
         )
         j = pending.join(t, (pending["py"] == t["ty"]) & (pending["pd"] == t["td"]), "left")
         found = F.col("ty").isNotNull()
@@ -83,11 +92,13 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023) -> DataFrame
             F.when(found & F.col("tdone"), F.col("tad")).alias("ad"),
             (found & F.col("tdone")).alias("done"),
             F.when(found, F.col("hops") + F.col("thops")).otherwise(F.col("hops")).alias("hops"),
+            *([F.when(found, F.concat("path", "tpath")).otherwise(F.col("path")).alias("path")] if with_path else []),
         )
         state = _cut(state.filter(~live).unionByName(moved))
     resolved = state.filter("done").select(
         F.col("ny").alias("_ty"), F.col("nd").alias("_td"), F.col("ac").alias("_ac"), F.col("ad").alias("_ad"),
         F.col("hops").alias("_hops"),
+        *([F.col("path").alias("_path")] if with_path else []),
     )
     seed = F.col("year_n1") == anchor_year
     joined = e.join(resolved, (~seed) & (e["year_n1"] == resolved["_ty"]) & (e["_dn1"] == resolved["_td"]), "left")
@@ -96,6 +107,7 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023) -> DataFrame
         F.when(seed, F.col("code_n1")).otherwise(F.col("_ac")).alias("mapped_2023_code"),
         F.when(seed, F.col("description_n1")).otherwise(F.col("_ad")).alias("mapped_2023_description"),
         F.when(seed, F.lit(1)).when(F.col("_ty").isNotNull(), F.col("_hops") + 1).alias("hops"),
+        *([F.when(seed, F.array(_hop())).when(F.col("_ty").isNotNull(), F.concat(F.array(_hop()), "_path")).alias("path")] if with_path else []),
     )
 
 

@@ -80,6 +80,34 @@ def q_path(spark, sf):
     return _c2(spark, sf).filter(F.col("hops").isNotNull()).groupBy("hops").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@register(
+    "chain_path",
+    C2_SQL.replace(
+        "year_n1 = 2023 AS done, 1 AS hops\n",
+        "year_n1 = 2023 AS done, 1 AS hops, [year_n1] AS years, [coalesce(code_n1, '-')] AS codes, combined AS weakest\n",
+    ).replace(
+        "o.year_n1 = 2023, w.hops + 1\n",
+        "o.year_n1 = 2023, w.hops + 1, list_append(w.years, o.year_n1), list_append(w.codes, coalesce(o.code_n1, '-')), "
+        "least(w.weakest, o.combined)\n",
+    ).replace("w.ad AS mapped_2023_description, w.hops\n", "w.ad AS mapped_2023_description, w.hops, w.years, w.codes, w.weakest\n")
+    + """
+SELECT row_id, year_n, CAST(hops AS INTEGER) AS hops, array_to_string(years, '>') AS years, array_to_string(codes, '>') AS codes, weakest
+FROM chained WHERE hops IS NOT NULL""",
+)
+def q_chain_path(spark, sf):
+    """C4: the path itself: editions and codes passed on the way to 2023, and
+    the weakest score on it."""
+    c = chain_by_description(fx.synthetic_edges(spark, sf), with_path=True).filter(F.col("hops").isNotNull())
+    return c.select(
+        "row_id",
+        "year_n",
+        "hops",
+        F.array_join(F.transform("path", lambda h: h["year"].cast("string")), ">").alias("years"),
+        F.array_join(F.transform("path", lambda h: F.coalesce(h["code"], F.lit("-"))), ">").alias("codes"),
+        F.array_min(F.transform("path", lambda h: h["score"])).alias("weakest"),
+    )
+
+
 @register(
     "unmapped_rows",
     C2_SQL + "\nSELECT count(*) AS n_rows, count(*) FILTER (WHERE mapped_2023_code IS NULL) AS n_unmapped FROM chained",

@@ -95,7 +95,8 @@ def _stage(spark, sf):
     chained = chain_by_description(fx.synthetic_edges(spark, sf, it))
     m = fb.vector_lookup(chained, it, F.col("year_n"), F.col("code_n"), "v_n")
     m = fb.vector_lookup(m, it, F.lit(2023), F.col("mapped_2023_code"), "v_a")
-    m2 = m.withColumn("embedding_similarity", fb.pairwise_cosine("v_n", "v_a"))
+    # read by low, best and final: written once, each reads its own columns
+    m2 = parquet_table(m.withColumn("embedding_similarity", fb.pairwise_cosine("v_n", "v_a")), "scored")
     low = m2.filter(fb.low_similarity())
     h = fx.hierarchy(spark, sf).withColumnRenamed("item_id", "h_id")
     hm = fb.hierarchy_match(low, h, "row_id", "v_n", "year_n")

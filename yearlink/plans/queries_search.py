@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from yearlink.functions.vectors import embed_texts, token_vectors
 from yearlink.operators.match import adjacent_pairs
 from yearlink.plans.queries_match import JAC_SQL, NORM_SQL, TOKENS_SQL
+from yearlink.plans.index import build_index, open_index, search_index, verify_index
 from yearlink.plans.registry import register, round_doubles
 from yearlink.plans.search import corpus_info, flat_index_search, format_results, prepare_corpus, search, search_text, verify_corpus
 from yearlink.sources import fixtures as fx
@@ -21,8 +22,8 @@ COSQ = (
 
 def _search_sql(top_k: int, rerank: bool) -> str:
     n_cand = 10 * top_k if rerank else top_k
-    head = with_views("items", "queries_v", recursive=True) + f""",
-  c AS (SELECT item_id, year, code, description, embedding, {NORM_SQL.format(v='embedding')} AS norm FROM items),
+    head = with_views("catalog", "queries_v", recursive=True) + f""",
+  c AS (SELECT item_id, year, code, description, embedding, {NORM_SQL.format(v='embedding')} AS norm FROM catalog),
   q AS (SELECT query_id, text, embedding, {NORM_SQL.format(v='embedding')} AS norm FROM queries_v),
   cand AS (SELECT q.query_id, c.item_id, {COSQ} AS cos, q.text, c.description, c.year, c.code FROM q CROSS JOIN c),
   top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS k FROM cand)
@@ -61,7 +62,7 @@ WHERE rank <= {top_k}"""
 
 
 def _corpus(spark, sf):
-    return fx.items(spark, sf)
+    return fx.catalog(spark, sf)
 
 
 @register("search", _search_sql(5, True))
@@ -101,9 +102,9 @@ def q_flat_index(spark, sf):
 
 @register(
     "corpus_info",
-    with_views("items")
+    with_views("catalog")
     + "SELECT count(*) AS n_items, CAST(max(len(embedding)) AS INTEGER) AS embedding_dim, "
-    "'item_id,year,code,description' AS columns FROM items",
+    "'item_id,year,code,description' AS columns FROM catalog",
 )
 def q_corpus_info(spark, sf):
     """S12 + S13: corpus prepared from the items, then its info row."""
@@ -113,10 +114,10 @@ def q_corpus_info(spark, sf):
 
 @register(
     "verify_corpus",
-    with_views("items")
+    with_views("catalog")
     + """SELECT count(*) AS n_items,
-       count(*) FILTER (WHERE embedding IS NOT NULL AND len(embedding) <> (SELECT max(len(embedding)) FROM items)) AS n_bad_dim,
-       count(*) FILTER (WHERE embedding IS NULL) AS n_missing FROM items""",
+       count(*) FILTER (WHERE embedding IS NOT NULL AND len(embedding) <> (SELECT max(len(embedding)) FROM catalog)) AS n_bad_dim,
+       count(*) FILTER (WHERE embedding IS NULL) AS n_missing FROM catalog""",
 )
 def q_verify_corpus(spark, sf):
     """Corpus consistency counts (all zero when sound)."""
@@ -180,17 +181,40 @@ def q_embed_token_vectors(spark, sf):
     "search_text",
     _search_sql(5, True).replace(
         "  c AS (SELECT item_id, year, code, description, embedding,",
-        _token_vectors_sql("tvi", "items", "description").lstrip("\n") + "," + _token_vectors_sql("tvq", "queries_v", "text")
-        + ",\n  ie AS (SELECT i.* REPLACE (t.embedding AS embedding) FROM items i JOIN tvi t ON t.txt = i.description),"
+        _token_vectors_sql("tvi", "catalog", "description").lstrip("\n") + "," + _token_vectors_sql("tvq", "queries_v", "text")
+        + ",\n  ie AS (SELECT i.* REPLACE (t.embedding AS embedding) FROM catalog i JOIN tvi t ON t.txt = i.description),"
         + "\n  qe AS (SELECT q.* REPLACE (t.embedding AS embedding) FROM queries_v q JOIN tvq t ON t.txt = q.text),"
         + "\n  c AS (SELECT item_id, year, code, description, embedding,",
-    ).replace("AS norm FROM items),", "AS norm FROM ie),").replace("AS norm FROM queries_v),", "AS norm FROM qe),"),
+    ).replace("AS norm FROM catalog),", "AS norm FROM ie),").replace("AS norm FROM queries_v),", "AS norm FROM qe),"),
 )
 def q_search_text(spark, sf):
     """Q1 from text: query strings and corpus encoded alike, then searched."""
     return search_text(fx.queries_v(spark, sf).select("query_id", "text"), _corpus(spark, sf), top_k=5)
 
 
+@register("search_indexed", _search_sql(5, True))
+def q_search_indexed(spark, sf):
+    """The corpus written once as an index, opened by its path, checked
+    against its info row and searched without work on the corpus texts."""
+    path = io.scratch_path(spark, "index")
+    build_index(_corpus(spark, sf), path)
+    index = open_index(spark, path, check=True)
+    return search_index(fx.queries_v(spark, sf), index, top_k=5)
+
+
+@register(
+    "verify_index",
+    with_views("catalog")
+    + "SELECT count(*) AS n_items, count(*) AS n_items_info, CAST(max(len(embedding)) AS INTEGER) AS embedding_dim, "
+    "0::BIGINT AS n_bad_dim, 0::BIGINT AS n_missing, true AS same_ids, true AS same_vectors, true AS same_texts FROM catalog",
+)
+def q_verify_index(spark, sf):
+    """A stored index against its own info row."""
+    path = io.scratch_path(spark, "index")
+    build_index(_corpus(spark, sf), path)
+    return verify_index(spark, path)
+
+
 # ------------------------------------------------------------------ I/O
 @register(
     "sink_scan_pairs",
@@ -374,7 +398,7 @@ _EMPTY_CORPUS_SQL = "CASE WHEN item_id % 7 = 0 THEN '' ELSE description END"
 
 
 def _corpus_with_empty(spark, sf):
-    it = fx.items(spark, sf)
+    it = fx.catalog(spark, sf)
     return it.withColumn("description", F.when(F.col("item_id") % 7 == 0, F.lit("")).otherwise(F.col("description")))
 
 

@@ -39,26 +39,32 @@ def search(
     Output: ``query_id, rank, combined_similarity, cosine_similarity,
     jaccard_similarity, levenshtein_similarity`` then the corpus columns.
     """
+    vectors = corpus.select(F.col(id_col).alias("_cid"), "embedding", l2_norm("embedding").alias("norm"))
+    meta_cols = [x for x in corpus.columns if x != "embedding"]
+    meta = corpus.select(F.col(id_col).alias("_cid"), tokens(desc_col).alias("_ctok"), *meta_cols)
+    return ranked_search(queries, vectors, meta, top_k, alpha, beta, gamma, rerank, empty, desc_col, method)
+
+
+def ranked_search(
+    queries: DataFrame, vectors: DataFrame, meta: DataFrame, top_k: int, alpha: float, beta: float, gamma: float, rerank: bool,
+    empty: str, desc_col: str, method: str,
+) -> DataFrame:
+    """:func:`search` over ``vectors (_cid, embedding, norm)`` and ``meta
+    (_cid, _ctok, ...)``: attributes are joined to the candidates only."""
     n_cand = 10 * top_k if rerank else top_k
-    c = corpus
-    q = queries.select(
-        F.lit(0).alias("_k"), "query_id", "embedding", l2_norm("embedding").alias("norm")
-    )
-    cv = c.select(F.lit(0).alias("_k"), F.col(id_col), "embedding", l2_norm("embedding").alias("norm"))
-    cand = cosine_topk_scan(q, cv, n_cand, "query_id", id_col) if method == "scan" else None
+    q = queries.select(F.lit(0).alias("_k"), "query_id", "embedding", l2_norm("embedding").alias("norm"))
+    cv = vectors.select(F.lit(0).alias("_k"), "_cid", "embedding", "norm")
+    cand = cosine_topk_scan(q, cv, n_cand, "query_id", "_cid") if method == "scan" else None
     if cand is None:  # too many queries to send along
-        cand = cosine_topk(q, cv, ["_k"], n_cand, "query_id", id_col, method="block" if method == "scan" else method)
-    cand = cand.select(
-        F.col("l_id").alias("query_id"), F.col("r_id").alias("_cid"), F.col("cos")
-    )
+        cand = cosine_topk(q, cv, ["_k"], n_cand, "query_id", "_cid", method="block" if method == "scan" else method)
+    cand = cand.select(F.col("l_id").alias("query_id"), F.col("r_id").alias("_cid"), F.col("cos"))
     qt = queries.select(F.col("query_id").alias("_qid"), F.col("text").alias("_qtext"))
-    meta = c.select(F.col(id_col).alias("_cid"), *[F.col(x) for x in c.columns if x != "embedding"])
     j = cand.join(qt, cand["query_id"] == qt["_qid"]).join(meta, "_cid")
     has_desc = F.col(desc_col).isNotNull() & (F.col(desc_col) != "")
     if empty == "skip":  # after the retrieval: an empty one has taken its place among the candidates
         j = j.filter(has_desc)
     if rerank:
-        jac = F.when(has_desc, jaccard(tokens("_qtext"), tokens(desc_col))).otherwise(F.lit(0.0))
+        jac = F.when(has_desc, jaccard(tokens("_qtext"), F.col("_ctok"))).otherwise(F.lit(0.0))
         lev = F.when(has_desc, indel("_qtext", desc_col, strip=False, guard=False)).otherwise(F.lit(0.0))
         j = j.withColumn("jaccard_similarity", jac).withColumn("levenshtein_similarity", lev)
         comb = F.when(
@@ -73,7 +79,7 @@ def search(
     j = j.withColumn("combined_similarity", comb)
     w = Window.partitionBy("query_id").orderBy(F.desc("combined_similarity"), F.desc("cos"), F.asc("_cid"))
     ranked = j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
-    meta_cols = [x for x in c.columns if x != "embedding"]
+    meta_cols = [x for x in meta.columns if x not in ("_cid", "_ctok")]
     return ranked.select(
         "query_id",
         "rank",

@@ -67,6 +67,26 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search corpus: as :func:`items`, with the whole brand, type and name
+    of the part as description (short by nature) and no zero vectors."""
+    part = table(spark, sf_dir, "part")
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    desc = F.concat_ws(" ", "p_brand", "p_type", "p_name")
+    first = part.groupBy(desc.alias("description")).agg(F.min("p_partkey").alias("first_id"))
+    base = part.select(
+        F.col("p_partkey").alias("item_id"),
+        F.expr(_year_case("p_partkey")).alias("year"),
+        F.when(F.col("p_partkey") % 5 == 0, F.lit(None).cast("string"))
+        .otherwise(F.lpad((F.col("p_partkey") % 900).cast("string"), 8, "0"))
+        .alias("code"),
+        desc.alias("description"),
+    ).join(first, "description")
+    return _with_count(base, emb).join(emb, F.col("first_id") % F.col("_n") == F.col("vec_id")).select(
+        "item_id", "year", "code", "description", "embedding"
+    )
+
+
 def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec(id, embedding, label)`` over embeddings."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
@@ -227,6 +247,15 @@ SQL = {
       JOIN embeddings e ON e.vec_id = d.first_id % (SELECT count(*) FROM embeddings)
       LEFT JOIN (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) l
              ON l.doc_id = d.first_id % (SELECT count(*) FROM documents)""",
+    "catalog": f"""
+      SELECT d.p_partkey AS item_id, {_YEAR_SQL} AS year,
+             CASE WHEN d.p_partkey % 5 = 0 THEN NULL
+                  ELSE lpad(CAST(d.p_partkey % 900 AS VARCHAR), 8, '0') END AS code,
+             d.description, e.embedding
+      FROM (SELECT p_partkey, {_DESC_SQL} AS description,
+                   min(p_partkey) OVER (PARTITION BY {_DESC_SQL}) AS first_id
+            FROM part) d
+      JOIN embeddings e ON e.vec_id = d.first_id % (SELECT count(*) FROM embeddings)""",
     "hierarchy": """
       SELECT h.level, lpad(CAST(h.k AS VARCHAR), CAST(greatest(h.level, length(CAST(h.k AS VARCHAR))) AS INTEGER), '0') AS hscode,
              h.description, e.embedding, h.k * 10 + h.level AS item_id
