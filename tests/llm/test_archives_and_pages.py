@@ -1,5 +1,6 @@
 import hashlib
 import io
+import re
 import struct
 import uuid
 
@@ -180,3 +181,28 @@ def test_regions_are_known_by_whole_names(name):
     assert H.main_text(f"<div>{ARTICLE}</div>{other}").split("\n") == TEXT
     assert H.main_text(f"<article>{ARTICLE}</article>{other}").split("\n") == TEXT
     assert H.main_text(f"<article>{ARTICLE}<div hidden>not shown</div></article>").split("\n") == TEXT
+
+
+LONG = "This is a long paragraph of real article text that goes on and on. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p class=ad>Buy now<p>{LONG}<p>{LONG}</article>", [LONG, LONG]),
+        (f"<div><p class=ad>Buy now<p>{LONG}<p>{LONG}</div>", [LONG, LONG]),
+        (f"<article><ul><li class=ad>Buy<li>Real item<li>Two</ul><p>{LONG}</article>", ["Real item", "Two", LONG]),
+        (f"<article><dl><dt>T<dd class=promo>x<dt>U<dd>{LONG}</dl></article>", ["T", "U", LONG]),
+        (f"<article><table><tr><td class=ads>a<td>b<tr><td>c</table><p>{LONG}</article>", ["b", "c", LONG]),
+        (f"<article><h2 id=recommendations>Head</h2><p class=navy>{LONG}</p><p class='text promoted'>x</p></article>", ["Head", LONG, "x"]),
+        (f"<article><h2 id=comments>On comments</h2><p>{LONG}</p><div class=comments>First!</div></article>", ["On comments", LONG]),
+        ("<div>" * 12_000 + f"<nav>menu</nav><p>{LONG}</p>" + "</div>" * 12_000 + f"<p>{LONG}", [LONG, LONG]),
+    ],
+)
+def test_implied_end_tags_and_names_of_text(page, text):
+    assert H.main_text(page) == "\n".join(t.strip() for t in text)
+
+
+def test_the_distribution_alone_gives_the_articles(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert H.main_text(r.html) == H.main_text(re.sub("(</?)article", r"\1div", r.html))

@@ -16,17 +16,21 @@
    weight and so keep the sum above 0.  The text of all spans is kept, with
    the linked lines between their first and last line with weight.  If no
    span surges (a very short article), the span with the largest sum is taken.
-   A page that names its article (<article>, <main> or role=main) gives all
-   lines of it that are not in such a region, without a distribution.
+   Lines of an article pass the distribution too, all of them with weight: a
+   span is what lies between the article's first and last line.
    Names are matched as whole class tokens ("sidebar", "site-footer", but not
-   "has-sidebar" or "search-page").  A form or a layout name ("sidebar") around
+   "has-sidebar" or "search-page"), on containers alone: a heading, a paragraph
+   or an inline element that is called "recommendations" or "navy" is text,
+   unless its class is a whole advert name ("ad", "advert", "sponsored").  A form or a layout name ("sidebar") around
    the article does not count if the article holds more text than the lines
    outside of such regions; without an article, the one such region with most
    text is opened if no other line surges.
 
 Defined cases: null and empty pages, and pages without text, give an empty
 string.  Unclosed and stray tags do not matter: an end tag closes the nearest
-open element of its name, a block end tag also what lies open inside it.
+open element of its name and what lies open inside it, a block start tag closes
+an open <p>, a new list item, term, cell, row or option the one before it, and
+all of them bring back what held outside of the closed element.
 Each row is judged alone, so repeated rows and null ids need nothing special.
 """
 
@@ -59,10 +63,10 @@ _BLOCK = frozenset(
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])")
 # names of regions that may be a page's layout, and of those that never hold the article
-_LAYOUT = re.compile(r"banner|notice|popup|modal|nav\w*|menu\w*|sidebar|masthead|toolbar|widgets?|search|login|signup|subscribe")
+_LAYOUT = re.compile(r"banner|notice|popup|modal|nav|navbar|navigation|menu|menubar|sidebar|masthead|toolbar|widgets?|search|login|signup|subscribe")
 _NEVER = re.compile(
-    r"ads?|advert\w*|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|breadcrumbs?|footer|comments?|disqus|respond|replies|reply"
-    r"|related|recommend\w*|share|sharing|social|pagination|pager"
+    r"ads?|adverts?|advertisements?|advertising|adbox|sponsors?|sponsored|promos?|promoted|promotions?|cookies?|consent|gdpr|newsletter|breadcrumbs?|footer|comments?|disqus|respond|replies|reply"
+    r"|related|recommended|recommendations?|share|sharing|social|pagination|pager"
 )
 # what else the name of such a region may hold
 _WITH = re.compile(
@@ -70,6 +74,24 @@ _WITH = re.compile(
     r"|bar|text|label|area|inner|content|wrap|wrapper|container|form|stories|thread|title|us|policy|message"
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
+# elements that are a piece of text whatever their id or class says, but for these
+_TEXT = frozenset(
+    "h1 h2 h3 h4 h5 h6 p pre blockquote a abbr b bdi bdo cite code dfn em i kbd mark q s samp small span strong sub sup time u var".split()
+)
+_ADVERT = re.compile(r"ads?|adverts?|advertisements?|advertising|adbox|sponsored")
+# a start tag closes an open element of these names, up to one of the scopes
+_CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
+    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
+    "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
+    "option": ({"option"}, {"select", "datalist"}),
+}
+_P_SCOPE = frozenset("button td th caption table object".split())
 _SPACES = re.compile(r"\s+")
 
 
@@ -107,6 +129,8 @@ def _outside(tag: str, attrs: dict[str, str], in_article: bool) -> int:
         return 2
     if attrs.get("role") in _ROLES:
         return 1 if form else 2
+    if tag in _TEXT:
+        return 2 if any(_ADVERT.fullmatch(name) for name in attrs.get("class", "").lower().split()) else 0
     return max(form, *(_named(attrs.get(k, "")) for k in ("class", "id")))
 
 
@@ -132,17 +156,55 @@ class _Lines:
         if self.parts:
             s = _SPACES.sub(" ", "".join(self.parts)).strip()
             if s:
-                linked = 0 if self.in_article else self.linked  # a linked paragraph of the article is text
-                self.lines.append((s, max(len(s) - linked, 0), self.in_article, self.level, self.region))
+                # a linked line of the article is text
+                weight = len(s) if self.in_article else max(len(s) - self.linked, 0)
+                self.lines.append((s, weight, self.in_article, self.level, self.region))
             self.parts, self.linked = [], 0
 
 
+class _Open:
+    """Open elements, each with what held outside of it: (tag, level, in the
+    article, in a link); and how many of each name are open."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool, bool]] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, tag: str, level: int, article: bool, link: bool) -> None:
+        self.stack.append((tag, level, article, link))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def cut(self, i: int) -> tuple[int, bool, bool]:
+        """Close element ``i`` and all inside it; what held outside of it."""
+        state = self.stack[i][1:]
+        for tag, *_ in self.stack[i:]:
+            self.count[tag] -= 1
+        del self.stack[i:]
+        return state
+
+    def close(self, names, scope=()) -> tuple[int, bool, bool] | None:
+        """Close the outermost run of elements called ``names`` above the
+        nearest element of ``scope``."""
+        if not any(self.count.get(x) for x in names):
+            return None
+        found = None
+        for i in range(len(self.stack) - 1, -1, -1):
+            tag = self.stack[i][0]
+            if tag in scope:
+                break
+            if tag in names:
+                found = i
+                if not scope:
+                    break
+        return None if found is None else self.cut(found)
+
+
 _OUT = 1000  # level of what never is article text
 
 
 def text_lines(page: str) -> list[tuple[str, int, bool, int, int]]:
     out = _Lines()
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, level, in the article, in a link
+    open_ = _Open()
     level, article, link = 0, False, False
     at, n = 0, len(page)
     while at < n:
@@ -160,11 +222,7 @@ def text_lines(page: str) -> list[tuple[str, int, bool, int, int]]:
         if tag in _BLOCK:
             out.end()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    _, level, article, link = stack[i]
-                    del stack[i:]
-                    break
+            level, article, link = open_.close((tag,)) or (level, article, link)
         elif tag in _DROPPED:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             if close is not None:
@@ -173,10 +231,11 @@ def text_lines(page: str) -> list[tuple[str, int, bool, int, int]]:
                 at = n
         elif tag not in _VOID and not m[0].endswith("/>"):
             attrs = _attributes(m[3]) if m[3] and not m[3].isspace() else {}
-            if tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-            if len(stack) < 10_000:
-                stack.append((tag, level, article, link))
+            if tag in _BLOCK:
+                level, article, link = open_.close(("p",), _P_SCOPE) or (level, article, link)
+            if tag in _CLOSES:
+                level, article, link = open_.close(*_CLOSES[tag]) or (level, article, link)
+            open_.push(tag, level, article, link)
             if tag in ("article", "main") or attrs.get("role") == "main":
                 article, level = True, level if level >= _OUT else min(level, 1)
             how = _outside(tag, attrs, article)
@@ -202,8 +261,8 @@ def main_text(page: str | None) -> str:
     if not named and sum(x[1] for x in wrapped) > sum(x[1] for x in lines):
         named = wrapped
     if named:
-        return "\n".join(x[0] for x in named)
-    if max(_sums(lines), default=0) <= SURGE:
+        lines = named
+    if not named and max(_sums(lines), default=0) <= SURGE:
         regions: dict[int, list] = {}
         for x in found:
             if x[3] == 1 and not x[2]:
