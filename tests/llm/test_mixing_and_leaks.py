@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF, words
 from yearlink.llm import decontaminate as D
@@ -239,3 +240,22 @@ def test_pipeline(spark):
     uses = P.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in uses} <= {r.doc_id for r in docs.collect()}
     assert len(uses) > 0.8 * lengths[-1]
+
+
+def test_pipeline_with_odd_rows_and_column_names(spark, odd_docs, no_docs):
+    import corpus_pipeline as P
+
+    names = ["my col", "a.b", "a:b", "_llm_gone", "_llm_out", "_llm_bad", "_llm_leak", "q`q"]
+    for docs in (odd_docs, no_docs):
+        for name in names:
+            docs = docs.withColumn(name, F.lit(name))
+        start = docs.columns
+        for _, stage in P.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == start
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+        rows = docs.collect()
+        assert all(r[n] == n for r in rows for n in names)
+        uses = P.STAGES[-1][1](spark, docs, SF).collect()
+        assert bool(uses) == bool(rows) and {r.doc_id for r in uses} <= {r.doc_id for r in rows}
+    assert not rows

@@ -232,6 +232,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 4096, siz
             i = j
 
 
+def column(name: str) -> Column:
+    """A top-level column, whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``ids``; a
+    null id stays.  No column name of ``docs`` gets in the way."""
+    name = "_llm_out"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.join(ids.toDF(name), column(id_col).cast("long") == F.col(name), "left_anti")
+
+
 CHUNK = "_llm_chunk"
 
 

@@ -327,5 +327,4 @@ def leaks(
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that leak no item, all columns as they were."""
     bad = leaks(docs, benchmark, id_col, text_col, **how).where("doc_id is not null")
-    bad = bad.select(F.col("doc_id").alias("_llm_leak")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("_llm_leak"), "left_anti")
+    return C.without(docs, bad.select("doc_id").distinct(), id_col)

@@ -288,8 +288,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` whose document is the smallest of its group, all
     columns as they were."""
     gone = near_duplicates(docs, id_col, text_col, **how).where("not kept").select("doc_id").distinct()
-    gone = gone.withColumnRenamed("doc_id", "_llm_gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_llm_gone"), "left_anti")
+    return C.without(docs, gone, id_col)
 
 
 SQL = """

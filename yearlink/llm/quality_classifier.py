@@ -161,5 +161,4 @@ def quality_scores(
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that are not rejected, all columns as they were."""
     bad = quality_scores(docs, labels, id_col, text_col, **how).where("predicted = 0 and doc_id is not null")
-    bad = bad.select(F.col("doc_id").alias("_llm_bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("_llm_bad"), "left_anti")
+    return C.without(docs, bad.select("doc_id").distinct(), id_col)

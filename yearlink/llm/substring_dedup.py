@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from yearlink.llm import common as C
 from yearlink.llm.common import CHUNK, U64
@@ -279,7 +280,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).alias("text"),
-        F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"),
+        F.struct(*[C.column(c).alias(c) for c in docs.columns if c != text_col]).alias("row"),
     )
     dealt = C.chunked(plain, "doc_id", "text")
 
@@ -287,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _rewrite(d, a, window)
 
     owners = _passes(dealt, window, block)
-    schema = f"row {dealt.schema['row'].dataType.simpleString()}, text string"
+    schema = T.StructType([dealt.schema["row"], T.StructField("text", T.StringType())])
     out = dealt.groupBy(CHUNK).cogroup(owners.groupBy(CHUNK)).applyInArrow(rewrite, schema)
     return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
