@@ -5,6 +5,13 @@ decontamination, mixing.  Every stage works on all rows its predecessor kept;
 its result is written as Parquet in the shared folder and read again by the
 next.  All but the last return the columns of ``documents``.  A text that the
 substring stage shortened has its new length in n_chars.
+
+Defined results: a null or empty text is scored like any other, equals nothing,
+loses nothing and leaks nothing; a row with a null doc_id is never the one that
+goes from a group; repeated rows stay or go together up to the mixing, which
+deals each row; of equal documents the smallest doc_id stays; an empty table
+gives no rows; extra columns, whatever their names, go through all stages but
+the last.
 """
 
 from __future__ import annotations
