@@ -247,7 +247,7 @@ def q_resume_pairs(spark, sf):
 @register(
     "scan_items_csv",
     with_views("items")
-    + "SELECT year, count(*) AS n_items, count(code) AS n_codes FROM items WHERE description IS NOT NULL GROUP BY year",
+    + "SELECT year, count(*) AS n_items, count(code) AS n_codes FROM items WHERE nullif(description, '') IS NOT NULL GROUP BY year",  # an empty CSV field is missing
 )
 def q_scan_items_csv(spark, sf):
     """S1 + S2 + P1 + P2: items written as the 29-column CSV layout, read
@@ -322,7 +322,7 @@ def _load_pairs_sql(frm: str, to: str) -> str:
     return with_views("synthetic_edges") + f"""SELECT {frm} AS from_year, {to} AS to_year, year_n AS "year_N", year_n1 AS "year_N1",
   {code('code_n', 'year_n')} AS "HS_N", {code('code_n1', 'year_n1')} AS "HS_N1",
   combined AS "Cosine_Similarity", combined AS "Jaccard_Similarity", combined AS "Levenshtein_Similarity",
-  combined AS "Combined_Similarity", description_n AS "Description_N", description_n1 AS "Description_N1"
+  combined AS "Combined_Similarity", nullif(description_n, '') AS "Description_N", nullif(description_n1, '') AS "Description_N1"
 FROM synthetic_edges WHERE {keep('code_n', 'year_n')} AND {keep('code_n1', 'year_n1')}"""
 
 
@@ -378,7 +378,7 @@ def q_scan_year_vectors(spark, sf):
     "scan_ground_truth",
     with_views("items")
     + """SELECT CASE WHEN length(code) >= 2 THEN substr(code, 1, 2) END AS hs, count(*) AS n,
-       count(DISTINCT description) AS n_texts FROM items GROUP BY hs""",
+       count(DISTINCT nullif(description, '')) AS n_texts FROM items GROUP BY hs""",
 )
 def q_scan_ground_truth(spark, sf):
     """A labelled schedule exported as CSV (brief_description, hs) read
