@@ -38,8 +38,10 @@ def test_csv_roundtrip_and_pair_files(spark):
     io.sink_snapshot(wide, path, "csv")
     back = io.project_items(io.scan_items(spark, path))
     a = sorted(tuple(r) for r in back.collect())
-    b = sorted(tuple(r) for r in it.select("item_id", "year", "code", "description").collect())
-    assert a == b
+    every = it.select("item_id", "year", "code", "description").collect()
+    # an empty CSV field is a missing value, and items without a text are left out
+    b = sorted(tuple(r) for r in every if r.description != "")
+    assert a == b and len(b) < len(every)
 
 
 def test_alignment_flags_one_sided_rows(spark):
