@@ -184,3 +184,36 @@ def test_intersections_dense_and_sparse(monkeypatch):
     for pairs in (1 << 22, 3):
         monkeypatch.setattr(similarity, "_SPARSE_PAIRS", pairs)
         assert (similarity._intersections(*flat(q), *flat(c), 70, 50, 101) == want).all()
+
+
+def test_match_with_indel_equals_a_brute_force(spark):
+    """The Indel term has no oracle on the long item texts (too slow in SQL)."""
+    import random
+
+    import numpy as np
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            prev = 0
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rows = _many_texts(random.Random(8), 80)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.row_id: r for r in match_year_pair(df).collect()}
+    vec = {r[0]: np.array(r[4], np.float32).astype(float) for r in rows}
+    for q in (r for r in rows if r[1] == 2001):
+        best = None
+        for c in (r for r in rows if r[1] == 2000):
+            n = np.linalg.norm(vec[q[0]]) * np.linalg.norm(vec[c[0]])
+            cos = round(float(vec[q[0]] @ vec[c[0]] / n), 9) if n else 0.0
+            a, b = set(q[3].lower().split()), set(c[3].lower().split())
+            jac = len(a & b) / len(a | b) if a and b else 0.0
+            x, y = q[3].strip().lower(), c[3].strip().lower()
+            lev = 0.0 if not q[3] or not c[3] else 1.0 if not x + y else 2.0 * lcs(x, y) / len(x + y)
+            key = (round(0.7 * cos + 0.2 * jac + 0.1 * lev, 10), cos, -c[0])
+            best = key if best is None or key > best else best
+        r = got[q[0]]
+        assert (round(r.combined, 10), r.cosine, -r.item_id_n) == best

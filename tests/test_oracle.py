@@ -15,7 +15,7 @@ TABLES = (
 ).split()
 
 FAST = [
-    "match_year_pair", "match_year_pair_nolcs", "match_forward", "reconcile", "topk_cosine_expr", "indel_ratio",
+    "match_year_pair_nolcs", "reconcile", "topk_cosine_expr", "indel_ratio",
     "chain_by_code", "chain_by_description", "hierarchy_match", "merge_back", "era_summary", "source_crosstab",
     "classification_report", "clean_code", "search", "flat_index", "sink_scan_pairs", "slug_uniq_key",
     "unmatched_updates",

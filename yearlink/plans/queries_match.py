@@ -338,7 +338,4 @@ FROM best"""
 
 from yearlink.plans.registry import ORACLE as _ORACLE  # noqa: E402
 
-_ORACLE["match_year_pair"] = _match_full_sql("n1_to_n")
-_ORACLE["match_forward"] = _match_full_sql("n_to_n1")
 # guard=False only differs from the guarded form on empty descriptions (none here)
-_ORACLE["match_uniq_key"] = _match_full_sql("n_to_n1", key="uniq_key")
