@@ -150,6 +150,23 @@ def test_language_of_the_held_out_fold(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in got if r.held_out]) > 0.97
 
 
+def test_smallest_is_the_top_of_each_language(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 10 < 9, "b").otherwise("c").alias("lang"),
+        F.xxhash64(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.lit(7))).alias("o"),  # half of all: one row
+        F.lit("t").alias("t"),
+    )
+    rows = rows.union(spark.createDataFrame([("d", -(1 << 63), "x"), ("d", (1 << 63) - 1, "y"), ("d", -1, "z")], rows.schema))
+    for many in (1, 50, 400, 5000):
+        w = F.row_number().over(Window.partitionBy("lang").orderBy("o", "t"))
+        want = rows.withColumn("k", w).where(F.col("k") <= many).groupBy("lang", "o", "t").agg(F.count("*").cast("int").alias("n"))
+        got = L.smallest(rows, many)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_odd_documents_have_a_language(odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(L, "STEPS", 20)
     got = L.languages(odd_docs).collect()

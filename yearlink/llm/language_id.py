@@ -206,16 +206,34 @@ class Model:
         return best, p[np.arange(len(best)), best]
 
 
+def smallest(rows: DataFrame, many: int) -> DataFrame:
+    """Of ``rows`` (lang, o, t) the ``many`` with the smallest (o, t) of each
+    language, as lang, o, t and how often the row counts.
+
+    One aggregate counts the rows of a language by the leading zeros of ``o``,
+    at most 64 numbers each; they give a cut-off that about ``many`` to twice
+    as many rows pass, whatever the number of rows and tasks.  Only those are
+    put in order, equal rows as one."""
+    level = (64 - F.length(F.bin(F.col("o").bitwiseXOR(F.lit(-(1 << 63)))))).alias("level")
+    sizes = rows.select("lang", level).groupBy("lang", "level").count()
+    above = F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("level")))
+    enough = F.coalesce(F.max(F.when(F.col("above") >= many, F.col("level"))), F.lit(0))
+    cut = sizes.withColumn("above", above).groupBy("lang").agg(enough.alias("cut"))
+    near = rows.join(F.broadcast(cut), "lang").where(level >= F.col("cut"))  # a row for each language the model has
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("o", "t")) - F.col("n")
+    rest = near.groupBy("lang", "o", "t").agg(F.count("*").alias("n")).withColumn("before", before).where(F.col("before") < many)
+    return rest.select("lang", "o", "t", F.least("n", many - F.col("before")).cast("int").alias("n"))
+
+
 def teach(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Model | None:
     """Fit on ``docs`` (doc_id, text, lang): for each language the ``sample``
     rows with the smallest hash, of each the bytes after a random place."""
     place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - SPAN, F.lit(0)) + 1)
     cut = F.substring(F.col("text"), place.cast("int") + 1, F.lit(SPAN))
-    order = F.xxhash64("doc_id", F.lit(1))
+    order = F.xxhash64("doc_id", "text", F.lit(1))
     rows = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "t"))  # cut in every task before the shuffle
-    top = rows.select("lang", order.alias("o"), cut.alias("t")).withColumn("rank", rank).where(F.col("rank") <= sample)
-    found = sorted((r["lang"], r["o"], r["t"]) for r in top.collect())  # ``sample`` snippets for each language
+    top = smallest(rows.select("lang", order.alias("o"), cut.alias("t")), sample).collect()
+    found = sorted((r["lang"], r["o"], r["t"]) for r in top for _ in range(r["n"]))  # ``sample`` snippets for each language
     languages = sorted({lang for lang, _, _ in found})
     if not languages:
         return None
