@@ -111,10 +111,56 @@ def test_copies_and_changed_parameters_are_caught(spark):
         "",
     ]
     got = found(spark, texts, [ITEM, None, "too short"])
-    assert {k[0] for k in got} == {0, 1} or {k[0] for k in got} == {0, 1, 2}
+    assert {k[0] for k in got} == {0, 1, 2}
     assert all(k[1] == 0 for k in got) and got[0, 0] >= 18
 
 
+RICH = (
+    "Alice Brown of New York met Carl Gauss in Bonn on 3 May. Alice gave Carl 12 old books about Euler and Rome."
+    " How many books does Carl Gauss own in Bonn now?"
+)
+
+
+def test_copies_in_other_letters_and_lines_are_found_whole(spark):
+    n = len(D.template(RICH)[0])
+    wrapped = [RICH.replace(" ", "\n"), RICH.replace(" Gauss", "\nGauss")]
+    texts = [RICH, RICH.lower(), RICH.upper(), *wrapped, f"He asked: {RICH}", f"then he asked {RICH} and left"]
+    got = found(spark, texts, [RICH])
+    assert got == {(d, 0): n for d in range(len(texts))}
+
+
+def test_short_items_inside_a_sentence_are_found(spark):
+    item = "What colour is the sky over Paris today?"
+    n = len(D.template(item)[0])
+    assert n == 8
+    texts = [item, f"she asked what {item.lower()} then", f"she asked {item} Then", "She asked What colour is the sky over Rome today then"]
+    assert found(spark, texts, [item]) == {(d, 0): n for d in range(4)}
+
+
+def test_changed_names_that_open_sentences_are_found(spark):
+    changed = RICH.replace("Alice", "Dora").replace("Carl", "Emil").replace("12", "40").replace("Bonn", "Wien")
+    n = len(D.template(RICH)[0])
+    mixed = changed.replace("Emil 40", "Dora 40")  # one name for two
+    got = found(spark, [changed, changed.replace(" ", "\n"), mixed], [RICH])
+    assert got[0, 0] == got[1, 0] == n and got.get((2, 0), 0) < n
+
+
+def test_texts_with_like_words_are_left_alone(spark):
+    texts = [
+        "Alice Brown met Emil. Carl wrote 12 letters about Rome. How many books are old now? Euler lived in Bonn.",
+        "In Bonn Alice Brown of New York met Carl. 3 May is a day on which he gave all he had.",
+        " ".join(reversed(RICH.split())),
+    ]
+    assert found(spark, texts, [RICH]) == {}
+
+
+def test_an_item_with_two_texts_is_reported_once(spark):
+    docs = spark.createDataFrame([(1, f"{RICH} {ITEM}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, RICH), (5, ITEM)], "item_id long, text string")
+    (row,) = D.leaks(docs, bench).collect()
+    assert (row.doc_id, row.item_id, row.n_tokens) == (1, 5, max(len(D.template(t)[0]) for t in (RICH, ITEM)))
+
+
 DENSE = "A train travels 60 km in 2 h and 90 km in 3 h."
 
 

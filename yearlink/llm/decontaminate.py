@@ -3,7 +3,15 @@
 Texts become sequences of tokens: words without edge punctuation in lower
 case, where numbers, units and names give way to typed placeholders (<num>,
 <unit>, <name>).  "It takes 12 km" and "It takes 7.5 miles" are then the same
-template.  A name is a capitalised word inside a sentence.
+template.  A text has three readings, and each is matched with the same
+reading of the items:
+
+* *named*: a name is a capitalised word inside a sentence;
+* *wide*: a capitalised word that opens a sentence is a name as well, so that
+  changed names are seen there and a question may be quoted anywhere;
+* *folded*: no word is a name, so that a copy in other letters is the same.
+
+Line ends are white space like any other: text may be wrapped anywhere.
 
 1. *Template windows.*  From every token of all items and of every whole
    document the shortest window of at least ``window`` tokens and ``literals``
@@ -33,6 +41,7 @@ used.  An empty benchmark or table finds nothing.
 
 from __future__ import annotations
 
+import copy
 import re
 
 import numpy as np
@@ -61,51 +70,56 @@ _PLAIN = re.compile(rb"[a-z]+")
 
 
 def template(text: str | None) -> tuple[list[str], list[str]]:
-    """Tokens of a text and, for placeholders, what they stand for."""
-    tokens, values = [], []
+    """Tokens of a text as named and, for placeholders, what they stand for."""
+    return _template(text)[:2]
+
+
+def _template(text: str | None) -> tuple[list[str], list[str], list[int]]:
+    """The template and the places of capitalised words that open a sentence."""
+    tokens, values, opening = [], [], []
     fresh = True  # at the start of a sentence
-    for line in (text or "").split("\n"):
-        fresh = True
-        for raw in line.encode().split():
-            if not fresh and _PLAIN.fullmatch(raw):
-                word = raw.decode()
-                if word in UNITS and tokens[-1] == NUM:
+    for raw in (text or "").encode().split():
+        if not fresh and _PLAIN.fullmatch(raw):
+            word = raw.decode()
+            if word in UNITS and tokens[-1] == NUM:
+                tokens.append(UNIT)
+            else:
+                tokens.append(word)
+            values.append(word)
+            continue
+        raw = raw.decode()
+        word = raw.strip(_EDGE)
+        if word:
+            m = _NUMBER.fullmatch(word) if word[0] in "$€£+-0123456789" else None
+            if m:
+                if m[1]:
                     tokens.append(UNIT)
+                    values.append(m[1])
+                tokens.append(NUM)
+                values.append(m[2].rstrip(".,:/"))
+                if m[3]:
+                    tokens.append(UNIT)
+                    values.append(m[3].lower())
+            else:
+                low = word.lower()
+                if low in UNITS and tokens and tokens[-1] == NUM:
+                    tokens.append(UNIT)
+                elif word[0].isupper() and not word.isupper():
+                    if fresh:
+                        opening.append(len(tokens))
+                    tokens.append(low if fresh else NAME)
                 else:
-                    tokens.append(word)
-                values.append(word)
-                continue
-            raw = raw.decode()
-            word = raw.strip(_EDGE)
-            if word:
-                m = _NUMBER.fullmatch(word) if word[0] in "$€£+-0123456789" else None
-                if m:
-                    if m[1]:
-                        tokens.append(UNIT)
-                        values.append(m[1])
-                    tokens.append(NUM)
-                    values.append(m[2].rstrip(".,:/"))
-                    if m[3]:
-                        tokens.append(UNIT)
-                        values.append(m[3].lower())
-                else:
-                    low = word.lower()
-                    if low in UNITS and tokens and tokens[-1] == NUM:
-                        tokens.append(UNIT)
-                    elif not fresh and word[0].isupper() and not word.isupper():
-                        tokens.append(NAME)
-                    else:
-                        tokens.append(low)
-                    values.append(low)
-            fresh = raw[-1] in ".!?:"
-    return tokens, values
+                    tokens.append(low)
+                values.append(low)
+        fresh = raw[-1] in ".!?:"
+    return tokens, values, opening
 
 
 class Templates:
     """Templates of a batch of texts: token hashes, all in one array."""
 
     def __init__(self, texts: list[str | None]):
-        parts = [template(t) for t in texts]
+        parts = [_template(t) for t in texts]
         self.tokens = [p[0] for p in parts]
         self.values = [p[1] for p in parts]
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
@@ -116,6 +130,36 @@ class Templates:
         self.literal = ~np.isin(self.hash, np.array(sorted(slots), U64))
         self.words = np.concatenate(([0], np.cumsum(self.literal)))
         self.doc = np.repeat(np.arange(len(texts)), self.lengths)
+        self.opening = np.array([f + i for f, p in zip(self.first.tolist(), parts, strict=False) for i in p[2]], np.int64)
+        self.changed, self.to, self._made = np.empty(0, np.int64), [], {}
+
+    def wide(self) -> Templates:
+        return self._reading(self.opening, [NAME] * len(self.opening))
+
+    def folded(self) -> Templates:
+        at = np.flatnonzero(self.hash == _hashes([NAME])[0])
+        of = self.doc[at]
+        return self._reading(at, [self.values[d][i] for d, i in zip(of.tolist(), (at - self.first[of]).tolist(), strict=True)])
+
+    def _reading(self, at: np.ndarray, tokens: list[str]) -> Templates:
+        """The same texts with other tokens at the places ``at``."""
+        other = copy.copy(self)
+        other.changed, other.to, other._made = at, tokens, {}
+        other.hash, other.literal = self.hash.copy(), self.literal.copy()
+        other.hash[at] = _hashes(tokens)
+        other.literal[at] = ~self.literal[at]
+        other.words = np.concatenate(([0], np.cumsum(other.literal)))
+        return other
+
+    def sequence(self, d: int) -> list[str]:
+        """Tokens of text ``d`` in this reading."""
+        if d not in self._made:
+            lo, hi = np.searchsorted(self.changed, self.first[d : d + 2])
+            made = list(self.tokens[d]) if lo < hi else self.tokens[d]
+            for at, token in zip(self.changed[lo:hi].tolist(), self.to[lo:hi], strict=True):
+                made[at - int(self.first[d])] = token
+            self._made[d] = made
+        return self._made[d]
 
     def windows(self, k: int, literals: int):
         """Start, length and hash of the windows of ``k`` tokens with enough words."""
@@ -187,12 +231,15 @@ def _step_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0][:n], _pow[1][:n]
 
 
+READINGS = (lambda texts: texts, Templates.wide, Templates.folded)
+
+
 class Benchmark:
-    """Window hashes of some items, sorted, with where each comes from."""
+    """Window hashes of some items in one reading, sorted, with where each comes from."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int, literals: int):
+    def __init__(self, items: list[tuple[int, str | None]], window: int, literals: int, reading=READINGS[0]):
         self.ids = [i for i, _ in items]
-        self.text = Templates([t for _, t in items])
+        self.text = reading(Templates([t for _, t in items]))
         self.short = sorted({int(n) for n in self.text.lengths if literals <= n < window})
         found = list(_probes(self.text, window, literals))
         for k in self.short:  # the whole of a short item
@@ -233,7 +280,7 @@ def _passages(docs: Templates, bench: Benchmark, window: int, literals: int):
                 key = d, item, p - q
                 if p + k <= last.get(key, 0):
                     continue  # inside the passage before
-                x, y = docs.tokens[d], bench.text.tokens[item]
+                x, y = docs.sequence(d), bench.text.sequence(item)
                 start, end = p, p + k
                 if end - (p - q) > len(y) or x[p:end] != y[q : q + k]:
                     continue  # another text with the same hash
@@ -269,22 +316,27 @@ def consistent_length(doc_tokens, doc_values, item_tokens, item_values) -> int:
     return max(best, i - start)
 
 
-def _find(bench: Benchmark, window: int, literals: int, least: int):
+def _find(benches: list[Benchmark], window: int, literals: int, least: int):
+    """``benches``: the items in each of ``READINGS``."""
+
     def run(batches):
         for b in C.slices(batches, "text", size=1 << 20):
             ids = b.column(0).to_pylist()
-            docs = Templates(b.column(1).to_pylist())
+            texts = Templates(b.column(1).to_pylist())
             best: dict[tuple[int, int], int] = {}
-            for d, item, p, q, n in _passages(docs, bench, window, literals):
-                same = consistent_length(
-                    docs.tokens[d][p : p + n],
-                    docs.values[d][p : p + n],
-                    bench.text.tokens[item][q : q + n],
-                    bench.text.values[item][q : q + n],
-                )
-                if same >= min(least, int(bench.text.lengths[item])):
-                    best[d, item] = max(best.get((d, item), 0), same)
-            rows = [(ids[d], bench.ids[item], n) for (d, item), n in sorted(best.items())]
+            for reading, bench in zip(READINGS, benches, strict=True):
+                docs = reading(texts)
+                for d, item, p, q, n in _passages(docs, bench, window, literals):
+                    same = consistent_length(
+                        docs.sequence(d)[p : p + n],
+                        docs.values[d][p : p + n],
+                        bench.text.sequence(item)[q : q + n],
+                        bench.text.values[item][q : q + n],
+                    )
+                    if same >= min(least, int(bench.text.lengths[item])):
+                        key = d, bench.ids[item]
+                        best[key] = max(best.get(key, 0), same)
+            rows = [(ids[d], item, n) for (d, item), n in sorted(best.items())]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_tokens"])
 
@@ -316,10 +368,11 @@ def leaks(
     out = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        bench = Benchmark([(r["item_id"], r["text"]) for r in part], window, literals)
-        if not len(bench.hash):
+        pairs = [(r["item_id"], r["text"]) for r in part]
+        benches = [Benchmark(pairs, window, literals, reading) for reading in READINGS]
+        if not any(len(b.hash) for b in benches):
             continue
-        found = plain.mapInArrow(_find(bench, window, literals, least), schema)
+        found = plain.mapInArrow(_find(benches, window, literals, least), schema)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
