@@ -18,7 +18,7 @@ FAST = [
     "match_year_pair_nolcs", "reconcile", "topk_cosine_expr", "indel_ratio",
     "chain_by_code", "chain_by_description", "hierarchy_match", "merge_back", "era_summary", "source_crosstab",
     "classification_report", "clean_code", "search", "flat_index", "sink_scan_pairs", "slug_uniq_key",
-    "unmatched_updates",
+    "unmatched_updates", "embed_items",
 ]
 
 

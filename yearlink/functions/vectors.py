@@ -8,7 +8,7 @@ identically (float32 inputs carry ~7 significant digits anyway).
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -90,60 +90,91 @@ def masked_mean_pool(
 
 
 # ---------------------------------------------------------------- encoders
-# An encoder maps a pandas Series of texts to a float32 matrix [n, dim].
-Encoder = Callable[[pd.Series], np.ndarray]
+# An encoder maps an array of texts to a float32 matrix [n, dim].
+Encoder = Callable[[np.ndarray], np.ndarray]
+# Token vectors [tokens, dim] of distinct tokens, and which of them are known.
+Lookup = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def mean_pooled(vectors: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """F7 for a batch: unit-normalised mean of the token vectors of each of
+    ``n`` texts; ``rows`` (ascending) says whose token each vector is.  Texts
+    of any length lie side by side, so none is padded or cut."""
+    out = np.zeros((n, vectors.shape[1]))
+    if len(rows):
+        start = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        out[rows[start]] = np.add.reduceat(vectors, start, axis=0, dtype=np.float64)
+    out /= np.maximum(np.bincount(rows, minlength=n), 1e-9)[:, None]
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    np.divide(out, norms, out=out, where=norms > 0)
+    return out.astype(np.float32)
+
+
+def token_encoder(lookup: Lookup) -> Encoder:
+    """Lower-cased tokens of a batch, looked up once each, mean-pooled.  A
+    token without a vector is masked; a text without any has a zero vector."""
+
+    def encode(texts: np.ndarray) -> np.ndarray:
+        words = pd.Series(texts, dtype=object).str.lower().str.split(r"[ \t\n\f\r]+", regex=True).explode()
+        words = words[words.notna() & (words != "")]
+        codes, distinct = pd.factorize(words)
+        vectors, known = lookup(list(distinct))
+        rows, codes = words.index.to_numpy()[known[codes]], codes[known[codes]]
+        return mean_pooled(vectors[codes], rows, len(texts))
+
+    return encode
 
 
 def hashed_token_encoder(dim: int = 64) -> Encoder:
-    """Deterministic default encoder: signed feature hashing of lower-cased
-    tokens, then unit-normalised.  Needs no model file; a transformer model can
-    be plugged in through :func:`embed_texts` instead."""
-
-    def encode(texts: pd.Series) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for i, t in enumerate(texts.tolist()):
-            if not t:
-                continue
-            for tok in t.lower().split():
-                h = zlib.crc32(tok.encode("utf-8"))
-                out[i, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        np.divide(out, norms, out=out, where=norms > 0)
-        return out
+    """Deterministic default encoder, needs no model file: a token's vector is
+    one signed slot of its md5, as in :func:`token_vectors`."""
+
+    def lookup(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        h = np.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big") for t in tokens], np.int64)
+        out = np.zeros((len(tokens), dim), np.float32)
+        out[np.arange(len(tokens)), h % dim] = np.where(h % (2 * dim) >= dim, 1.0, -1.0)
+        return out, np.ones(len(tokens), bool)
+
+    return token_encoder(lookup)
 
-    return encode
 
+def table_encoder(tokens: list[str], vectors: np.ndarray) -> Encoder:
+    """Encoder over a table of static token vectors, such as a model's input
+    embeddings loaded from a file; other tokens are masked."""
+    index = pd.Index(tokens)
 
-_ENCODERS: dict[str, Callable[[], Encoder]] = {"hashed64": lambda: hashed_token_encoder(64)}
+    def lookup(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        at = index.get_indexer(found)
+        return vectors[at], at >= 0
 
+    return token_encoder(lookup)
 
-def register_encoder(name: str, factory: Callable[[], Encoder]) -> None:
-    """Plug in an encoder factory (called once per Python worker)."""
-    _ENCODERS[name] = factory
+
+_ENCODERS: dict[str, tuple[Callable[[], Encoder], int]] = {"hashed64": (lambda: hashed_token_encoder(64), 1024)}
+
+
+def register_encoder(name: str, factory: Callable[[], Encoder], batch_size: int = 1024) -> None:
+    """Plug in an encoder.  ``factory`` travels with the task, runs once in
+    each Python worker and loads the model there, from a place that workers
+    can read; ``batch_size`` texts at most are encoded at once."""
+    _ENCODERS[name] = factory, batch_size
     _encoder_udf.cache_clear()
 
 
 @lru_cache(maxsize=None)
 def _encoder_udf(name: str):
-    factory = _ENCODERS[name]
-    holder: dict[str, Encoder] = {}
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _encode(texts: pd.Series) -> pd.Series:
-        enc = holder.get("e")
-        if enc is None:
-            enc = holder["e"] = factory()
-        mat = enc(texts.fillna(""))
-        return pd.Series(list(mat.astype(np.float32)))
+    from pyspark.ml.functions import predict_batch_udf
 
-    return _encode
+    factory, batch_size = _ENCODERS[name]
+    return predict_batch_udf(factory, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
 
 
 def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding", encoder: str = "hashed64") -> DataFrame:
     """Encode each *distinct* text once (rewrite 3), then join back.
 
     Null text is encoded as '' (P12).  The distinct is a shuffle on the text;
-    the encoder runs in Arrow batches of ``arrow.maxRecordsPerBatch`` rows.
+    the encoder is a batch predictor: loaded once a worker, called for
+    ``batch_size`` texts at a time.
     """
     ship_package(df.sparkSession)
     key = F.coalesce(F.col(text_col), F.lit(""))

@@ -146,20 +146,6 @@ def q_format_results(spark, sf):
     return format_results(search(fx.queries_v(spark, sf), _corpus(spark, sf), top_k=5), "text")
 
 
-@register("embed_items")
-def q_embed_items(spark, sf):
-    """Encode each distinct description once with the pluggable encoder
-    (default: hashed tokens, 64 dims) -> item, vector width, norm."""
-    e = embed_texts(fx.items(spark, sf).select("item_id", "description"), "description", "vec")
-    return round_doubles(
-        e.select(
-            "item_id",
-            F.size("vec").cast("long").alias("dim"),
-            F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"),
-        )
-    )
-
-
 def _token_vectors_sql(name: str, source: str, text: str) -> str:
     """CTEs for ``name(txt, embedding)``: the token vectors of a text column."""
     h = "('0x' || substr(md5(tok), 1, 8))::BIGINT"
@@ -173,13 +159,22 @@ def _token_vectors_sql(name: str, source: str, text: str) -> str:
              LEFT JOIN {name}_s s ON s.txt = t.txt AND s.s = r.s LEFT JOIN {name}_n n ON n.txt = t.txt GROUP BY t.txt)"""
 
 
-@register(
-    "embed_token_vectors",
-    with_views("items") + "," + _token_vectors_sql("tv", "items", "description") + """
+_EMBEDDED_SQL = with_views("items") + "," + _token_vectors_sql("tv", "items", "description") + """
 SELECT item_id, CAST(i - 1 AS INTEGER) AS slot, round(CAST(x AS DOUBLE), 6) AS value FROM (
-  SELECT item_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM items_d JOIN tv ON txt = description)
-WHERE x <> 0""".replace("items_d", "(SELECT item_id, description FROM items)"),
-)
+  SELECT item_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i
+  FROM (SELECT item_id, description FROM items) JOIN tv ON txt = coalesce(description, ''))
+WHERE x <> 0"""
+
+
+@register("embed_items", _EMBEDDED_SQL)
+def q_embed_items(spark, sf):
+    """Each distinct description encoded once by the pluggable batch
+    encoder (default: hashed tokens, 64 dims): non-zero slots."""
+    e = embed_texts(fx.items(spark, sf).select("item_id", "description"), "description", "vec")
+    return round_doubles(e.select("item_id", F.posexplode("vec").alias("slot", "value")).filter("value <> 0"), 6)
+
+
+@register("embed_token_vectors", _EMBEDDED_SQL)
 def q_embed_token_vectors(spark, sf):
     """U1 in the JVM: non-zero slots of each item's token vector."""
     e = token_vectors(fx.items(spark, sf).select("item_id", "description"), "description", "vec")

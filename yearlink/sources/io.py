@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yearlink.session import ensure_checkpoint_dir
+from yearlink.session import ensure_checkpoint_dir, ship_package
 
 # Column layout of the yearly item CSV (fixed: the sample file's header).
 ITEM_CSV_COLUMNS = [
@@ -63,6 +63,18 @@ def scan_items_str(spark: SparkSession, path: str, columns: list[str] | None = N
     return _csv(spark, T.StructType([T.StructField(n, T.StringType(), True) for n in names])).csv(path)
 
 
+def scan_xlsx(spark: SparkSession, path: str, columns: list[str], sheet: str | None = None) -> DataFrame:
+    """Rows of workbooks (a file, folder or pattern), all strings, by the
+    names of the first row of ``sheet`` (default: the first sheet).  Spark
+    reads the files, on any file system, a task for some workbooks each."""
+    from yearlink.sources.xlsx import rows_of_books
+
+    ship_package(spark)
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
+    books = spark.read.format("binaryFile").load(path).select("path", "content")
+    return books.mapInArrow(rows_of_books(columns, sheet), schema)
+
+
 def project_items(df: DataFrame) -> DataFrame:
     """P1 + P2: ``year, hs, brief_description`` -> canonical item columns,
     rows with a NULL description dropped; ``index`` becomes ``item_id``."""
