@@ -28,7 +28,14 @@ def _hop() -> Column:
     return F.struct(F.col("year_n1").alias("year"), F.col("code_n1").alias("code"), F.col("combined").alias("score"))
 
 
-def chain_by_description(edges: DataFrame, anchor_year: int = 2023, with_path: bool = False) -> DataFrame:
+def _best_edge() -> Column:
+    """The order in which C2 prefers the out-edges of one node."""
+    return F.struct(F.coalesce(F.col("combined").isNotNull(), F.lit(False)), F.col("combined"), F.col("row_id"))
+
+
+def chain_by_description(
+    edges: DataFrame, anchor_year: int = 2023, with_path: bool = False, resolved: DataFrame | None = None
+) -> DataFrame:
     """Map every forward edge (N -> N1) to its anchor-year item by
     following description nodes ``(year, strip().lower() text)``.
 
@@ -40,17 +47,18 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023, with_path: b
     Adds ``mapped_2023_code, mapped_2023_description, hops``.  ``with_path``
     also adds C4's ``path``: the hops in order, each with the year and code it
     leads to and its score.  Doubling joins the hop lists end to end, so a list
-    is never longer than the number of editions.
+    is never longer than the number of editions.  ``resolved`` gives nodes that
+    are settled already (``ny, nd, ac, ad, hops`` and ``path``, see
+    :mod:`yearlink.plans.chain_update`); ``edges`` must not leave them.
     """
     e = edges.withColumn("_dn", norm_desc("description_n")).withColumn("_dn1", norm_desc("description_n1"))
     # one out-edge per node: highest combined (NULL lowest), then highest
     # row_id.  An aggregate (map-side partial max_by), not a window, so a
     # description repeated by a third of all rows never lands in one sort.
-    ordering = F.struct(F.coalesce(F.col("combined").isNotNull(), F.lit(False)), F.col("combined"), F.col("row_id"))
     chosen = (
         e.filter(F.col("_dn").isNotNull())
         .groupBy("year_n", "_dn")
-        .agg(F.max_by(F.struct("year_n1", "_dn1", "code_n1", "description_n1", "combined"), ordering).alias("_e"))
+        .agg(F.max_by(F.struct("year_n1", "_dn1", "code_n1", "description_n1", "combined"), _best_edge()).alias("_e"))
     )
     out = (
         chosen.select("year_n", "_dn", "_e.*")
@@ -66,6 +74,10 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023, with_path: b
             *([F.array(_hop()).alias("path")] if with_path else []),
         )
     )
+    if resolved is not None:
+        out = out.unionByName(
+            resolved.withColumn("py", F.lit(None).cast("int")).withColumn("pd", F.lit(None).cast("string")).withColumn("done", F.lit(True))
+        )
     state = _cut(out)
     for _ in range(MAX_ROUNDS):
         # only rows with a pointer are joined: finished ones would all meet on
@@ -95,13 +107,13 @@ def chain_by_description(edges: DataFrame, anchor_year: int = 2023, with_path: b
             *([F.when(found, F.concat("path", "tpath")).otherwise(F.col("path")).alias("path")] if with_path else []),
         )
         state = _cut(state.filter(~live).unionByName(moved))
-    resolved = state.filter("done").select(
+    ends = state.filter("done").select(
         F.col("ny").alias("_ty"), F.col("nd").alias("_td"), F.col("ac").alias("_ac"), F.col("ad").alias("_ad"),
         F.col("hops").alias("_hops"),
         *([F.col("path").alias("_path")] if with_path else []),
     )
     seed = F.col("year_n1") == anchor_year
-    joined = e.join(resolved, (~seed) & (e["year_n1"] == resolved["_ty"]) & (e["_dn1"] == resolved["_td"]), "left")
+    joined = e.join(ends, (~seed) & (e["year_n1"] == ends["_ty"]) & (e["_dn1"] == ends["_td"]), "left")
     return joined.select(
         *[c for c in edges.columns],
         F.when(seed, F.col("code_n1")).otherwise(F.col("_ac")).alias("mapped_2023_code"),
@@ -124,7 +136,9 @@ def ambiguous_nodes(edges: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- C1
-def chain_by_code(edges: DataFrame, anchor_year: int = 2023) -> DataFrame:
+def chain_by_code(
+    edges: DataFrame, anchor_year: int = 2023, with_seed: bool = False, reached: DataFrame | None = None
+) -> DataFrame:
     """Walk reverse edges back from every anchor-year row by code.
 
     Node = ``(year_n1, code_n1)``; only the last row (max ``row_id``) of a
@@ -133,6 +147,9 @@ def chain_by_code(edges: DataFrame, anchor_year: int = 2023) -> DataFrame:
     code_n)`` of a reached row; it takes the anchor of the latest seed (max
     ``row_id``) that reaches it.  NULL codes never link.
     The latest seed of every row is closed by doubling the jump pointer.
+    ``with_seed`` adds that seed and its target as ``anchor``: ``row_id, code,
+    description``.  ``reached`` (``year_n, code_n, anchor``) are rows reached
+    already that are not among ``edges``; they hand their anchors on to them.
     """
     rows = edges.select("row_id", "year_n", "code_n", "year_n1", "code_n1", "description_n1")
     retained = (
@@ -148,9 +165,19 @@ def chain_by_code(edges: DataFrame, anchor_year: int = 2023) -> DataFrame:
     jump = _cut(jump)
     # The jump is single-valued, so seeds that meet on a row stay together and
     # only the latest of them matters: one (row, seed) pair for each row.
-    reach = _cut(
-        rows.filter(F.col("year_n1") == anchor_year).select(F.col("row_id").alias("seed"), F.col("row_id").alias("r"))
+    seeds = rows.filter(F.col("year_n1") == anchor_year).select(
+        F.col("row_id").alias("seed"), F.struct("row_id", F.col("code_n1").alias("code"), F.col("description_n1").alias("description")).alias("anchor")
     )
+    start = seeds.select("seed", F.col("seed").alias("r"))
+    if reached is not None:
+        handed = reached.filter(F.col("code_n").isNotNull()).join(retained, ["year_n", "code_n"])
+        handed = _cut(handed.groupBy("dst").agg(F.max_by("anchor", F.col("anchor.row_id")).alias("anchor")))
+        start = start.unionByName(handed.select(F.col("anchor.row_id").alias("seed"), F.col("dst").alias("r")))
+        start = start.groupBy("r").agg(F.max("seed").alias("seed")).select("seed", "r")
+        # one row for each seed that enters, with its target
+        seeds = seeds.unionByName(handed.select(F.col("anchor.row_id").alias("seed"), "anchor"))
+        seeds = seeds.groupBy("seed").agg(F.any_value("anchor").alias("anchor"))
+    reach = _cut(start)
     # reach holds the latest seed within 2^k jumps of every row; the pointer
     # jumps 2^k rows, so one join reaches twice as far.
     for _ in range(MAX_ROUNDS):
@@ -163,13 +190,11 @@ def chain_by_code(edges: DataFrame, anchor_year: int = 2023) -> DataFrame:
             .join(jump.alias("b"), F.col("a.dst") == F.col("b.src"))
             .select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
         )
-    anchors = rows.filter(F.col("year_n1") == anchor_year).select(
-        F.col("row_id").alias("seed"), F.struct(F.col("code_n1").alias("c"), F.col("description_n1").alias("d")).alias("a")
-    )
-    best = reach.join(anchors, "seed").select("r", "a")
+    best = reach.join(seeds, "seed").select("r", "anchor")
     out = edges.join(best, edges["row_id"] == best["r"], "left")
     return out.select(
         *edges.columns,
-        F.col("a.c").alias("mapped_2023_code"),
-        F.col("a.d").alias("mapped_2023_description"),
+        F.col("anchor.code").alias("mapped_2023_code"),
+        F.col("anchor.description").alias("mapped_2023_description"),
+        *(["anchor"] if with_seed else []),
     )

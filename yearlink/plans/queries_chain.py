@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from yearlink.operators.coverage import blank_by_year_top, coverage_by_year, dup_descriptions, unmapped_rows
 from yearlink.operators.match import match_year_pair
 from yearlink.plans.chain import ambiguous_nodes, chain_by_code, chain_by_description
+from yearlink.plans.chain_update import changed_pairs, update_by_code, update_by_description
 from yearlink.plans.queries_match import _match_nolcs_sql
 from yearlink.plans.reconcile import reconcile
 from yearlink.plans.registry import register, round_doubles
@@ -108,6 +109,37 @@ def q_chain_path(spark, sf):
     )
 
 
+def _before_an_edition(spark, sf):
+    """Edges of all items, and those made before the middle edition arrived:
+    the edition before it then led straight to the one after it."""
+    it = parquet_table(fx.items(spark, sf), "items")
+    now = parquet_table(fx.synthetic_edges(spark, sf, it), "edges")
+    middle = it.select(F.percentile_approx(F.col("year"), 0.5).alias("y"))
+    older = it.join(F.broadcast(middle), it["year"] == middle["y"], "left_anti")  # one row
+    return now, parquet_table(fx.synthetic_edges(spark, sf, older), "edges-before")
+
+
+@register(
+    "chain_update_by_description",
+    C2_SQL
+    + "\nSELECT row_id, year_n, year_n1, code_n, code_n1, mapped_2023_code, mapped_2023_description, hops FROM chained",
+)
+def q_chain_update_by_description(spark, sf):
+    """S10 over C2: the chain brought up to date after an edition came in
+    between; equal to the full run."""
+    now, before = _before_an_edition(spark, sf)
+    previous = parquet_table(chain_by_description(before), "chained-before")
+    return update_by_description(now, previous, changed_pairs(before, now)).select(*C_OUT, "hops")
+
+
+@register("chain_update_by_code", C1_SQL)
+def q_chain_update_by_code(spark, sf):
+    """S10 over C1: the same for the code chain."""
+    now, before = _before_an_edition(spark, sf)
+    previous = parquet_table(chain_by_code(before, with_seed=True), "chained-before")
+    return update_by_code(now, previous, changed_pairs(before, now)).select(*C_OUT)
+
+
 @register(
     "unmapped_rows",
     C2_SQL + "\nSELECT count(*) AS n_rows, count(*) FILTER (WHERE mapped_2023_code IS NULL) AS n_unmapped FROM chained",
