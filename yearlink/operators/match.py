@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yearlink.functions.indel import indel
+from yearlink.functions.indel_expr import indel_expr
 from yearlink.functions.text import indel_upper_bound, jaccard, norm_desc, tokens, uniq_key
 from yearlink.functions.vectors import l2_norm
 from yearlink.operators.exact import identical_counterparts
@@ -120,6 +121,7 @@ def match_year_pair(
     pairs: DataFrame | None = None,
     materialize: bool = True,
     shortcut: bool = True,
+    python: bool = True,
 ) -> DataFrame:
     """Best counterpart of every query item in the adjacent year.
 
@@ -137,7 +139,11 @@ def match_year_pair(
     ``shortcut`` (exact; see :mod:`yearlink.operators.exact`) settles queries
     that have a candidate of equal text and vector by a hash join; only the
     others enter the quadratic stage.
+    ``python=False`` computes cosines and Indel ratios in Catalyst: no Python
+    worker starts, at a higher price for each pair.
     """
+    if not python:
+        method = "expr"
     if materialize:
         # tokens and norms are CPU-heavy per byte: spread them over the slots
         items = items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id")
@@ -197,7 +203,7 @@ def match_year_pair(
         text_c = prepared.select(F.col("item_id").alias("c_id"), F.col("description").alias("c_text"))
         text_q = prepared.select(F.col("item_id").alias("q_id"), F.col("description").alias("q_text"))
         scored = scored.join(text_c, "c_id").join(text_q, "q_id")
-        lev = indel("q_text", "c_text", strip=strip, guard=guard)
+        lev = (indel if python else indel_expr)("q_text", "c_text", strip=strip, guard=guard)
     else:
         lev = F.lit(None).cast("double")
     scored = scored.withColumn("lev", lev).withColumn(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from yearlink.functions import text as tx
 from yearlink.functions.indel import indel
+from yearlink.functions.indel_expr import indel_expr
 from yearlink.functions.vectors import cosine, top_k_by
 from yearlink.operators.match import adjacent_pairs, candidate_cosines, match_year_pair, prepare_items
 from yearlink.plans.registry import register, round_doubles
@@ -257,6 +258,13 @@ def q_indel_ratio(spark, sf):
     return round_doubles(w.select("pair_id", indel("a", "b", strip=True, guard=True).alias("indel")))
 
 
+@register("indel_ratio_expr", INDEL_PAIRS_SQL)
+def q_indel_ratio_expr(spark, sf):
+    """F4 in Catalyst: the same ratios without a Python worker."""
+    w = fx.word_pairs(spark, sf)
+    return round_doubles(w.select("pair_id", indel_expr("a", "b", strip=True, guard=True).alias("indel")))
+
+
 @register(
     "combined_score",
     with_views("word_pairs")
