@@ -14,6 +14,7 @@ from yearlink.plans.search import corpus_info, flat_index_search, format_results
 from yearlink.sources import fixtures as fx
 from yearlink.sources import io
 from yearlink.sources.fixtures import with_views
+from yearlink.sources.split_csv import scan_split_csv
 
 COSQ = (
     "COALESCE(round(CASE WHEN q.norm * c.norm > 0 THEN "
@@ -272,6 +273,22 @@ def q_scan_items_csv(spark, sf):
     return back.groupBy("year").agg(F.count(F.lit(1)).alias("n_items"), F.count("code").alias("n_codes"))
 
 
+@register(
+    "scan_split_csv",
+    # an empty CSV field and the missing value mark are missing
+    """SELECT doc_id, lang, length(t) AS n_chars, md5(t) AS digest
+FROM (SELECT doc_id, lang, CASE WHEN text IN ('', 'NA') THEN NULL ELSE text END AS t FROM documents)""",
+)
+def q_scan_split_csv(spark, sf):
+    """S1/S6 split scan: all documents as CSV, texts with line breaks and
+    quotes, read back by several tasks a file."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    path = io.scratch_path(spark, "documents_csv")
+    io.sink_snapshot(docs, path, "csv")
+    back = scan_split_csv(spark, path, docs.schema, io.DIALECT)
+    return back.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 @register(
     "check_alignment",
     with_views("items")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from yearlink.session import ensure_checkpoint_dir, ship_package
+from yearlink.sources.split_csv import scan_split_csv
 
 # Column layout of the yearly item CSV (fixed: the sample file's header).
 ITEM_CSV_COLUMNS = [
@@ -33,6 +34,12 @@ ITEM_CSV_COLUMNS = [
 ITEM_CSV_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in ITEM_CSV_COLUMNS])
 
 
+# The CSV dialect, for readers and for ``from_csv``.
+DIALECT = {
+    "nullValue": "NA", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def _csv(spark: SparkSession, schema: T.StructType, multi_line: bool = True):
     """Reader of the CSV dialect.  With ``multi_line`` a quoted text may hold
     line breaks, but one task reads a whole file; without it a large file is
@@ -40,20 +47,20 @@ def _csv(spark: SparkSession, schema: T.StructType, multi_line: bool = True):
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("nullValue", "NA")
+        .options(**DIALECT)
         .option("emptyValue", None)
-        .option("escape", '"')
         .option("multiLine", multi_line)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
     )
 
 
 def scan_items(
-    spark: SparkSession, path: str, schema: T.StructType = ITEM_CSV_SCHEMA, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType = ITEM_CSV_SCHEMA, multi_line: bool = True, split: bool = False
 ) -> DataFrame:
     """The all-years item CSV with a declared schema.  For one large file
-    whose texts hold no line breaks pass ``multi_line=False``."""
+    pass ``multi_line=False`` if its texts hold no line breaks, or ``split=True``
+    if they may (see :mod:`yearlink.sources.split_csv`)."""
+    if split:
+        return scan_split_csv(spark, path, schema, DIALECT)
     return _csv(spark, schema, multi_line).csv(path)
 
 
@@ -115,22 +122,26 @@ def check_alignment(items: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def scan_pair_files(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, pattern: str = "mapped_*_*.csv"
+    spark: SparkSession, path: str, schema: T.StructType | None = None, pattern: str = "mapped_*_*.csv", split: bool = False
 ) -> DataFrame:
     """S6 + U0: read every ``mapped_{a}_{b}.csv`` under a folder at once and
     tag each row with the two years taken from its file path (file name or a
     ``pair=mapped_{a}_{b}`` folder); missing pairs simply do not appear.
     Output: ``from_year, to_year`` + the file's columns (all strings unless a
-    schema is given: no inference)."""
+    schema is given: no inference).  ``split`` (needs a schema) reads large
+    files with several tasks each."""
+    where = path.rstrip("/") + "/" + pattern
+    years = [(1, "from_year"), (2, "to_year")]
+    if split:
+        if schema is None:
+            raise ValueError("split needs a schema")
+        df = scan_split_csv(spark, where, schema, {"escape": '"'}, file_column="_file")
+        return df.select(*[F.regexp_extract("_file", r"mapped_(\d+)_(\d+)", i).cast("int").alias(y) for i, y in years], *schema.names)
     r = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
-    df = r.csv(path.rstrip("/") + "/" + pattern)
+    df = r.csv(where)
     name = F.col("_metadata.file_path")
-    return df.select(
-        F.regexp_extract(name, r"mapped_(\d+)_(\d+)", 1).cast("int").alias("from_year"),
-        F.regexp_extract(name, r"mapped_(\d+)_(\d+)", 2).cast("int").alias("to_year"),
-        *df.columns,
-    )
+    return df.select(*[F.regexp_extract(name, r"mapped_(\d+)_(\d+)", i).cast("int").alias(y) for i, y in years], *df.columns)
 
 
 # Published pair files (fixed: names and order of their columns).  Forward files
