@@ -183,9 +183,19 @@ def year_means_selected(df: DataFrame, years=(1789, 1963, 1989), col: str = "bes
 
 
 # ------------------------------------------------------------ predictions
-def truth_join(pred: DataFrame, truth: DataFrame, on: str = "description") -> DataFrame:
-    """Predictions x ground truth on exact text (inner, many-to-many)."""
-    return pred.join(truth, on, "inner")
+def truth_join(pred: DataFrame, truth: DataFrame, on: str = "description", most: int = 1 << 20) -> DataFrame:
+    """Predictions x ground truth on exact text (inner, many-to-many).  A
+    text with more than ``most`` joined rows is dealt to several parts: its
+    predictions by their hash, its truth rows to each part, so that no task
+    joins it alone.  There are few such texts: one for ``most`` rows out."""
+    n_p = pred.groupBy(on).agg(F.count(F.lit(1)).alias("_np"))
+    n_t = truth.groupBy(on).agg(F.count(F.lit(1)).alias("_nt"))
+    hot = n_p.join(n_t, on).where(F.col("_np") * F.col("_nt") > most)
+    hot = F.broadcast(hot.select(on, F.ceil(F.col("_np") * F.col("_nt") / most).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    p = pred.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*pred.columns), parts).cast("int")).drop("_parts")
+    t = truth.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return p.join(t, [on, "_part"]).drop("_part")
 
 
 def confusion_matrix(pt: DataFrame) -> DataFrame:
