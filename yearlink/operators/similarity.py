@@ -191,21 +191,191 @@ def _tile_cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
     return np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
 
 
+# A tile is worked through in steps of this many (left, right) rows, so that the
+# score matrix of a worker stays at a few ten MB whatever the size of the tile.
+_STEP = (1024, 4096)
+# float32 cosines sort out the pairs; those that remain get their float64 value.
+_EPS32 = 2.0 ** -23
+# Up to this k rows of equal vectors are compared as one row.
+_CLASS_K = 32
+# Vectors of one side of a tile in bytes (float32), and rows a tile may return.
+_TILE_BYTES = 64 << 20
+_TILE_OUT = 1 << 22
+
+
+class _Side:
+    """One side of a tile: vectors and norms, and unit vectors in float32."""
+
+    def __init__(self, table: pa.Table):
+        self.table, self.n = table, table.num_rows
+        self.vec, self.norm = _dense32(table.column("_vec"), self.n), np.nan_to_num(
+            table.column("_norm").to_numpy(zero_copy_only=False).astype(np.float64)
+        )
+        self._sets: dict[int, frozenset] = {}
+        self.unit = self.vec
+        # a vector without a usable norm has cosine 0 with all
+        self.ok = (self.norm > 0) & np.isfinite(self.norm)
+
+    def widen(self, d: int) -> None:
+        if self.vec.shape[1] != d:
+            self.vec = np.pad(self.vec, ((0, 0), (0, d - self.vec.shape[1])))
+        self.unit = np.empty(self.vec.shape, np.float32)
+        for at in range(0, self.n, 4096):
+            rows = slice(at, at + 4096)
+            ok = self.ok[rows, None]
+            self.unit[rows] = np.divide(self.vec[rows], self.norm[rows, None], out=np.zeros(self.vec[rows].shape), where=ok)
+
+    def tokens(self, codes: np.ndarray, ends: np.ndarray, i: int) -> frozenset:
+        if i not in self._sets:
+            self._sets[i] = frozenset(codes[ends[i - 1] if i else 0 : ends[i]].tolist())
+        return self._sets[i]
+
+
+def _dense32(col, n: int) -> np.ndarray:
+    """As :func:`_dense`, floats kept as they are."""
+    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    if n and arr.null_count == 0 and arr.type.value_type == pa.float32():
+        lengths = arr.value_lengths().to_numpy(zero_copy_only=False)
+        flat = arr.flatten()
+        if (lengths == lengths[0]).all() and flat.null_count == 0:
+            return flat.to_numpy(zero_copy_only=False).reshape(n, int(lengths[0]))
+    return _dense(col, n)
+
+
+def _sides_of(left: pa.Table, right: pa.Table) -> tuple[_Side, _Side, float]:
+    """Both sides of a tile and how far a float32 cosine can be off."""
+    q, c = _Side(left), _Side(right)
+    d = max(q.vec.shape[1], c.vec.shape[1])
+    q.widen(d)
+    c.widen(d)
+    return q, c, 2.0 * (d + 8) * _EPS32
+
+
+def _pair_cosines(q: _Side, c: _Side, qi: np.ndarray, ci: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """float64 cosines of single pairs."""
+    out = np.zeros(len(qi))
+    for at in range(0, len(qi), step):
+        x, y = qi[at : at + step], ci[at : at + step]
+        dots = np.einsum("ij,ij->i", q.vec[x].astype(np.float64), c.vec[y].astype(np.float64))
+        den = q.norm[x] * c.norm[y]
+        ok = q.ok[x] & c.ok[y] & (den > 0)
+        out[at : at + step] = np.divide(dots, den, out=np.zeros_like(dots), where=ok)
+    return out
+
+
+def _ranked(qi: np.ndarray, cos: np.ndarray, ids: np.ndarray, k: int, n: int, margin: float):
+    """(places, kth): which pairs can be among the ``k`` best of their query,
+    those that may tie after quantisation too, and each query's k-th best (-inf
+    where there are fewer).  Of exactly equal cosines the lowest ids come first."""
+    by = np.lexsort((ids, -cos, qi))
+    q = qi[by]
+    first = np.searchsorted(q, np.arange(n))
+    rank = np.arange(len(by)) - first[q]
+    kth = np.full(n, -np.inf)
+    at = by[rank == k - 1]
+    kth[qi[at]] = cos[at]
+    c = cos[by]
+    return by[(rank < k) | ((c >= kth[q] - margin) & (c < kth[q]))], kth
+
+
+def _cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix, by one flat pass."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
+def _best_pairs(q: _Side, c: _Side, slack: float, k: int):
+    """Yields (qi, ci, cos) for steps of queries: all pairs of the tile that can
+    be among their query's ``k`` best by (cosine, lower id)."""
+    margin = 10.0 ** (-SCORE_DIGITS + 1)
+    ids = c.table.column("_low" if "_low" in c.table.column_names else "_rid").to_numpy(zero_copy_only=False)
+    low = np.argsort(ids, kind="stable")[:k]  # for queries with cosine 0 to all
+    for q0 in range(0, q.n, _STEP[0]):
+        rows = np.arange(q0, min(q0 + _STEP[0], q.n))
+        blank = rows[~q.ok[rows]]
+        rows = rows[q.ok[rows]]
+        n = len(rows)
+        qi = ci = np.empty(0, np.int64)
+        cos, kth = np.empty(0), np.full(n, -np.inf)
+        steps = range(0, c.n if n else 0, _STEP[1])
+        unit = q.unit[rows]
+        if k > _CLASS_K and c.n > k:  # many to rank: their bound first, in a round of its own
+            best = np.empty((n, 0), np.float32)
+            for c0 in steps:
+                best = np.concatenate([best, unit @ c.unit[c0 : c0 + _STEP[1]].T], axis=1)
+                if best.shape[1] > k:
+                    best = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k :]
+            kth = best.min(axis=1).astype(np.float64) - slack
+        for c0 in steps:
+            sims = unit @ c.unit[c0 : c0 + _STEP[1]].T
+            bound = kth
+            if np.isneginf(kth).any() and sims.shape[1] > k:
+                here = sims.max(axis=1) if k == 1 else np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+                bound = np.maximum(kth, here.astype(np.float64) - slack)
+            hit_q, hit_c = _cells(sims >= (bound - slack - margin).astype(np.float32)[:, None])
+            if len(hit_q):
+                qi, ci = np.concatenate([qi, hit_q]), np.concatenate([ci, hit_c + c0])
+                cos = np.concatenate([cos, _pair_cosines(q, c, rows[hit_q], hit_c + c0)])
+            if k <= _CLASS_K and len(hit_q) or len(qi) > _TILE_OUT or c0 == steps[-1]:
+                kept, exact = _ranked(qi, cos, ids[ci], k, n, margin)
+                qi, ci, cos, kth = qi[kept], ci[kept], cos[kept], np.maximum(kth, exact)
+        yield (
+            np.concatenate([rows[qi], np.repeat(blank, len(low))]),
+            np.concatenate([ci, np.tile(low, len(blank))]),
+            np.concatenate([cos, np.zeros(len(blank) * len(low))]),
+        )
+
+
 def _keys_of(key, names: list[str], types: list, n: int) -> dict:
     """The group key as columns of ``n`` rows."""
     scalars = (pa.scalar(v.as_py() if hasattr(v, "as_py") else v, t) for v, t in zip(key, types))
     return {c: pa.repeat(v, n) for c, v in zip(names, scalars)}
 
 
-def _seed_fn(key_names: list[str], key_types: list, spec: dict):
-    """Per query of a tile the best blended score it surely has here."""
+class _Tokens:
+    """Token sets of both sides as codes; the sets of single rows are made when
+    a pair asks for them."""
+
+    def __init__(self, q: _Side, c: _Side):
+        self.q, self.c = q, c
+        cols = [t.table.column("_tok") for t in (q, c)]
+        cols = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols]
+        self.ends = [np.cumsum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) for x in cols]
+        flat = [x.flatten() for x in cols]
+        codes = pa.concat_arrays(flat).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        self.codes = codes[: len(flat[0])], codes[len(flat[0]) :]
+
+    def jaccard(self, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(qi))
+        for at, (i, j) in enumerate(zip(qi.tolist(), ci.tolist())):
+            x, y = self.q.tokens(self.codes[0], self.ends[0], i), self.c.tokens(self.codes[1], self.ends[1], j)
+            if x and y:
+                both = len(x & y)
+                out[at] = both / (len(x) + len(y) - both)
+        return out
+
+
+def _counts(side: _Side, name: str) -> np.ndarray:
+    return side.table.column(name).to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def _room(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The Indel ratio that texts of these lengths can reach."""
+    return np.divide(2.0 * np.minimum(a, b), a + b, out=np.ones_like(a), where=a + b > 0)
+
+
+def _seed_fn(key_names: list[str], key_types: list, spec: dict, n_exact: int = 8):
+    """Per query of a tile a blended score it surely has here: the best of its
+    nearest pairs."""
+    a, b = spec["alpha"], spec["beta"]
 
     def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.num_rows if right.num_rows else 0
-        lb = np.empty(0)
+        lb = np.full(n, -np.inf)
         if n:
-            cos = _tile_cosines(left, right)
-            _, lb, _ = _score_bounds(cos, np.ones(cos.shape, bool), left, right, spec)
+            q, c, slack = _sides_of(left, right)
+            tokens = _Tokens(q, c)
+            for qi, ci, cos in _best_pairs(q, c, slack, n_exact):
+                np.maximum.at(lb, qi, a * cos + b * tokens.jaccard(qi, ci) - 1e-8)
         cols = _keys_of(key, key_names, key_types, n)
         cols.update(l_id=left.column("_lid").slice(0, n).cast(pa.int64()), lb=pa.array(lb, pa.float64()))
         return pa.table(cols)
@@ -216,25 +386,51 @@ def _seed_fn(key_names: list[str], key_types: list, spec: dict):
 def _bounded_fn(key_names: list[str], key_types: list, spec: dict):
     """The pairs of a tile that can still win given the best score of their
     query in any tile, and per query (r_id null) how many pairs are near enough
-    in cosine to be ranked before a winner."""
+    in cosine to be ranked before a winner.  The cosine sorts out pairs first,
+    then token counts and lengths, then the exact Jaccard of those left."""
     a, b, g = spec["alpha"], spec["beta"], spec["gamma"]
 
     def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.num_rows if right.num_rows else 0
-        qi = ci = near = np.empty(0, np.int64)
-        cos, jac = np.empty((0, 0)), np.empty((0, 0))
+        near = np.zeros(n, np.int64)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0))]
         l_ids = left.column("_lid").to_numpy(zero_copy_only=False)[:n]
         if n:
-            cos = _tile_cosines(left, right)
-            ub, _, jac = _score_bounds(cos, np.ones(cos.shape, bool), left, right, spec)
+            q, c, slack = _sides_of(left, right)
+            tokens = _Tokens(q, c)
             lb = left.column("_lb").to_numpy(zero_copy_only=False)
-            qi, ci = np.nonzero(ub >= lb[:, None])
-            near = (a * cos + b + g + 1e-8 >= lb[:, None]).sum(axis=1)
+            tq, tc, lq, lc = _counts(q, "_ntok"), _counts(c, "_ntok"), _counts(q, "_nlen"), _counts(c, "_nlen")
+            for q0 in range(0, n, _STEP[0]):
+                rows = slice(q0, q0 + _STEP[0])
+                floor = (lb[rows] - b - g - 2e-8 - 1e-6)[:, None] - abs(a) * slack
+                for c0 in range(0, c.n, _STEP[1]):
+                    cos = q.unit[rows] @ c.unit[c0 : c0 + _STEP[1]].T
+                    qi, ci = _cells(np.float32(a) * cos >= floor.astype(np.float32))
+                    near[rows] += np.bincount(qi, minlength=cos.shape[0])
+                    rough = cos[qi, ci].astype(np.float64)
+                    qi, ci = qi + q0, ci + c0
+                    room = _room(lq[qi], lc[ci])
+                    most, least = np.maximum(tq[qi], tc[ci]), np.minimum(tq[qi], tc[ci])
+                    j_ub = np.divide(least, most, out=np.zeros_like(most), where=most > 0)
+                    can = a * rough + abs(a) * slack + b * j_ub + g * room + 2e-8 >= lb[qi]
+                    qi, ci, room = qi[can], ci[can], room[can]
+                    sure = _pair_cosines(q, c, qi, ci)
+                    jac = None
+                    if len(qi) * 64 > cos.size:  # many: all at once, if the tokens allow it
+                        x, y = left.slice(q0, cos.shape[0]), right.slice(c0, cos.shape[1])
+                        jac = _jaccard_matrix(x.column("_tok"), y.column("_tok"), tq[rows], tc[c0 : c0 + _STEP[1]])
+                        jac = None if jac is None else jac[qi - q0, ci - c0]
+                    if jac is None:
+                        jac = tokens.jaccard(qi, ci)
+                    can = a * sure + b * jac + g * room + 1e-8 >= lb[qi]
+                    found.append(tuple(x[can] for x in (qi, ci, sure, jac, g * room)))
+        qi, ci, cos, jac, most = (np.concatenate(x) for x in zip(*found))
         cols = _keys_of(key, key_names, key_types, len(qi) + n)
         pairs = {
             "r_id": pa.array(right.column("_rid").to_numpy(zero_copy_only=False)[ci], pa.int64()),
-            "cos": pa.array(cos[qi, ci], pa.float64()),
-            **_pair_terms(qi, ci, jac, left, right, spec),
+            "cos": pa.array(cos, pa.float64()),
+            "jac": pa.array(jac, pa.float64()),
+            "most": pa.array(most, pa.float64()),
         }
         cols.update(
             l_id=pa.array(np.concatenate([l_ids[qi], l_ids]), pa.int64()),
@@ -246,10 +442,37 @@ def _bounded_fn(key_names: list[str], key_types: list, spec: dict):
     return fn
 
 
-def _tile_fn(k: int, key_names: list[str], key_types: list, prune: dict | None = None, cut: bool = True):
-    """The local top-k of a tile (with all that may tie).  With a ``prune``
-    spec the terms of each pair come along and, with ``cut``, rows that cannot
-    win are dropped if the tile holds all candidates of its group."""
+def _top_fn(k: int, key_names: list[str], key_types: list, prune: dict | None = None):
+    """The local top-k of a tile (with all that may tie after quantisation);
+    with a ``prune`` spec the terms of each pair come along."""
+
+    def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if left.num_rows and right.num_rows:
+            q, c, slack = _sides_of(left, right)
+            found += list(_best_pairs(q, c, slack, k))
+        qi, ci, cos = (np.concatenate(x) for x in zip(*found))
+        cols = _keys_of(key, key_names, key_types, len(qi))
+        cols.update(
+            l_id=pa.array(left.column("_lid").to_numpy(zero_copy_only=False)[qi], pa.int64()),
+            r_id=pa.array(right.column("_rid").to_numpy(zero_copy_only=False)[ci], pa.int64()),
+            cos=pa.array(cos, pa.float64()),
+        )
+        if prune is not None:
+            jac, room = np.empty(0), np.empty(0)
+            if len(qi):
+                jac = _Tokens(q, c).jaccard(qi, ci)
+                room = _room(_counts(q, "_nlen")[qi], _counts(c, "_nlen")[ci])
+            cols.update(jac=pa.array(jac, pa.float64()), most=pa.array(prune["gamma"] * room, pa.float64()))
+        return pa.table(cols | {"n_pruned": pa.repeat(pa.scalar(0, pa.int32()), len(qi))})
+
+    return fn
+
+
+def _tile_fn(k: int, key_names: list[str], key_types: list, prune: dict):
+    """The local top-k of a tile that holds all candidates of its group (with
+    all that may tie), with the terms of each pair; rows that cannot win are
+    dropped and counted."""
     margin = 10.0 ** (-SCORE_DIGITS + 1)
 
     def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -257,8 +480,7 @@ def _tile_fn(k: int, key_names: list[str], key_types: list, prune: dict | None =
         if nq == 0 or nc == 0:
             cols = {n: pa.array([], t) for n, t in zip(key_names, key_types)}
             cols.update(l_id=pa.array([], pa.int64()), r_id=pa.array([], pa.int64()), cos=pa.array([], pa.float64()))
-            if prune is not None:
-                cols.update(jac=pa.array([], pa.float64()), most=pa.array([], pa.float64()))
+            cols.update(jac=pa.array([], pa.float64()), most=pa.array([], pa.float64()))
             return pa.table(cols | {"n_pruned": pa.array([], pa.int32())})
         cos = _tile_cosines(left, right)
         if nc > k:
@@ -270,23 +492,18 @@ def _tile_fn(k: int, key_names: list[str], key_types: list, prune: dict | None =
         else:
             keep = np.ones(cos.shape, dtype=bool)
             core = keep
-        n_pruned = np.zeros(nq, dtype=np.int32)
-        jac = None
-        if prune is not None:
-            ub, lb, jac = _score_bounds(cos, core, left, right, prune)
-            if cut and int(left.column("_br")[0].as_py()) == 1:
-                # every candidate of the group is here: drop core pairs that
-                # cannot reach their query's best and tell how many they were
-                pruned = core & (ub < lb[:, None])
-                keep &= ~pruned
-                n_pruned = pruned.sum(axis=1).astype(np.int32)
+        ub, lb, jac = _score_bounds(cos, core, left, right, prune)
+        # drop core pairs that cannot reach their query's best and tell how
+        # many they were
+        pruned = core & (ub < lb[:, None])
+        keep &= ~pruned
+        n_pruned = pruned.sum(axis=1).astype(np.int32)
         qi, ci = np.nonzero(keep)
         l_ids = left.column("_lid").to_numpy(zero_copy_only=False)
         r_ids = right.column("_rid").to_numpy(zero_copy_only=False)
         cols = _keys_of(key, key_names, key_types, len(qi))
         cols.update(l_id=pa.array(l_ids[qi], pa.int64()), r_id=pa.array(r_ids[ci], pa.int64()), cos=pa.array(cos[qi, ci], pa.float64()))
-        if prune is not None:
-            cols.update(_pair_terms(qi, ci, jac, left, right, prune))
+        cols.update(_pair_terms(qi, ci, jac, left, right, prune))
         return pa.table(cols | {"n_pruned": pa.array(n_pruned[qi], pa.int32())})
 
     return fn
@@ -320,48 +537,27 @@ def cosine_topk(
     global top-k cut below stays exact.  With several candidate tiles a group,
     see :func:`_bounded_topk`.
     """
+    if method not in ("block", "expr"):
+        raise ValueError("method must be 'block' or 'expr'")
     extra = []
-    if prune is not None and method == "block":
+    # the winner of a top 1 needs no bounds: nothing could be pruned before it
+    if prune is not None and method == "block" and k > 1:
         extra = [F.col(prune["tokens"]).alias("_tok"), F.col(prune["ntok"]).alias("_ntok"), F.col(prune["nlen"]).alias("_nlen")]
     else:
         prune = None
     l = left.select(*key, F.col(left_id).cast("long").alias("_lid"), F.col(vec).alias("_vec"), F.col(norm).alias("_norm"), *extra)
     r = right.select(*key, F.col(right_id).cast("long").alias("_rid"), F.col(vec).alias("_vec"), F.col(norm).alias("_norm"), *extra)
-    nl = l.groupBy(*key).agg(F.count(F.lit(1)).alias("_nl"))
-    nr = r.groupBy(*key).agg(F.count(F.lit(1)).alias("_nr"))
-    # one row per key value (editions / levels / one constant): broadcast
-    plan = F.broadcast(
-        nl.join(nr, key).select(
-            *key,
-            F.greatest(F.lit(1), F.ceil(F.col("_nl") / left_block)).cast("int").alias("_bl"),
-            F.greatest(F.lit(1), F.ceil(F.col("_nr") / right_block)).cast("int").alias("_br"),
-        )
-    )
     ship_package(left.sparkSession)
-    fields = {f.name: f.dataType for f in l.schema.fields}
-    types = [to_arrow_type(fields[c]) for c in key]
-    keys_ddl = "".join(f"{c} {fields[c].simpleString()}, " for c in key)
-    if prune is not None and cut and (plan.agg(F.max("_br")).first()[0] or 1) > 1:
-        return _bounded_topk(left, right, l, r, plan, key, types, keys_ddl, k, left_id, right_id, vec, norm, left_block, right_block, prune)
-    lt, rt = _tiles(l, r, plan, key)
-    tile = [*key, "_tl", "_tr"]
-    if method == "block":
-        terms = "jac double, most double, " if prune is not None else ""
-        schema = f"{keys_ddl}l_id long, r_id long, cos double, {terms}n_pruned int"
-        scored = (
-            lt.groupBy(*tile)
-            .cogroup(rt.groupBy(*tile))
-            .applyInArrow(_tile_fn(k, list(key), types, prune, cut), schema)
-            .withColumn("cos", quantise("cos"))
-        )
-    elif method == "expr":
-        a = lt.select(*tile, F.col("_lid").alias("l_id"), F.col("_vec").alias("lv"), F.col("_norm").alias("ln"))
-        b = rt.select(*tile, F.col("_rid").alias("r_id"), F.col("_vec").alias("rv"), F.col("_norm").alias("rn"))
-        scored = a.join(b, tile).select(
-            *key, "l_id", "r_id", cosine("lv", "rv", "ln", "rn").alias("cos"), F.lit(0).alias("n_pruned")
-        )
+    if prune is None and k <= _CLASS_K:
+        return _topk_by_vector(l, r, key, k, method, left_block, right_block)
+    sizes = _sizes(l, r, key)
+    if prune is not None and cut:
+        if (sizes.agg(F.max("_nr")).first()[0] or 1) > right_block:
+            return _bounded_topk(left, right, l, r, sizes, key, k, left_id, right_id, vec, norm, left_block, right_block, prune)
+        scored = _scored(l, r, sizes, key, k, method, left_block, right_block, prune, _tile_fn)
     else:
-        raise ValueError("method must be 'block' or 'expr'")
+        rows = _tile_rows(sizes, left_block, right_block, l, k)
+        scored = _scored(l, r, sizes, key, k, method, *rows, prune, _top_fn)
     w = Window.partitionBy(*key, "l_id").orderBy(F.desc("cos"), F.asc("r_id"))
     # the literal bound plans a partial WindowGroupLimit before the shuffle;
     # the second filter accounts for top-k rows pruned inside the tiles
@@ -373,6 +569,89 @@ def cosine_topk(
     )
 
 
+def _sizes(l: DataFrame, r: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of both sides per key value (editions, levels, one constant)."""
+    nl = l.groupBy(*key).agg(F.count(F.lit(1)).alias("_nl"), F.max(F.size("_vec")).alias("_wide"))
+    nr = r.groupBy(*key).agg(F.count(F.lit(1)).alias("_nr"))
+    return nl.join(nr, key)
+
+
+def _tile_rows(sizes: DataFrame, left_block: int, right_block: int, l: DataFrame, k: int) -> tuple[int, int]:
+    """Rows of a tile's sides.  A row is shuffled once for each block of the
+    other side, so tiles are as large as memory and an even load allow: two
+    for each shuffle partition, never smaller than the given blocks."""
+    pairs, wide = sizes.agg(F.sum(F.col("_nl").cast("double") * F.col("_nr")), F.max("_wide")).first()
+    n_parts = int(l.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fits = _TILE_BYTES // (4 * max(int(wide or 1), 1)) // (4 if "_tok" in l.columns else 1)
+    side = int(min(fits, ((pairs or 0) / (2 * n_parts)) ** 0.5))
+    return max(left_block, min(side, _TILE_OUT // k)), max(right_block, side)
+
+
+def _block_plan(sizes: DataFrame, key: list[str], left_rows: int, right_rows: int) -> DataFrame:
+    # one row per key value: broadcast
+    return F.broadcast(
+        sizes.select(
+            *key,
+            F.greatest(F.lit(1), F.ceil(F.col("_nl") / left_rows)).cast("int").alias("_bl"),
+            F.greatest(F.lit(1), F.ceil(F.col("_nr") / right_rows)).cast("int").alias("_br"),
+        )
+    )
+
+
+def _key_types(l: DataFrame, key: list[str]) -> tuple[list, str]:
+    fields = {f.name: f.dataType for f in l.schema.fields}
+    return [to_arrow_type(fields[c]) for c in key], "".join(f"{c} {fields[c].simpleString()}, " for c in key)
+
+
+def _scored(l, r, sizes, key, k, method, left_rows, right_rows, prune, make) -> DataFrame:
+    """``key..., l_id, r_id, cos, n_pruned`` of the pairs that tiles return."""
+    lt, rt = _tiles(l, r, _block_plan(sizes, key, left_rows, right_rows), key)
+    tile = [*key, "_tl", "_tr"]
+    if method == "block":
+        types, keys_ddl = _key_types(l, key)
+        terms = "jac double, most double, " if prune is not None else ""
+        fn = make(k, list(key), types, prune)
+        pairs = lt.groupBy(*tile).cogroup(rt.groupBy(*tile)).applyInArrow(fn, f"{keys_ddl}l_id long, r_id long, cos double, {terms}n_pruned int")
+        return pairs.withColumn("cos", quantise("cos"))
+    a = lt.select(*tile, F.col("_lid").alias("l_id"), F.col("_vec").alias("lv"), F.col("_norm").alias("ln"))
+    b = rt.select(*tile, F.col("_rid").alias("r_id"), F.col("_vec").alias("rv"), F.col("_norm").alias("rn"))
+    return a.join(b, tile).select(*key, "l_id", "r_id", cosine("lv", "rv", "ln", "rn").alias("cos"), F.lit(0).alias("n_pruned"))
+
+
+def _topk_by_vector(l: DataFrame, r: DataFrame, key: list[str], k: int, method: str, left_block: int, right_block: int) -> DataFrame:
+    """Top-k where rows of equal vectors are compared once.  On the right a
+    class of equal vectors is known by its lowest ids, no more than ``k`` of
+    them: a class outside the first ``k`` by (cosine, lowest id) has ``k`` rows
+    before all of its own.  On the left all rows of a class get its result."""
+    by = Window.partitionBy(*key, "_vec", "_norm").orderBy("_rid")
+    members = r.withColumn("_m", F.row_number().over(by)).filter(F.col("_m") <= k)
+    members = members.groupBy(*key, "_vec", "_norm").agg(F.array_sort(F.collect_list("_rid")).alias("_ids"), F.min("_rid").alias("_low"))
+    # numbered and written once: the number must not change between readers
+    rc = parquet_table(members.withColumn("_rid", F.monotonically_increasing_id()), "right-vectors")
+    lc = l.select(*key, "_vec", "_norm").distinct()
+    lc = parquet_table(lc.withColumn("_lid", F.monotonically_increasing_id()), "left-vectors")
+    sizes = _sizes(lc, rc, key)
+    rows = _tile_rows(sizes, left_block, right_block, lc, k)
+    pairs = _scored(lc, rc.drop("_ids"), sizes, key, k, method, *rows, None, _top_fn).drop("n_pruned")
+    ids = rc.select(*key, F.col("_rid").alias("r_id"), "_ids", "_low")
+    first = Window.partitionBy(*key, "l_id")
+    # a tile's rows are few for each class: cut by cosine (ties stay) before ids are joined
+    near = pairs.withColumn("_rk", F.rank().over(first.orderBy(F.desc("cos")))).filter(F.col("_rk") <= k).drop("_rk")
+    near = near.join(ids, [*key, "r_id"]).withColumn("_rk", F.row_number().over(first.orderBy(F.desc("cos"), F.asc("_low")))).filter(F.col("_rk") <= k)
+    top = near.select(*key, "l_id", "cos", F.explode("_ids").alias("r_id"))
+    top = top.withColumn("_rk", F.row_number().over(first.orderBy(F.desc("cos"), F.asc("r_id")))).filter(F.col("_rk") <= k)
+    top = top.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.col("l_id").alias("_c"), "r_id", "cos")
+    classes = lc.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.col("_vec").alias("_v"), F.col("_norm").alias("_n"), F.col("_lid").alias("_c"))
+    same = F.col("_vec").eqNullSafe(F.col("_v")) & F.col("_norm").eqNullSafe(F.col("_n"))
+    for c in key:
+        same = same & (F.col(c) == F.col(f"_k_{c}"))
+    of = l.join(classes, same).select(*key, F.col("_lid").alias("l_id"), F.col("_c").alias("_lc"))
+    out = of.join(top, F.col("_lc") == F.col("_c")).select(*key, "l_id", "r_id", "cos")
+    # ids on the left may repeat: the k best are those of the id
+    w = Window.partitionBy(*key, "l_id").orderBy(F.desc("cos"), F.asc("r_id"))
+    return out.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
+
+
 def _tiles(l: DataFrame, r: DataFrame, plan: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both sides dealt to their tiles.  Tiles are CPU-heavy but small in
     bytes: AQE would coalesce their shuffle into a few tasks.  An explicit
@@ -383,7 +662,6 @@ def _tiles(l: DataFrame, r: DataFrame, plan: DataFrame, key: list[str]) -> tuple
         *l.columns,
         F.pmod(F.xxhash64("_lid"), F.col("_bl")).cast("int").alias("_tl"),
         F.explode(F.sequence(F.lit(0), F.col("_br") - 1)).alias("_tr"),
-        "_br",
     )
     rt = r.join(plan, key).select(
         *r.columns,
@@ -395,18 +673,20 @@ def _tiles(l: DataFrame, r: DataFrame, plan: DataFrame, key: list[str]) -> tuple
 
 
 def _bounded_topk(
-    left, right, l, r, plan, key, types, keys_ddl, k, left_id, right_id, vec, norm, left_block, right_block, prune
+    left, right, l, r, sizes, key, k, left_id, right_id, vec, norm, left_block, right_block, prune
 ) -> DataFrame:
     """The top-k for groups cut into several candidate tiles, pruned by a bound
     that travels between the tiles (threshold algorithm).
 
-    A seed round finds for each query the best blended score it surely has in
-    any tile.  The second round emits only pairs that can reach it, and counts
+    A seed round finds for each query a blended score it surely has in some
+    tile.  The second round emits only pairs that can reach it, and counts
     the pairs whose cosine alone would allow it.  With no more than ``k`` of
     those, every pair that can win is among the top ``k`` whatever the others
     are, and the query is settled.  The other queries take the plain way: all
     their top-k rows.  Vectors are shuffled to the tiles, scores are not."""
     tile = [*key, "_tl", "_tr"]
+    types, keys_ddl = _key_types(l, key)
+    plan = _block_plan(sizes, key, *_tile_rows(sizes, left_block, right_block, l, 1))
     lt, rt = _tiles(l, r, plan, key)
     seeds = lt.groupBy(*tile).cogroup(rt.groupBy(*tile)).applyInArrow(_seed_fn(list(key), types, prune), keys_ddl + "l_id long, lb double")
     best = seeds.groupBy(*key, F.col("l_id").alias("_lid")).agg(F.max("lb").alias("_lb"))
