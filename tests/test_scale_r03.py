@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from yearlink.functions.vectors import l2_norm
 from yearlink.operators import similarity
+from yearlink.operators.match import match_year_pair, prepare_items
 from yearlink.operators.report import truth_join
 
 
@@ -79,3 +80,60 @@ def test_a_frequent_text_of_the_truth_join_is_dealt_to_several_tasks(spark):
     finally:
         for c, v in old.items():
             spark.conf.set(c, v)
+
+
+MATCH_SCHEMA = "item_id long, year int, code string, description string, embedding array<float>"
+
+
+def _items_with_copies(rng, n, copies):
+    words = "red blue apple car iron cloth cotton fresh".split()
+    rows = []
+    for i in range(n):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 3)))
+        vec = None if i % 23 == 0 else [0.0] * 3 if i % 13 == 0 else [rng.choice([0.0, 0.5, 1.0]) + 1e-7 * rng.randint(0, 3) for _ in range(3)]
+        rows += [(i + n * j, 2000 + i % 2, f"c{i}", text, vec) for j in range(rng.randint(1, copies))]
+    return rows
+
+
+def test_items_of_equal_text_and_vector_enter_the_matcher_once(spark, monkeypatch):
+    seen = []
+    real = similarity._tiles
+    monkeypatch.setattr(similarity, "_tiles", lambda l, r, *a: seen.append((l.count(), r.count())) or real(l, r, *a))
+    rows = [(i, 2000 + i % 2, None, f"word{i % 10} thing{i % 2}", [float(i % 10 + 1), 1.0]) for i in range(400)]
+    got = match_year_pair(spark.createDataFrame(rows, MATCH_SCHEMA))
+    assert got.count() == 200
+    assert seen and max(max(s) for s in seen) == 5
+
+
+def test_cut_after_k_rows_counts_all_copies(spark):
+    for seed, how in ((1, {"top_k": 5}), (2, {"top_k": 12, "direction": "n_to_n1", "gamma": 0.0, "with_indel": False}), (3, {"top_k": 30})):
+        df = spark.createDataFrame(_items_with_copies(random.Random(seed), 90, 9), MATCH_SCHEMA).repartition(3)
+        want = sorted(map(tuple, match_year_pair(df, prune=False, shortcut=False, **how).collect()))
+        for tiles in ({}, {"query_block": 16, "cand_block": 8}):
+            assert sorted(map(tuple, match_year_pair(df, shortcut=False, **tiles, **how).collect())) == want, (seed, tiles)
+
+
+def test_open_queries_do_not_return_their_k_nearest_rows(spark):
+    """400 near vectors, k = 200: only pairs that can win leave the tiles."""
+    rng = random.Random(7)
+    rows = [(i, 2000 + i % 2, None, f"w{i} x{i % 5} y{i % 7}", [1.0, 0.05 * rng.random(), 0.05 * rng.random()]) for i in range(800)]
+    spec = {"alpha": 0.7, "beta": 0.2, "gamma": 0.0, "tokens": "tokens", "ntok": "ntok", "nlen": "nlen"}
+    left, right = (prepare_items(spark.createDataFrame(rows[y::2], MATCH_SCHEMA)).withColumn("qy", F.lit(1)) for y in (0, 1))
+    names = []
+    real = similarity._tiles
+    similarity._tiles = lambda l, r, *a: names.append(l.columns) or real(l, r, *a)
+    try:
+        got = similarity.cosine_topk(left, right, ["qy"], 200, "item_id", "item_id", prune=spec, left_block=64, right_block=64).collect()
+    finally:
+        similarity._tiles = real
+    assert any("_sc" in n for n in names)  # the third round, with the pairs to be ranked
+    vec = {r[0]: np.array(r[4], np.float32).astype(float) for r in rows}
+    tok = {r[0]: set(r[3].split()) for r in rows}
+    cos = lambda a, b: round(float(vec[a] @ vec[b] / np.linalg.norm(vec[a]) / np.linalg.norm(vec[b])), 9)
+    best = {}
+    for r in got:
+        best[r.l_id] = max(best.get(r.l_id, (-1.0,)), (0.7 * r.cos + 0.2 * r.jac, r.cos, -r.r_id))
+    for i in range(0, 800, 40):
+        top = sorted((-cos(i, j), j) for j in range(1, 800, 2))[:200]
+        want = max((0.7 * -c + 0.2 * len(tok[i] & tok[j]) / len(tok[i] | tok[j]), -c, -j) for c, j in top)
+        assert best[i][2] == want[2] and abs(best[i][0] - want[0]) < 1e-8

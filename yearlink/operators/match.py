@@ -19,7 +19,7 @@ does it with Catalyst expressions (clear, fully planned, slower per pair).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yearlink.functions.indel import indel
@@ -95,9 +95,31 @@ def _sides(prepared: DataFrame, pairs: DataFrame, direction: str) -> tuple[DataF
     return prepared.join(pq, "year"), prepared.join(pc, "year")
 
 
-def _topk(q: DataFrame, c: DataFrame, top_k: int, method: str, query_block: int, cand_block: int, prune: dict | None) -> DataFrame:
+def _class_key() -> Column:
+    """Identity of text and vector: rows that share it score alike."""
+    vector = F.coalesce(F.col("embedding").cast("string"), F.lit("null"))
+    return F.sha2(F.concat(F.length("description").cast("string"), F.lit(":"), "description", vector), 256)
+
+
+def text_vector_classes(prepared: DataFrame, k: int) -> DataFrame:
+    """One row for each distinct (year, text, vector) of :func:`prepare_items`
+    rows with ``cls``: a number ``q_cls``, the lowest id and ``ids``, the
+    ``k + 1`` lowest, rising (a cut after ``k`` rows asks for no more)."""
+    w = Window.partitionBy("year", "cls").orderBy("item_id")
+    few = prepared.select("year", "cls", "item_id").withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k + 1)
+    ids = few.groupBy("year", "cls").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+    cols = ["description", "embedding", "tokens", "norm", "nlen", "ntok"]
+    one = prepared.groupBy("year", "cls").agg(F.any_value(F.struct(*cols)).alias("_s")).select("year", "cls", "_s.*")
+    rows = one.join(ids, ["year", "cls"]).withColumn("item_id", F.get("ids", F.lit(0)))
+    # numbered and written once: the number must not change between readers
+    return parquet_table(rows.withColumn("q_cls", F.monotonically_increasing_id()), "item-classes")
+
+
+def _topk(
+    q: DataFrame, c: DataFrame, top_k: int, method: str, query_block: int, cand_block: int, prune: dict | None, q_id: str = "item_id"
+) -> DataFrame:
     out = cosine_topk(
-        q, c, ["qy"], top_k, "item_id", "item_id", method=method, left_block=query_block, right_block=cand_block,
+        q, c, ["qy"], top_k, q_id, "item_id", method=method, left_block=query_block, right_block=cand_block,
         prune=prune,
     )
     return out.select(F.col("l_id").alias("q_id"), F.col("r_id").alias("c_id"), *[x for x in ("cos", "jac", "most") if x in out.columns])
@@ -148,6 +170,14 @@ def match_year_pair(
         # tokens and norms are CPU-heavy per byte: spread them over the slots
         items = items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id")
     prepared = prepare_items(items, key)
+    spec = None
+    # the bounds only hold for weights that are not negative; a top 1 needs none
+    if prune and beta >= 0 and gamma >= 0 and method == "block" and top_k > 1:
+        spec = {
+            "alpha": float(alpha), "beta": float(beta), "gamma": float(gamma) if with_indel else 0.0,
+            "tokens": "tokens", "ntok": "ntok", "nlen": "nlen", "ids": "ids",
+        }
+        prepared = prepared.withColumn("cls", _class_key())
     if materialize:
         # read 4+ times below (sizes, both tile sides, attribute joins):
         # write it once to the shared checkpoint folder, cut the lineage;
@@ -155,12 +185,6 @@ def match_year_pair(
         prepared = parquet_table(prepared, "prepared-items")
     if pairs is None:
         pairs = adjacent_pairs(prepared)
-    spec = None
-    if prune and beta >= 0 and gamma >= 0:  # the bounds only hold for weights that are not negative
-        spec = {
-            "alpha": float(alpha), "beta": float(beta), "gamma": float(gamma) if with_indel else 0.0,
-            "tokens": "tokens", "ntok": "ntok", "nlen": "nlen",
-        }
     q, c = _sides(prepared, pairs, direction)
     settled = None
     lev_counts = with_indel and gamma > 0
@@ -172,7 +196,16 @@ def match_year_pair(
         if materialize:  # read twice: to leave its queries out, and as their result
             settled = parquet_table(settled, "settled")
         q = q.join(settled.select(F.col("q_id").alias("item_id")), "item_id", "left_anti")
-    cand = _topk(q, c, top_k, method, query_block, cand_block, spec)
+    # rows that share text and vector enter the quadratic stage as one: q_id is
+    # a class from here on, c_id the lowest item of one
+    light = prepared
+    if spec is not None:
+        light = text_vector_classes(prepared, top_k)
+        left = q.select("year", "cls").distinct()
+        q, c = _sides(light, pairs, direction)
+        q = q.join(left, ["year", "cls"], "left_semi")
+    q_id = "item_id" if spec is None else "q_cls"
+    cand = _topk(q, c, top_k, method, query_block, cand_block, spec, q_id)
 
     # 1) token Jaccard and the most the Indel term can add: known from the
     #    tiles, or from tokens and lengths joined to every top-k pair.
@@ -200,8 +233,8 @@ def match_year_pair(
     scored = scored.select("q_id", "c_id", "cos", "jac", "base")
     if with_indel:
         # 3) texts only for the survivors, then the Indel ratio
-        text_c = prepared.select(F.col("item_id").alias("c_id"), F.col("description").alias("c_text"))
-        text_q = prepared.select(F.col("item_id").alias("q_id"), F.col("description").alias("q_text"))
+        text_c = light.select(F.col("item_id").alias("c_id"), F.col("description").alias("c_text"))
+        text_q = light.select(F.col(q_id).alias("q_id"), F.col("description").alias("q_text"))
         scored = scored.join(text_c, "c_id").join(text_q, "q_id")
         lev = (indel if python else indel_expr)("q_text", "c_text", strip=strip, guard=guard)
     else:
@@ -213,6 +246,11 @@ def match_year_pair(
     best = scored.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).select(
         "q_id", "c_id", "cos", "jac", "lev", "comb"
     )
+    if spec is not None:
+        # back to the items of each class; an id that repeats keeps its best
+        best = best.join(light.select(F.col("q_cls").alias("q_id"), "year", "cls"), "q_id").drop("q_id")
+        best = best.join(prepared.select(F.col("item_id").alias("q_id"), "year", "cls"), ["year", "cls"])
+        best = best.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).select("q_id", "c_id", "cos", "jac", "lev", "comb")
     if settled is not None:
         one = F.lit(1.0)
         base = F.lit(float(alpha)) * one + F.lit(float(beta)) * one

@@ -18,6 +18,8 @@ plans as a partial ``WindowGroupLimit`` before the shuffle.
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -47,10 +49,6 @@ def _dense(col, n: int) -> np.ndarray:
     return out
 
 
-def _token_sets(col) -> list[frozenset]:
-    return [frozenset(t) if t else frozenset() for t in col.to_pylist()]
-
-
 # Budget of one tile for exact Jaccard (multiply-adds of the dense part plus
 # ten for each pair of the sparse part); above it bounds from token counts are
 # used, which prune less and as exactly.
@@ -123,74 +121,6 @@ def _jaccard_matrix(qtok, ctok, tq, tc):
     return np.divide(inter, union, out=np.zeros_like(inter), where=ok)
 
 
-def _score_bounds(cos, core, left, right, spec, n_exact: int = 8):
-    """(upper, lower, jac) for the blended score: per pair the score it can
-    reach at most, per query what its best ``core`` pair reaches at least, and
-    the exact Jaccard of all pairs where that is little enough work (or None).
-
-    Upper: ``alpha*cos + beta*jac + gamma*2*min(lq,lc)/(lq+lc)``, lower: the
-    best ``alpha*cos + beta*jac``.  Where the exact Jaccard of the tile is too
-    much work, ``min(tq,tc)/max(tq,tc)`` stands for it above and a few best
-    pairs by cosine (on Python sets) below."""
-    a, b, g = spec["alpha"], spec["beta"], spec["gamma"]
-    tq, tc, lq, lc = (
-        side.column(name).to_numpy(zero_copy_only=False).astype(np.float64)
-        for name in ("_ntok", "_nlen")
-        for side in (left, right)
-    )
-    lsum = np.add.outer(lq, lc)
-    l_ub = np.divide(2.0 * np.minimum.outer(lq, lc), lsum, out=np.ones_like(lsum), where=lsum > 0)
-    jac = _jaccard_matrix(left.column("_tok"), right.column("_tok"), tq, tc)
-    if jac is not None:
-        base = a * cos + b * jac
-        return base + g * l_ub + 1e-8, np.where(core, base, -np.inf).max(axis=1) - 1e-8, jac
-    tmin, tmax = np.minimum.outer(tq, tc), np.maximum.outer(tq, tc)
-    j_ub = np.divide(tmin, tmax, out=np.zeros_like(tmin), where=tmax > 0)
-    ub = a * cos + b * j_ub + g * l_ub + 1e-8
-    qs, cs = _token_sets(left.column("_tok")), _token_sets(right.column("_tok"))
-    masked = np.where(core, cos, -np.inf)
-    m = min(n_exact, cos.shape[1])
-    top = np.argpartition(-masked, m - 1, axis=1)[:, :m]
-    lb = np.full(cos.shape[0], np.inf)
-    for i in range(cos.shape[0]):
-        best = -np.inf
-        for j in top[i]:
-            if not core[i, j]:
-                continue
-            x, y = qs[i], cs[j]
-            jac = len(x & y) / len(x | y) if x and y else 0.0
-            best = max(best, a * cos[i, j] + b * jac)
-        lb[i] = best - 1e-8
-    return ub, lb, None
-
-
-def _pair_terms(qi, ci, jac, left, right, spec) -> dict:
-    """``jac`` of the emitted pairs and ``most``: what the Indel term can add."""
-    if jac is not None:
-        j = jac[qi, ci]
-    else:
-        qs, cs = _token_sets(left.column("_tok")), _token_sets(right.column("_tok"))
-        j = np.array([len(qs[x] & cs[y]) / len(qs[x] | cs[y]) if qs[x] and cs[y] else 0.0 for x, y in zip(qi, ci)], np.float64)
-    a = left.column("_nlen").to_numpy(zero_copy_only=False).astype(np.float64)[qi]
-    b = right.column("_nlen").to_numpy(zero_copy_only=False).astype(np.float64)[ci]
-    room = np.divide(2.0 * np.minimum(a, b), a + b, out=np.ones_like(a), where=a + b > 0)
-    return {"jac": pa.array(j, pa.float64()), "most": pa.array(spec["gamma"] * room, pa.float64())}
-
-
-def _tile_cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
-    """Cosine of every pair of a tile, 0 for a zero or missing vector."""
-    qv, cv = _dense(left.column("_vec"), left.num_rows), _dense(right.column("_vec"), right.num_rows)
-    if qv.shape[1] != cv.shape[1]:
-        d = max(qv.shape[1], cv.shape[1])
-        qv = np.pad(qv, ((0, 0), (0, d - qv.shape[1])))
-        cv = np.pad(cv, ((0, 0), (0, d - cv.shape[1])))
-    qn = np.nan_to_num(left.column("_norm").to_numpy(zero_copy_only=False).astype(np.float64))
-    cn = np.nan_to_num(right.column("_norm").to_numpy(zero_copy_only=False).astype(np.float64))
-    den = np.outer(qn, cn)
-    dots = qv @ cv.T
-    return np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
-
-
 # A tile is worked through in steps of this many (left, right) rows, so that the
 # score matrix of a worker stays at a few ten MB whatever the size of the tile.
 _STEP = (1024, 4096)
@@ -363,56 +293,74 @@ def _room(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(2.0 * np.minimum(a, b), a + b, out=np.ones_like(a), where=a + b > 0)
 
 
-def _seed_fn(key_names: list[str], key_types: list, spec: dict, n_exact: int = 8):
-    """Per query of a tile a blended score it surely has here: the best of its
-    nearest pairs."""
+# Nearest pairs of a query that seed its bound.
+_SEEDS = 8
+
+
+def _seed_fn(key_names: list[str], key_types: list, spec: dict):
+    """A query's nearest classes in a tile: lowest id, rows and blended score
+    (without the Indel term)."""
     a, b = spec["alpha"], spec["beta"]
 
     def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        n = left.num_rows if right.num_rows else 0
-        lb = np.full(n, -np.inf)
-        if n:
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))]
+        if left.num_rows and right.num_rows:
             q, c, slack = _sides_of(left, right)
             tokens = _Tokens(q, c)
-            for qi, ci, cos in _best_pairs(q, c, slack, n_exact):
-                np.maximum.at(lb, qi, a * cos + b * tokens.jaccard(qi, ci) - 1e-8)
-        cols = _keys_of(key, key_names, key_types, n)
-        cols.update(l_id=left.column("_lid").slice(0, n).cast(pa.int64()), lb=pa.array(lb, pa.float64()))
+            for qi, ci, cos in _best_pairs(q, c, slack, _SEEDS):
+                found.append((qi, ci, cos, a * cos + b * tokens.jaccard(qi, ci) - 1e-8))
+        qi, ci, cos, score = (np.concatenate(x) for x in zip(*found))
+        rows = _list_codes(right.column("_ids"))[1].astype(np.int64)
+        cols = _keys_of(key, key_names, key_types, len(qi))
+        cols.update(
+            l_id=left.column("_lid").to_numpy(zero_copy_only=False)[qi],
+            r_id=right.column("_rid").to_numpy(zero_copy_only=False)[ci],
+            cos=cos, score=score, n=rows[ci],
+        )
         return pa.table(cols)
 
     return fn
 
 
-def _bounded_fn(key_names: list[str], key_types: list, spec: dict):
-    """The pairs of a tile that can still win given the best score of their
-    query in any tile, and per query (r_id null) how many pairs are near enough
-    in cosine to be ranked before a winner.  The cosine sorts out pairs first,
-    then token counts and lengths, then the exact Jaccard of those left."""
+def _bounded_fn(k: int, key_names: list[str], key_types: list, spec: dict):
+    """The pairs of a tile that can still win given the bound of their query,
+    no more than its ``k`` nearest of them, and per query (r_id null) how many
+    rows are near enough in cosine to be ranked before a winner.  The cosine
+    sorts out pairs first, then token counts and lengths, then the exact
+    Jaccard of those left."""
     a, b, g = spec["alpha"], spec["beta"], spec["gamma"]
+    margin = 10.0 ** (-SCORE_DIGITS + 1)
 
     def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.num_rows if right.num_rows else 0
         near = np.zeros(n, np.int64)
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0))]
         l_ids = left.column("_lid").to_numpy(zero_copy_only=False)[:n]
+        r_ids = right.column("_rid").to_numpy(zero_copy_only=False)
         if n:
             q, c, slack = _sides_of(left, right)
             tokens = _Tokens(q, c)
             lb = left.column("_lb").to_numpy(zero_copy_only=False)
             tq, tc, lq, lc = _counts(q, "_ntok"), _counts(c, "_ntok"), _counts(q, "_nlen"), _counts(c, "_nlen")
+            weight = _list_codes(right.column("_ids"))[1].astype(np.float64)
+            # queries with cosine 0 to all are ranked by id alone
+            late = np.ones(c.n, bool)
+            late[np.argsort(r_ids, kind="stable")[:k]] = False
             for q0 in range(0, n, _STEP[0]):
                 rows = slice(q0, q0 + _STEP[0])
                 floor = (lb[rows] - b - g - 2e-8 - 1e-6)[:, None] - abs(a) * slack
+                here = [found[0]]
                 for c0 in range(0, c.n, _STEP[1]):
                     cos = q.unit[rows] @ c.unit[c0 : c0 + _STEP[1]].T
                     qi, ci = _cells(np.float32(a) * cos >= floor.astype(np.float32))
-                    near[rows] += np.bincount(qi, minlength=cos.shape[0])
+                    near[rows] += np.bincount(qi, weight[ci + c0], cos.shape[0]).astype(np.int64)
                     rough = cos[qi, ci].astype(np.float64)
                     qi, ci = qi + q0, ci + c0
                     room = _room(lq[qi], lc[ci])
                     most, least = np.maximum(tq[qi], tc[ci]), np.minimum(tq[qi], tc[ci])
                     j_ub = np.divide(least, most, out=np.zeros_like(most), where=most > 0)
                     can = a * rough + abs(a) * slack + b * j_ub + g * room + 2e-8 >= lb[qi]
+                    can &= q.ok[qi] | ~late[ci]
                     qi, ci, room = qi[can], ci[can], room[can]
                     sure = _pair_cosines(q, c, qi, ci)
                     jac = None
@@ -423,11 +371,14 @@ def _bounded_fn(key_names: list[str], key_types: list, spec: dict):
                     if jac is None:
                         jac = tokens.jaccard(qi, ci)
                     can = a * sure + b * jac + g * room + 1e-8 >= lb[qi]
-                    found.append(tuple(x[can] for x in (qi, ci, sure, jac, g * room)))
+                    here.append(tuple(x[can] for x in (qi, ci, sure, jac, g * room)))
+                here = tuple(np.concatenate(x) for x in zip(*here))
+                kept, _ = _ranked(here[0] - q0, here[2], r_ids[here[1]], k, min(_STEP[0], n - q0), margin)
+                found.append(tuple(x[kept] for x in here))
         qi, ci, cos, jac, most = (np.concatenate(x) for x in zip(*found))
         cols = _keys_of(key, key_names, key_types, len(qi) + n)
         pairs = {
-            "r_id": pa.array(right.column("_rid").to_numpy(zero_copy_only=False)[ci], pa.int64()),
+            "r_id": pa.array(r_ids[ci], pa.int64()),
             "cos": pa.array(cos, pa.float64()),
             "jac": pa.array(jac, pa.float64()),
             "most": pa.array(most, pa.float64()),
@@ -442,9 +393,67 @@ def _bounded_fn(key_names: list[str], key_types: list, spec: dict):
     return fn
 
 
-def _top_fn(k: int, key_names: list[str], key_types: list, prune: dict | None = None):
-    """The local top-k of a tile (with all that may tie after quantisation);
-    with a ``prune`` spec the terms of each pair come along."""
+def _nano(cos: np.ndarray) -> np.ndarray:
+    """Cosines in units of the last ranked decimal, rounded as Spark rounds."""
+    x = cos * 10.0**SCORE_DIGITS
+    out = np.rint(x).astype(np.int64)
+    for i in np.flatnonzero(np.abs(np.abs(x - np.trunc(x)) - 0.5) < 1e-5):
+        out[i] = int(Decimal(repr(float(cos[i]))).scaleb(SCORE_DIGITS).to_integral_value(ROUND_HALF_UP))
+    return out
+
+
+def _rank_fn(key_names: list[str], key_types: list):
+    """For each asked pair of a query (``_sc`` cosines, falling, and ``_si``
+    lowest ids) how many rows of the tile come before it by (cosine, id)."""
+
+    def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            left = left.slice(0, 0)
+        sc, each = _list_codes(left.column("_sc"))
+        si = _list_codes(left.column("_si"))[0]
+        owner = np.repeat(np.arange(left.num_rows), each)
+        ends = np.cumsum(each)
+        before = np.zeros(len(sc), np.int64)
+        if left.num_rows:
+            q, c, slack = _sides_of(left, right)
+            ids, many = _list_codes(right.column("_ids"))
+            last = np.cumsum(many)
+            spot = (owner.astype(np.int64) << 33) - sc
+            least = sc[ends - 1]
+            above = np.zeros(len(sc) + 1)
+            for q0 in range(0, q.n, _STEP[0] // 4):
+                rows = np.arange(q0, min(q0 + _STEP[0] // 4, q.n))
+                rows = rows[q.ok[rows]]
+                floor = (least[rows] / 10.0**SCORE_DIGITS - slack - 1e-6).astype(np.float32)[:, None]
+                for c0 in range(0, c.n if len(rows) else 0, _STEP[1]):
+                    qi, ci = _cells(q.unit[rows] @ c.unit[c0 : c0 + _STEP[1]].T >= floor)
+                    qi, ci = rows[qi], ci + c0
+                    cell = (qi << 33) - _nano(_pair_cosines(q, c, qi, ci))
+                    lo, hi = np.searchsorted(spot, cell, "left"), np.searchsorted(spot, cell, "right")
+                    over = hi < ends[qi]  # nearer than the pair at hi and all after it
+                    above += np.bincount(hi[over], many[ci[over]], len(above))
+                    tied = hi > lo
+                    times = (hi - lo)[tied]
+                    cj = np.repeat(ci[tied], times)
+                    at = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo[tied], times)
+                    one = many[cj] == 1
+                    np.add.at(before, at[one], ids[last[cj[one]] - 1] < si[at[one]])
+                    for s, j in zip(at[~one].tolist(), cj[~one].tolist()):
+                        before[s] += np.searchsorted(ids[last[j] - many[j] : last[j]], si[s])
+            run = np.cumsum(above[:-1])
+            first = ends - each
+            before += (run - np.repeat(run[first] - above[first], each)).astype(np.int64)
+            none = ~q.ok[owner]  # cosine 0 to all: in the order of the ids
+            before[none] = np.searchsorted(np.sort(ids), si[none])
+        cols = _keys_of(key, key_names, key_types, len(sc))
+        cols.update(l_id=left.column("_lid").to_numpy(zero_copy_only=False)[owner], r_id=si, before=before)
+        return pa.table(cols)
+
+    return fn
+
+
+def _top_fn(k: int, key_names: list[str], key_types: list):
+    """The local top-k of a tile (with all that may tie after quantisation)."""
 
     def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
@@ -458,53 +467,7 @@ def _top_fn(k: int, key_names: list[str], key_types: list, prune: dict | None =
             r_id=pa.array(right.column("_rid").to_numpy(zero_copy_only=False)[ci], pa.int64()),
             cos=pa.array(cos, pa.float64()),
         )
-        if prune is not None:
-            jac, room = np.empty(0), np.empty(0)
-            if len(qi):
-                jac = _Tokens(q, c).jaccard(qi, ci)
-                room = _room(_counts(q, "_nlen")[qi], _counts(c, "_nlen")[ci])
-            cols.update(jac=pa.array(jac, pa.float64()), most=pa.array(prune["gamma"] * room, pa.float64()))
-        return pa.table(cols | {"n_pruned": pa.repeat(pa.scalar(0, pa.int32()), len(qi))})
-
-    return fn
-
-
-def _tile_fn(k: int, key_names: list[str], key_types: list, prune: dict):
-    """The local top-k of a tile that holds all candidates of its group (with
-    all that may tie), with the terms of each pair; rows that cannot win are
-    dropped and counted."""
-    margin = 10.0 ** (-SCORE_DIGITS + 1)
-
-    def fn(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        nq, nc = left.num_rows, right.num_rows
-        if nq == 0 or nc == 0:
-            cols = {n: pa.array([], t) for n, t in zip(key_names, key_types)}
-            cols.update(l_id=pa.array([], pa.int64()), r_id=pa.array([], pa.int64()), cos=pa.array([], pa.float64()))
-            cols.update(jac=pa.array([], pa.float64()), most=pa.array([], pa.float64()))
-            return pa.table(cols | {"n_pruned": pa.array([], pa.int32())})
-        cos = _tile_cosines(left, right)
-        if nc > k:
-            # k-th best per row, minus a margin: values that tie after
-            # quantisation are all kept; the exact cut is made in Spark.
-            kth = np.partition(cos, nc - k, axis=1)[:, nc - k][:, None]
-            keep = cos >= kth - margin
-            core = cos > kth + margin  # surely inside the top k
-        else:
-            keep = np.ones(cos.shape, dtype=bool)
-            core = keep
-        ub, lb, jac = _score_bounds(cos, core, left, right, prune)
-        # drop core pairs that cannot reach their query's best and tell how
-        # many they were
-        pruned = core & (ub < lb[:, None])
-        keep &= ~pruned
-        n_pruned = pruned.sum(axis=1).astype(np.int32)
-        qi, ci = np.nonzero(keep)
-        l_ids = left.column("_lid").to_numpy(zero_copy_only=False)
-        r_ids = right.column("_rid").to_numpy(zero_copy_only=False)
-        cols = _keys_of(key, key_names, key_types, len(qi))
-        cols.update(l_id=pa.array(l_ids[qi], pa.int64()), r_id=pa.array(r_ids[ci], pa.int64()), cos=pa.array(cos[qi, ci], pa.float64()))
-        cols.update(_pair_terms(qi, ci, jac, left, right, prune))
-        return pa.table(cols | {"n_pruned": pa.array(n_pruned[qi], pa.int32())})
+        return pa.table(cols)
 
     return fn
 
@@ -522,7 +485,6 @@ def cosine_topk(
     left_block: int = 1024,
     right_block: int = 4096,
     prune: dict | None = None,
-    cut: bool = True,
 ) -> DataFrame:
     """Top-k right rows per (key, left row) by cosine; ties -> lower right id.
 
@@ -531,11 +493,11 @@ def cosine_topk(
 
     ``prune`` (block path; ``{alpha, beta, gamma, tokens, ntok, nlen}``
     column names for both sides) adds each pair's ``jac`` and ``most`` (what
-    the Indel term can add) and, unless ``cut`` is off, drops top-k rows that provably cannot win the
-    matcher's blended score.  Where a tile holds a group's whole candidate set
-    this happens in the tile; the rows a query lost are counted so that the
-    global top-k cut below stays exact.  With several candidate tiles a group,
-    see :func:`_bounded_topk`.
+    the Indel term can add) and drops top-k rows that provably cannot win the
+    matcher's blended score, see :func:`_bounded_topk`.  With ``ids`` a right
+    row stands for several of equal vector and text: the column holds their
+    ids, rising, ``k + 1`` at most; all of them count in the cut after ``k``
+    rows, the lowest (``right_id``) is returned.
     """
     if method not in ("block", "expr"):
         raise ValueError("method must be 'block' or 'expr'")
@@ -546,27 +508,21 @@ def cosine_topk(
     else:
         prune = None
     l = left.select(*key, F.col(left_id).cast("long").alias("_lid"), F.col(vec).alias("_vec"), F.col(norm).alias("_norm"), *extra)
-    r = right.select(*key, F.col(right_id).cast("long").alias("_rid"), F.col(vec).alias("_vec"), F.col(norm).alias("_norm"), *extra)
+    r = right.select(
+        *key, F.col(right_id).cast("long").alias("_rid"), F.col(vec).alias("_vec"), F.col(norm).alias("_norm"), *extra,
+        *([F.col(prune["ids"]) if prune.get("ids") else F.array(F.col(right_id).cast("long"))] if prune is not None else []),
+    )
     ship_package(left.sparkSession)
-    if prune is None and k <= _CLASS_K:
+    if prune is not None:
+        r = r.withColumnRenamed(r.columns[-1], "_ids")
+        return _bounded_topk(l, r, _sizes(l, r, key), key, k, left_block, right_block, prune)
+    if k <= _CLASS_K:
         return _topk_by_vector(l, r, key, k, method, left_block, right_block)
     sizes = _sizes(l, r, key)
-    if prune is not None and cut:
-        if (sizes.agg(F.max("_nr")).first()[0] or 1) > right_block:
-            return _bounded_topk(left, right, l, r, sizes, key, k, left_id, right_id, vec, norm, left_block, right_block, prune)
-        scored = _scored(l, r, sizes, key, k, method, left_block, right_block, prune, _tile_fn)
-    else:
-        rows = _tile_rows(sizes, left_block, right_block, l, k)
-        scored = _scored(l, r, sizes, key, k, method, *rows, prune, _top_fn)
+    scored = _scored(l, r, sizes, key, k, method, *_tile_rows(sizes, left_block, right_block, l, k))
+    # the literal bound plans a partial WindowGroupLimit before the shuffle
     w = Window.partitionBy(*key, "l_id").orderBy(F.desc("cos"), F.asc("r_id"))
-    # the literal bound plans a partial WindowGroupLimit before the shuffle;
-    # the second filter accounts for top-k rows pruned inside the tiles
-    return (
-        scored.withColumn("_rk", F.row_number().over(w))
-        .filter(F.col("_rk") <= k)
-        .filter(F.col("_rk") <= F.lit(k) - F.col("n_pruned"))
-        .drop("_rk", "n_pruned")
-    )
+    return scored.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
 
 
 def _sizes(l: DataFrame, r: DataFrame, key: list[str]) -> DataFrame:
@@ -603,19 +559,18 @@ def _key_types(l: DataFrame, key: list[str]) -> tuple[list, str]:
     return [to_arrow_type(fields[c]) for c in key], "".join(f"{c} {fields[c].simpleString()}, " for c in key)
 
 
-def _scored(l, r, sizes, key, k, method, left_rows, right_rows, prune, make) -> DataFrame:
-    """``key..., l_id, r_id, cos, n_pruned`` of the pairs that tiles return."""
+def _scored(l, r, sizes, key, k, method, left_rows, right_rows) -> DataFrame:
+    """``key..., l_id, r_id, cos`` of the pairs that tiles return."""
     lt, rt = _tiles(l, r, _block_plan(sizes, key, left_rows, right_rows), key)
     tile = [*key, "_tl", "_tr"]
     if method == "block":
         types, keys_ddl = _key_types(l, key)
-        terms = "jac double, most double, " if prune is not None else ""
-        fn = make(k, list(key), types, prune)
-        pairs = lt.groupBy(*tile).cogroup(rt.groupBy(*tile)).applyInArrow(fn, f"{keys_ddl}l_id long, r_id long, cos double, {terms}n_pruned int")
+        fn = _top_fn(k, list(key), types)
+        pairs = lt.groupBy(*tile).cogroup(rt.groupBy(*tile)).applyInArrow(fn, f"{keys_ddl}l_id long, r_id long, cos double")
         return pairs.withColumn("cos", quantise("cos"))
     a = lt.select(*tile, F.col("_lid").alias("l_id"), F.col("_vec").alias("lv"), F.col("_norm").alias("ln"))
     b = rt.select(*tile, F.col("_rid").alias("r_id"), F.col("_vec").alias("rv"), F.col("_norm").alias("rn"))
-    return a.join(b, tile).select(*key, "l_id", "r_id", cosine("lv", "rv", "ln", "rn").alias("cos"), F.lit(0).alias("n_pruned"))
+    return a.join(b, tile).select(*key, "l_id", "r_id", cosine("lv", "rv", "ln", "rn").alias("cos"))
 
 
 def _topk_by_vector(l: DataFrame, r: DataFrame, key: list[str], k: int, method: str, left_block: int, right_block: int) -> DataFrame:
@@ -632,7 +587,7 @@ def _topk_by_vector(l: DataFrame, r: DataFrame, key: list[str], k: int, method:
     lc = parquet_table(lc.withColumn("_lid", F.monotonically_increasing_id()), "left-vectors")
     sizes = _sizes(lc, rc, key)
     rows = _tile_rows(sizes, left_block, right_block, lc, k)
-    pairs = _scored(lc, rc.drop("_ids"), sizes, key, k, method, *rows, None, _top_fn).drop("n_pruned")
+    pairs = _scored(lc, rc.drop("_ids"), sizes, key, k, method, *rows)
     ids = rc.select(*key, F.col("_rid").alias("r_id"), "_ids", "_low")
     first = Window.partitionBy(*key, "l_id")
     # a tile's rows are few for each class: cut by cosine (ties stay) before ids are joined
@@ -672,37 +627,53 @@ def _tiles(l: DataFrame, r: DataFrame, plan: DataFrame, key: list[str]) -> tuple
     return lt.repartition(n_parts, *tile), rt.repartition(n_parts, *tile)
 
 
-def _bounded_topk(
-    left, right, l, r, sizes, key, k, left_id, right_id, vec, norm, left_block, right_block, prune
-) -> DataFrame:
-    """The top-k for groups cut into several candidate tiles, pruned by a bound
-    that travels between the tiles (threshold algorithm).
+def _bounded_topk(l: DataFrame, r: DataFrame, sizes: DataFrame, key: list[str], k: int, left_block: int, right_block: int, prune: dict) -> DataFrame:
+    """The pairs of the top-k that can win, found by a bound that travels
+    between the tiles (threshold algorithm).
 
-    A seed round finds for each query a blended score it surely has in some
-    tile.  The second round emits only pairs that can reach it, and counts
-    the pairs whose cosine alone would allow it.  With no more than ``k`` of
+    A seed round finds for each query a blended score it surely has in its top
+    ``k``.  The second round emits only pairs that can reach it, and counts
+    the rows whose cosine alone would allow it.  With no more than ``k`` of
     those, every pair that can win is among the top ``k`` whatever the others
-    are, and the query is settled.  The other queries take the plain way: all
-    their top-k rows.  Vectors are shuffled to the tiles, scores are not."""
+    are, and the query is settled.  For the other queries a third round counts
+    the rows that come before each of the pairs left.  Vectors are shuffled to
+    the tiles, scores are not, nor the ``k`` nearest rows of a query."""
     tile = [*key, "_tl", "_tr"]
     types, keys_ddl = _key_types(l, key)
     plan = _block_plan(sizes, key, *_tile_rows(sizes, left_block, right_block, l, 1))
     lt, rt = _tiles(l, r, plan, key)
-    seeds = lt.groupBy(*tile).cogroup(rt.groupBy(*tile)).applyInArrow(_seed_fn(list(key), types, prune), keys_ddl + "l_id long, lb double")
-    best = seeds.groupBy(*key, F.col("l_id").alias("_lid")).agg(F.max("lb").alias("_lb"))
+    right = rt.groupBy(*tile)
+    seeds = lt.groupBy(*tile).cogroup(right).applyInArrow(
+        _seed_fn(list(key), types, prune), keys_ddl + "l_id long, r_id long, cos double, score double, n long"
+    )
+    # surely in the top k: one of the nearest classes overall, and fewer than k rows before it
+    w = Window.partitionBy(*key, "l_id").orderBy(F.desc("cos"), F.asc("r_id"))
+    seeds = seeds.withColumn("cos", quantise("cos")).withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= _SEEDS)
+    past = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seeds = seeds.withColumn("_past", past).where(F.col("_past") < k)
+    best = seeds.groupBy(*key, F.col("l_id").alias("_lid")).agg(F.max("score").alias("_lb"))
     bounded, _ = _tiles(l.join(best, [*key, "_lid"]), r, plan, key)
-    pairs = bounded.groupBy(*tile).cogroup(rt.groupBy(*tile)).applyInArrow(
-        _bounded_fn(list(key), types, prune), keys_ddl + "l_id long, r_id long, cos double, jac double, most double, near long"
+    pairs = bounded.groupBy(*tile).cogroup(right).applyInArrow(
+        _bounded_fn(k, list(key), types, prune), keys_ddl + "l_id long, r_id long, cos double, jac double, most double, near long"
     )
     pairs = parquet_table(pairs, "bounded-pairs")
     near = pairs.where("r_id is null").groupBy(*key, "l_id").agg(F.sum("near").alias("near"))
     open_ids = near.where(F.col("near") > k).select(*key, "l_id")
-    settled = pairs.where("r_id is not null").join(open_ids, [*key, "l_id"], "left_anti")
-    settled = settled.select(*key, "l_id", "r_id", quantise("cos").alias("cos"), "jac", "most")
+    left_over = pairs.where("r_id is not null").select(*key, "l_id", "r_id", quantise("cos").alias("cos"), "jac", "most")
+    settled = left_over.join(open_ids, [*key, "l_id"], "left_anti")
     if not open_ids.limit(1).count():
         return settled
-    rest = left.join(open_ids.withColumnRenamed("l_id", left_id), [*key, left_id], "left_semi")
-    return settled.unionByName(cosine_topk(rest, right, key, k, left_id, right_id, vec, norm, "block", left_block, right_block, prune, cut=False))
+    asked = left_over.join(open_ids, [*key, "l_id"], "left_semi")
+    asked = asked.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).drop("_rk")
+    nano = F.round(F.col("cos") * 10.0**SCORE_DIGITS).cast("long")
+    wanted = asked.select(*key, "l_id", "r_id", nano.alias("c")).distinct().groupBy(*key, F.col("l_id").alias("_lid")).agg(
+        F.sort_array(F.collect_list(F.struct("c", "r_id")), asc=False).alias("_s")
+    )
+    vectors = l.select(*key, "_lid", "_vec", "_norm").join(wanted.select(*key, "_lid", F.col("_s.c").alias("_sc"), F.col("_s.r_id").alias("_si")), [*key, "_lid"])
+    lo, ro = _tiles(vectors, r.select(*key, "_rid", "_vec", "_norm", "_ids"), plan, key)
+    ranks = lo.groupBy(*tile).cogroup(ro.groupBy(*tile)).applyInArrow(_rank_fn(list(key), types), keys_ddl + "l_id long, r_id long, before long")
+    inside = ranks.groupBy(*key, "l_id", "r_id").agg(F.sum("before").alias("before")).where(F.col("before") < k).drop("before")
+    return settled.unionByName(asked.join(inside, [*key, "l_id", "r_id"], "left_semi"))
 
 
 def _scan_fn(ids: np.ndarray, vecs: np.ndarray, norms: np.ndarray, k: int, rows: int = 4096):
