@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from yearlink.functions.vectors import l2_norm
@@ -137,3 +138,15 @@ def test_open_queries_do_not_return_their_k_nearest_rows(spark):
         top = sorted((-cos(i, j), j) for j in range(1, 800, 2))[:200]
         want = max((0.7 * -c + 0.2 * len(tok[i] & tok[j]) / len(tok[i] | tok[j]), -c, -j) for c, j in top)
         assert best[i][2] == want[2] and abs(best[i][0] - want[0]) < 1e-8
+
+
+def test_a_tile_holds_few_token_sets(monkeypatch):
+    monkeypatch.setattr(similarity, "_SETS_HELD", 3)
+    toks = [["a", "b"], ["b"], ["c"], ["a", "c"], [], ["d", "b"], ["a"]]
+    table = pa.table({"_vec": pa.array([[1.0]] * 7, pa.list_(pa.float32())), "_norm": [1.0] * 7, "_tok": toks})
+    q, c, _ = similarity._sides_of(table, table)
+    qi, ci = np.divmod(np.arange(49), 7)
+    got = similarity._Tokens(q, c).jaccard(qi, ci)
+    want = [len(set(toks[i]) & set(toks[j])) / len(set(toks[i]) | set(toks[j])) if toks[i] and toks[j] else 0.0 for i, j in zip(qi, ci)]
+    assert got.tolist() == want
+    assert max(len(q._sets), len(c._sets)) <= 3

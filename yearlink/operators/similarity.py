@@ -53,7 +53,10 @@ def _dense(col, n: int) -> np.ndarray:
 # ten for each pair of the sparse part); above it bounds from token counts are
 # used, which prune less and as exactly.
 _JACCARD_BUDGET = 6e10
-_SPARSE_PAIRS = 1 << 22
+_SPARSE_PAIRS = 1 << 20
+# Numbers in the 0/1 matrices of a dense step, and token sets a side holds.
+_DENSE_CELLS = 1 << 24
+_SETS_HELD = 1 << 13
 
 
 def _list_codes(col):
@@ -74,7 +77,7 @@ def _intersections(qrow, qcode, crow, ccode, nq: int, nc: int, v: int):
         return None
     inter = np.zeros((nq, nc), np.float32)
     place = np.cumsum(dense) - 1
-    step = max(1, (1 << 26) // (nq + nc))
+    step = max(1, _DENSE_CELLS // (nq + nc))
     for at in range(0, n_dense, step):
         width = min(step, n_dense - at)
         sides = []
@@ -157,6 +160,8 @@ class _Side:
 
     def tokens(self, codes: np.ndarray, ends: np.ndarray, i: int) -> frozenset:
         if i not in self._sets:
+            if len(self._sets) >= _SETS_HELD:
+                self._sets.clear()
             self._sets[i] = frozenset(codes[ends[i - 1] if i else 0 : ends[i]].tolist())
         return self._sets[i]
 
