@@ -6,14 +6,15 @@ Plan shape (both paths)::
     query rows   x  replicated over candidate blocks  \
                                                         > tile (year, qb, cb)
     candidate rows x replicated over query blocks      /
-    tile -> cosine -> top-k per query (WindowGroupLimit, partial before the shuffle)
+    rows of equal text and vector in a year enter the tiles as one class
+    tile -> cosine -> pairs that can win, inside the top-k (similarity.py)
          -> tokens / lengths joined back -> Jaccard -> upper-bound prune
          -> Indel on survivors only -> combined -> row_number() = 1
 
 Tiling bounds the work of one task by ``query_block x candidate_block`` pairs
 whatever the size of a year, so a year holding a third of all rows is spread
 over many tasks instead of landing on one join key.  The ``block`` path does
-the tile as one float64 matrix product in an Arrow cogroup; the ``expr`` path
+the tile as matrix products in an Arrow cogroup; the ``expr`` path
 does it with Catalyst expressions (clear, fully planned, slower per pair).
 """
 
