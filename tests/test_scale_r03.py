@@ -12,6 +12,8 @@ from yearlink.functions.vectors import l2_norm
 from yearlink.operators import similarity
 from yearlink.operators.match import match_year_pair, prepare_items
 from yearlink.operators.report import truth_join
+from yearlink.plans import chain, queries_fallback
+from yearlink.sources.fixtures import FIXTURE_YEARS
 
 
 def _vectors(rng, n, d=3):
@@ -150,3 +152,73 @@ def test_a_tile_holds_few_token_sets(monkeypatch):
     want = [len(set(toks[i]) & set(toks[j])) / len(set(toks[i]) | set(toks[j])) if toks[i] and toks[j] else 0.0 for i, j in zip(qi, ci)]
     assert got.tolist() == want
     assert max(len(q._sets), len(c._sets)) <= 3
+
+
+def _longest(df) -> int:
+    """Code points of the longest string of a table."""
+    strings = [F.coalesce(F.length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    return df.select(F.max(F.greatest(*strings, F.lit(0), F.lit(0)))).first()[0]
+
+
+def test_chain_rounds_hold_keys_of_long_texts(spark, monkeypatch):
+    seen = []
+    real = chain._cut
+    monkeypatch.setattr(chain, "_cut", lambda df: seen.append(_longest(df.select("nd", "pd"))) or real(df))
+    text = {c: c * 5000 for c in "abcd"}
+    rows = [
+        (1, 2000, 2010, "1", "2", text["a"], " " + text["b"].upper() + " ", 0.9),
+        (2, 2010, 2022, "2", "3", text["b"], text["c"], 0.8),
+        (3, 2022, 2023, "3", "4", text["c"], text["d"].upper(), 0.7),
+        (4, 2010, 2022, "5", "6", text["d"], text["a"], 0.6),
+        (5, 2000, 2010, None, None, None, None, 0.5),
+    ]
+    ddl = "row_id long, year_n int, year_n1 int, code_n string, code_n1 string, description_n string, description_n1 string, combined double"
+    got = chain.chain_by_description(spark.createDataFrame(rows, ddl))
+    want = {i: ("4", text["d"].upper(), h) for i, h in ((1, 3), (2, 2), (3, 1))} | {4: (None, None, None), 5: (None, None, None)}
+    assert {r.row_id: (r.mapped_2023_code, r.mapped_2023_description, r.hops) for r in got.collect()} == want
+    assert len(seen) > 1 and max(seen) == 32
+
+
+def _fallback_tables(spark, path) -> dict[int, tuple[int, str]]:
+    """The tables of the fallback queries; year and text of each part."""
+    rng = random.Random(8)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(30)]
+    lines = [(i, f"{i} " + "long line " * 50) for i in range(40)]
+    parts = [(i, f"name {i}", "brand", "type") for i in range(96)]
+    for name, rows, ddl in (
+        ("embeddings", vectors, "vec_id long, embedding array<float>"),
+        ("documents", [(i, f"{t}\nmore") for i, t in lines], "doc_id long, text string"),
+        ("part", parts, "p_partkey long, p_name string, p_brand string, p_type string"),
+        ("nation", [(i, f"n{i}") for i in range(3)], "n_nationkey int, n_name string"),
+        ("supplier", [(i, f"s{i}") for i in range(5)], "s_suppkey long, s_name string"),
+        ("customer", [(i, f"c{i}", "m") for i in range(7)], "c_custkey long, c_name string, c_mktsegment string"),
+    ):
+        spark.createDataFrame(rows, ddl).write.parquet(f"{path}/{name}.parquet")
+    text = lambda i: "" if i % 97 == 5 else f"brand type name {i} {lines[i % 40][1]}"
+    return {i: (FIXTURE_YEARS[i % 16], text(i)) for i, *_ in parts}
+
+
+def test_fallback_moves_neither_texts_nor_vectors(spark, tmp_path, monkeypatch):
+    items = _fallback_tables(spark, tmp_path)
+    seen = {}
+    real = queries_fallback.parquet_table
+
+    def table(df, name):
+        seen[name] = out = real(df, name)
+        return out
+
+    monkeypatch.setattr(queries_fallback, "parquet_table", table)
+    got = queries_fallback.q_merge_back(spark, str(tmp_path)).collect()
+    by_year = {y: sorted(i for i, (z, _) in items.items() if z == y) for y in FIXTURE_YEARS}
+    want = {}
+    for y, nxt in zip(FIXTURE_YEARS, FIXTURE_YEARS[1:]):
+        for r, i in enumerate(by_year[y]):
+            want[i] = items[by_year[nxt][(r * 7 + 3) % len(by_year[nxt])]][1]
+    assert {r.row_id for r in got} == set(want)
+    kept = {r.row_id: r.best_match_description for r in got if r.best_match_source == "2023_mapping"}
+    assert 0 < len(kept) < len(want) and "" in want.values()
+    assert kept == {i: want[i] for i in kept}
+    assert all(len(r.best_match_description) < 5 for r in got if r.row_id not in kept)
+    for name in ("edges", "scored"):
+        assert _longest(seen[name]) == 32
+        assert not [c for c, t in seen[name].dtypes if t.startswith("array")]

@@ -177,6 +177,17 @@ def merge_back(main: DataFrame, processed: DataFrame, keep: str = "next_year") -
     return default_fill(update_by_key(base, improved), keep)
 
 
+def kept_descriptions(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """B2, last step, where the kept mapping holds :func:`text_key` in place of
+    its description: put the text there.  ``texts`` needs ``key, text``."""
+    kept = F.col("best_match_source") == KEEP_SOURCE
+    # the others look nothing up: spread over the tasks, not gathered on a few names
+    key = F.when(kept, F.col("best_match_description")).otherwise(F.xxhash64(*rows.columns).cast("string"))
+    j = rows.join(texts, key == F.col("key"), "left")
+    text = F.when(kept, F.col("text")).otherwise(F.col("best_match_description"))
+    return j.withColumn("best_match_description", text).drop("key", "text")
+
+
 def improvement(merged: DataFrame) -> DataFrame:
     """Rows updated, % updated, mean similarity before / after, gain %."""
     return merged.agg(

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yearlink.functions.text import norm_desc
+from yearlink.functions.text import norm_desc, text_key
 from yearlink.session import checkpoint_table
 
 MAX_ROUNDS = 40  # 2**40 hops: far beyond any calendar
@@ -50,15 +50,20 @@ def chain_by_description(
     is never longer than the number of editions.  ``resolved`` gives nodes that
     are settled already (``ny, nd, ac, ad, hops`` and ``path``, see
     :mod:`yearlink.plans.chain_update`); ``edges`` must not leave them.
+
+    Nodes travel as (year, :func:`text_key`).  The description columns may hold
+    keys of the normalised texts themselves; ``mapped_2023_description`` is one
+    of them then.
     """
-    e = edges.withColumn("_dn", norm_desc("description_n")).withColumn("_dn1", norm_desc("description_n1"))
+    e = edges.withColumn("_dn", text_key(norm_desc("description_n"))).withColumn("_dn1", text_key(norm_desc("description_n1")))
+    text = F.when(F.col("year_n1") == anchor_year, F.col("description_n1")).alias("description_n1")
     # one out-edge per node: highest combined (NULL lowest), then highest
     # row_id.  An aggregate (map-side partial max_by), not a window, so a
     # description repeated by a third of all rows never lands in one sort.
     chosen = (
         e.filter(F.col("_dn").isNotNull())
         .groupBy("year_n", "_dn")
-        .agg(F.max_by(F.struct("year_n1", "_dn1", "code_n1", "description_n1", "combined"), _best_edge()).alias("_e"))
+        .agg(F.max_by(F.struct("year_n1", "_dn1", "code_n1", text, "combined"), _best_edge()).alias("_e"))
     )
     out = (
         chosen.select("year_n", "_dn", "_e.*")
@@ -68,7 +73,7 @@ def chain_by_description(
             F.when(F.col("year_n1") != anchor_year, F.col("year_n1")).alias("py"),
             F.when(F.col("year_n1") != anchor_year, F.col("_dn1")).alias("pd"),
             F.when(F.col("year_n1") == anchor_year, F.col("code_n1")).alias("ac"),
-            F.when(F.col("year_n1") == anchor_year, F.col("description_n1")).alias("ad"),
+            F.col("description_n1").alias("ad"),
             (F.col("year_n1") == anchor_year).alias("done"),
             F.lit(1).alias("hops"),
             *([F.array(_hop()).alias("path")] if with_path else []),
@@ -76,7 +81,7 @@ def chain_by_description(
     )
     if resolved is not None:
         out = out.unionByName(
-            resolved.withColumn("py", F.lit(None).cast("int")).withColumn("pd", F.lit(None).cast("string")).withColumn("done", F.lit(True))
+            resolved.withColumn("nd", text_key("nd")).withColumn("py", F.lit(None).cast("int")).withColumn("pd", F.lit(None).cast("string")).withColumn("done", F.lit(True))
         )
     state = _cut(out)
     for _ in range(MAX_ROUNDS):

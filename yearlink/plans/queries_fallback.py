@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from yearlink.functions.text import prefix2
+from yearlink.functions.text import norm_desc, prefix2, text_key
 from yearlink.operators import fallback as fb
 from yearlink.operators.report import era_label
 from yearlink.plans.chain import chain_by_description
@@ -90,19 +90,40 @@ FB_SQL = (
 
 
 def _stage(spark, sf):
-    """Spark side of the fixture pipeline; returns the intermediate frames."""
-    it = parquet_table(fx.items(spark, sf), "items")  # read six times below
-    chained = chain_by_description(fx.synthetic_edges(spark, sf, it))
+    """Spark side of the fixture pipeline; returns the intermediate frames.
+
+    Neither texts nor vectors travel along: descriptions are ``text_key``s
+    (``texts`` has the texts, see :func:`_with_text`), and the scored rows say
+    only whether a vector was found."""
+    it = parquet_table(fx.items(spark, sf), "items")  # read eight times below
+    texts = it.select(text_key("description").alias("key"), F.col("description").alias("text")).distinct()
+    both = F.struct(text_key(norm_desc("description")).alias("node"), text_key("description").alias("text"))
+    edges = fx.synthetic_edges(spark, sf, it.select("item_id", "year", "code", both.alias("description")))
+    edges = edges.select(
+        "row_id", "year_n", "year_n1", "code_n", "code_n1", F.col("description_n.node").alias("description_n"),
+        F.col("description_n1.node").alias("description_n1"), F.col("description_n1.text").alias("text_n1"), "combined",
+    )
+    chained = chain_by_description(parquet_table(edges, "edges"))  # read twice there
+    chained = chained.select(
+        "row_id", "year_n", "code_n", "code_n1", F.col("text_n1").alias("description_n1"), "combined", "mapped_2023_code"
+    )
     m = fb.vector_lookup(chained, it, F.col("year_n"), F.col("code_n"), "v_n")
     m = fb.vector_lookup(m, it, F.lit(2023), F.col("mapped_2023_code"), "v_a")
+    m = m.withColumn("embedding_similarity", fb.pairwise_cosine("v_n", "v_a"))
+    m = m.withColumn("has_v_n", F.col("v_n").isNotNull()).withColumn("has_v_a", F.col("v_a").isNotNull())
     # read by low, best and final: written once, each reads its own columns
-    m2 = parquet_table(m.withColumn("embedding_similarity", fb.pairwise_cosine("v_n", "v_a")), "scored")
+    m2 = parquet_table(m.drop("v_n", "v_a"), "scored")
     low = m2.filter(fb.low_similarity())
     h = fx.hierarchy(spark, sf).withColumnRenamed("item_id", "h_id")
-    hm = fb.hierarchy_match(low, h, "row_id", "v_n", "year_n")
-    best = fb.best_of_levels(low.drop("v_n", "v_a"), hm)
-    final = fb.merge_back(m2.drop("v_n", "v_a"), best)
-    return {"m2": m2, "low": low, "hm": hm, "best": best, "final": final, "hierarchy": h}
+    weak = fb.vector_lookup(low.select("row_id", "year_n", "code_n"), it, F.col("year_n"), F.col("code_n"), "v_n")
+    hm = fb.hierarchy_match(weak, h, "row_id", "v_n", "year_n")
+    best = fb.best_of_levels(low, hm)
+    final = fb.merge_back(m2, best)
+    return {"m2": m2, "low": low, "hm": hm, "best": best, "final": final, "hierarchy": h, "texts": texts}
+
+
+def _with_text(st, name: str):
+    return fb.kept_descriptions(st[name], st["texts"])
 
 
 @register(
@@ -112,7 +133,7 @@ def _stage(spark, sf):
 def q_vector_lookup(spark, sf):
     """Vectors found for (year, code) and (2023, mapped code), per year."""
     m2 = _stage(spark, sf)["m2"]
-    return m2.groupBy("year_n").agg(F.count("v_n").alias("n_found"), F.count("v_a").alias("n_found_anchor"))
+    return m2.groupBy("year_n").agg(F.count_if("has_v_n").alias("n_found"), F.count_if("has_v_a").alias("n_found_anchor"))
 
 
 @register("pairwise_cosine", FB_SQL + "SELECT row_id, embedding_similarity FROM m2")
@@ -152,7 +173,7 @@ def q_hierarchy_match(spark, sf):
 )
 def q_best_of_levels(spark, sf):
     """B1: best level vs existing mapping for weak rows."""
-    return _stage(spark, sf)["best"].select(
+    return _with_text(_stage(spark, sf), "best").select(
         "row_id", "best_match_code", "best_match_similarity", "best_match_description", "best_match_source"
     )
 
@@ -188,7 +209,7 @@ FROM final WHERE NOT updated""",
 )
 def q_default_fill(spark, sf):
     """B2: rows that keep the existing mapping, with what they keep."""
-    f = _stage(spark, sf)["final"]
+    f = _with_text(_stage(spark, sf), "final")
     return f.filter(~F.col("_updated")).select(
         "row_id", "best_match_code", "best_match_similarity", "best_match_description", "best_match_source"
     )
@@ -202,7 +223,7 @@ FROM final""",
 )
 def q_merge_back(spark, sf):
     """Full merge of improved rows into the main table."""
-    return _stage(spark, sf)["final"].select(
+    return _with_text(_stage(spark, sf), "final").select(
         "row_id", "year_n", "code_n", "best_match_code", "best_match_similarity", "best_match_description",
         "best_match_source",
     )
