@@ -11,7 +11,9 @@ broadcast; the rows themselves are shuffled to their tiles.
 
 ``method='block'``: an Arrow cogroup does one float64 matrix product per
 tile and emits only its local top-k (plus ties within the quantisation
-margin).  ``method='expr'``: Catalyst ``zip_with``/``aggregate`` per pair.
+margin).  ``method='expr'``: Catalyst alone, no Python worker.  Every pair's
+cosine is one generated expression over numbers in columns, and pairs below a
+bound known from part of the right rows leave before they are sorted.
 Either way the final per-row top-k is a ``row_number()`` window that Spark
 plans as a partial ``WindowGroupLimit`` before the shuffle.
 """
@@ -523,8 +525,7 @@ def cosine_topk(
         return _bounded_topk(l, r, _sizes(l, r, key), key, k, left_block, right_block, prune)
     if k <= _CLASS_K:
         return _topk_by_vector(l, r, key, k, method, left_block, right_block)
-    sizes = _sizes(l, r, key)
-    scored = _scored(l, r, sizes, key, k, method, *_tile_rows(sizes, left_block, right_block, l, k))
+    scored = _scored(l, r, _sizes(l, r, key), key, k, method, left_block, right_block)
     # the literal bound plans a partial WindowGroupLimit before the shuffle
     w = Window.partitionBy(*key, "l_id").orderBy(F.desc("cos"), F.asc("r_id"))
     return scored.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
@@ -541,13 +542,18 @@ def _tile_rows(sizes: DataFrame, left_block: int, right_block: int, l: DataFrame
     """Rows of a tile's sides.  A row is shuffled once for each block of the
     other side, so tiles are as large as memory and an even load allow: two
     for each shuffle partition, never smaller than the given blocks."""
-    pairs, wide = sizes.agg(F.sum(F.col("_nl").cast("double") * F.col("_nr")), F.max("_wide")).first()
+    pairs, wide, _ = _extent(sizes)
     n_parts = int(l.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fits = _TILE_BYTES // (4 * max(int(wide or 1), 1)) // (4 if "_tok" in l.columns else 1)
     side = int(min(fits, ((pairs or 0) / (2 * n_parts)) ** 0.5))
     return max(left_block, min(side, _TILE_OUT // k)), max(right_block, side)
 
 
+def _extent(sizes: DataFrame) -> tuple:
+    """Pairs of all groups, the widest left vector, most right rows of a group."""
+    return tuple(sizes.agg(F.sum(F.col("_nl").cast("double") * F.col("_nr")), F.max("_wide"), F.max("_nr")).first())
+
+
 def _block_plan(sizes: DataFrame, key: list[str], left_rows: int, right_rows: int) -> DataFrame:
     # one row per key value: broadcast
     return F.broadcast(
@@ -564,18 +570,110 @@ def _key_types(l: DataFrame, key: list[str]) -> tuple[list, str]:
     return [to_arrow_type(fields[c]) for c in key], "".join(f"{c} {fields[c].simpleString()}, " for c in key)
 
 
-def _scored(l, r, sizes, key, k, method, left_rows, right_rows) -> DataFrame:
+def _scored(l, r, sizes, key, k, method, left_block, right_block) -> DataFrame:
     """``key..., l_id, r_id, cos`` of the pairs that tiles return."""
-    lt, rt = _tiles(l, r, _block_plan(sizes, key, left_rows, right_rows), key)
+    if method == "expr":
+        return _scored_expr(l, r, sizes, key, k, left_block, right_block)
+    plan = _block_plan(sizes, key, *_tile_rows(sizes, left_block, right_block, l, k))
+    lt, rt = _tiles(l, r, plan, key)
+    tile = [*key, "_tl", "_tr"]
+    types, keys_ddl = _key_types(l, key)
+    fn = _top_fn(k, list(key), types)
+    pairs = lt.groupBy(*tile).cogroup(rt.groupBy(*tile)).applyInArrow(fn, f"{keys_ddl}l_id long, r_id long, cos double")
+    return pairs.withColumn("cos", quantise("cos"))
+
+
+# A pair costs more in Catalyst than in a matrix product: smaller tiles, dealt
+# more evenly.
+_EXPR_TILES = 8
+_EXPR_ROWS = 64
+# Terms of one sum of the generated dot product.
+_TERMS = 64
+
+
+def _numbers(side: DataFrame, mark: str, wide: int) -> DataFrame:
+    """Vectors as columns of numbers that are never null (``<mark>0``...).
+    ``<mark>len`` is the length; a vector with a null in it equals no other in
+    length, as its dot products are null."""
+    whole = F.size("_vec")
+    length = F.when(F.exists("_vec", lambda x: x.isNull()), F.lit(-1 if mark == "_q" else -2)).otherwise(whole)
+    number = [F.coalesce(F.get("_vec", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"{mark}{i}") for i in range(wide)]
+    kept = [c for c in side.columns if c not in ("_vec", "_norm")]
+    return side.select(*kept, F.col("_norm").alias(f"{mark}norm"), length.alias(f"{mark}len"), *number)
+
+
+def _raw_cosine(wide: int):
+    """:func:`cosine` of a pair of :func:`_numbers` rows, before it is rounded.
+    The dot product is written out: generated code in place of lambdas that
+    are interpreted for each number of each pair."""
+    total = F.lit(0.0)
+    for at in range(0, wide, _TERMS):
+        part = F.lit(0.0)
+        for i in range(at, min(at + _TERMS, wide)):
+            part = part + F.col(f"_q{i}") * F.col(f"_c{i}")
+        total = part if at == 0 else total + part
+    den = F.col("_qnorm") * F.col("_cnorm")
+    return F.coalesce(F.when((den > 0) & (F.col("_qlen") == F.col("_clen")), total / den), F.lit(0.0))
+
+
+def _scored_expr(l, r, sizes, key, k, left_block, right_block) -> DataFrame:
+    """The pairs of a Catalyst-only top-k, no less than the ``k`` best of each
+    left row.  The cosine of every pair is computed.  A bound sorts out most
+    of them before they are rounded, shuffled and sorted: the k-th highest of
+    the maxima of ``4 k`` disjoint groups of right rows, taken from a part of
+    the right side (see :func:`_every`)."""
+    pairs, wide, most = _extent(sizes)
+    wide = max(int(wide or 0), 0)
+    n_parts = int(l.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = int(((pairs or 0) / (_EXPR_TILES * n_parts)) ** 0.5)
+    fits = max(1, _TILE_BYTES // (8 * max(wide, 1)))
+    plan = _block_plan(sizes, key, *(min(fits, max(even, min(block, _EXPR_ROWS))) for block in (left_block, right_block)))
     tile = [*key, "_tl", "_tr"]
-    if method == "block":
-        types, keys_ddl = _key_types(l, key)
-        fn = _top_fn(k, list(key), types)
-        pairs = lt.groupBy(*tile).cogroup(rt.groupBy(*tile)).applyInArrow(fn, f"{keys_ddl}l_id long, r_id long, cos double")
-        return pairs.withColumn("cos", quantise("cos"))
-    a = lt.select(*tile, F.col("_lid").alias("l_id"), F.col("_vec").alias("lv"), F.col("_norm").alias("ln"))
-    b = rt.select(*tile, F.col("_rid").alias("r_id"), F.col("_vec").alias("rv"), F.col("_norm").alias("rn"))
-    return a.join(b, tile).select(*key, "l_id", "r_id", cosine("lv", "rv", "ln", "rn").alias("cos"))
+    raw = _raw_cosine(wide)
+
+    def scored(lt: DataFrame, rt: DataFrame) -> DataFrame:
+        q = _numbers(lt, "_q", wide).withColumnRenamed("_lid", "l_id")
+        return q.join(_numbers(rt, "_c", wide).withColumnRenamed("_rid", "r_id"), tile)
+
+    bounded = l.withColumn("_bound", F.lit(None).cast("double"))
+    every = _every(F.col("_nr"), k)
+    if (most or 0) >= 100 * k:
+        part = r.join(F.broadcast(sizes.select(*key, every.alias("_every"))), key)
+        part = part.filter((F.col("_every") > 1) & (F.pmod(F.xxhash64("_rid", F.lit(1)), F.col("_every")) == 0)).drop("_every")
+        group = F.pmod(F.xxhash64("_rid", F.lit(2)), F.lit(4 * k)).alias("_g")
+        lt, rt = _tiles(l, part, plan.withColumn("_br", F.lit(1)), key)
+        best = scored(lt, rt.withColumn("_g", group)).groupBy(*tile, "l_id", "_g").agg(F.max(raw).alias("_m"))
+        w = Window.partitionBy(*tile, "l_id").orderBy(F.desc("_m"))
+        best = best.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == k)
+        best = best.select(*key, F.col("l_id").alias("_lid"), F.col("_m").alias("_bound"))
+        bounded = l.join(best, [*key, "_lid"], "left")
+    near = scored(*_tiles(bounded, r, plan, key)).select(*key, "l_id", "r_id", "_bound", raw.alias("cos"))
+    near = near.filter(F.col("_bound").isNull() | (F.col("cos") >= F.col("_bound") - 10.0 ** (-SCORE_DIGITS + 1)))
+    return near.select(*key, "l_id", "r_id", quantise("cos").alias("cos"))
+
+
+def _every(n, k: int):
+    """One of how many right rows is read for the bound: about ``0.8 sqrt(k n)``
+    of ``n``, which weighs their pairs (aggregated, so dearer) against the pairs
+    that the bound leaves.  One of one means none: too few to bound anything."""
+    return F.when(n >= 100 * k, F.floor(F.sqrt(n / F.lit(float(k))) * 1.25)).otherwise(1)
+
+
+def _vector_classes(side: DataFrame, key: list[str], mark: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct (key, vector, norm) with a number ``<mark>``, and each row's
+    id with its number.  Rows are joined on a hash and then compared: as a key of
+    a sort a vector would be made comparable anew for each comparison."""
+    side = side.withColumn("_h", F.xxhash64("_vec"))
+    classes = side.select(*key, "_h", "_vec", "_norm").distinct()
+    # numbered and written once: the number must not change between readers
+    classes = parquet_table(classes.withColumn(mark, F.monotonically_increasing_id()), name)
+    theirs = classes.select(*[F.col(c).alias(f"_k_{c}") for c in [*key, "_h", "_vec", "_norm"]], F.col(mark).alias("_c"))
+    same = (F.col("_h") == F.col("_k__h")) & F.col("_norm").eqNullSafe(F.col("_k__norm"))
+    for c in key:
+        same = same & (F.col(c) == F.col(f"_k_{c}"))
+    none = F.col("_vec").isNull() | F.col("_k__vec").isNull()
+    same = same & F.when(none, F.col("_vec").isNull() & F.col("_k__vec").isNull()).otherwise(F.col("_vec") == F.col("_k__vec"))
+    return classes.drop("_h"), side.join(theirs, same).select(*key, mark, "_c")
 
 
 def _topk_by_vector(l: DataFrame, r: DataFrame, key: list[str], k: int, method: str, left_block: int, right_block: int) -> DataFrame:
@@ -583,17 +681,15 @@ def _topk_by_vector(l: DataFrame, r: DataFrame, key: list[str], k: int, method:
     class of equal vectors is known by its lowest ids, no more than ``k`` of
     them: a class outside the first ``k`` by (cosine, lowest id) has ``k`` rows
     before all of its own.  On the left all rows of a class get its result."""
-    by = Window.partitionBy(*key, "_vec", "_norm").orderBy("_rid")
-    members = r.withColumn("_m", F.row_number().over(by)).filter(F.col("_m") <= k)
-    members = members.groupBy(*key, "_vec", "_norm").agg(F.array_sort(F.collect_list("_rid")).alias("_ids"), F.min("_rid").alias("_low"))
-    # numbered and written once: the number must not change between readers
-    rc = parquet_table(members.withColumn("_rid", F.monotonically_increasing_id()), "right-vectors")
-    lc = l.select(*key, "_vec", "_norm").distinct()
-    lc = parquet_table(lc.withColumn("_lid", F.monotonically_increasing_id()), "left-vectors")
-    sizes = _sizes(lc, rc, key)
-    rows = _tile_rows(sizes, left_block, right_block, lc, k)
-    pairs = _scored(lc, rc.drop("_ids"), sizes, key, k, method, *rows)
-    ids = rc.select(*key, F.col("_rid").alias("r_id"), "_ids", "_low")
+    rc, members = _vector_classes(r, key, "_rid", "right-vectors")
+    lc, of = _vector_classes(l, key, "_lid", "left-vectors")
+    by = Window.partitionBy(*key, "_c").orderBy("_rid")
+    members = members.withColumn("_m", F.row_number().over(by)).filter(F.col("_m") <= k)
+    members = members.groupBy(*key, F.col("_c").alias("r_id")).agg(F.array_sort(F.collect_list("_rid")).alias("_ids"), F.min("_rid").alias("_low"))
+    ids = parquet_table(members, "right-ids")
+    if method == "block":  # its tiles cut ties by the lowest id
+        rc = rc.join(ids.select(*key, F.col("r_id").alias("_rid"), "_low"), [*key, "_rid"])
+    pairs = _scored(lc, rc, _sizes(lc, rc, key), key, k, method, left_block, right_block)
     first = Window.partitionBy(*key, "l_id")
     # a tile's rows are few for each class: cut by cosine (ties stay) before ids are joined
     near = pairs.withColumn("_rk", F.rank().over(first.orderBy(F.desc("cos")))).filter(F.col("_rk") <= k).drop("_rk")
@@ -601,11 +697,7 @@ def _topk_by_vector(l: DataFrame, r: DataFrame, key: list[str], k: int, method:
     top = near.select(*key, "l_id", "cos", F.explode("_ids").alias("r_id"))
     top = top.withColumn("_rk", F.row_number().over(first.orderBy(F.desc("cos"), F.asc("r_id")))).filter(F.col("_rk") <= k)
     top = top.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.col("l_id").alias("_c"), "r_id", "cos")
-    classes = lc.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.col("_vec").alias("_v"), F.col("_norm").alias("_n"), F.col("_lid").alias("_c"))
-    same = F.col("_vec").eqNullSafe(F.col("_v")) & F.col("_norm").eqNullSafe(F.col("_n"))
-    for c in key:
-        same = same & (F.col(c) == F.col(f"_k_{c}"))
-    of = l.join(classes, same).select(*key, F.col("_lid").alias("l_id"), F.col("_c").alias("_lc"))
+    of = of.select(*key, F.col("_lid").alias("l_id"), F.col("_c").alias("_lc"))
     out = of.join(top, F.col("_lc") == F.col("_c")).select(*key, "l_id", "r_id", "cos")
     # ids on the left may repeat: the k best are those of the id
     w = Window.partitionBy(*key, "l_id").orderBy(F.desc("cos"), F.asc("r_id"))

@@ -10,6 +10,7 @@ from yearlink.functions.indel_expr import indel_expr
 from yearlink.functions.vectors import cosine, top_k_by
 from yearlink.operators.match import adjacent_pairs, candidate_cosines, match_year_pair, prepare_items
 from yearlink.plans.registry import register, round_doubles
+from yearlink.session import parquet_table
 from yearlink.sources import fixtures as fx
 from yearlink.sources.fixtures import with_views
 
@@ -182,8 +183,9 @@ SELECT q_id, c_id, cos, CAST(rk AS INTEGER) AS rk FROM
 WHERE rk <= 5""",
 )
 def q_topk_cosine_expr(spark, sf):
-    """T2 on the expression path (Catalyst zip_with/aggregate cosine)."""
-    p = prepare_items(fx.items(spark, sf))
+    """T2 on the expression path (cosines by Catalyst, no Python worker)."""
+    # read by the pair list and both sides, twice each: written once
+    p = parquet_table(prepare_items(fx.items(spark, sf)).select("item_id", "year", "embedding", "norm"), "topk-items")
     c = candidate_cosines(p, adjacent_pairs(p), "n1_to_n", top_k=5, method="expr")
     return top_k_by(c, ["q_id"], [F.desc("cos"), F.asc("c_id")], 5)
 
