@@ -595,25 +595,20 @@ def _numbers(side: DataFrame, mark: str, wide: int) -> DataFrame:
     """Vectors as columns of numbers that are never null (``<mark>0``...).
     ``<mark>len`` is the length; a vector with a null in it equals no other in
     length, as its dot products are null."""
-    whole = F.size("_vec")
-    length = F.when(F.exists("_vec", lambda x: x.isNull()), F.lit(-1 if mark == "_q" else -2)).otherwise(whole)
-    number = [F.coalesce(F.get("_vec", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"{mark}{i}") for i in range(wide)]
-    kept = [c for c in side.columns if c not in ("_vec", "_norm")]
-    return side.select(*kept, F.col("_norm").alias(f"{mark}norm"), length.alias(f"{mark}len"), *number)
+    # as text: a call for each number and side would take seconds
+    length = f"CASE WHEN exists(_vec, x -> x IS NULL) THEN {-1 if mark == '_q' else -2} ELSE size(_vec) END AS {mark}len"
+    number = [f"coalesce(CAST(get(_vec, {i}) AS DOUBLE), 0D) AS {mark}{i}" for i in range(wide)]
+    kept = [f"`{c}`" for c in side.columns if c not in ("_vec", "_norm")]
+    return side.selectExpr(*kept, f"_norm AS {mark}norm", length, *number)
 
 
 def _raw_cosine(wide: int):
     """:func:`cosine` of a pair of :func:`_numbers` rows, before it is rounded.
     The dot product is written out: generated code in place of lambdas that
     are interpreted for each number of each pair."""
-    total = F.lit(0.0)
-    for at in range(0, wide, _TERMS):
-        part = F.lit(0.0)
-        for i in range(at, min(at + _TERMS, wide)):
-            part = part + F.col(f"_q{i}") * F.col(f"_c{i}")
-        total = part if at == 0 else total + part
-    den = F.col("_qnorm") * F.col("_cnorm")
-    return F.coalesce(F.when((den > 0) & (F.col("_qlen") == F.col("_clen")), total / den), F.lit(0.0))
+    sums = [" + ".join(["0D", *(f"_q{i} * _c{i}" for i in range(at, min(at + _TERMS, wide)))]) for at in range(0, wide, _TERMS)]
+    dot = " + ".join(f"({x})" for x in sums) or "0D"
+    return F.expr(f"coalesce(CASE WHEN _qnorm * _cnorm > 0 AND _qlen = _clen THEN ({dot}) / (_qnorm * _cnorm) END, 0D)")
 
 
 def _scored_expr(l, r, sizes, key, k, left_block, right_block) -> DataFrame:
